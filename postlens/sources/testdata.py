@@ -31,9 +31,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """Documents hash-partitioned on ``doc_id``, the key every join of the
+    binding uses. A sort-merge join on ``doc_id`` reuses this partitioning
+    (no second exchange); when the other side is broadcast instead, it still
+    spreads the text work (tokenising, scoring) over all cores even if the
+    file is a single row group."""
+    return table(spark, sf_dir, "documents").select("doc_id", *cols).repartition("doc_id")
+
+
 def posts_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts in the nested ``POST`` shape, derived from the test tables."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = documents(spark, sf_dir, "text", "lang", "source", "n_chars")
     events = table(spark, sf_dir, "events")
     ev = events.select("event_id", "ts", "user_id", "event_type")
     per_user = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("statuses"))
@@ -82,7 +91,7 @@ def training_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled corpus ``(polarity, status)``: documents with a quality label,
     quality 0 → polarity 0 (negative), quality 1 → polarity 4 (positive)."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "text")
     return labels.join(docs, "doc_id").select(
         F.col("doc_id").alias("id"),
         (F.col("quality") * 4).cast("int").alias("polarity"),
