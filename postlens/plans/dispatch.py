@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 
 from postlens.functions import text as X
 from postlens.operators import analyses as A
+from postlens.operators import charts as G
 from postlens.operators import classifier as C
 
 # --- fixed values: the analysis names offered to users ----------------------
@@ -62,3 +63,28 @@ def run(name: str, posts: DataFrame, model: NaiveBayesModel | None = None, **opt
             raise ValueError(f"analysis {name!r} needs a trained sentiment model")
         posts = C.score(posts.filter(X.not_blank("text")), model)
     return fn(posts, **opts)
+
+
+# Chart follow-up of each analysis: the data each chart draws.
+CHARTS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "hashtag_counts": lambda df: G.top_counts(df, "tag_list"),
+    "url_counts": lambda df: G.top_counts(df, "url", width=G.LABEL_WIDTH),
+    "influential_hashtags": lambda df: G.top_influence(df, "tag_list", width=G.LABEL_WIDTH),
+    "influential_urls": lambda df: G.top_influence(df, "urls", width=G.LONG_LABEL_WIDTH),
+    "sentiment_counts": G.sentiment_share,
+    "sentiment_bubble": G.bubble_points,
+    "language_counts": lambda df: df,
+    "language_followers": lambda df: df,
+    "sentiment_timeline": lambda df: G.series_max(df, "sentiment"),
+    "language_timeline": lambda df: G.series_max(df, "lang"),
+}
+
+# Analyses whose chart data is bounded by a small domain (classes,
+# languages, top-k) rather than by the number of posts.
+BOUNDED_CHARTS = {"hashtag_counts", "url_counts", "influential_hashtags", "influential_urls",
+                  "sentiment_counts", "language_counts", "language_followers"}
+
+
+def chart(name: str, result: DataFrame) -> DataFrame:
+    """The chart data for the result of analysis ``name``."""
+    return CHARTS[resolve(name)](result)

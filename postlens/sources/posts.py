@@ -35,3 +35,10 @@ def posts_to_json(posts: DataFrame) -> DataFrame:
     ``parse_posts``; NULL fields are omitted as in the source feed."""
     fields = [F.col(f.name) for f in POST.fields]
     return posts.select(F.to_json(F.struct(*fields)).alias("value"))
+
+
+def read_result(spark: SparkSession, path: str) -> DataFrame:
+    """A result written as header CSV, read back (all columns as strings, as
+    any CSV without a schema). Results are normally chained as DataFrames
+    instead of going through files."""
+    return spark.read.option("header", True).option("recursiveFileLookup", True).csv(path)

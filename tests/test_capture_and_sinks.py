@@ -113,3 +113,34 @@ def test_results_do_not_depend_on_partitioning(spark, parts):
     assert sorted(map(tuple, A.hashtag_counts(moved).collect())) == base["tags"]
     assert sorted(map(tuple, A.url_counts(moved).collect())) == base["urls"]
     assert sorted(map(tuple, A.language_followers(moved).collect())) == base["langs"]
+
+
+def test_jobs_end_to_end(spark, edge_lines, tmp_dir):
+    """train → validate → analyze (rows and chart) through the job entry point."""
+    from postlens import jobs
+
+    corpus = os.path.join(tmp_dir, "corpus.csv")
+    with open(corpus, "w") as f:
+        f.write('0,1,"Mon Apr 06",NO_QUERY,u1,"bad awful hate, terrible"\n')
+        f.write('0,2,"Mon Apr 06",NO_QUERY,u2,"awful sad bad day"\n')
+        f.write('4,3,"Mon Apr 06",NO_QUERY,u3,"good great love happy"\n')
+        f.write('4,4,"Mon Apr 06",NO_QUERY,u4,"love good fun day"\n')
+    model = os.path.join(tmp_dir, "model")
+    assert jobs.main(["train", "--corpus", corpus, "--model", model]) == 0
+    acc = os.path.join(tmp_dir, "acc")
+    assert jobs.main(["validate", "--corpus", corpus, "--model", model, "--out", acc]) == 0
+    assert spark.read.option("header", True).option("sep", "\t").csv(acc).count() == 4
+
+    posts = os.path.join(tmp_dir, "posts")
+    os.makedirs(posts)
+    with open(os.path.join(posts, "p.json"), "w") as f:
+        f.write("\n".join(edge_lines))
+    out = os.path.join(tmp_dir, "share")
+    assert jobs.main(["analyze", "--posts", posts, "--analysis", "Sentiments Piechart(English Only)",
+                      "--model", model, "--chart", "--out", out]) == 0
+    share = spark.read.option("header", True).csv(out).collect()
+    assert share and all(r.label.startswith(r.sentiment + "(") for r in share)
+    out2 = os.path.join(tmp_dir, "tl")
+    assert jobs.main(["analyze", "--posts", posts, "--analysis", "timeline of languages of tweets",
+                      "--out", out2]) == 0
+    assert spark.read.option("header", True).csv(out2).count() == 11
