@@ -7,6 +7,7 @@ around it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -35,6 +36,7 @@ CLEAN_PATTERNS = (
 )
 TOKEN_SPLIT = r"\W+"
 ALPHA_TOKEN = r"^[a-zA-Z]+$"
+ALPHA_RUN = r"(?<!\w)[a-zA-Z]++(?!\w)"  # a whole \w-run made of letters only
 # Characters 15-16 of 'Wed Oct 10 20:19:24 +0000 2018' are the minute.
 MINUTE_POS, MINUTE_LEN = 15, 2
 CREATED_AT_FORMAT = "MMM dd HH:mm:ss Z yyyy"  # applied after the weekday
@@ -80,25 +82,81 @@ def created_ts(created_at: str | Column = "created_at") -> Column:
     return F.try_to_timestamp(F.substring(_col(created_at), 5, 64), F.lit(CREATED_AT_FORMAT))
 
 
+def _anchor(pattern: str) -> str | None:
+    """A character every match of ``pattern`` must contain, if it has one.
+
+    Deleting characters never creates a new ``@``, ``#`` or ``/``, so when
+    the raw text lacks a pattern's anchor no step of the chain can match and
+    the step is skipped. The guard reads the raw column, so each step's input
+    is still computed once per row."""
+    return next((ch for ch in "@#/" if ch in pattern), None)
+
+
 def clean_text(text: str | Column) -> Column:
-    """Lower-case, then delete mentions, tags, retweet markers and links."""
-    c = F.lower(_col(text))
-    for pattern in CLEAN_PATTERNS:
-        c = F.regexp_replace(c, pattern, "")
+    """Lower-case, then delete mentions, tags, retweet markers and links,
+    pattern by pattern in the fixed order."""
+    raw = _col(text)
+    c = F.lower(raw)
+    i = 0
+    while i < len(CLEAN_PATTERNS):
+        anchor = _anchor(CLEAN_PATTERNS[i])
+        j = i
+        step = c
+        while j < len(CLEAN_PATTERNS) and _anchor(CLEAN_PATTERNS[j]) == anchor:
+            step = F.regexp_replace(step, CLEAN_PATTERNS[j], "")
+            j += 1
+        c = step if anchor is None else F.when(F.instr(raw, anchor) > 0, step).otherwise(c)
+        i = j
     return c
 
 
 def tokens(text: str | Column, stop_words: Iterable[str] = STOP_WORDS) -> Column:
-    """Normalised word list of a post: cleaned, split on non-word runs, only
-    purely alphabetic tokens, stop words removed. Duplicates are kept."""
-    stop = list(stop_words)
-    parts = F.split(clean_text(text), TOKEN_SPLIT)
-
-    def keep(w: Column) -> Column:
-        ok = w.rlike(ALPHA_TOKEN)
-        return ok & ~w.isin(stop) if stop else ok
+    """Normalised word list of a post: the cleaned text split on runs of
+    non-word characters, keeping purely alphabetic tokens that are not stop
+    words. Duplicates are kept.
 
-    return F.filter(parts, keep)
+    Taking the whole-run alphabetic matches directly is the same as splitting
+    on ``\\W+`` and then keeping ``^[a-zA-Z]+$`` tokens, with one regex pass
+    less; the possessive run never backtracks."""
+    stop = list(stop_words)
+    alpha = F.regexp_extract_all(clean_text(text), F.lit(ALPHA_RUN), F.lit(0))
+    return F.filter(alpha, lambda w: ~w.isin(stop)) if stop else alpha
+
+
+def whole_word_pattern(words: Iterable[str]) -> str | None:
+    """A regex matching any of ``words`` (lower case ``[a-z0-9_]`` only) as a
+    whole run of ``[a-z0-9_]``. The alternation is laid out as a prefix tree
+    so each position costs one branch per character, not one per word."""
+    trie: dict = {}
+    for w in {w.lower() for w in words}:
+        if not re.fullmatch(r"[a-z0-9_]+", w):
+            continue
+        node = trie
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+    if not trie:
+        return None
+
+    def emit(node: dict) -> str:
+        alts = [ch + emit(child) for ch, child in sorted(node.items()) if ch]
+        if "" in node and alts:
+            alts.append("")
+        if not alts:
+            return ""
+        return alts[0] if len(alts) == 1 else "(?:" + "|".join(alts) + ")"
+
+    return "(?<![a-z0-9_])" + emit(trie) + "(?![a-z0-9_])"
+
+
+def mentions_any(text: str | Column, words: Iterable[str]) -> Column:
+    """True when the lower-cased text has any of ``words`` as a whole word
+    (the same test as ``arrays_overlap(word_tokens(text), words)``); stops at
+    the first hit. Words with characters outside ``[a-z0-9_]`` never match."""
+    pattern = whole_word_pattern(words)
+    if pattern is None:
+        return F.lit(False)
+    return F.lower(_col(text)).rlike(pattern)
 
 
 def word_tokens(text: str | Column) -> Column:

@@ -48,11 +48,8 @@ def parse_count_arg(arg: str | int) -> int:
 
 def matches(langs: Sequence[str], words: Sequence[str]) -> Column:
     """Language in ``langs`` and, case-insensitively, any of ``words`` as a
-    whole word of the text."""
-    tracked = sorted({w.lower() for w in words})
-    return F.col("lang").isin(list(langs)) & F.arrays_overlap(
-        X.word_tokens("text"), F.array(*[F.lit(w) for w in tracked])
-    )
+    whole word (a maximal ``[a-z0-9_]`` run) of the text."""
+    return F.col("lang").isin(list(langs)) & X.mentions_any("text", words)
 
 
 def bounded(posts: DataFrame, n: int | None) -> DataFrame:

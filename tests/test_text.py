@@ -73,3 +73,40 @@ def test_word_tokens_whole_words(spark):
     assert df.select(X.word_tokens("t").alias("w")).collect()[0].w == [
         "dans", "la", "maison", "i", "think"]
     assert F is not None
+
+
+def _split_form(col, stop):
+    """The plain formulation: clean, split on \\W+, keep alphabetic non-stop tokens."""
+    c = F.lower(F.col(col))
+    for p in X.CLEAN_PATTERNS:
+        c = F.regexp_replace(c, p, "")
+    return F.filter(F.split(c, X.TOKEN_SPLIT), lambda w: w.rlike(X.ALPHA_TOKEN) & ~w.isin(stop))
+
+
+ADVERSARIAL = ["a @b@c #x#y z", "r\nt x", "htthttp://xp://y z", "x@a @b", "@ab @cd!", "ht\ntp://x.com y",
+               "/@x/ http://a b", "http:/@x/y.z w", "don't won't i'm", "A An AND", "a1 b_c d", "x//y  z"]
+
+
+def test_tokens_equal_split_form_on_documents(spark):
+    from tests.conftest import SF_CHECK
+
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet").select("text")
+    extra = spark.createDataFrame([(s,) for s in ADVERSARIAL + [g for g, _ in GOLDEN]], "text string")
+    both = docs.unionByName(extra)
+    stop = list(STOP_WORDS)
+    diff = both.select(X.tokens("text").alias("a"), _split_form("text", stop).alias("b")).filter("NOT (a <=> b)")
+    assert diff.count() == 0
+
+
+def test_mentions_any_equals_token_overlap(spark):
+    from tests.conftest import SF_CHECK
+
+    words = ["I", "et", "de", "to", "w", "brand_x", "not-a-word", "café"]
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet").select("text")
+    extra = spark.createDataFrame([(s,) for s in ["I", "i'm", "To-do", "xto", "brand_x!", "café", "w/", None]],
+                                  "text string")
+    kept = sorted({w.lower() for w in words if w.lower().replace("_", "").isalnum() and w.isascii()})
+    overlap = F.arrays_overlap(X.word_tokens("text"), F.array(*[F.lit(w) for w in kept]))
+    both = docs.unionByName(extra).select(X.mentions_any("text", words).alias("a"), overlap.alias("b"))
+    assert both.filter("NOT (a <=> b)").count() == 0
+    assert X.whole_word_pattern(["not-a-word"]) is None
