@@ -6,11 +6,13 @@ author from the event with the same id, the author's status count from all of
 their events, one page URL as the link. Tags are empty for ids ending in 0 and
 fail the alphanumeric gate for ids ending in 1.
 
-Plan notes for large inputs: documents ⋈ events is an equi-join on unique ids
-(sort-merge, or broadcast when AQE sees a small side at run time); the per-user
-status counts are pre-aggregated before they are joined, so an author holding a
-third of all events is one row on the build side; the page key is reduced
-modulo the page count before squaring, so it cannot overflow.
+Plan notes for large inputs: the per-author status counts are pre-aggregated
+before they are joined, so an author holding a third of all events is one row
+on the build side; counts and page URLs are attached to the (narrow) events
+before the documents are joined, so the text is exchanged once, on doc_id;
+documents ⋈ events is an equi-join on unique ids (sort-merge, or broadcast when
+AQE sees a small side at run time); the page key is reduced modulo the page
+count before squaring, so it cannot overflow.
 """
 
 from __future__ import annotations
@@ -41,16 +43,25 @@ def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
 
 
 def posts_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts in the nested ``POST`` shape, derived from the test tables."""
+    """Posts in the nested ``POST`` shape, derived from the test tables.
+
+    Everything that does not need the text is attached to the events first
+    (author status counts, page URL), so the documents, which carry the
+    text, are exchanged exactly once: on ``doc_id`` for the final join."""
     docs = documents(spark, sf_dir, "text", "lang", "source", "n_chars")
     events = table(spark, sf_dir, "events")
-    ev = events.select("event_id", "ts", "user_id", "event_type")
     per_user = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("statuses"))
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     n_pages = pages.agg(F.count(F.lit(1))).scalar()
 
-    d_mod = F.col("doc_id") % n_pages
-    page_key = (d_mod * d_mod) % n_pages
+    e_mod = F.col("event_id") % n_pages  # event_id = doc_id on joined rows
+    enriched = (
+        events.select("event_id", "ts", "user_id", "event_type")
+        .join(per_user, "user_id")
+        .withColumn("page_key", (e_mod * e_mod) % n_pages)
+        .join(pages, F.col("page_key") == pages.page_id, "left")
+        .select("event_id", "ts", "event_type", "statuses", "url")
+    )
 
     empty = F.array().cast(T.ArrayType(T.StringType()))
     last_digit = F.col("doc_id") % 10
@@ -64,12 +75,7 @@ def posts_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("ts", "EEE MMM dd HH:mm:ss"), F.lit(" +0000 "), F.date_format("ts", "yyyy")
     )
 
-    joined = (
-        docs.join(ev, docs.doc_id == ev.event_id)
-        .join(per_user, "user_id")
-        .withColumn("page_key", page_key)
-        .join(pages, F.col("page_key") == pages.page_id, "left")
-    )
+    joined = docs.join(enriched, docs.doc_id == enriched.event_id)
     return joined.select(
         F.col("doc_id").alias("id"),
         "text",
