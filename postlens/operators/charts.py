@@ -64,7 +64,8 @@ def sentiment_share(counts: DataFrame) -> DataFrame:
 def bubble_points(bubble: DataFrame) -> DataFrame:
     """``(id, series, x, y, size)``: x = minute × 100000, y = status count,
     size = followers integer-divided by 2; series from the sentiment sign.
-    Neutral rows are real rows, not invented points."""
+    Neutral rows are real rows, not invented points. A malformed time gives
+    x = NULL rather than failing the job (ANSI casts raise)."""
     s = F.col("sentiment")
     series = (
         F.when(s < 0, F.lit(S.NEGATIVE)).when(s > 0, F.lit(S.POSITIVE)).otherwise(F.lit(S.NEUTRAL))
@@ -72,7 +73,7 @@ def bubble_points(bubble: DataFrame) -> DataFrame:
     return bubble.select(
         "id",
         series.alias("series"),
-        (F.col("minute").cast("int") * F.lit(BUBBLE_X_SCALE)).alias("x"),
+        (F.col("minute").try_cast("int") * F.lit(BUBBLE_X_SCALE)).alias("x"),
         F.col("statuses").alias("y"),
         F.expr("followers div 2").alias("size"),
     )

@@ -120,14 +120,14 @@ def predictions(
 
 def accuracy(preds: DataFrame) -> DataFrame:
     """One row ``(n_total, n_correct, accuracy)``; accuracy in percent with
-    two decimals. One pass, partial aggregation per task."""
+    two decimals (NULL for no rows). One pass, partial aggregation per task."""
     correct = F.when(F.col("Actual") == F.col("Predicted"), 1).otherwise(0)
     return preds.agg(
         F.count(F.lit(1)).alias("n_total"), F.sum(correct).cast("bigint").alias("n_correct")
     ).select(
         "n_total",
         "n_correct",
-        F.round(F.col("n_correct") * F.lit(100.0) / F.col("n_total"), 2).alias("accuracy"),
+        F.round(F.try_divide(F.col("n_correct") * F.lit(100.0), F.col("n_total")), 2).alias("accuracy"),
     )
 
 

@@ -191,7 +191,7 @@ FROM ({jittered_counts})""",
 SELECT id,
        CASE WHEN sentiment < 0 THEN 'Negative' WHEN sentiment > 0 THEN 'Positive' ELSE 'Neutral' END
          AS series,
-       CAST(minute AS INTEGER) * {G.BUBBLE_X_SCALE} AS x, statuses AS y, followers // 2 AS size
+       TRY_CAST(minute AS INTEGER) * {G.BUBBLE_X_SCALE} AS x, statuses AS y, followers // 2 AS size
 FROM ({bubble})""",
         "language_counts": _with(POSTS) + f"""
 SELECT lower(lang) AS lang, count(*) AS n FROM posts

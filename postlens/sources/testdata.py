@@ -54,11 +54,12 @@ def posts_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     n_pages = pages.agg(F.count(F.lit(1))).scalar()
 
-    e_mod = F.col("event_id") % n_pages  # event_id = doc_id on joined rows
+    # event_id = doc_id on joined rows; no pages → NULL key, no link
+    e_mod = F.try_mod(F.col("event_id"), n_pages)
     enriched = (
         events.select("event_id", "ts", "user_id", "event_type")
         .join(per_user, "user_id")
-        .withColumn("page_key", (e_mod * e_mod) % n_pages)
+        .withColumn("page_key", F.try_mod(e_mod * e_mod, n_pages))
         .join(pages, F.col("page_key") == pages.page_id, "left")
         .select("event_id", "ts", "event_type", "statuses", "url")
     )

@@ -89,3 +89,10 @@ def test_sentiment_share_label_text(spark):
     assert got["Positive"] == (33.33, "Positive(33.3%)")
     one = spark.createDataFrame([("Positive", 4)], "sentiment string, n bigint")
     assert G.sentiment_share(one).collect()[0].label == "Positive(100.%)"
+
+
+def test_bubble_points_tolerate_malformed_time(spark):
+    rows = [(1, 10, 5, 1, "19"), (2, 7, 3, -1, "x:"), (3, 8, 2, 0, None)]
+    bubble = spark.createDataFrame(rows, "id long, followers long, statuses long, sentiment int, minute string")
+    got = {r.id: (r.series, r.x, r.size) for r in G.bubble_points(bubble).collect()}
+    assert got == {1: ("Positive", 1900000, 5), 2: ("Negative", None, 3), 3: ("Neutral", None, 4)}

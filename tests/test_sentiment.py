@@ -82,3 +82,9 @@ def test_holdout_split_is_disjoint_and_complete(spark):
     train, test = C.holdout_split(corpus)
     a, b = {r.id for r in train.collect()}, {r.id for r in test.collect()}
     assert not (a & b) and len(a | b) == 1000 and 100 < len(b) < 300
+
+
+def test_accuracy_of_no_rows_is_null(spark):
+    empty = spark.createDataFrame([], "Actual double, Predicted double, Text string")
+    r = C.accuracy(empty).collect()[0]
+    assert (r.n_total, r.n_correct, r.accuracy) == (0, None, None)
