@@ -2,7 +2,11 @@
 
 Each takes a posts DataFrame in the ``POST`` shape (or, for the sentiment
 analyses, posts already scored by ``operators.classifier.score``) and returns
-a lazy DataFrame. Counting analyses aggregate with partial (map-side) plus
+a lazy DataFrame. Sentiment analyses first project the flat columns they
+read, each once, and only then derive labels: a label reads the predicted
+polarity (a model call) several times, and a projection that does so cannot
+be merged downward, so a struct passing through it whole would keep unused
+nested fields (and the joins feeding them) alive. Counting analyses aggregate with partial (map-side) plus
 final hash aggregation, so a hot key costs one row per map task; row-level
 analyses stay distributed and are never funnelled into one partition.
 """
@@ -110,13 +114,16 @@ def _label(jitter: bool, draw: Column | None) -> Column:
 def sentiment_bubble(scored: DataFrame) -> DataFrame:
     """``(id, followers, statuses, sentiment, minute)`` for posts with text
     and tags; sentiment is the sign -1/0/1 of the predicted polarity."""
-    return scored.filter(X.not_blank("text") & X.not_blank(X.tag_list())).select(
+    flat = scored.filter(X.not_blank("text") & X.not_blank(X.tag_list())).select(
         "id",
         F.col(FOLLOWERS).alias("followers"),
         F.col(STATUSES).alias("statuses"),
-        S.polarity_sign("polarity").alias("sentiment"),
+        "polarity",
         X.minute_of_hour().alias("minute"),
     )
+    return flat.select(
+        "id", "followers", "statuses", S.polarity_sign("polarity").alias("sentiment"), "minute"
+    )
 
 
 def language_counts(posts: DataFrame, order_output: bool = True) -> DataFrame:
@@ -145,12 +152,13 @@ def language_followers(posts: DataFrame) -> DataFrame:
 def sentiment_timeline(scored: DataFrame, jitter: bool = True, draw: Column | None = None) -> DataFrame:
     """``(id, followers, sentiment, minute)`` per post with text; the label is
     jittered by default, as in the original timeline."""
-    return scored.filter(X.not_blank("text")).select(
+    flat = scored.filter(X.not_blank("text")).select(
         "id",
         F.col(FOLLOWERS).alias("followers"),
-        _label(jitter, draw).alias("sentiment"),
+        "polarity",
         X.minute_of_hour().alias("minute"),
     )
+    return flat.select("id", "followers", _label(jitter, draw).alias("sentiment"), "minute")
 
 
 def language_timeline(posts: DataFrame, bucket: str = "minute_of_hour") -> DataFrame:

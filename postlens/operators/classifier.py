@@ -43,8 +43,13 @@ def polarity_to_class(polarity: str | Column) -> Column:
 
 
 def class_to_polarity(cls: str | Column) -> Column:
+    """Class index 0, 1, 2 → polarity 0, 4, 2 (anything else NULL).
+
+    A lookup that reads the class once: the class is a model call, and an
+    expression reading it several times would keep Catalyst from merging
+    the projection into its neighbours (and from pruning what they carry)."""
     c = F.col(cls) if isinstance(cls, str) else cls
-    return F.when(c == 0.0, 0).when(c == 1.0, 4).when(c == 2.0, 2).cast("int")
+    return F.try_element_at(F.array(F.lit(0), F.lit(4), F.lit(2)), c.cast("int") + 1)
 
 
 def featurize(df: DataFrame, text_col: str, out: str = _FEATURES) -> DataFrame:

@@ -52,7 +52,6 @@ def main(argv: list[str]) -> None:
     print(f"# Physical plans ({os.path.basename(sf_dir)}, {mode})\n")
     for name, q in E.queries().items():
         df = q(spark, sf_dir)
-        plan = df._jdf.queryExecution().executedPlan().toString() if False else None
         plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
         print(summarize(name, plan))
 
