@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +42,30 @@ def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *cols).repartition("doc_id")
 
 
+# --- fixed values: English day and month abbreviations of the post time ------
+DAYS = "Sun Mon Tue Wed Thu Fri Sat".split()
+MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
+# ---------------------------------------------------------------------------
+
+
+def post_time(ts: Column) -> Column:
+    """``'Wed Oct 10 20:19:24 +0000 2018'`` from a ``timestamp_ntz``.
+
+    Built from the timestamp's own fields, so the result does not depend on
+    the session time zone (``date_format`` would go through it)."""
+
+    def two(c: Column) -> Column:
+        return F.lpad(c.cast("string"), 2, "0")
+
+    return F.concat(
+        F.element_at(F.array(*map(F.lit, DAYS)), F.dayofweek(ts)), F.lit(" "),
+        F.element_at(F.array(*map(F.lit, MONTHS)), F.month(ts)), F.lit(" "),
+        two(F.dayofmonth(ts)), F.lit(" "),
+        two(F.hour(ts)), F.lit(":"), two(F.minute(ts)), F.lit(":"), two(F.second(ts)),
+        F.lit(" +0000 "), F.year(ts).cast("string"),
+    )
+
+
 def posts_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts in the nested ``POST`` shape, derived from the test tables.
 
@@ -80,9 +104,7 @@ def posts_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.array(F.col("event_type"), F.upper(F.col("lang"))))
     )
     urls = F.when(F.col("url").isNull(), empty).otherwise(F.array(F.col("url")))
-    created_at = F.concat(
-        F.date_format("ts", "EEE MMM dd HH:mm:ss"), F.lit(" +0000 "), F.date_format("ts", "yyyy")
-    )
+    created_at = post_time(F.col("ts"))
 
     joined = docs.join(enriched, docs.doc_id == enriched.event_id)
     return joined.select(

@@ -93,7 +93,7 @@ def main(argv):
     spark = (
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.session.timeZone", os.environ.get("COMPARE_TZ", "UTC"))
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
