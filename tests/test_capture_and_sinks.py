@@ -144,3 +144,27 @@ def test_jobs_end_to_end(spark, edge_lines, tmp_dir):
     assert jobs.main(["analyze", "--posts", posts, "--analysis", "timeline of languages of tweets",
                       "--out", out2]) == 0
     assert spark.read.option("header", True).csv(out2).count() == 11
+
+
+def test_stop_word_file_and_result_reader(spark, tmp_dir):
+    from postlens.functions import text as X
+    from postlens.sources import load_stop_words, parse_posts, read_result
+
+    path = os.path.join(tmp_dir, "stop.txt")
+    with open(path, "w") as f:
+        f.write("Foo\n bar \n\nfoo\n")
+    words = load_stop_words(spark, path)
+    assert words == ("bar", "foo")
+    with pytest.raises(ValueError):
+        load_stop_words(spark, path, max_words=1)
+    df = spark.createDataFrame([("foo bar baz",)], "text string")
+    assert df.select(X.tokens("text", words).alias("t")).collect()[0].t == ["baz"]
+
+    out = os.path.join(tmp_dir, "res")
+    write_result(spark.createDataFrame([("en", 3)], "lang string, n bigint"), out)
+    back = read_result(spark, out).collect()
+    assert [tuple(r) for r in back] == [("en", "3")]
+
+    lines = spark.createDataFrame([(post(7, text="x"),), ("garbage",)], "value string")
+    parsed = parse_posts(lines, keep_raw=True).collect()
+    assert [r.id for r in parsed] == [7, None] and parsed[1].raw == "garbage"
