@@ -2,7 +2,7 @@
 
     train     --corpus CSV --model DIR
     validate  --corpus CSV --model DIR [--out DIR]
-    analyze   --posts PATH --analysis NAME --out DIR [--model DIR] [--chart] [--format csv]
+    analyze   --posts PATH --analysis NAME [--analysis NAME ...] --out DIR [--model DIR] [--chart]
     capture   --landing DIR --sink DIR --checkpoint DIR [--langs [..]] [--words [..]] [--continuous]
 
 Paths may be on any Hadoop-compatible file system. Nothing row-level is
@@ -15,9 +15,11 @@ import argparse
 import json
 import sys
 
+from pyspark import StorageLevel
+
 from postlens.operators import classifier as C
 from postlens.plans import dispatch
-from postlens.session import get_session
+from postlens.session import get_session, scratch_path
 from postlens.sinks import write_accuracy, write_result
 from postlens.sources.posts import read_posts
 from postlens.sources.training import read_training_csv
@@ -38,9 +40,11 @@ def _parser() -> argparse.ArgumentParser:
     v.add_argument("--model", required=True)
     v.add_argument("--out", default=None, help="append validation rows (tsv.gz) here")
 
-    a = sub.add_parser("analyze", help="run one analysis over JSON-lines posts")
+    a = sub.add_parser("analyze", help="run one or more analyses over JSON-lines posts")
     a.add_argument("--posts", required=True)
-    a.add_argument("--analysis", required=True, help="analysis name, e.g. 'Top 5 Word Count Hashtags'")
+    a.add_argument("--analysis", required=True, action="append",
+                   help="analysis name, e.g. 'Top 5 Word Count Hashtags'; repeat for several "
+                        "(then each result goes to OUT/<analysis key>)")
     a.add_argument("--out", required=True)
     a.add_argument("--model", default=None, help="saved classifier (sentiment analyses)")
     a.add_argument("--chart", action="store_true", help="write the chart data instead of the rows")
@@ -64,18 +68,25 @@ def main(argv: list[str] | None = None) -> int:
         C.save(C.train(read_training_csv(spark, args.corpus)), args.model)
     elif args.cmd == "validate":
         preds = C.predictions(read_training_csv(spark, args.corpus), C.load(args.model))
+        if args.out:  # used twice: keep the scored rows (recomputable if lost)
+            preds = preds.persist(StorageLevel.MEMORY_AND_DISK)
         acc = C.accuracy(preds).first()  # one row
         print(json.dumps(acc.asDict()))
         if args.out:
             write_accuracy(preds, args.out)
+            preds.unpersist()
     elif args.cmd == "analyze":
-        key = dispatch.resolve(args.analysis)
         model = C.load(args.model) if args.model else None
-        result = dispatch.run(key, read_posts(spark, args.posts), model=model)
-        if args.chart:
-            result = dispatch.chart(key, result)
-        bounded = args.chart and key in dispatch.BOUNDED_CHARTS
-        write_result(result, args.out, fmt=args.format, single_file=bounded)
+        results = dispatch.run_many(
+            args.analysis, read_posts(spark, args.posts), model=model,
+            scored_path=scratch_path(spark, "scored"),
+        )
+        for key, result in results.items():
+            if args.chart:
+                result = dispatch.chart(key, result)
+            bounded = args.chart and key in dispatch.BOUNDED_CHARTS
+            out = args.out if len(results) == 1 else f"{args.out.rstrip('/')}/{key}"
+            write_result(result, out, fmt=args.format, single_file=bounded)
     elif args.cmd == "capture":
         langs, words = K.parse_list_arg(args.langs), K.parse_list_arg(args.words)
         q = K.start_capture(

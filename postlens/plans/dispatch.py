@@ -54,6 +54,32 @@ def resolve(name: str) -> str:
     return key
 
 
+def run_many(
+    names: list[str],
+    posts: DataFrame,
+    model: NaiveBayesModel | None = None,
+    scored_path: str | None = None,
+) -> dict[str, DataFrame]:
+    """Several analyses over the same posts, keyed by analysis key.
+
+    Posts are scored at most once. When more than one sentiment analysis is
+    asked for and ``scored_path`` is given (a folder in the shared scratch
+    space), the scored posts are written there as a table and read back, so
+    tokenising and scoring run once and later analyses do not depend on a
+    long lineage (a lost executor does not send them back to the text)."""
+    keys = list(dict.fromkeys(resolve(n) for n in names))
+    sentiment = [k for k in keys if ANALYSES[k][1]]
+    scored = None
+    if sentiment:
+        if model is None:
+            raise ValueError(f"analyses {sentiment} need a trained sentiment model")
+        scored = C.score(posts.filter(X.not_blank("text")), model)
+        if len(sentiment) > 1 and scored_path:
+            scored.write.mode("overwrite").parquet(scored_path)
+            scored = scored.sparkSession.read.parquet(scored_path)
+    return {k: ANALYSES[k][0](scored if ANALYSES[k][1] else posts) for k in keys}
+
+
 def run(name: str, posts: DataFrame, model: NaiveBayesModel | None = None, **opts) -> DataFrame:
     """The named analysis over ``posts``; ``model`` is required for the
     three sentiment analyses."""

@@ -168,3 +168,32 @@ def test_stop_word_file_and_result_reader(spark, tmp_dir):
     lines = spark.createDataFrame([(post(7, text="x"),), ("garbage",)], "value string")
     parsed = parse_posts(lines, keep_raw=True).collect()
     assert [r.id for r in parsed] == [7, None] and parsed[1].raw == "garbage"
+
+
+def test_run_many_scores_once(spark, edge_posts, toy_model, tmp_dir):
+    names = ["sentiment_counts", "Timeline of Sentiments of Tweets", "language_counts", "sentiment_bubble"]
+    out = dispatch.run_many(names, edge_posts, model=toy_model, scored_path=os.path.join(tmp_dir, "scored"))
+    assert list(out) == ["sentiment_counts", "sentiment_timeline", "language_counts", "sentiment_bubble"]
+    assert glob.glob(os.path.join(tmp_dir, "scored", "*.parquet"))
+    single = dispatch.run("sentiment_timeline", edge_posts, model=toy_model)
+    assert sorted(map(tuple, out["sentiment_timeline"].collect())) == sorted(map(tuple, single.collect()))
+    assert out["language_counts"].collect() == A.language_counts(edge_posts).collect()
+    with pytest.raises(ValueError):
+        dispatch.run_many(["sentiment_counts"], edge_posts)
+
+
+def test_analyze_job_several_analyses(spark, edge_lines, tmp_dir, toy_model):
+    from postlens import jobs
+    from postlens.operators import classifier as C
+
+    model = os.path.join(tmp_dir, "m")
+    C.save(toy_model, model)
+    posts = os.path.join(tmp_dir, "posts")
+    os.makedirs(posts)
+    with open(os.path.join(posts, "p.json"), "w") as f:
+        f.write("\n".join(edge_lines))
+    out = os.path.join(tmp_dir, "out")
+    assert jobs.main(["analyze", "--posts", posts, "--model", model, "--chart", "--out", out,
+                      "--analysis", "sentiment_counts", "--analysis", "sentiment_timeline"]) == 0
+    assert spark.read.option("header", True).csv(os.path.join(out, "sentiment_counts")).count() >= 1
+    assert spark.read.option("header", True).csv(os.path.join(out, "sentiment_timeline")).count() >= 1
