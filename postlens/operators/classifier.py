@@ -30,9 +30,11 @@ SMOOTHING = 1.0
 # ---------------------------------------------------------------------------
 
 # The fit's per-class aggregation buffer is a dense 2^20-wide vector per task,
-# so the number of tasks it aggregates over is bounded (features are computed
-# at full parallelism first, then persisted).
+# so the number of tasks it aggregates over follows the corpus size (one task
+# per FIT_ROWS_PER_TASK labelled rows) and is capped; the features themselves
+# are computed at full parallelism first, then persisted.
 FIT_PARTITIONS = 64
+FIT_ROWS_PER_TASK = 50_000
 
 _TOKENS, _FEATURES, _CLASS = "_pl_tokens", "_pl_features", "_pl_class"
 
@@ -69,17 +71,18 @@ def train(
     """Fits the classifier on ``(polarity, text)`` rows. Rows whose polarity
     is not 0, 2 or 4 are ignored. The features are computed at full
     parallelism and persisted; the fit's two passes (class count, per-class
-    sums) then read them through at most ``FIT_PARTITIONS`` tasks, which
-    bounds the dense per-task aggregation buffers that get shuffled."""
+    sums) then read them through one task per ``FIT_ROWS_PER_TASK`` rows, at
+    most ``FIT_PARTITIONS``, which bounds the dense per-task aggregation
+    buffers that get shuffled."""
     labelled = corpus.select(
         polarity_to_class(polarity_col).alias("label"), F.col(text_col).alias("_text")
     ).filter(F.col("label").isNotNull())
     feats = featurize(labelled, "_text", "features").select("label", "features")
     feats.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        feats.count()
-        parts = feats.rdd.getNumPartitions()
-        fit_input = feats.coalesce(FIT_PARTITIONS) if parts > FIT_PARTITIONS else feats
+        rows = feats.count()
+        want = min(FIT_PARTITIONS, max(1, -(-rows // FIT_ROWS_PER_TASK)))
+        fit_input = feats.coalesce(want) if feats.rdd.getNumPartitions() > want else feats
         nb = NaiveBayes(
             smoothing=smoothing,
             modelType="multinomial",
