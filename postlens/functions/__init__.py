@@ -12,11 +12,13 @@ from postlens.functions.text import (
     created_ts,
     link_list,
     link_tokens,
+    mentions_any,
     minute_of_hour,
     not_blank,
     tag_list,
     tokens,
     truncate,
+    whole_word_pattern,
     word_tokens,
 )
 
@@ -28,6 +30,7 @@ __all__ = [
     "jittered_label",
     "link_list",
     "link_tokens",
+    "mentions_any",
     "minute_of_hour",
     "not_blank",
     "polarity_label",
@@ -35,5 +38,6 @@ __all__ = [
     "tag_list",
     "tokens",
     "truncate",
+    "whole_word_pattern",
     "word_tokens",
 ]

@@ -34,9 +34,12 @@ CLEAN_PATTERNS = (
     r"(?:https?|http?)//[\w/%.-]+\s+",
     r"(?:https?|http?)//[\w/%.-]+",
 )
+# Tokens: split on non-word runs, keep purely alphabetic pieces (the plain
+# form, as the SQL oracle writes it) ...
 TOKEN_SPLIT = r"\W+"
 ALPHA_TOKEN = r"^[a-zA-Z]+$"
-ALPHA_RUN = r"(?<!\w)[a-zA-Z]++(?!\w)"  # a whole \w-run made of letters only
+# ... which is the same as taking every whole \w-run made of letters only.
+ALPHA_RUN = r"(?<!\w)[a-zA-Z]++(?!\w)"
 # Characters 15-16 of 'Wed Oct 10 20:19:24 +0000 2018' are the minute.
 MINUTE_POS, MINUTE_LEN = 15, 2
 CREATED_AT_FORMAT = "MMM dd HH:mm:ss Z yyyy"  # applied after the weekday
