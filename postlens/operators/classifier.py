@@ -81,8 +81,8 @@ def train(
     feats.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows = feats.count()
-        want = min(FIT_PARTITIONS, max(1, -(-rows // FIT_ROWS_PER_TASK)))
-        fit_input = feats.coalesce(want) if feats.rdd.getNumPartitions() > want else feats
+        # coalesce never adds partitions, so fewer partitions stay as they are
+        fit_input = feats.coalesce(min(FIT_PARTITIONS, max(1, -(-rows // FIT_ROWS_PER_TASK))))
         nb = NaiveBayes(
             smoothing=smoothing,
             modelType="multinomial",

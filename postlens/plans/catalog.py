@@ -32,7 +32,7 @@ _lock = threading.Lock()
 
 def model_for(spark: SparkSession, sf_dir: str) -> NaiveBayesModel:
     """Classifier trained on the labelled documents of ``sf_dir``."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.conf.get("spark.app.id", None) or str(id(spark)), sf_dir)
     with _lock:
         if key not in _models:
             _models[key] = C.train(training_from_testdata(spark, sf_dir))

@@ -35,11 +35,16 @@ def scratch_root(spark: SparkSession) -> str:
     Only where it is unset (local tests) a private temporary folder is
     created and registered as the checkpoint directory."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # e.g. a Spark Connect session: no driver-side context
+        sc = None
+    if not root and sc is not None:
+        root = sc.getCheckpointDir()
     if not root:
         root = tempfile.mkdtemp(prefix="postlens-")
-        spark.sparkContext.setCheckpointDir(root)
+        if sc is not None:
+            sc.setCheckpointDir(root)
     return root
 
 
