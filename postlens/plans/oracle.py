@@ -1,10 +1,11 @@
 """DuckDB SQL for every checked query, over the supplied tables.
 
 These strings are the independent reference the Spark queries are compared
-with: the same post binding, the same text rules and a closed-form Naive
-Bayes (class priors and smoothed log term frequencies over 2^20 features).
-The closed form keys terms by word rather than by hash bucket, so it agrees
-with the hashed model as long as no two relevant words share a bucket.
+with: the same post binding, the same text rules (written as split-and-filter
+rather than the engine's whole-run extraction) and a closed-form Naive Bayes
+(class priors and smoothed log term frequencies over 2^20 features). Terms
+are keyed by their MurmurHash3 bucket, computed in SQL, so words sharing a
+bucket are pooled exactly as in the hashed model.
 """
 
 from __future__ import annotations
@@ -50,30 +51,84 @@ def tokens_sql(text: str) -> str:
     )
 
 
+# --- MurmurHash3 x86_32 (seed 42) in SQL: the bucket HashingTF gives a term ---
+# Tokens are ASCII letters, so a character's code is its UTF-8 byte. 32-bit
+# arithmetic is done in HUGEINT and masked.
+_M32 = (1 << 32) - 1
+_C1, _C2, _N, _F1, _F2 = 0xCC9E2D51, 0x1B873593, 0xE6546B64, 0x85EBCA6B, 0xC2B2AE35
+_SEED = 42
+
+
+def _mul(a: str, const: int) -> str:
+    return f"((CAST({a} AS HUGEINT) * {const}) & {_M32})"
+
+
+def _rotl(x: str, r: int) -> str:
+    return f"(((({x}) << {r}) | (({x}) >> {32 - r})) & {_M32})"
+
+
+def _mix_k(k: str) -> str:
+    return _mul(_rotl(_mul(k, _C1), 15), _C2)
+
+
+def _mix_h(h: str, k: str) -> str:
+    return f"(({_rotl(f'xor({h}, {k})', 13)} * 5 + {_N}) & {_M32})"
+
+
+def _byte(w: str, pos: str) -> str:
+    return f"CAST(ascii(substr({w}, {pos}, 1)) AS HUGEINT)"
+
+
+def buckets_sql(vocab: str) -> str:
+    """CTE body mapping each word ``w`` of ``vocab`` to its hashed feature
+    index ``b`` (murmur3 of the UTF-8 bytes, seed 42, modulo 2^20)."""
+    w = "w"
+    block = " | ".join(f"({_byte(w, f'4*i+{j + 1}')} << {8 * j})" for j in range(4))
+    body = (f"list_reduce(list_transform(range(strlen({w}) // 4), lambda i: {block}), "
+            f"lambda h, k: {_mix_h('h', _mix_k('k'))}, CAST({_SEED} AS HUGEINT))")
+    tail = (f"list_reduce(list_transform(range(strlen({w}) % 4), lambda j: "
+            f"{_byte(w, f'(strlen({w}) // 4) * 4 + j + 1')} << (8 * j)), "
+            f"lambda a, x: a | x, CAST(0 AS HUGEINT))")
+    h0 = f"xor(xor({body}, {_mix_k(tail)}), CAST(strlen({w}) AS HUGEINT))"
+    return f"""
+  SELECT w, CAST(xor(h3, h3 >> 16) & {C.NUM_FEATURES - 1} AS BIGINT) AS b FROM (
+    SELECT w, {_mul('xor(h2, h2 >> 13)', _F2)} AS h3 FROM (
+      SELECT w, {_mul('xor(h1, h1 >> 16)', _F1)} AS h2 FROM (
+        SELECT w, {h0} AS h1 FROM {vocab})))"""
+# ---------------------------------------------------------------------------
+
+
 TAGS = "array_to_string(hashtags, ' ')"
 LINKS = "array_to_string(urls, ' ')"
 MINUTE = f"substring(created_at, {X.MINUTE_POS}, {X.MINUTE_LEN})"
 DRAW = "((id * 31 + 7) % 97 % 10)"
 
-# Closed-form multinomial Naive Bayes, trained on labelled documents.
+# Closed-form multinomial Naive Bayes over hashed features, trained on the
+# labelled documents: terms are keyed by the same 2^20 buckets as the model.
 NB = f"""
 tok AS (SELECT doc_id AS id, coalesce({tokens_sql('text')}, []::VARCHAR[]) AS tokens FROM documents),
+vocab AS (SELECT DISTINCT unnest(tokens) AS w FROM tok),
+buckets AS ({buckets_sql('vocab')}),
 train AS (
   SELECT t.id, CAST(l.quality AS INTEGER) AS c, t.tokens
   FROM labels l JOIN tok t ON t.id = l.doc_id WHERE l.quality IN (0, 1)),
 cls AS (SELECT c, count(*) AS n_c FROM train GROUP BY c),
 corpus AS (SELECT sum(n_c) AS n_docs, max(c) + 1 AS k FROM cls),
-tf AS (SELECT c, w, count(*) AS tf FROM (SELECT c, unnest(tokens) AS w FROM train) GROUP BY c, w),
+tf AS (
+  SELECT c, b, count(*) AS tf
+  FROM (SELECT c, unnest(tokens) AS w FROM train) JOIN buckets USING (w) GROUP BY c, b),
 tot AS (SELECT c, sum(tf) AS t_c FROM tf GROUP BY c),
 prior AS (
   SELECT cls.c,
          ln(cls.n_c + {C.SMOOTHING}) - ln(corpus.n_docs + corpus.k * {C.SMOOTHING}) AS pi,
          ln(coalesce(tot.t_c, 0) + {C.NUM_FEATURES} * {C.SMOOTHING}) AS lden
   FROM cls JOIN corpus ON TRUE LEFT JOIN tot ON tot.c = cls.c),
-ptok AS (SELECT id, w, count(*) AS cnt FROM (SELECT id, unnest(tokens) AS w FROM tok) GROUP BY id, w),
+ptok AS (
+  SELECT id, b, count(*) AS cnt
+  FROM (SELECT id, unnest(tokens) AS w FROM tok) JOIN buckets USING (w) GROUP BY id, b),
 hit AS (
   SELECT p.id, tf.c, sum(p.cnt * ln(tf.tf + {C.SMOOTHING})) AS s
-  FROM ptok p JOIN tf ON tf.w = p.w GROUP BY p.id, tf.c),
+  FROM ptok p JOIN tf ON tf.b = p.b GROUP BY p.id, tf.c),
 score AS (
   SELECT t.id, pr.c, pr.pi - len(t.tokens) * pr.lden + coalesce(h.s, 0) AS sc
   FROM tok t JOIN prior pr ON TRUE LEFT JOIN hit h ON h.id = t.id AND h.c = pr.c),

@@ -88,3 +88,25 @@ def test_accuracy_of_no_rows_is_null(spark):
     empty = spark.createDataFrame([], "Actual double, Predicted double, Text string")
     r = C.accuracy(empty).collect()[0]
     assert (r.n_total, r.n_correct, r.accuracy) == (0, None, None)
+
+
+def test_sql_hash_buckets_equal_hashing_tf(spark):
+    """The oracle's SQL MurmurHash3 gives every token the index HashingTF does."""
+    import duckdb
+    from pyspark.ml.feature import HashingTF
+
+    from postlens.functions import text as X
+    from postlens.plans.oracle import buckets_sql
+    from tests.conftest import SF_SMOKE
+
+    words = sorted({w for r in spark.read.parquet(f"{SF_SMOKE}/documents.parquet")
+                    .select(F.explode(X.tokens("text")).alias("w")).distinct().collect() for w in [r.w]})
+    words += ["a", "ab", "abc", "abcd", "abcde", "reintest", "ontihain"]
+    df = spark.createDataFrame([([w],) for w in words], "t array<string>")
+    tf = HashingTF(inputCol="t", outputCol="f", numFeatures=C.NUM_FEATURES).transform(df)
+    spark_idx = {r.t[0]: r.f.indices[0] for r in tf.collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE vocab AS SELECT unnest(?::VARCHAR[]) AS w", [words])
+    duck_idx = dict(con.execute(buckets_sql("vocab")).fetchall())
+    assert duck_idx == spark_idx
+    assert spark_idx["reintest"] == spark_idx["ontihain"]  # a real collision
