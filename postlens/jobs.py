@@ -1,6 +1,6 @@
 """Command-line jobs, runnable with ``spark-submit`` or ``python -m postlens``.
 
-    train     --corpus CSV --model DIR
+    train     --corpus CSV --model DIR [--holdout N]
     validate  --corpus CSV --model DIR [--out DIR]
     analyze   --posts PATH --analysis NAME [--analysis NAME ...] --out DIR [--model DIR] [--chart]
     capture   --landing DIR --sink DIR --checkpoint DIR [--langs [..]] [--words [..]] [--continuous]
@@ -34,6 +34,8 @@ def _parser() -> argparse.ArgumentParser:
     t = sub.add_parser("train", help="train the sentiment classifier on a labelled CSV corpus")
     t.add_argument("--corpus", required=True)
     t.add_argument("--model", required=True)
+    t.add_argument("--holdout", type=int, default=0,
+                   help="hold out N of 10 hash buckets of the text and print accuracy on them")
 
     v = sub.add_parser("validate", help="accuracy of a saved classifier on a labelled corpus")
     v.add_argument("--corpus", required=True)
@@ -65,7 +67,15 @@ def main(argv: list[str] | None = None) -> int:
     spark = get_session(master=args.master, app=f"postlens-{args.cmd}")
 
     if args.cmd == "train":
-        C.save(C.train(read_training_csv(spark, args.corpus)), args.model)
+        corpus = read_training_csv(spark, args.corpus)
+        if args.holdout:
+            fit_on, held_out = C.holdout_split(corpus, key="status", test_buckets=args.holdout)
+            model = C.train(fit_on)
+            acc = C.accuracy(C.predictions(held_out, model)).first()  # one row
+            print(json.dumps({"holdout": acc.asDict()}))
+        else:
+            model = C.train(corpus)
+        C.save(model, args.model)
     elif args.cmd == "validate":
         preds = C.predictions(read_training_csv(spark, args.corpus), C.load(args.model))
         if args.out:  # used twice: keep the scored rows (recomputable if lost)

@@ -127,6 +127,7 @@ def test_jobs_end_to_end(spark, edge_lines, tmp_dir):
         f.write('4,4,"Mon Apr 06",NO_QUERY,u4,"love good fun day"\n')
     model = os.path.join(tmp_dir, "model")
     assert jobs.main(["train", "--corpus", corpus, "--model", model]) == 0
+    assert jobs.main(["train", "--corpus", corpus, "--model", model + "-h", "--holdout", "5"]) == 0
     acc = os.path.join(tmp_dir, "acc")
     assert jobs.main(["validate", "--corpus", corpus, "--model", model, "--out", acc]) == 0
     assert spark.read.option("header", True).option("sep", "\t").csv(acc).count() == 4
