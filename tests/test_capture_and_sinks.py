@@ -198,3 +198,16 @@ def test_analyze_job_several_analyses(spark, edge_lines, tmp_dir, toy_model):
                       "--analysis", "sentiment_counts", "--analysis", "sentiment_timeline"]) == 0
     assert spark.read.option("header", True).csv(os.path.join(out, "sentiment_counts")).count() >= 1
     assert spark.read.option("header", True).csv(os.path.join(out, "sentiment_timeline")).count() >= 1
+
+
+def test_capture_job(spark, tmp_dir):
+    from postlens import jobs
+
+    landing, sink, ck = (os.path.join(tmp_dir, d) for d in ("landing", "sink", "ck"))
+    os.makedirs(landing)
+    with open(os.path.join(landing, "a.json"), "w") as f:
+        f.write("\n".join([post(1, text="Brand news", lang="en"), post(2, text="brand", lang="de"),
+                           post(3, text="other", lang="en")]))
+    assert jobs.main(["capture", "--landing", landing, "--sink", sink, "--checkpoint", ck,
+                      "--langs", "[en, fr]", "--words", "[BRAND]"]) == 0
+    assert [r.id for r in K.read_captured(spark, sink, None).collect()] == [1]
