@@ -211,3 +211,19 @@ def test_capture_job(spark, tmp_dir):
     assert jobs.main(["capture", "--landing", landing, "--sink", sink, "--checkpoint", ck,
                       "--langs", "[en, fr]", "--words", "[BRAND]"]) == 0
     assert [r.id for r in K.read_captured(spark, sink, None).collect()] == [1]
+
+
+@pytest.mark.parametrize("name", ["nb_predictions", "sentiment_timeline_max", "language_timeline_max"])
+def test_checked_queries_do_not_depend_on_shuffle_partitions(spark, name):
+    import __spark_entry__ as E
+
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    results = []
+    try:
+        for parts in ("1", "16"):
+            spark.conf.set(key, parts)
+            results.append(sorted(map(tuple, E.queries()[name](spark, SF_SMOKE).collect())))
+    finally:
+        spark.conf.set(key, old)
+    assert results[0] == results[1] and results[0]
