@@ -2,7 +2,8 @@
 
 Every query reads the whole tables through ``posts_from_testdata`` (or the
 labelled corpus derived from them) and returns a lazy DataFrame. The
-classifier is trained once per (application, table folder) and reused.
+classifier is trained once per (application, table folder) and reused; the
+posts plan and the scored-posts plan are described once and shared.
 """
 
 from __future__ import annotations
@@ -27,12 +28,12 @@ from postlens.streaming import capture as K
 Query = Callable[[SparkSession, str], DataFrame]
 
 _models: dict[tuple[str, str], NaiveBayesModel] = {}
-_lock = threading.Lock()
+_lock = threading.RLock()
 
 
 def model_for(spark: SparkSession, sf_dir: str) -> NaiveBayesModel:
     """Classifier trained on the labelled documents of ``sf_dir``."""
-    key = (spark.conf.get("spark.app.id", None) or str(id(spark)), sf_dir)
+    key = (spark.conf.get("spark.app.id", None), id(spark), sf_dir)
     with _lock:
         if key not in _models:
             _models[key] = C.train(training_from_testdata(spark, sf_dir))
@@ -45,13 +46,34 @@ def test_draw(key: str = "id") -> Column:
     return ((F.col(key) * 31 + 7) % 97) % 10
 
 
+_plans: dict[tuple, DataFrame] = {}
+
+
+def _plan(kind: str, spark: SparkSession, sf_dir: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A DataFrame (an immutable, lazy plan: no data is held) built once per
+    application and folder and shared by every query that starts from it.
+    Each query still executes it in full; only describing it is saved."""
+    key = (kind, spark.conf.get("spark.app.id", None), id(spark), sf_dir)
+    with _lock:
+        if key not in _plans:
+            _plans[key] = build()
+        return _plans[key]
+
+
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan("posts", spark, sf_dir, lambda: posts_from_testdata(spark, sf_dir))
+
+
 def scored_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = posts_from_testdata(spark, sf_dir)
-    return C.score(posts.filter(X.not_blank("text")), model_for(spark, sf_dir))
+    def build() -> DataFrame:
+        model = model_for(spark, sf_dir)
+        return C.score(posts(spark, sf_dir).filter(X.not_blank("text")), model)
+
+    return _plan("scored", spark, sf_dir, build)
 
 
 def _posts(fn: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: fn(posts_from_testdata(spark, sf_dir))
+    return lambda spark, sf_dir: fn(posts(spark, sf_dir))
 
 
 def _scored(fn: Callable[[DataFrame], DataFrame]) -> Query:
@@ -80,7 +102,7 @@ def capture_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lands the posts as JSON lines, captures them with one ``availableNow``
     streaming run, and reads the bounded capture back."""
     landing = scratch_path(spark, "landing")
-    posts_to_json(posts_from_testdata(spark, sf_dir)).write.mode("overwrite").text(landing)
+    posts_to_json(posts(spark, sf_dir)).write.mode("overwrite").text(landing)
     captured = K.capture_stream(
         spark, landing, scratch_path(spark, "sink"), scratch_path(spark, "checkpoint")
     )
@@ -90,7 +112,7 @@ def capture_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts written as JSON lines and read back under the explicit schema."""
     path = scratch_path(spark, "posts-json")
-    posts_to_json(posts_from_testdata(spark, sf_dir)).write.mode("overwrite").text(path)
+    posts_to_json(posts(spark, sf_dir)).write.mode("overwrite").text(path)
     return read_posts(spark, path).select(
         "id",
         "lang",

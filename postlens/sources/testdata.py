@@ -19,9 +19,8 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -29,8 +28,18 @@ TABLES = (
 ).split()
 
 
+_tables: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """A supplied table. The DataFrame (a plan, not data) is kept per
+    application and folder, so the file listing and footer read are done
+    once rather than in every query built on it."""
+    key = (spark.conf.get("spark.app.id", None), id(spark), os.path.abspath(sf_dir), name)
+    df = _tables.get(key)
+    if df is None:
+        df = _tables[key] = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return df
 
 
 def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
@@ -48,22 +57,48 @@ MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
 # ---------------------------------------------------------------------------
 
 
-def post_time(ts: Column) -> Column:
-    """``'Wed Oct 10 20:19:24 +0000 2018'`` from a ``timestamp_ntz``.
+def _names(values: list[str]) -> str:
+    return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def _two(field: str) -> str:
+    return f"lpad(cast({field} AS string), 2, '0')"
+
+
+def post_time_sql(ts: str = "ts") -> str:
+    """``'Wed Oct 10 20:19:24 +0000 2018'`` from the ``timestamp_ntz`` column
+    named ``ts``, as a SQL expression.
 
     Built from the timestamp's own fields, so the result does not depend on
     the session time zone (``date_format`` would go through it)."""
+    return (
+        f"concat(element_at({_names(DAYS)}, dayofweek({ts})), ' ', "
+        f"element_at({_names(MONTHS)}, month({ts})), ' ', {_two(f'day({ts})')}, ' ', "
+        f"{_two(f'hour({ts})')}, ':', {_two(f'minute({ts})')}, ':', {_two(f'second({ts})')}, "
+        f"' +0000 ', cast(year({ts}) AS string))"
+    )
 
-    def two(c: Column) -> Column:
-        return F.lpad(c.cast("string"), 2, "0")
 
-    return F.concat(
-        F.element_at(F.array(*map(F.lit, DAYS)), F.dayofweek(ts)), F.lit(" "),
-        F.element_at(F.array(*map(F.lit, MONTHS)), F.month(ts)), F.lit(" "),
-        two(F.dayofmonth(ts)), F.lit(" "),
-        two(F.hour(ts)), F.lit(":"), two(F.minute(ts)), F.lit(":"), two(F.second(ts)),
-        F.lit(" +0000 "), F.year(ts).cast("string"),
-    )
+EMPTY = "cast(array() AS array<string>)"
+# The row shaping of a post, as SQL evaluated in one projection (one call
+# to the JVM instead of one per expression node).
+POST_COLUMNS = [
+    "doc_id AS id",
+    "text",
+    "lang",
+    f"{post_time_sql('ts')} AS created_at",
+    "cast(NULL AS bigint) AS favorite_count",
+    f"""named_struct(
+          'hashtags', transform(
+             CASE doc_id % 10 WHEN 0 THEN {EMPTY}
+                              WHEN 1 THEN array(event_type, concat('src_', source))
+                              ELSE array(event_type, upper(lang)) END,
+             t -> named_struct('text', t)),
+          'urls', transform(
+             CASE WHEN url IS NULL THEN {EMPTY} ELSE array(url) END,
+             u -> named_struct('expanded_url', u))) AS entities""",
+    "named_struct('followers_count', n_chars, 'statuses_count', statuses) AS user",
+]
 
 
 def posts_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,32 +131,7 @@ def posts_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("event_id", "ts", "event_type", "statuses", "url")
     )
 
-    empty = F.array().cast(T.ArrayType(T.StringType()))
-    last_digit = F.col("doc_id") % 10
-    hashtags = (
-        F.when(last_digit == 0, empty)
-        .when(last_digit == 1, F.array(F.col("event_type"), F.concat(F.lit("src_"), F.col("source"))))
-        .otherwise(F.array(F.col("event_type"), F.upper(F.col("lang"))))
-    )
-    urls = F.when(F.col("url").isNull(), empty).otherwise(F.array(F.col("url")))
-    created_at = post_time(F.col("ts"))
-
-    joined = docs.join(enriched, docs.doc_id == enriched.event_id)
-    return joined.select(
-        F.col("doc_id").alias("id"),
-        "text",
-        "lang",
-        created_at.alias("created_at"),
-        F.lit(None).cast("bigint").alias("favorite_count"),
-        F.struct(
-            F.transform(hashtags, lambda t: F.struct(t.alias("text"))).alias("hashtags"),
-            F.transform(urls, lambda u: F.struct(u.alias("expanded_url"))).alias("urls"),
-        ).alias("entities"),
-        F.struct(
-            F.col("n_chars").alias("followers_count"),
-            F.col("statuses").alias("statuses_count"),
-        ).alias("user"),
-    )
+    return docs.join(enriched, docs.doc_id == enriched.event_id).selectExpr(*POST_COLUMNS)
 
 
 def training_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
