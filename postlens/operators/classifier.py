@@ -91,7 +91,7 @@ def train(
         )
         return nb.fit(fit_input)
     finally:
-        feats.unpersist()
+        feats.unpersist(blocking=True)
 
 
 def score(posts: DataFrame, model: NaiveBayesModel, text_col: str = "text") -> DataFrame:
