@@ -61,12 +61,16 @@ def main() -> None:
     )
     model_for(spark, sf_dir)  # the queries below reuse one trained model
 
+    errors = {}
     for name, query in E.queries().items():
         if only and name not in only:
             continue
-        cold[name], timings[name] = measure(
-            lambda: query(spark, sf_dir).write.format("noop").mode("overwrite").save()
-        )
+        try:
+            cold[name], timings[name] = measure(
+                lambda: query(spark, sf_dir).write.format("noop").mode("overwrite").save()
+            )
+        except Exception as e:  # keep timing the others; report the failure
+            errors[name] = f"{type(e).__name__}: {str(e)[:200]}"
 
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(
@@ -78,6 +82,7 @@ def main() -> None:
                 "queries": timings,
                 "cold": cold,
                 "cold_total": round(sum(cold.values()), 3),
+                **({"errors": errors} if errors else {}),
                 "sf": float(m.group(1)) if m else sf_dir,
                 "cpus": cpus,
                 "runs": runs,
