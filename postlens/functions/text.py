@@ -113,6 +113,9 @@ def clean_text(text: str | Column) -> Column:
     return c
 
 
+_token_columns: dict[tuple, Column] = {}
+
+
 def tokens(text: str | Column, stop_words: Iterable[str] = STOP_WORDS) -> Column:
     """Normalised word list of a post: the cleaned text split on runs of
     non-word characters, keeping purely alphabetic tokens that are not stop
@@ -120,10 +123,25 @@ def tokens(text: str | Column, stop_words: Iterable[str] = STOP_WORDS) -> Column
 
     Taking the whole-run alphabetic matches directly is the same as splitting
     on ``\\W+`` and then keeping ``^[a-zA-Z]+$`` tokens, with one regex pass
-    less; the possessive run never backtracks."""
-    stop = list(stop_words)
+    less; the possessive run never backtracks.
+
+    For a column given by name the expression (immutable and unresolved) is
+    built once per Spark context and reused: describing the stop-word test
+    takes one call to the JVM per word."""
+    stop = tuple(stop_words)
+    key = None
+    if isinstance(text, str):
+        from pyspark import SparkContext
+
+        key = (id(SparkContext._active_spark_context), text, stop)
+        cached = _token_columns.get(key)
+        if cached is not None:
+            return cached
     alpha = F.regexp_extract_all(clean_text(text), F.lit(ALPHA_RUN), F.lit(0))
-    return F.filter(alpha, lambda w: ~w.isin(stop)) if stop else alpha
+    col = F.filter(alpha, lambda w: ~w.isin(list(stop))) if stop else alpha
+    if key is not None:
+        _token_columns[key] = col
+    return col
 
 
 def whole_word_pattern(words: Iterable[str]) -> str | None:
