@@ -2,13 +2,17 @@
 
 Each takes a posts DataFrame in the ``POST`` shape (or, for the sentiment
 analyses, posts already scored by ``operators.classifier.score``) and returns
-a lazy DataFrame. Sentiment analyses first project the flat columns they
-read, each once, and only then derive labels: a label reads the predicted
-polarity (a model call) several times, and a projection that does so cannot
-be merged downward, so a struct passing through it whole would keep unused
-nested fields (and the joins feeding them) alive. Counting analyses aggregate with partial (map-side) plus
-final hash aggregation, so a hot key costs one row per map task; row-level
-analyses stay distributed and are never funnelled into one partition.
+a lazy DataFrame.
+
+Counting analyses aggregate with partial (map-side) plus final hash
+aggregation, so a hot key costs one row per map task; row-level analyses stay
+distributed and are never funnelled into one partition.
+
+Sentiment analyses first project the flat columns they read, each once, and
+only then derive labels: a label reads the predicted polarity (a model call)
+several times, and a projection that does so cannot be merged downward, so a
+struct passing through it whole would keep unused nested fields (and the
+joins feeding them) alive.
 """
 
 from __future__ import annotations
