@@ -94,7 +94,7 @@ def nb_predictions(scored: DataFrame) -> DataFrame:
 
 
 def nb_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = training_from_testdata(spark, sf_dir)
+    corpus = _plan("training", spark, sf_dir, lambda: training_from_testdata(spark, sf_dir))
     return C.accuracy(C.predictions(corpus, model_for(spark, sf_dir)))
 
 
