@@ -7,8 +7,9 @@ their events, one page URL as the link. Tags are empty for ids ending in 0 and
 fail the alphanumeric gate for ids ending in 1.
 
 Plan notes for large inputs: the per-author status counts are pre-aggregated
-before they are joined, so an author holding a third of all events is one row
-on the build side; counts and page URLs are attached to the (narrow) events
+before they are joined, and the events of hot authors (more than 1/1000 of
+all events each) are salted over 32 join keys, so an author holding a third
+of all events is spread over 32 join tasks instead of one; counts and page URLs are attached to the (narrow) events
 before the documents are joined, so the text is exchanged once, on doc_id;
 documents ⋈ events is an equi-join on unique ids (sort-merge, or broadcast when
 AQE sees a small side at run time); the page key is reduced modulo the page
@@ -101,6 +102,47 @@ POST_COLUMNS = [
 ]
 
 
+# A key holding more than 1/HOT_SHARE of all events is hot: there can be at
+# most HOT_SHARE such authors, whatever the data size, so their list is
+# broadcast with a proven bound. Their events are spread over SALTS salts.
+HOT_SHARE = 1000
+SALTS = 32
+
+
+class AuthorCounts:
+    """Per-author event counts as a join lookup keyed by (user_id, salt)."""
+
+    def __init__(self, hot: DataFrame, lookup: DataFrame):
+        self.hot, self.lookup = hot, lookup
+
+
+def author_counts(events: DataFrame) -> AuthorCounts:
+    """``statuses`` per author, pre-aggregated, with one lookup row per
+    (author, salt): SALTS rows for hot authors, one (salt 0) for the rest.
+    The final aggregate on (user_id, salt) makes the key provably unique."""
+    per_user = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("statuses"))
+    total = events.agg(F.count(F.lit(1))).scalar()
+    hot = per_user.filter(F.col("statuses") * HOT_SHARE > total).select(
+        "user_id", F.lit(True).alias("hot")
+    )
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    lookup = (
+        per_user.join(F.broadcast(hot), "user_id", "left")
+        .select("user_id", F.explode(salts).alias("salt"), "statuses")
+        .groupBy("user_id", "salt")
+        .agg(F.max("statuses").alias("statuses"))
+    )
+    return AuthorCounts(hot, lookup)
+
+
+def salted(events: DataFrame, counts: AuthorCounts) -> DataFrame:
+    """Events with the salt their author's lookup rows use: a hash of the
+    event id for hot authors, 0 otherwise."""
+    flagged = events.join(F.broadcast(counts.hot), "user_id", "left")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("event_id"), F.lit(SALTS))).otherwise(F.lit(0))
+    return flagged.withColumn("salt", salt.cast("int")).drop("hot")
+
+
 def posts_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts in the nested ``POST`` shape, derived from the test tables.
 
@@ -108,8 +150,8 @@ def posts_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
     (author status counts, page URL), so the documents, which carry the
     text, are exchanged exactly once: on ``doc_id`` for the final join."""
     docs = documents(spark, sf_dir, "text", "lang", "source", "n_chars")
-    events = table(spark, sf_dir, "events")
-    per_user = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("statuses"))
+    events = table(spark, sf_dir, "events").filter(F.col("user_id").isNotNull())
+    counts = author_counts(events)
     pages = table(spark, sf_dir, "pages")
     n_pages = pages.agg(F.count(F.lit(1))).scalar()
     # One link per page id. Declared as an aggregate on the key, the lookup
@@ -120,12 +162,11 @@ def posts_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
     # event_id = doc_id on joined rows; no pages → NULL key, no link
     e_mod = F.try_mod(F.col("event_id"), n_pages)
     enriched = (
-        events.select("event_id", "ts", "user_id", "event_type")
+        salted(events.select("event_id", "ts", "user_id", "event_type"), counts)
         # Every author with a non-NULL id has a count row, so this left join
         # equals the inner join; keyed by an aggregate, it is dropped from
         # queries that never read the status count.
-        .filter(F.col("user_id").isNotNull())
-        .join(per_user, "user_id", "left")
+        .join(counts.lookup, ["user_id", "salt"], "left")
         .withColumn("page_key", F.try_mod(e_mod * e_mod, n_pages))
         .join(links, F.col("page_key") == links.page_id, "left")
         .select("event_id", "ts", "event_type", "statuses", "url")

@@ -67,12 +67,23 @@ def test_skewed_inputs_match_oracle(skew_session, skewed_dir, name):
     assert n > 0
 
 
-@pytest.mark.xfail(strict=True, reason=(
-    "open: the author-count lookup is an aggregate, so the events ⋈ counts sort-merge join is not "
-    "a shuffle-to-shuffle join and AQE cannot split the hot author; needs salting of heavy authors"))
-def test_hot_author_is_split_by_aqe(skew_session, skewed_dir):
-    df = E.queries()["sentiment_bubble"](skew_session, skewed_dir)
-    df.collect()
-    final = df._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in final
-    assert "isSkewJoin=true" in final or "skewed" in final.lower(), final[:2000]
+def test_hot_author_is_spread_over_join_partitions(skew_session, skewed_dir):
+    from pyspark.sql import functions as F
+
+    from postlens.sources.testdata import SALTS, author_counts, salted, table
+
+    events = table(skew_session, skewed_dir, "events").filter(F.col("user_id").isNotNull())
+    counts = author_counts(events)
+    joined = salted(events.select("event_id", "user_id"), counts).join(
+        counts.lookup, ["user_id", "salt"], "left")
+    hot = joined.filter("user_id = 7")
+    n_events = events.filter("user_id = 7").count()
+    assert n_events >= events.count() // 3
+    # every hot event still sees its author's full count ...
+    assert {r.statuses for r in hot.select("statuses").distinct().collect()} == {n_events}
+    assert hot.count() == n_events
+    # ... and the hot author no longer sits in a single join partition
+    # (read the count, or Catalyst rightly drops the lookup join altogether)
+    parts = len(hot.groupBy(F.spark_partition_id().alias("p")).agg(F.sum("statuses")).collect())
+    assert parts > 1, parts
+    assert counts.lookup.filter("user_id = 7").count() == SALTS
