@@ -31,8 +31,11 @@ def text_of(col: str | Column = "text") -> Column:
 
 
 def word_array(text: Column) -> Column:
-    """Words: the runs of characters outside ``SPACES``."""
-    return F.filter(F.split(text, SPACES), lambda w: w != "")
+    """Words: the runs of characters outside ``SPACES``. All white space becomes
+    plain spaces first, because a split at one plain character needs no regex."""
+    for c in "\t\n\x0b\f\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def squeezed(text: Column) -> Column:

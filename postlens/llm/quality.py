@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.common import line_array, squeezed, text_of, word_array, written
+from postlens.llm.common import SPACES, line_array, text_of, word_array, written
 
 #: A line is boilerplate in a host if more documents hold it than this share of the host's, and than LEAST_DOCS.
 SHARE = 0.1
@@ -30,7 +30,8 @@ LEFT_WORDS = 10
 
 def normal_line(line: Column) -> Column:
     """Lower case, white space runs as one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
+    wide = line.rlike(r"[\x09-\x0D]|\x20\x20")
+    return F.trim(F.lower(F.when(wide, F.regexp_replace(line, SPACES, " ")).otherwise(line)))
 
 
 def host_key(host: str) -> Column:
@@ -53,10 +54,22 @@ def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", sh
     return above.groupBy("host_key").agg(F.collect_list("line").alias("frequent"))
 
 
-def repeated_words(words: Column, width: int = 5) -> Column:
-    """How many words lie in windows of ``width`` words that the text holds
-    twice or more. Windows are compared by 64-bit hash; the sort runs only for
-    texts that hold a repeat."""
+def _joined(hashes: Column, shift: int) -> Column:
+    """The hash of hashes[i] and hashes[i + shift] for each i that has both."""
+    size = F.size(hashes) - shift
+    return F.zip_with(F.slice(hashes, 1, size), F.slice(hashes, 1 + shift, size), lambda a, b: F.xxhash64(a, b))
+
+
+def _bound(value: Column, of) -> Column:
+    """of(value), with ``value`` computed once: a lambda over an array of one."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def repeated_words(words: Column) -> Column:
+    """How many words lie in windows of five words that the text holds twice or
+    more. Windows are compared by 64-bit hash, built from hashes of one, two
+    and four words; the sort runs only for texts that hold a repeat."""
+    width = 5
 
     def covered(hashes: Column) -> Column:
         pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -74,16 +87,18 @@ def repeated_words(words: Column, width: int = 5) -> Column:
                 lambda a, x: a + x,
             )
 
-        # an array of one lets the lambdas hold an intermediate result, so that it is computed once
-        return F.get(F.transform(F.array(pairs), lambda p: F.get(F.transform(F.array(starts(p)), summed), F.lit(0))), F.lit(0))
+        return _bound(pairs, lambda p: _bound(starts(p), summed))
+
+    zero = F.lit(0).cast("long")
+
+    def of_windows(hashes: Column) -> Column:
+        return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), covered(hashes)).otherwise(zero)
 
-    def count(w: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(w) - width)
-        hashes = F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]))
-        of = lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0).cast("long"))
-        return F.when(F.size(w) <= width, F.lit(0).cast("long")).otherwise(F.get(F.transform(F.array(hashes), of), F.lit(0)))
+    def of_words(one: Column) -> Column:
+        fifth = lambda four: F.zip_with(F.slice(four, 1, F.size(one) - 4), F.slice(one, 5, F.size(one) - 4), lambda a, b: F.xxhash64(a, b))
+        return _bound(_joined(one, 1), lambda two: _bound(_joined(two, 2), lambda four: _bound(fifth(four), of_windows)))
 
-    return F.get(F.transform(F.array(words), count), F.lit(0))
+    return F.when(F.size(words) <= width, zero).otherwise(_bound(F.transform(words, lambda w: F.xxhash64(w)), of_words))
 
 
 def quality(
@@ -115,7 +130,7 @@ def quality(
     ).join(lists, "host_key", "left")
 
     t = F.col("t")
-    lines = line_array(t)
+    lines = F.col("lines")
     is_frequent = lambda line: F.array_contains(F.col("frequent"), F.xxhash64(normal_line(line)))
     has_word = lambda line: line.rlike(r"[^\x20\x09-\x0D]")
     n_words = lambda line: F.size(word_array(line)).cast("long")
@@ -130,12 +145,12 @@ def quality(
 
     words = F.col("words")
     measured = (
-        rows.withColumn("words", word_array(t))
+        rows.withColumns({"words": word_array(t), "lines": line_array(t)})
         .select(
             "own", "t", "frequent",
             F.size(words).cast("long").alias("n_words"),
-            F.length(squeezed(t)).cast("long").alias("word_chars"),
-            F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            F.when(t.rlike(r"[#*$%&|<>]"), F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", ""))).otherwise(0).cast("long").alias("n_symbols"),
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
             repeated_words(words).alias("n_repeat_words"),
             gone.alias("n_removed"),
