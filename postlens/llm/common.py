@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +50,12 @@ def squeezed(text: Column) -> Column:
 def line_array(text: Column) -> Column:
     """The \\n-separated lines that hold a word."""
     return F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+
+
+def worker_cache(name: str, make: Callable):
+    """``make()``, kept under ``name`` for the life of a Python worker, which
+    runs many tasks: what is slow to set up is set up once in each worker."""
+    kept = sys.modules.setdefault("_postlens_worker", types.ModuleType("_postlens_worker")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]

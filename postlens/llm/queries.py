@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postlens.llm import exact_dedup, fuzzy_lines, mixing, quality, sql
+from postlens.llm import archive, exact_dedup, fuzzy_lines, mixing, packing, quality, sql, token_counts
 from postlens.llm.common import table
 
 
@@ -23,12 +24,28 @@ def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("doc_id", "source_key", "n_tokens", "round(weight, 6) as weight", "budget", "order_key", "copies")
 
 
+def op6_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = archive.archived(table(spark, sf_dir, "pages"))
+    return rows.where("intact").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines.fuzzy_line_report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_line_frequency, op3_exact_dedup, op4_temperature_mixing, op10_fuzzy_lines]
+    found = [
+        op2_line_frequency, op3_exact_dedup, op4_temperature_mixing, op6_content_archive,
+        op8_token_counts, op9_lexical_packing, op10_fuzzy_lines,
+    ]
     return {f.__name__: f for f in found}
 
 
@@ -37,4 +54,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_line_frequency": sql.QUALITY,
         "op3_exact_dedup": sql.EXACT_DEDUP,
         "op4_temperature_mixing": sql.MIXING,
+        "op6_content_archive": sql.ARCHIVE,
     }

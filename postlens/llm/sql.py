@@ -86,3 +86,13 @@ SELECT doc_id, source_key, n_tokens, round(coalesce(weight, 0), 6) AS weight, co
        coalesce(passes, 1) + CASE WHEN order_key <= last_key THEN 1 ELSE 0 END AS copies
 FROM d LEFT JOIN plan USING (source_key) LEFT JOIN cut USING (source_key)
 """
+
+ARCHIVE = r"""
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS first_id FROM p)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> first_id THEN first_id END AS refers_to
+FROM q
+"""
