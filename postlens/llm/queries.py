@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postlens.llm import archive, exact_dedup, fuzzy_lines, mixing, packing, quality, sql, token_counts
+from postlens.llm import archive, exact_dedup, fuzzy_lines, mixing, near_dedup, packing, quality, sql, substrings, token_counts
 from postlens.llm.common import table
 
 
@@ -24,11 +25,20 @@ def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("doc_id", "source_key", "n_tokens", "round(weight, 6) as weight", "budget", "order_key", "copies")
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), width=3, similarity=85)
+
+
 def op6_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = archive.archived(table(spark, sf_dir, "pages"))
     return rows.where("intact").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -43,8 +53,8 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        op2_line_frequency, op3_exact_dedup, op4_temperature_mixing, op6_content_archive,
-        op8_token_counts, op9_lexical_packing, op10_fuzzy_lines,
+        op2_line_frequency, op3_exact_dedup, op4_temperature_mixing, op5_minhash, op6_content_archive,
+        op7_fm_index, op8_token_counts, op9_lexical_packing, op10_fuzzy_lines,
     ]
     return {f.__name__: f for f in found}
 
