@@ -7,10 +7,11 @@ cuts the lineage.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import exact_dedup, mixing, quality
+from postlens.llm import exact_dedup, mixing, near_dedup, packing, quality
 from postlens.llm.common import table, written
 
 
@@ -25,10 +26,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rows.select(*[fresh.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
+def _without(docs: DataFrame, verdicts: DataFrame, name: str) -> DataFrame:
+    """``docs`` without the documents of which no row is kept. Only their ids
+    meet the texts: usually few enough for a broadcast, else a sort-merge join."""
+    gone = verdicts.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"))
+    return docs.join(written(gone, name), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text stays."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return _without(docs, exact_dedup.exact_dedup(docs).select("doc_id", "kept"), "exact_copies")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return _without(docs, near_dedup.near_dedup(docs).select("doc_id", "kept"), "near_copies")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +48,20 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.drawn(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("exact dedup", exact), ("mixing sources", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the training sequences."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("exact dedup", exact),
+    ("near dedup", near),
+    ("mixing sources", mix),
+    ("packing", pack),
+]
 
+#: SQL cannot express near duplicates and packing; tests hold the pipeline against a plain version.
 ORACLE_SQL = None
 
 

@@ -26,14 +26,27 @@ SCHEMA = "block long, doc_ids array<long>, sizes binary, words string, numbers b
 
 
 def squeeze(values: np.ndarray) -> bytes:
-    """Small integers compressed: their bytes by place, the lowest first."""
-    planes = np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(-1, 4).T
+    """Integers from 0, compressed: their bytes by place, the lowest first."""
+    planes = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8).T
     return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unsqueeze(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").reshape(-1)
+
+
+def joined(parts: list[bytes]) -> bytes:
+    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
+
+
+def parted(data: bytes) -> list[bytes]:
+    parts, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "little")
+        parts.append(data[at + 4 : at + 4 + n])
+        at += 4 + n
+    return parts
 
 
 def word_blocks(docs: DataFrame, doc_id: str, text: str, lower: bool = False, block_words: int = BLOCK_WORDS) -> DataFrame:

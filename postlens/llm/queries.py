@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import archive, exact_dedup, fuzzy_lines, mixing, near_dedup, packing, quality, sql, substrings, token_counts
+from postlens.llm import archive, exact_dedup, fuzzy_lines, lm, mixing, near_dedup, packing, quality, sql, substrings, token_counts
 from postlens.llm.common import table
 
 
+def op1_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).drop("clean_text")
 
@@ -53,7 +57,7 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        op2_line_frequency, op3_exact_dedup, op4_temperature_mixing, op5_minhash, op6_content_archive,
+        op1_elias_fano_lm, op2_line_frequency, op3_exact_dedup, op4_temperature_mixing, op5_minhash, op6_content_archive,
         op7_fm_index, op8_token_counts, op9_lexical_packing, op10_fuzzy_lines,
     ]
     return {f.__name__: f for f in found}

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.blocks import Block, squeeze, unsqueeze, word_blocks
+from postlens.llm.blocks import Block, joined, parted, squeeze, unsqueeze, word_blocks
 from postlens.llm.common import written
 
 WIDTH, GRAM = 35, 10
@@ -228,24 +228,15 @@ def repeated_intervals(text: np.ndarray, begins: np.ndarray, ends: np.ndarray, w
 def _sent(segments: dict[bytes, list[int]]) -> bytes:
     """A block's segments for a shard, compressed: sizes, counts, words by number, and the numbers' hashes."""
     words, numbers = np.unique(np.frombuffer(b"".join(segments), np.uint64), return_inverse=True)
-    parts = [
-        squeeze(np.array([len(s) // 8 for s in segments])),
-        squeeze(np.array([min(len(x), 2) for x in segments.values()])),
-        squeeze(numbers),
-        zstandard.ZstdCompressor(level=1).compress(words.tobytes()),
-    ]
-    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
+    sizes, counts = [len(s) // 8 for s in segments], [min(len(x), 2) for x in segments.values()]
+    return joined([squeeze(np.array(sizes)), squeeze(np.array(counts)), squeeze(numbers), zstandard.ZstdCompressor(level=1).compress(words.tobytes())])
 
 
 def _received(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sizes, counts, and the words' hashes in a row."""
-    parts = []
-    while data:
-        n = int.from_bytes(data[:4], "little")
-        parts.append(data[4 : 4 + n])
-        data = data[4 + n :]
+    parts = parted(data)
     words = np.frombuffer(zstandard.ZstdDecompressor().decompress(parts[3]), np.uint64)
-    return unsqueeze(parts[0]).astype(np.int64), unsqueeze(parts[1]), words[unsqueeze(parts[2])]
+    return unsqueeze(parts[0]), unsqueeze(parts[1]), words[unsqueeze(parts[2])]
 
 
 def search_shard(sent: list[bytes], width: int) -> list[bytes]:
