@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +39,9 @@ from pyspark.sql import functions as F
 from postlens.llm.common import text_of, worker_cache
 
 #: Code points that are scanned together, and in a chunk.
-SCAN, CHUNK = 1 << 21, 256
-#: A worker's compiled states, about; beyond these it starts over, so that its memory is bounded.
-MOST_STATES = 500_000
+SCAN, CHUNK = 1 << 20, 256
+#: A worker's compiled states and known pre-tokens, about; beyond these it starts over, so that its memory is bounded.
+MOST_STATES, MOST_KNOWN = 150_000, 300_000
 
 # classes of code points; BREAK stands between texts
 SPACE, BLANK, QUOTE, STMD, R, V, L, E, LETTER, NUMBER, OTHER, BREAK = range(12)
@@ -237,7 +238,7 @@ class Counter:
         self.inner, self.known = self.compile(), {}
 
     def counts(self, texts: list[str]) -> np.ndarray:
-        if len(self.inner.states) > MOST_STATES:  # compile anew rather than grow
+        if len(self.inner.states) > MOST_STATES or len(self.known) > MOST_KNOWN:  # compile anew rather than grow
             self.inner, self.known = self.compile(), {}
         joined = "\n".join(texts) + "\n"
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
@@ -284,17 +285,13 @@ def token_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = worker_cache(f"counter {hash(spec)}", lambda: Counter(spec, kinds))
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            n, first = np.zeros(len(texts), np.int64), 0
-            while first < len(texts):
-                end, size = first, 0
-                while end < len(texts) and (end == first or size + len(texts[end]) < SCAN):
-                    size += len(texts[end]) + 1
-                    end += 1
-                n[first:end] = counter.counts(texts[first:end])
+            sizes = pc.binary_length(batch.column(1)).to_numpy().astype(np.int64)
+            first = 0
+            while first < batch.num_rows:
+                end = max(first + 1, first + int(np.searchsorted(np.cumsum(sizes[first:]), SCAN)))
+                n = counter.counts(batch.column(1).slice(first, end - first).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(sizes[first:end]), pa.array(n)], ["doc_id", "n_bytes", "n_tokens"])
                 first = end
-            sizes = [len(t.encode()) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(n)], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     counted = rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
