@@ -1,0 +1,278 @@
+"""Token counts, packing, archive, substrings and language model."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from postlens.llm import archive, lm, packing, substrings, token_counts
+from postlens.session import scratch_path
+from tests.llm import plain
+
+BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+TEXTS = st.text(st.sampled_from(list(" \n\t\r\x0b'strevlmdaeSTé漢!.,#12  \x85　🙂́ΣςİſﬁÅ\x01")), max_size=60) | st.text(max_size=30)
+
+
+# token counts
+
+
+@pytest.fixture(scope="module")
+def counter():
+    with open(BYTES, encoding="utf-8") as f:
+        return token_counts.Counter(f.read(), token_counts.classes())
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(TEXTS | st.just("<|endoftext|>") | st.just("a<|endoftext|> b"), min_size=1, max_size=8))
+def test_counts_as_the_library(counter, texts):
+    library = Tokenizer.from_file(BYTES)
+    assert counter.counts(texts).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_scan_is_the_sequential_run():
+    after, emits = token_counts.transitions()
+    draw = np.random.default_rng(5)
+    for n in (0, 1, 7, 64, 1000):
+        kinds = draw.integers(0, 12, n).astype(np.uint8)
+        state, expected = token_counts.FREE, []
+        for c in kinds.tolist():
+            expected.append(int(emits[state * 12 + c]))
+            state = int(after[state * 12 + c])
+        for chunk in (1, 3, 16, 256):
+            assert token_counts.scan(kinds, after, emits, chunk).tolist() == expected
+
+
+def test_counter_starts_over(counter, monkeypatch):
+    monkeypatch.setattr(token_counts, "MOST_STATES", 1)
+    library = Tokenizer.from_file(BYTES)
+    for text in ("unaffordable prices", "don't you'll", "x" * 500):
+        assert counter.counts([text]).tolist() == [len(library.encode(text, add_special_tokens=False).ids)]
+
+
+def test_token_counts(edge_docs, edge_rows, no_docs):
+    library = Tokenizer.from_file(BYTES)
+    got = collections.Counter(map(tuple, token_counts.token_counts(edge_docs, BYTES).collect()))
+    expected = collections.Counter()
+    for i, t, *_ in edge_rows:
+        n = len(library.encode(t or "", add_special_tokens=False).ids)
+        expected[i, len((t or "").encode()), n, n > 1024] += 1
+    assert got == expected
+    assert token_counts.token_counts(no_docs, BYTES).collect() == []
+
+
+# packing
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(TEXTS, min_size=1, max_size=8))
+def test_words_as_the_library(texts):
+    with open(WORDS, encoding="utf-8") as f:
+        encoder = packing.WordEncoder(f.read())
+    ids, at = encoder.encode(pa.array(texts), 2)
+    library = Tokenizer.from_file(WORDS)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [e.ids + [2] for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_fill_takes_the_best_neighbour():
+    draw = np.random.default_rng(2)
+    topics = [draw.integers(k * 100, k * 100 + 100, 40).astype(np.uint32) for k in (0, 1, 2, 0, 1, 2)]
+    pieces = packing.fill(topics, 80)
+    together = collections.defaultdict(list)
+    for doc, _, _, sequence, _ in pieces:
+        together[sequence].append(doc)
+    assert sorted(map(sorted, together.values())) == [[0, 3], [1, 4], [2, 5]]
+    scores = packing.Bm25(topics).scores(0)
+    assert np.argsort(-scores)[:2].tolist() == [0, 3]
+
+
+def check_packed(pieces: list, rows: list[tuple], window: int):
+    library = Tokenizer.from_file(WORDS)
+    ids = collections.defaultdict(list)
+    for i, t in rows:
+        ids[i].append(library.encode(t or "", add_special_tokens=False).ids + [2])
+    sequences = collections.defaultdict(list)
+    covered = collections.defaultdict(list)
+    for p in pieces:
+        sequences[p.sequence_id].append((p.offset, p.length))
+        covered[p.doc_id].append((p.start, p.length))
+        assert any(
+            zlib.crc32(np.array(x[p.start : p.start + p.length], "<u4").tobytes()) == p.ids_crc32 and len(x) == p.doc_tokens for x in ids[p.doc_id]
+        )
+    for parts in sequences.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end and length > 0
+            end += length
+        assert end <= window
+    for i, texts in ids.items():
+        covers = collections.Counter(k for start, length in covered[i] for k in range(start, start + length))
+        assert covers == sum((collections.Counter(range(len(x))) for x in texts), collections.Counter())
+    return sequences
+
+
+def test_pack_edges(edge_docs, edge_pairs, no_docs):
+    for window, shard in ((4096, 1 << 21), (64, 2000)):
+        check_packed(packing.pack(edge_docs, WORDS, window=window, shard_bytes=shard).collect(), edge_pairs, window)
+    assert packing.pack(no_docs, WORDS).collect() == []
+
+
+def test_pack_sample(sample):
+    docs, rows = sample
+    sequences = check_packed(packing.pack(docs, WORDS).collect(), rows, 4096)
+    lengths = [sum(n for _, n in parts) for parts in sequences.values()]
+    assert sum(n < 4096 for n in lengths) <= 2
+
+
+def test_pack_ids(sample):
+    docs, _ = sample
+    for p in packing.pack(docs, WORDS, with_ids=True).collect():
+        assert len(p.ids) == 4 * p.length and zlib.crc32(p.ids) == p.ids_crc32
+
+
+# archive
+
+
+def test_archive(spark):
+    large, small = "ü" * 600, "small"
+    rows = [(1, "u1", large), (2, "u2", large), (9, None, large), (3, "a\r\nb", small), (4, "u4", small), (5, "u5", None), (6, "u6", ""), (None, "u7", large), (8, "u8", large + "\r\n\r\nWARC/1.1"), (8, "u8", "twice" * 300)]
+    pages = spark.createDataFrame([(*r, r[0]) for r in rows], "page_id long, url string, html string, digest long")
+    path = scratch_path(spark, "archive")
+    archive.write_archive(pages, path)
+    assert spark.read.parquet(f"{path}/payloads").count() == 5
+    got = archive.read_archive(spark, path).collect()
+    assert len(got) == len(rows) and all(r.intact for r in got)
+    firsts = {large: 9, large + "\r\n\r\nWARC/1.1": 8, "twice" * 300: 8}
+    expected = collections.Counter()
+    for page, _, html in rows:
+        body = (html or "").encode()
+        revisit = len(body) >= 1000 and firsts[html] != page
+        expected[page, len(body), hashlib.sha1(body).hexdigest(), "revisit" if revisit else "response", firsts[html] if revisit else None] += 1
+    assert collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == expected
+    for r in got:
+        head, _, body = bytes(r.record).partition(b"\r\n\r\n")
+        assert head.startswith(b"WARC/1.1\r\nWARC-Type: " + r.record_type.encode())
+        assert body == (b"" if r.record_type == "revisit" else bytes(r.payload)) + b"\r\n\r\n"
+        assert b"\r\nWARC-Target-URI: a%0A%0Ab\r\n" in head or r.page_id != 3
+
+
+def test_archive_empty(spark):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert archive.archived(pages).collect() == []
+
+
+def test_archive_deals_a_common_payload(spark, monkeypatch):
+    monkeypatch.setattr(archive, "PER_COPY", 10)
+    pages = spark.createDataFrame([(i, f"u{i}", "" if i % 3 else f"page {i}") for i in range(300)], "page_id long, url string, html string")
+    rows = archive.archived(pages).collect()
+    assert len(rows) == 300 and all(r.intact and r.record_type == "response" for r in rows)
+
+
+# substrings
+
+
+def test_suffix_array_and_index():
+    draw = np.random.default_rng(3)
+    for n in (1, 2, 30, 300):
+        text = np.append(draw.integers(1, 4, n), 0)
+        assert substrings.suffix_array(text).tolist() == sorted(range(n + 1), key=lambda i: text[i:].tolist())
+    text = np.append(draw.integers(1, 5, 200), 0)
+    index = substrings.FmIndex(text)
+    for length in (1, 2, 3, 5):
+        for at in range(0, 190, 7):
+            low, high = np.array([0]), np.array([len(text)])
+            for symbol in text[at : at + length][::-1]:
+                low, high = index.extend(np.array([symbol]), low, high)
+            pattern = text[at : at + length].tolist()
+            assert high[0] - low[0] == sum(text[i : i + length].tolist() == pattern for i in range(200 - length + 1))
+
+
+@pytest.mark.parametrize("hot", [5000, 1])
+def test_remove_repeats_of_few_words(spark, hot):
+    draw = random.Random(3)
+    rows = [(i, " ".join(draw.choice("abc") for _ in range(draw.choice([0, 3, 7, 8, 40, 120])))) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, " x " * 50), (103, "y " * 8), (None, "a b c d e f g h"), (104, "p q r " * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substrings.remove_repeats(docs, width=7, gram=3, shard_words=500, hot=hot, block_words=200).collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(plain.without_repeats(rows, 7))
+
+
+def test_remove_repeats_edges(edge_docs, edge_pairs, no_docs):
+    got = collections.Counter(map(tuple, substrings.remove_repeats(edge_docs).collect()))
+    assert got == collections.Counter(plain.without_repeats(edge_pairs, 35))
+    assert substrings.remove_repeats(no_docs).collect() == []
+
+
+def test_remove_repeats_sample(sample):
+    docs, rows = sample
+    got = collections.Counter(map(tuple, substrings.remove_repeats(docs, block_words=20_000, shard_words=5000).collect()))
+    assert got == collections.Counter(plain.without_repeats(rows, 35))
+
+
+# language model
+
+
+def test_trie_finds_what_it_holds():
+    draw = np.random.default_rng(0)
+    for _ in range(25):
+        order, n, top = int(draw.integers(1, 5)), int(draw.integers(1, 300)), int(draw.choice([2, 50, 10**5, 2**34]))
+        grams = np.unique(draw.integers(0, top, (n, order)), axis=0)
+        codes = draw.integers(1, 256, len(grams))
+        trie = lm.TrieFile(lm.Trie.build([grams[:, k].copy() for k in range(order)], codes), order).trie
+        asked = np.concatenate([grams, draw.integers(0, top, (200, order))])
+        place = {tuple(g): i for i, g in enumerate(grams.tolist())}
+        assert trie.find([asked[:, k].copy() for k in range(order)]).tolist() == [place.get(tuple(g), -1) for g in asked.tolist()]
+        assert trie.codes[: len(codes)].tolist() == codes.tolist()
+
+
+def check_scores(got: list, rows: list[tuple], priors: tuple):
+    model = plain.Model(rows, priors)
+    expected = collections.Counter()
+    for i, t in rows:
+        expected[(i, model.held_out(i), *model.score(t)[:2], model.n)] += 1
+    assert collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in got) == expected
+    by = {i: model.score(t) for i, t in rows}
+    for r in got:
+        assert abs(r.base_score - by[r.doc_id][2]) < 1e-6 * max(1, r.n_tokens)
+        # codes are about 0.04 apart, at every order
+        assert abs(r.score - by[r.doc_id][3]) < 0.04 * r.n_tokens
+    return got
+
+
+@pytest.mark.parametrize("priors", [(50.0,), (50.0, 5.0), (50.0, 5.0, 2.0)])
+def test_scores_sample(sample, priors):
+    docs, rows = sample
+    got = check_scores(lm.lm_scores(docs, priors=priors, shard_ngrams=4000, shard_words=2000, block_words=10_000).collect(), rows, priors)
+    held = [r for r in got if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_scores_edges(edge_docs, edge_pairs, no_docs):
+    check_scores(lm.lm_scores(edge_docs).collect(), edge_pairs, lm.PRIORS)
+    assert lm.lm_scores(no_docs).collect() == []
+
+
+def test_scores_without_training(spark):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
+    rows = [(i, "only held out words") for i in held]
+    check_scores(lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows, lm.PRIORS)
+
+
+def test_model_is_written(spark, sample):
+    docs, _ = sample
+    path = scratch_path(spark, "model")
+    lm.lm_scores(docs, model_path=path).collect()
+    tries = spark.read.parquet(path).collect()
+    assert {t.order for t in tries} == {2, 3}
+    for t in tries:
+        parts = [np.frombuffer(p, np.uint64) for p in lm.parted(bytes(t.trie))]
+        assert lm.Trie(parts, t.order).words[0].n > 0
