@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 from postlens.llm.common import text_of, worker_cache
 
@@ -54,33 +55,52 @@ class WordEncoder:
 
     def __init__(self, tokenizer_json: str):
         self.library = Tokenizer.from_str(tokenizer_json)
+        # the same model without normaliser and splitting: it gets pieces between plain spaces
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = CharDelimiterSplit(" ")
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in printable]
         self.bytes_to_chars = {b: 256 + i for i, b in enumerate(other)}
         self.forget()
 
     def forget(self) -> None:
-        # known words by number; number i has the ids flat[begins[i] : begins[i + 1]]
+        # word i has the pieces word_pieces[word_ends[i] : word_ends[i + 1]], piece k the ids piece_ids[piece_ends[k] : piece_ends[k + 1]]
         self.words, self.pieces = {}, {}
-        self.flat, self.begins = array("I"), array("q", [0])
-
-    def piece(self, piece: str) -> list[int]:
-        found = self.pieces.get(piece)
-        if found is None:
-            chars = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytes_to_chars)
-            found = self.pieces[piece] = [t.id for t in self.library.model.tokenize(chars)]
-        return found
-
-    def learn(self, word: str) -> int:
-        if ((word.isascii() and word.isprintable()) or self.plain.fullmatch(word)) and "<|" not in word:
-            low = word.lower()
-            for p in [low] if low.isalpha() else self.parts.findall(low):
-                self.flat.extend(self.piece(p))
-        elif word:
-            self.flat.extend(self.library.encode(word, add_special_tokens=False).ids)
-        self.begins.append(len(self.flat))
-        number = self.words[word] = len(self.words)
-        return number
+        self.word_pieces, self.word_ends = array("I"), array("q", [0])
+        self.piece_ids, self.piece_ends = array("I"), array("q", [0])
+
+    def learn(self, words: list[str]) -> None:
+        """Numbers new words and their pieces, and encodes the new pieces in one call."""
+        numbers, fresh, whole = self.pieces, [], {}
+        for word in words:
+            if ((word.isascii() and word.isprintable()) or self.plain.fullmatch(word)) and "<|" not in word:
+                low = word.lower()
+                parts = (low,) if low.isalpha() else self.parts.findall(low)
+            elif word:
+                parts = (("whole", word),)
+                whole[parts[0]] = self.library.encode(word, add_special_tokens=False).ids
+            else:
+                parts = ()
+            for p in parts:
+                number = numbers.get(p)
+                if number is None:
+                    number = numbers[p] = len(numbers)
+                    fresh.append(p)
+                self.word_pieces.append(number)
+            self.word_ends.append(len(self.word_pieces))
+            self.words[word] = len(self.words)
+        plain = [p if p.isascii() else p.encode().decode("latin-1").translate(self.bytes_to_chars) for p in fresh if p not in whole]
+        found = self.model.encode(" ".join(plain), add_special_tokens=False)
+        sizes = iter(np.bincount(np.array(found.word_ids, np.int64), minlength=len(plain)).tolist())
+        ids, at = found.ids, 0
+        for p in fresh:
+            if p in whole:
+                self.piece_ids.extend(whole[p])
+            else:
+                n = next(sizes)
+                self.piece_ids.extend(ids[at : at + n])
+                at += n
+            self.piece_ends.append(len(self.piece_ids))
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text's closed by ``end``; where each text starts, and the end."""
@@ -88,19 +108,30 @@ class WordEncoder:
             self.forget()
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        known, learn = self.words.get, self.learn
-        numbers = np.fromiter((learn(w) if (n := known(w)) is None else n for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-        begins = np.array(self.begins)
-        flat = np.append(np.array(self.flat, np.uint32), np.uint32(end))
-        # one number more: the end of a text
-        begins = np.append(begins, len(flat))
+        distinct = coded.dictionary.to_pylist()
+        known = self.words
+        if new := [w for w in distinct if w not in known]:
+            self.learn(new)
+        numbers = np.fromiter((known[w] for w in distinct), np.int64, len(distinct))
+        # one word and one piece more: the end of a text
+        pieces = np.append(np.array(self.word_pieces, np.int64), len(self.pieces))
+        word_ends = np.append(np.array(self.word_ends), len(pieces))
+        ids = np.append(np.array(self.piece_ids, np.uint32), np.uint32(end))
+        piece_ends = np.append(np.array(self.piece_ends), len(ids))
         bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
-        codes = np.insert(numbers[coded.indices.to_numpy()], bounds[1:], len(begins) - 2)
-        first = begins[codes]
-        total = np.concatenate([[0], np.cumsum(begins[codes + 1] - first)])
-        gather = np.repeat(first - total[:-1], np.diff(total))
-        gather += np.arange(total[-1])
-        return flat[gather], total[bounds + np.arange(len(bounds))]
+        codes = np.insert(numbers[coded.indices.to_numpy()], bounds[1:], len(word_ends) - 2)
+        pieces, at = _gathered(pieces, word_ends, codes)
+        found, starts = _gathered(ids, piece_ends, pieces)
+        return found, starts[at[bounds + np.arange(len(bounds))]]
+
+
+def _gathered(values: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values[ends[i] : ends[i + 1]] for each i of ``which`` in a row, and where each starts, and the end."""
+    first = ends[which]
+    starts = np.concatenate([[0], np.cumsum(ends[which + 1] - first)])
+    gather = np.repeat(first - starts[:-1], np.diff(starts))
+    gather += np.arange(starts[-1])
+    return values[gather], starts
 
 
 class Bm25:
