@@ -7,10 +7,10 @@ around it.
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.sources.stopwords import STOP_WORDS
@@ -40,6 +40,8 @@ TOKEN_SPLIT = r"\W+"
 ALPHA_TOKEN = r"^[a-zA-Z]+$"
 # ... which is the same as taking every whole \w-run made of letters only.
 ALPHA_RUN = r"(?<!\w)[a-zA-Z]++(?!\w)"
+# A character of a tracked word, in any script.
+WORD_CHARS = r"[\p{L}\p{M}\p{N}_]"
 # Characters 15-16 of 'Wed Oct 10 20:19:24 +0000 2018' are the minute.
 MINUTE_POS, MINUTE_LEN = 15, 2
 CREATED_AT_FORMAT = "MMM dd HH:mm:ss Z yyyy"  # applied after the weekday
@@ -113,9 +115,6 @@ def clean_text(text: str | Column) -> Column:
     return c
 
 
-_token_columns: dict[tuple, Column] = {}
-
-
 def tokens(text: str | Column, stop_words: Iterable[str] = STOP_WORDS) -> Column:
     """Normalised word list of a post: the cleaned text split on runs of
     non-word characters, keeping purely alphabetic tokens that are not stop
@@ -123,41 +122,45 @@ def tokens(text: str | Column, stop_words: Iterable[str] = STOP_WORDS) -> Column
 
     Taking the whole-run alphabetic matches directly is the same as splitting
     on ``\\W+`` and then keeping ``^[a-zA-Z]+$`` tokens, with one regex pass
-    less; the possessive run never backtracks.
-
-    For a column given by name the expression (immutable and unresolved) is
-    built once per Spark context and reused: describing the stop-word test
-    takes one call to the JVM per word."""
+    less; the possessive run never backtracks."""
     stop = tuple(stop_words)
-    key = None
-    if isinstance(text, str):
-        from pyspark import SparkContext
-
-        key = (id(SparkContext._active_spark_context), text, stop)
-        cached = _token_columns.get(key)
-        if cached is not None:
-            return cached
     alpha = F.regexp_extract_all(clean_text(text), F.lit(ALPHA_RUN), F.lit(0))
-    col = F.filter(alpha, lambda w: ~w.isin(list(stop))) if stop else alpha
-    if key is not None:
-        _token_columns[key] = col
-    return col
-
-
-def whole_word_pattern(words: Iterable[str]) -> str | None:
-    """A regex matching any of ``words`` (lower case ``[a-z0-9_]`` only) as a
-    whole run of ``[a-z0-9_]``. The alternation is laid out as a prefix tree
-    so each position costs one branch per character, not one per word."""
+    return F.filter(alpha, lambda w: ~w.isin(list(stop))) if stop else alpha
+
+
+def without_words(df: DataFrame, tokens_col: str, words: DataFrame) -> DataFrame:
+    """``df`` with the tokens that ``words`` (its first column) holds taken out
+    of the array ``tokens_col``; order and repeats of the others stay. For
+    lists of any size: the tokens meet the list in an anti join."""
+    row, at, token = "_pl_row", "_pl_at", "_pl_token"
+    rows = df.withColumn(row, F.monotonically_increasing_id())
+    # the other columns travel with a row's first token only
+    own = F.when(F.coalesce(F.col(at), F.lit(0)) == 0, F.struct(*df.columns)).alias("_pl_df")
+    listed = words.select(F.col(words.columns[0]).alias(token)).distinct()
+    each = rows.select("*", F.posexplode_outer(tokens_col).alias(at, token)).select(own, row, at, token)
+    # an anti join by a left join, so that rows that lose every token stay
+    marked = each.join(listed.withColumn("_pl_hit", F.lit(True)), token, "left")
+    kept = F.collect_list(F.when(F.col("_pl_hit").isNull() & F.col(token).isNotNull(), F.struct(at, token)))
+    grouped = marked.groupBy(row).agg(F.first("_pl_df", ignorenulls=True).alias("_pl_df"), F.array_sort(kept).alias("_pl_kept"))
+    cleaned = F.col("_pl_kept").getField(token)
+    return grouped.select(*[cleaned.alias(c) if c == tokens_col else F.col(f"_pl_df.`{c}`").alias(c) for c in df.columns])
+
+
+def whole_word_pattern(words: Iterable[str]) -> str:
+    """A regex matching any of ``words``, in lower case, as a whole run of
+    ``WORD_CHARS``. The alternation is laid out as a prefix tree so each
+    position costs one branch per character, not one per word. A word with
+    any other character could never match and is refused."""
     trie: dict = {}
-    for w in {w.lower() for w in words}:
-        if not re.fullmatch(r"[a-z0-9_]+", w):
-            continue
+    for word in {w.lower() for w in words}:
+        if not word or any(unicodedata.category(ch)[0] not in "LMN" and ch != "_" for ch in word):
+            raise ValueError(f"not a word that a text could hold: {word!r}")
         node = trie
-        for ch in w:
+        for ch in word:
             node = node.setdefault(ch, {})
         node[""] = {}
     if not trie:
-        return None
+        raise ValueError("no words to look for")
 
     def emit(node: dict) -> str:
         alts = [ch + emit(child) for ch, child in sorted(node.items()) if ch]
@@ -167,22 +170,19 @@ def whole_word_pattern(words: Iterable[str]) -> str | None:
             return ""
         return alts[0] if len(alts) == 1 else "(?:" + "|".join(alts) + ")"
 
-    return "(?<![a-z0-9_])" + emit(trie) + "(?![a-z0-9_])"
+    return f"(?<!{WORD_CHARS}){emit(trie)}(?!{WORD_CHARS})"
 
 
 def mentions_any(text: str | Column, words: Iterable[str]) -> Column:
     """True when the lower-cased text has any of ``words`` as a whole word
     (the same test as ``arrays_overlap(word_tokens(text), words)``); stops at
-    the first hit. Words with characters outside ``[a-z0-9_]`` never match."""
-    pattern = whole_word_pattern(words)
-    if pattern is None:
-        return F.lit(False)
-    return F.lower(_col(text)).rlike(pattern)
+    the first hit."""
+    return F.lower(_col(text)).rlike(whole_word_pattern(words))
 
 
 def word_tokens(text: str | Column) -> Column:
-    """Lower-cased runs of ``[a-z0-9_]`` (whole-word matching for capture)."""
-    return F.filter(F.split(F.lower(_col(text)), r"[^a-z0-9_]+"), lambda w: w != "")
+    """Lower-cased runs of ``WORD_CHARS`` (whole-word matching for capture)."""
+    return F.filter(F.split(F.lower(_col(text)), "[^" + WORD_CHARS[1:] + "+"), lambda w: w != "")
 
 
 def truncate(c: str | Column, n: int) -> Column:

@@ -1,7 +1,6 @@
 """Structured Streaming capture of posts from a landing directory."""
 
 from postlens.streaming.capture import (
-    DEFAULT_COUNT,
     DEFAULT_LANGS,
     DEFAULT_WORDS,
     capture_filter,
@@ -13,7 +12,6 @@ from postlens.streaming.capture import (
 )
 
 __all__ = [
-    "DEFAULT_COUNT",
     "DEFAULT_LANGS",
     "DEFAULT_WORDS",
     "capture_filter",

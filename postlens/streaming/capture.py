@@ -4,9 +4,9 @@ Batch form (``capture_filter``) and Structured Streaming form
 (``capture_stream``) over a landing directory of JSON lines. The stream keeps
 each raw line unchanged and appends it to a file sink; the sink's commit log
 plus the checkpoint give exactly-once output across restarts, so a run that
-loses executors or the driver resumes where it stopped. The "stop after N
-posts" bound is applied on read, deterministically by (time, id), rather
-than by arrival order.
+loses executors or the driver resumes where it stopped. Everything that
+matches is captured. Only a caller who gives N stops after N posts; that bound
+is applied on read, deterministically by (time, id), not by arrival order.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ DEFAULT_LANGS = ("en", "fr", "es", "it", "pl")
 DEFAULT_WORDS = (
     "I et en avoir le de que de no a la come io che lui era nie to w na co jest"
 ).split()
-DEFAULT_COUNT = 1000
 # ---------------------------------------------------------------------------
+FILES_PER_TRIGGER = 1000
 
 
 def parse_list_arg(arg: str) -> list[str]:
@@ -48,12 +48,16 @@ def parse_count_arg(arg: str | int) -> int:
 
 def matches(langs: Sequence[str], words: Sequence[str]) -> Column:
     """Language in ``langs`` and, case-insensitively, any of ``words`` as a
-    whole word (a maximal ``[a-z0-9_]`` run) of the text."""
+    whole word (a maximal run of letters, marks, digits and ``_``, in any
+    script) of the text."""
     return F.col("lang").isin(list(langs)) & X.mentions_any("text", words)
 
 
 def bounded(posts: DataFrame, n: int | None) -> DataFrame:
-    """The first ``n`` posts by (post time, id); all posts when ``n`` is None."""
+    """The first ``n`` posts by (post time, id); all posts when ``n`` is None.
+
+    Each task keeps ``n`` rows and one task merges them, so ``n`` should be a
+    number of posts that one task can hold."""
     if n is None:
         return posts
     return posts.orderBy(X.created_ts().asc_nulls_last(), F.col("id").asc()).limit(n)
@@ -63,9 +67,9 @@ def capture_filter(
     posts: DataFrame,
     langs: Sequence[str] = DEFAULT_LANGS,
     words: Sequence[str] = DEFAULT_WORDS,
-    n: int | None = DEFAULT_COUNT,
+    n: int | None = None,
 ) -> DataFrame:
-    """Batch capture over posts already at rest."""
+    """Batch capture over posts already at rest; all of them unless ``n`` is given."""
     return bounded(posts.filter(matches(langs, words)), n)
 
 
@@ -77,11 +81,13 @@ def start_capture(
     langs: Sequence[str] = DEFAULT_LANGS,
     words: Sequence[str] = DEFAULT_WORDS,
     available_now: bool = True,
-    max_files_per_trigger: int | None = None,
+    max_files_per_trigger: int | None = FILES_PER_TRIGGER,
 ):
     """Starts the streaming capture and returns the ``StreamingQuery``.
 
-    The raw JSON line of every matching post is appended, unchanged, to a
+    A micro-batch takes ``max_files_per_trigger`` files (None: all there are),
+    so a failure restarts one batch and not the whole run; the captured posts
+    do not depend on it. The raw JSON line of every matching post is appended, unchanged, to a
     text sink in ``sink_dir`` (which ``read_posts`` reads back)."""
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
@@ -106,15 +112,15 @@ def capture_stream(
     checkpoint_dir: str,
     langs: Sequence[str] = DEFAULT_LANGS,
     words: Sequence[str] = DEFAULT_WORDS,
-    n: int | None = DEFAULT_COUNT,
+    n: int | None = None,
 ) -> DataFrame:
     """Runs one ``availableNow`` capture over everything landed so far, then
-    returns the captured posts (bounded to ``n``)."""
+    returns the captured posts (the first ``n`` of them, if given)."""
     query = start_capture(spark, landing_dir, sink_dir, checkpoint_dir, langs, words)
     query.awaitTermination()
     return read_captured(spark, sink_dir, n)
 
 
-def read_captured(spark: SparkSession, sink_dir: str, n: int | None = DEFAULT_COUNT) -> DataFrame:
-    """Captured posts from the sink (committed files only)."""
+def read_captured(spark: SparkSession, sink_dir: str, n: int | None = None) -> DataFrame:
+    """Captured posts from the sink (committed files only); the first ``n``, if given."""
     return bounded(read_posts(spark, sink_dir), n)
