@@ -41,10 +41,9 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
 
-    import __spark_entry__ as E
     from postlens.operators import classifier
-    from postlens.plans.catalog import model_for
-    from postlens.sources.testdata import training_from_testdata
+    from postlens.plans import catalog
+    from postlens.sources.testdata import training_features
 
     def measure(run) -> tuple[float, float]:
         """(first run, median of the next ``runs`` runs)."""
@@ -57,12 +56,12 @@ def main() -> None:
 
     cold, timings = {}, {}
     cold["nb_train"], timings["nb_train"] = measure(
-        lambda: classifier.train(training_from_testdata(spark, sf_dir))
+        lambda: classifier.train_features(training_features(spark, sf_dir))
     )
-    model_for(spark, sf_dir)  # the queries below reuse one trained model
+    queries = catalog.queries()  # these share one trained model
 
     errors = {}
-    for name, query in E.queries().items():
+    for name, query in queries.items():
         if only and name not in only:
             continue
         try:

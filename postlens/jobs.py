@@ -3,7 +3,12 @@
     train     --corpus CSV --model DIR [--holdout N]
     validate  --corpus CSV --model DIR [--out DIR]
     analyze   --posts PATH --analysis NAME [--analysis NAME ...] --out DIR [--model DIR] [--chart]
+              [--no-jitter] [--seed N] [--langs [..]]
     capture   --landing DIR --sink DIR --checkpoint DIR [--langs [..]] [--words [..]] [--continuous]
+              [--count N --out DIR]
+
+train, validate and analyze take --stop-words FILE. Intermediate tables go to
+--scratch, or the folder named in spark.checkpoint.dir, and are removed.
 
 Paths may be on any Hadoop-compatible file system. Nothing row-level is
 collected to the driver; results are written by the executors.
@@ -19,9 +24,10 @@ from pyspark import StorageLevel
 
 from postlens.operators import classifier as C
 from postlens.plans import dispatch
-from postlens.session import get_session, scratch_path
+from postlens.session import get_session, remove_path, scratch_path
 from postlens.sinks import write_accuracy, write_result
-from postlens.sources.posts import read_posts
+from postlens.sources.posts import posts_to_json, read_posts
+from postlens.sources.stopwords import STOP_WORDS, read_stop_words
 from postlens.sources.training import read_training_csv
 from postlens.streaming import capture as K
 
@@ -29,6 +35,7 @@ from postlens.streaming import capture as K
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="postlens", description=__doc__.split("\n\n")[0])
     p.add_argument("--master", default=None, help="only for local runs; leave unset under spark-submit")
+    p.add_argument("--scratch", default=None, help="shared folder for intermediate tables")
     sub = p.add_subparsers(dest="cmd", required=True)
 
     t = sub.add_parser("train", help="train the sentiment classifier on a labelled CSV corpus")
@@ -51,6 +58,9 @@ def _parser() -> argparse.ArgumentParser:
     a.add_argument("--model", default=None, help="saved classifier (sentiment analyses)")
     a.add_argument("--chart", action="store_true", help="write the chart data instead of the rows")
     a.add_argument("--format", default="csv")
+    a.add_argument("--no-jitter", action="store_true", help="plain labels in the sentiment pie and timeline")
+    a.add_argument("--seed", type=int, default=0, help="seed of the label draw")
+    a.add_argument("--langs", default=None, help="only these languages in the sentiment pie and timeline")
 
     c = sub.add_parser("capture", help="capture posts from a landing directory")
     c.add_argument("--landing", required=True)
@@ -59,25 +69,32 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("--langs", default="[" + ",".join(K.DEFAULT_LANGS) + "]")
     c.add_argument("--words", default="[" + ",".join(K.DEFAULT_WORDS) + "]")
     c.add_argument("--continuous", action="store_true", help="keep running instead of availableNow")
+    c.add_argument("--count", default=None, help="write the first N captured posts, by time and id, to --out")
+    c.add_argument("--out", default=None)
+    for parser in (t, v, a):
+        parser.add_argument("--stop-words", default=None, help="a file of stop words, one per line, instead of the fixed list")
     return p
 
 
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
+    if args.cmd == "capture" and args.count is not None and (args.continuous or not args.out):
+        raise SystemExit("--count needs --out, and an end: not --continuous")
     spark = get_session(master=args.master, app=f"postlens-{args.cmd}")
+    stop_words = read_stop_words(spark, args.stop_words) if getattr(args, "stop_words", None) else STOP_WORDS
 
     if args.cmd == "train":
         corpus = read_training_csv(spark, args.corpus)
         if args.holdout:
             fit_on, held_out = C.holdout_split(corpus, key="status", test_buckets=args.holdout)
-            model = C.train(fit_on)
-            acc = C.accuracy(C.predictions(held_out, model)).first()  # one row
+            model = C.train(fit_on, stop_words=stop_words)
+            acc = C.accuracy(C.predictions(held_out, model, stop_words=stop_words)).first()  # one row
             print(json.dumps({"holdout": acc.asDict()}))
         else:
-            model = C.train(corpus)
+            model = C.train(corpus, stop_words=stop_words)
         C.save(model, args.model)
     elif args.cmd == "validate":
-        preds = C.predictions(read_training_csv(spark, args.corpus), C.load(args.model))
+        preds = C.predictions(read_training_csv(spark, args.corpus), C.load(args.model), stop_words=stop_words)
         if args.out:  # used twice: keep the scored rows (recomputable if lost)
             preds = preds.persist(StorageLevel.MEMORY_AND_DISK)
         acc = C.accuracy(preds).first()  # one row
@@ -87,9 +104,11 @@ def main(argv: list[str] | None = None) -> int:
             preds.unpersist()
     elif args.cmd == "analyze":
         model = C.load(args.model) if args.model else None
+        scored_path = scratch_path(spark, "scored", folder=args.scratch)
+        chosen = {"jitter": not args.no_jitter, "seed": args.seed, "langs": K.parse_list_arg(args.langs) if args.langs else None}
         results = dispatch.run_many(
-            args.analysis, read_posts(spark, args.posts), model=model,
-            scored_path=scratch_path(spark, "scored"),
+            args.analysis, read_posts(spark, args.posts), model=model, scored_path=scored_path,
+            options={k: chosen for k in ("sentiment_counts", "sentiment_timeline")}, stop_words=stop_words,
         )
         for key, result in results.items():
             if args.chart:
@@ -97,6 +116,7 @@ def main(argv: list[str] | None = None) -> int:
             bounded = args.chart and key in dispatch.BOUNDED_CHARTS
             out = args.out if len(results) == 1 else f"{args.out.rstrip('/')}/{key}"
             write_result(result, out, fmt=args.format, single_file=bounded)
+        remove_path(spark, scored_path)
     elif args.cmd == "capture":
         langs, words = K.parse_list_arg(args.langs), K.parse_list_arg(args.words)
         q = K.start_capture(
@@ -104,6 +124,9 @@ def main(argv: list[str] | None = None) -> int:
             available_now=not args.continuous,
         )
         q.awaitTermination()
+        if args.count is not None:
+            first = K.read_captured(spark, args.sink, K.parse_count_arg(args.count))
+            posts_to_json(first).write.mode("overwrite").text(args.out)
     return 0
 
 

@@ -92,20 +92,22 @@ def _top(rows: DataFrame, k: int | None, order_output: bool) -> DataFrame:
 
 def sentiment_counts(
     scored: DataFrame,
-    jitter: bool = False,
+    jitter: bool = True,
     draw: Column | None = None,
     langs: list[str] | None = None,
     order_output: bool = True,
+    seed: int = 0,
 ) -> DataFrame:
     """``(sentiment, n)`` over scored posts with non-blank text.
 
-    ``jitter=True`` applies the noisy label rule with ``draw`` (default:
-    ``default_draw("id")``); ``langs`` optionally restricts languages.
+    The noisy label rule applies, with ``draw`` or else
+    ``default_draw("id", seed)``; ``jitter=False`` gives plain labels.
+    ``langs`` optionally restricts languages.
     """
-    rows = scored.filter(X.not_blank("text"))
+    rows = _with_text(scored)
     if langs:
         rows = rows.filter(F.col("lang").isin(list(langs)))
-    counted = rows.groupBy(_label(jitter, draw).alias("sentiment")).agg(F.count(F.lit(1)).alias("n"))
+    counted = rows.groupBy(_label(jitter, draw, seed).alias("sentiment")).agg(F.count(F.lit(1)).alias("n"))
     if not order_output:
         return counted
     # At most three rows (one per class): order them in one partition rather
@@ -113,16 +115,22 @@ def sentiment_counts(
     return counted.coalesce(1).sortWithinPartitions(F.desc("sentiment"))
 
 
-def _label(jitter: bool, draw: Column | None) -> Column:
+def _with_text(scored: DataFrame) -> DataFrame:
+    """Scored posts with a text; posts scored without ``keep_text`` were
+    chosen by it before."""
+    return scored.filter(X.not_blank("text")) if "text" in scored.columns else scored
+
+
+def _label(jitter: bool, draw: Column | None, seed: int = 0) -> Column:
     if not jitter:
         return S.polarity_label("polarity")
-    return S.jittered_label("polarity", draw if draw is not None else S.default_draw("id"))
+    return S.jittered_label("polarity", draw if draw is not None else S.default_draw("id", seed))
 
 
 def sentiment_bubble(scored: DataFrame) -> DataFrame:
     """``(id, followers, statuses, sentiment, minute)`` for posts with text
     and tags; sentiment is the sign -1/0/1 of the predicted polarity."""
-    flat = scored.filter(X.not_blank("text") & X.not_blank(X.tag_list())).select(
+    flat = _with_text(scored).filter(X.not_blank(X.tag_list())).select(
         "id",
         F.col(FOLLOWERS).alias("followers"),
         F.col(STATUSES).alias("statuses"),
@@ -157,16 +165,25 @@ def language_followers(posts: DataFrame) -> DataFrame:
     )
 
 
-def sentiment_timeline(scored: DataFrame, jitter: bool = True, draw: Column | None = None) -> DataFrame:
+def sentiment_timeline(
+    scored: DataFrame,
+    jitter: bool = True,
+    draw: Column | None = None,
+    langs: list[str] | None = None,
+    seed: int = 0,
+) -> DataFrame:
     """``(id, followers, sentiment, minute)`` per post with text; the label is
     jittered by default, as in the original timeline."""
-    flat = scored.filter(X.not_blank("text")).select(
+    rows = _with_text(scored)
+    if langs:
+        rows = rows.filter(F.col("lang").isin(list(langs)))
+    flat = rows.select(
         "id",
         F.col(FOLLOWERS).alias("followers"),
         "polarity",
         X.minute_of_hour().alias("minute"),
     )
-    return flat.select("id", "followers", _label(jitter, draw).alias("sentiment"), "minute")
+    return flat.select("id", "followers", _label(jitter, draw, seed).alias("sentiment"), "minute")
 
 
 def language_timeline(posts: DataFrame, bucket: str = "minute_of_hour") -> DataFrame:

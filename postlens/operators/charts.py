@@ -15,7 +15,6 @@ from postlens.functions import text as X
 
 # --- fixed values: chart sizes and label widths -----------------------------
 TOP_K = 5
-SHARE_CLASSES = 3
 LABEL_WIDTH = 30
 LONG_LABEL_WIDTH = 50
 SHARE_TEXT_WIDTH = 4

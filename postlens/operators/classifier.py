@@ -7,7 +7,7 @@ term counts, duplicates counted) and classified with
 
 Scale: scoring is a narrow map (no shuffle); the model is a fixed
 2 × 2^20-double matrix regardless of data size and ships with the task
-binary. Training aggregates per-class term sums in one ``groupBy(label)``.
+binary. Training sums up in two levels, see ``train_features``.
 
 Polarity (0 negative, 2 neutral, 4 positive) is mapped to class indices
 0, 2, 1 before training and back after prediction, so that a corpus holding
@@ -16,25 +16,25 @@ only 0 and 4 trains exactly two classes.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark import StorageLevel
 from pyspark.ml.classification import NaiveBayes, NaiveBayesModel
 from pyspark.ml.feature import HashingTF
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions import text as X
+from postlens.sources.stopwords import STOP_WORDS
 
 # --- fixed values -----------------------------------------------------------
 NUM_FEATURES = 1 << 20
 SMOOTHING = 1.0
 # ---------------------------------------------------------------------------
 
-# The fit's per-class aggregation buffer is a dense 2^20-wide vector per task,
-# so the number of tasks it aggregates over follows the corpus size (one task
-# per FIT_ROWS_PER_TASK labelled rows) and is capped; the features themselves
-# are computed at full parallelism first, then persisted.
-FIT_PARTITIONS = 64
-FIT_ROWS_PER_TASK = 50_000
+# So many neighbouring input partitions share a group of the fit's first level.
+FAN_IN = 16
 
 _TOKENS, _FEATURES, _CLASS = "_pl_tokens", "_pl_features", "_pl_class"
 
@@ -54,12 +54,19 @@ def class_to_polarity(cls: str | Column) -> Column:
     return F.try_element_at(F.array(F.lit(0), F.lit(4), F.lit(2)), c.cast("int") + 1)
 
 
-def featurize(df: DataFrame, text_col: str, out: str = _FEATURES) -> DataFrame:
+def featurize(
+    df: DataFrame, text_col: str, out: str = _FEATURES, stop_words: Iterable[str] | DataFrame = STOP_WORDS
+) -> DataFrame:
     """Adds hashed term counts of the normalised text as vector ``out``
-    (NULL text counts as no words)."""
+    (NULL text counts as no words). ``stop_words`` are words, or a DataFrame
+    whose first column holds them, for lists of any length."""
     hashing = HashingTF(inputCol=_TOKENS, outputCol=out, numFeatures=NUM_FEATURES)
-    words = F.coalesce(X.tokens(text_col), F.array().cast("array<string>"))
-    return hashing.transform(df.withColumn(_TOKENS, words)).drop(_TOKENS)
+    as_table = isinstance(stop_words, DataFrame)
+    words = F.coalesce(X.tokens(text_col, () if as_table else stop_words), F.array().cast("array<string>"))
+    tokenised = df.withColumn(_TOKENS, words)
+    if as_table:
+        tokenised = X.without_words(tokenised, _TOKENS, stop_words)
+    return hashing.transform(tokenised).drop(_TOKENS)
 
 
 def train(
@@ -67,38 +74,55 @@ def train(
     text_col: str = "status",
     polarity_col: str = "polarity",
     smoothing: float = SMOOTHING,
+    stop_words: Iterable[str] | DataFrame = STOP_WORDS,
 ) -> NaiveBayesModel:
     """Fits the classifier on ``(polarity, text)`` rows. Rows whose polarity
-    is not 0, 2 or 4 are ignored. The features are computed at full
-    parallelism and persisted; the fit's two passes (class count, per-class
-    sums) then read them through one task per ``FIT_ROWS_PER_TASK`` rows, at
-    most ``FIT_PARTITIONS``, which bounds the dense per-task aggregation
-    buffers that get shuffled."""
-    labelled = corpus.select(
-        polarity_to_class(polarity_col).alias("label"), F.col(text_col).alias("_text")
-    ).filter(F.col("label").isNotNull())
-    feats = featurize(labelled, "_text", "features").select("label", "features")
-    feats.persist(StorageLevel.MEMORY_AND_DISK)
+    is not 0, 2 or 4 are ignored."""
+    labelled = corpus.select(polarity_to_class(polarity_col).alias("label"), F.col(text_col).alias("_text"))
+    feats = featurize(labelled.filter(F.col("label").isNotNull()), "_text", "features", stop_words)
+    return train_features(feats, smoothing)
+
+
+def train_features(feats: DataFrame, smoothing: float = SMOOTHING) -> NaiveBayesModel:
+    """Fits the classifier on ``(label, features)`` rows, label a class index.
+
+    Two levels, because a sum is a dense vector of 2^20 numbers: neighbouring
+    input partitions sum up first, into one mean and one count for each class
+    and group of ``FAN_IN`` partitions (so their number grows with the corpus,
+    and a task holds a vector per class). The fit then reads those few rows,
+    weighted by their counts, which gives the same class counts and term sums
+    as the documents do."""
+    part = F.floor(F.spark_partition_id() / FAN_IN).alias("part")
+    parts = feats.select("label", "features", part).groupBy("label", "part").agg(
+        Summarizer.mean(F.col("features")).alias("features"), F.count(F.lit(1)).cast("double").alias("weight")
+    )
+    parts.persist(StorageLevel.MEMORY_AND_DISK)  # the fit reads them twice
     try:
-        rows = feats.count()
-        # coalesce never adds partitions, so fewer partitions stay as they are
-        fit_input = feats.coalesce(min(FIT_PARTITIONS, max(1, -(-rows // FIT_ROWS_PER_TASK))))
         nb = NaiveBayes(
             smoothing=smoothing,
             modelType="multinomial",
             featuresCol="features",
             labelCol="label",
+            weightCol="weight",
         )
-        return nb.fit(fit_input)
+        return nb.fit(parts)
     finally:
-        feats.unpersist(blocking=True)
+        parts.unpersist(blocking=True)
 
 
-def score(posts: DataFrame, model: NaiveBayesModel, text_col: str = "text") -> DataFrame:
+def score(
+    posts: DataFrame,
+    model: NaiveBayesModel,
+    text_col: str = "text",
+    stop_words: Iterable[str] | DataFrame = STOP_WORDS,
+    keep_text: bool = True,
+) -> DataFrame:
     """``posts`` plus ``polarity`` (int 0/2/4), predicted from ``text_col``.
 
-    Only the prediction column is computed (no probability vector)."""
-    feats = featurize(posts, text_col)
+    Only the prediction column is computed (no probability vector). Without
+    ``keep_text`` the text ends here, so that what follows moves only the
+    narrow columns."""
+    feats = featurize(posts, text_col, stop_words=stop_words)
     params = {
         model.featuresCol: _FEATURES,
         model.predictionCol: _CLASS,
@@ -106,11 +130,16 @@ def score(posts: DataFrame, model: NaiveBayesModel, text_col: str = "text") -> D
         model.probabilityCol: "",
     }
     out = model.transform(feats, params)
-    return out.withColumn("polarity", class_to_polarity(_CLASS)).drop(_FEATURES, _CLASS)
+    out = out.withColumn("polarity", class_to_polarity(_CLASS)).drop(_FEATURES, _CLASS)
+    return out if keep_text else out.drop(text_col)
 
 
 def predictions(
-    corpus: DataFrame, model: NaiveBayesModel, text_col: str = "status", polarity_col: str = "polarity"
+    corpus: DataFrame,
+    model: NaiveBayesModel,
+    text_col: str = "status",
+    polarity_col: str = "polarity",
+    stop_words: Iterable[str] | DataFrame = STOP_WORDS,
 ) -> DataFrame:
     """Validation rows ``(Actual, Predicted, Text)``: actual and predicted
     polarity as doubles, text with newlines removed."""
@@ -118,7 +147,7 @@ def predictions(
         F.col(polarity_col).cast("double").alias("_actual"),
         F.regexp_replace(text_col, "\n", "").alias("_text"),
     )
-    scored = score(rows, model, "_text")
+    scored = score(rows, model, "_text", stop_words)
     return scored.select(
         F.col("_actual").alias("Actual"),
         F.col("polarity").cast("double").alias("Predicted"),

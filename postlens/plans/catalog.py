@@ -2,8 +2,10 @@
 
 Every query reads the whole tables through ``posts_from_testdata`` (or the
 labelled corpus derived from them) and returns a lazy DataFrame. The
-classifier is trained once per (application, table folder) and reused; the
-posts plan and the scored-posts plan are described once and shared.
+classifier is trained once per folder for the queries of one ``queries()``
+call; nothing else is kept between queries. Queries that show a write and read
+(capture_stream, json_roundtrip, and those named after files) write when they
+are described.
 """
 
 from __future__ import annotations
@@ -21,23 +23,41 @@ from postlens.operators import analyses as A
 from postlens.operators import charts as G
 from postlens.operators import classifier as C
 from postlens.session import scratch_path
-from postlens.sources.posts import posts_to_json, read_posts
-from postlens.sources.testdata import posts_from_testdata, training_from_testdata
+from postlens.plans import dispatch
+from postlens.sinks import write_accuracy, write_result, write_training_csv
+from postlens.sources.posts import posts_to_json, read_posts, read_result
+from postlens.sources.testdata import (
+    posts_from_testdata,
+    scored_posts_from_testdata,
+    table,
+    training_features,
+    training_from_testdata,
+    validation_from_testdata,
+)
+from postlens.sources.training import read_training_csv
 from postlens.streaming import capture as K
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_models: dict[tuple[str, str], NaiveBayesModel] = {}
-_lock = threading.RLock()
+#: What the checked captures look for: letters outside ASCII, and a bound that bites.
+UNICODE_LANGS, UNICODE_WORDS = ("fr", "es"), ("é", "ó", "ñ", "où", "él")
+FIRST_N = 100
 
+class Models:
+    """Classifiers trained on the labelled documents of folders. Whoever makes
+    the queries holds it: its queries share what was trained once, and a new
+    one trains anew."""
 
-def model_for(spark: SparkSession, sf_dir: str) -> NaiveBayesModel:
-    """Classifier trained on the labelled documents of ``sf_dir``."""
-    key = (spark.conf.get("spark.app.id", None), id(spark), sf_dir)
-    with _lock:
-        if key not in _models:
-            _models[key] = C.train(training_from_testdata(spark, sf_dir))
-        return _models[key]
+    def __init__(self) -> None:
+        self._found: dict[tuple, NaiveBayesModel] = {}
+        self._lock = threading.RLock()
+
+    def get(self, spark: SparkSession, sf_dir: str) -> NaiveBayesModel:
+        key = (spark.sparkContext.applicationId, sf_dir)
+        with self._lock:
+            if key not in self._found:
+                self._found[key] = C.train_features(training_features(spark, sf_dir))
+            return self._found[key]
 
 
 def test_draw(key: str = "id") -> Column:
@@ -46,38 +66,8 @@ def test_draw(key: str = "id") -> Column:
     return ((F.col(key) * 31 + 7) % 97) % 10
 
 
-_plans: dict[tuple, DataFrame] = {}
-
-
-def _plan(kind: str, spark: SparkSession, sf_dir: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A DataFrame (an immutable, lazy plan: no data is held) built once per
-    application and folder and shared by every query that starts from it.
-    Each query still executes it in full; only describing it is saved."""
-    key = (kind, spark.conf.get("spark.app.id", None), id(spark), sf_dir)
-    with _lock:
-        if key not in _plans:
-            _plans[key] = build()
-        return _plans[key]
-
-
-def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plan("posts", spark, sf_dir, lambda: posts_from_testdata(spark, sf_dir))
-
-
-def scored_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def build() -> DataFrame:
-        model = model_for(spark, sf_dir)
-        return C.score(posts(spark, sf_dir).filter(X.not_blank("text")), model)
-
-    return _plan("scored", spark, sf_dir, build)
-
-
 def _posts(fn: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: fn(posts(spark, sf_dir))
-
-
-def _scored(fn: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: fn(scored_posts(spark, sf_dir))
+    return lambda spark, sf_dir: fn(posts_from_testdata(spark, sf_dir))
 
 
 def text_tokens(posts: DataFrame) -> DataFrame:
@@ -93,16 +83,19 @@ def nb_predictions(scored: DataFrame) -> DataFrame:
     return scored.select("id", "polarity", S.polarity_label("polarity").alias("sentiment"))
 
 
-def nb_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = _plan("training", spark, sf_dir, lambda: training_from_testdata(spark, sf_dir))
-    return C.accuracy(C.predictions(corpus, model_for(spark, sf_dir)))
+def text_tokens_custom_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens without the words of a table: those of the benchmark's texts."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(X.tokens("text", ())).alias("word"))
+    posts = posts_from_testdata(spark, sf_dir).select("id", F.coalesce(X.tokens("text", ()), F.array().cast("array<string>")).alias("tokens"))
+    kept = X.without_words(posts, "tokens", words)
+    return kept.select("id", F.size("tokens").cast("bigint").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
 
 
 def capture_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lands the posts as JSON lines, captures them with one ``availableNow``
-    streaming run, and reads the bounded capture back."""
+    streaming run, and reads the capture back."""
     landing = scratch_path(spark, "landing")
-    posts_to_json(posts(spark, sf_dir)).write.mode("overwrite").text(landing)
+    posts_to_json(posts_from_testdata(spark, sf_dir)).write.mode("overwrite").text(landing)
     captured = K.capture_stream(
         spark, landing, scratch_path(spark, "sink"), scratch_path(spark, "checkpoint")
     )
@@ -112,7 +105,7 @@ def capture_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts written as JSON lines and read back under the explicit schema."""
     path = scratch_path(spark, "posts-json")
-    posts_to_json(posts(spark, sf_dir)).write.mode("overwrite").text(path)
+    posts_to_json(posts_from_testdata(spark, sf_dir)).write.mode("overwrite").text(path)
     return read_posts(spark, path).select(
         "id",
         "lang",
@@ -124,8 +117,53 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def queries() -> dict[str, Query]:
+def training_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled corpus written as six-column CSV and read back: documents
+    and characters by polarity."""
+    path = scratch_path(spark, "corpus")
+    write_training_csv(training_from_testdata(spark, sf_dir), path)
+    return read_training_csv(spark, path).groupBy("polarity").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("status")).alias("n_chars")
+    )
+
+
+def result_reread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language counts written as a header CSV and read back, as text."""
+    path = scratch_path(spark, "result")
+    write_result(A.language_counts(posts_from_testdata(spark, sf_dir), order_output=False), path)
+    return read_result(spark, path)
+
+
+def queries(models: Models | None = None) -> dict[str, Query]:
+    models = models or Models()
     draw = test_draw  # built lazily: no Column may exist before a session does
+
+    def _scored(fn: Callable[[DataFrame], DataFrame]) -> Query:
+        return lambda spark, sf_dir: fn(scored_posts_from_testdata(spark, sf_dir, models.get(spark, sf_dir)))
+
+    def nb_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return C.accuracy(validation_from_testdata(spark, sf_dir, models.get(spark, sf_dir)))
+
+    def validation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Validation rows appended as compressed text, and read back."""
+        path = scratch_path(spark, "accuracy")
+        corpus = training_from_testdata(spark, sf_dir)
+        write_accuracy(C.predictions(corpus, models.get(spark, sf_dir)), path)
+        rows = spark.read.option("header", True).option("sep", "\t").csv(path)
+        return rows.groupBy("Actual", "Predicted").agg(F.count(F.lit(1)).alias("n"))
+
+    def saved_model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Predictions of the model after it was saved and loaded."""
+        path = scratch_path(spark, "model")
+        C.save(models.get(spark, sf_dir), path)
+        return nb_predictions(scored_posts_from_testdata(spark, sf_dir, C.load(path)))
+
+    def dispatch_sentiment_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+        name = "Sentiments Piechart(English Only)"
+        posts = posts_from_testdata(spark, sf_dir)
+        counts = dispatch.run(name, posts, models.get(spark, sf_dir), draw=draw(), order_output=False)
+        return dispatch.chart(name, counts)
+
     return {
         # Q1, G1
         "hashtag_counts": _posts(A.hashtag_counts),
@@ -155,9 +193,13 @@ def queries() -> dict[str, Query]:
         # M1-M5
         "text_tokens": _posts(text_tokens),
         "nb_predictions": _scored(nb_predictions),
+        "text_tokens_custom_stopwords": text_tokens_custom_stopwords,
         "nb_accuracy": nb_accuracy,
+        "training_csv_roundtrip": training_csv_roundtrip,
+        "validation_rows": validation_rows,
+        "saved_model_predictions": saved_model_predictions,
         # Q5, G5
-        "sentiment_counts": _scored(A.sentiment_counts),
+        "sentiment_counts": _scored(lambda s: A.sentiment_counts(s, jitter=False)),
         "sentiment_counts_jittered": _scored(
             lambda s: A.sentiment_counts(s, jitter=True, draw=draw())
         ),
@@ -166,6 +208,7 @@ def queries() -> dict[str, Query]:
                 A.sentiment_counts(s, jitter=True, draw=draw(), order_output=False)
             )
         ),
+        "dispatch_sentiment_share": dispatch_sentiment_share,
         # Q6, G6
         "sentiment_bubble": _scored(A.sentiment_bubble),
         "sentiment_bubble_points": _scored(lambda s: G.bubble_points(A.sentiment_bubble(s))),
@@ -187,6 +230,13 @@ def queries() -> dict[str, Query]:
         "capture_filter": _posts(
             lambda p: K.capture_filter(p).select("id", "lang", "created_at")
         ),
+        "capture_filter_unicode": _posts(
+            lambda p: K.capture_filter(p, UNICODE_LANGS, UNICODE_WORDS).select("id", "lang", "created_at")
+        ),
+        "capture_first_n": _posts(
+            lambda p: K.capture_filter(p, n=FIRST_N).select("id", "lang", "created_at")
+        ),
         "capture_stream": capture_stream,
+        "result_reread": result_reread,
         "json_roundtrip": json_roundtrip,
     }

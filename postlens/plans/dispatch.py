@@ -6,7 +6,7 @@ with non-blank text) and the scored DataFrame feeds the analysis.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.ml.classification import NaiveBayesModel
 from pyspark.sql import DataFrame
@@ -15,6 +15,7 @@ from postlens.functions import text as X
 from postlens.operators import analyses as A
 from postlens.operators import charts as G
 from postlens.operators import classifier as C
+from postlens.sources.stopwords import STOP_WORDS
 
 # --- fixed values: the analysis names offered to users ----------------------
 ANALYSIS_NAMES = {
@@ -59,8 +60,12 @@ def run_many(
     posts: DataFrame,
     model: NaiveBayesModel | None = None,
     scored_path: str | None = None,
+    options: dict[str, dict] | None = None,
+    stop_words: Iterable[str] | DataFrame = STOP_WORDS,
 ) -> dict[str, DataFrame]:
     """Several analyses over the same posts, keyed by analysis key.
+    ``options`` has keyword arguments by analysis (``jitter``, ``draw``,
+    ``seed`` and ``langs`` for the sentiment pie and timeline).
 
     Posts are scored at most once. When more than one sentiment analysis is
     asked for and ``scored_path`` is given (a folder in the shared scratch
@@ -73,22 +78,25 @@ def run_many(
     if sentiment:
         if model is None:
             raise ValueError(f"analyses {sentiment} need a trained sentiment model")
-        scored = C.score(posts.filter(X.not_blank("text")), model)
+        scored = C.score(posts.filter(X.not_blank("text")), model, stop_words=stop_words, keep_text=False)
         if len(sentiment) > 1 and scored_path:
             scored.write.mode("overwrite").parquet(scored_path)
             scored = scored.sparkSession.read.parquet(scored_path)
-    return {k: ANALYSES[k][0](scored if ANALYSES[k][1] else posts) for k in keys}
+    chosen = {resolve(k): v for k, v in (options or {}).items()}
+    return {k: ANALYSES[k][0](scored if ANALYSES[k][1] else posts, **chosen.get(k, {})) for k in keys}
 
 
-def run(name: str, posts: DataFrame, model: NaiveBayesModel | None = None, **opts) -> DataFrame:
+def run(
+    name: str,
+    posts: DataFrame,
+    model: NaiveBayesModel | None = None,
+    stop_words: Iterable[str] | DataFrame = STOP_WORDS,
+    **opts,
+) -> DataFrame:
     """The named analysis over ``posts``; ``model`` is required for the
-    three sentiment analyses."""
-    fn, needs_model = ANALYSES[resolve(name)]
-    if needs_model:
-        if model is None:
-            raise ValueError(f"analysis {name!r} needs a trained sentiment model")
-        posts = C.score(posts.filter(X.not_blank("text")), model)
-    return fn(posts, **opts)
+    three sentiment analyses. ``opts`` go to the analysis."""
+    key = resolve(name)
+    return run_many([key], posts, model, options={key: opts}, stop_words=stop_words)[key]
 
 
 # Chart follow-up of each analysis: the data each chart draws.
@@ -105,10 +113,9 @@ CHARTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "language_timeline": lambda df: G.series_max(df, "lang"),
 }
 
-# Analyses whose chart data is bounded by a small domain (classes,
-# languages, top-k) rather than by the number of posts.
-BOUNDED_CHARTS = {"hashtag_counts", "url_counts", "influential_hashtags", "influential_urls",
-                  "sentiment_counts", "language_counts", "language_followers"}
+# Analyses whose chart data has a proven bound (three classes, top-k). Language
+# codes are free text of the input, so charts by language are not among them.
+BOUNDED_CHARTS = {"hashtag_counts", "url_counts", "influential_hashtags", "influential_urls", "sentiment_counts"}
 
 
 def chart(name: str, result: DataFrame) -> DataFrame:

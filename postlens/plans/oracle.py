@@ -10,11 +10,29 @@ bucket are pooled exactly as in the hashed model.
 
 from __future__ import annotations
 
-from postlens.functions import text as X
-from postlens.operators import charts as G
-from postlens.operators import classifier as C
-from postlens.sources.stopwords import STOP_WORDS
-from postlens.streaming import capture as K
+# --- fixed values, written out here so that an error in the engine's own shows ---
+STOP_WORDS = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her
+hers herself it its itself they them their theirs themselves what which who whom this that these
+those am is are was were be been being have has had having do does did doing a an the and but if or
+because as until while of at by for with about against between into through during before after
+above below to from up down in out on off over under again further then once here there when where
+why how all any both each few more most other some such no nor not only own same so than too very s
+t can will just don should now d ll m o re ve y ain aren couldn didn doesn hadn hasn haven isn ma
+mightn mustn needn shan shouldn wasn weren won wouldn
+""".split()
+CLEAN_UP = [
+    r"\n", r"rt\s+", r"\s+@\w+", r"@\w+", r"\s+#\w+", r"#\w+",
+    r"(?:https?|http?)://[\w/%.-]+", r"(?:https?|http?)://[\w/%.-]+\s+",
+    r"(?:https?|http?)//[\w/%.-]+\s+", r"(?:https?|http?)//[\w/%.-]+",
+]
+GATE = r"^\s*[A-Za-z0-9]+(?:\s+[A-Za-z0-9]+)*\s*$"
+LINK = r"(www|http)\S+"
+FEATURES, SMOOTHING = 1048576, 1.0
+CAPTURE_LANGS = "en fr es it pl".split()
+CAPTURE_WORDS = "i et en avoir le de que no a la come io che lui era nie to w na co jest".split()
+UNICODE_LANGS, UNICODE_WORDS = ["fr", "es"], ["é", "ó", "ñ", "où", "él"]
+# ---------------------------------------------------------------------------------
 
 
 def _lit_list(values) -> str:
@@ -39,14 +57,14 @@ posts AS (
 )"""
 
 
-def tokens_sql(text: str) -> str:
-    """The token rule of ``functions.text.tokens`` in DuckDB."""
+def tokens_sql(text: str, stop: str | None = None) -> str:
+    """The token rule in DuckDB; ``stop`` is a SQL list."""
     expr = f"lower({text})"
-    for pattern in X.CLEAN_PATTERNS:
+    for pattern in CLEAN_UP:
         expr = f"regexp_replace({expr}, '{pattern}', '', 'g')"
-    stop = _lit_list(STOP_WORDS)
+    stop = stop or _lit_list(STOP_WORDS)
     return (
-        f"list_filter(regexp_split_to_array({expr}, '{X.TOKEN_SPLIT}'), "
+        f"list_filter(regexp_split_to_array({expr}, '\\W+'), "
         f"lambda w: regexp_full_match(w, '[a-zA-Z]+') AND NOT list_contains({stop}, w))"
     )
 
@@ -91,7 +109,7 @@ def buckets_sql(vocab: str) -> str:
             f"lambda a, x: a | x, CAST(0 AS HUGEINT))")
     h0 = f"xor(xor({body}, {_mix_k(tail)}), CAST(strlen({w}) AS HUGEINT))"
     return f"""
-  SELECT w, CAST(xor(h3, h3 >> 16) & {C.NUM_FEATURES - 1} AS BIGINT) AS b FROM (
+  SELECT w, CAST(xor(h3, h3 >> 16) & {FEATURES - 1} AS BIGINT) AS b FROM (
     SELECT w, {_mul('xor(h2, h2 >> 13)', _F2)} AS h3 FROM (
       SELECT w, {_mul('xor(h1, h1 >> 16)', _F1)} AS h2 FROM (
         SELECT w, {h0} AS h1 FROM {vocab})))"""
@@ -100,7 +118,7 @@ def buckets_sql(vocab: str) -> str:
 
 TAGS = "array_to_string(hashtags, ' ')"
 LINKS = "array_to_string(urls, ' ')"
-MINUTE = f"substring(created_at, {X.MINUTE_POS}, {X.MINUTE_LEN})"
+MINUTE = "substring(created_at, 15, 2)"
 DRAW = "((id * 31 + 7) % 97 % 10)"
 
 # Closed-form multinomial Naive Bayes over hashed features, trained on the
@@ -120,14 +138,14 @@ tf AS (
 tot AS (SELECT c, sum(tf) AS t_c FROM tf GROUP BY c),
 prior AS (
   SELECT cls.c,
-         ln(cls.n_c + {C.SMOOTHING}) - ln(corpus.n_docs + corpus.k * {C.SMOOTHING}) AS pi,
-         ln(coalesce(tot.t_c, 0) + {C.NUM_FEATURES} * {C.SMOOTHING}) AS lden
+         ln(cls.n_c + {SMOOTHING}) - ln(corpus.n_docs + corpus.k * {SMOOTHING}) AS pi,
+         ln(coalesce(tot.t_c, 0) + {FEATURES} * {SMOOTHING}) AS lden
   FROM cls JOIN corpus ON TRUE LEFT JOIN tot ON tot.c = cls.c),
 ptok AS (
   SELECT id, b, count(*) AS cnt
   FROM (SELECT id, unnest(tokens) AS w FROM tok) JOIN buckets USING (w) GROUP BY id, b),
 hit AS (
-  SELECT p.id, tf.c, sum(p.cnt * ln(tf.tf + {C.SMOOTHING})) AS s
+  SELECT p.id, tf.c, sum(p.cnt * ln(tf.tf + {SMOOTHING})) AS s
   FROM ptok p JOIN tf ON tf.b = p.b GROUP BY p.id, tf.c),
 score AS (
   SELECT t.id, pr.c, pr.pi - len(t.tokens) * pr.lden + coalesce(h.s, 0) AS sc
@@ -146,10 +164,6 @@ JITTERED = f"""CASE WHEN polarity = 0 AND {DRAW} <= 6 THEN 'Negative'
                     ELSE 'Positive' END"""
 SIGN = "CASE polarity WHEN 0 THEN -1 WHEN 4 THEN 1 ELSE 0 END"
 
-GATE = X.ALNUM_LIST
-LINK = X.LINK_TOKEN
-
-
 def _with(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
 
@@ -175,19 +189,15 @@ SELECT id, {key}, followers FROM (SELECT id, {key_expr} AS {key}, followers FROM
 WHERE {key} <> ''"""
 
 
-def _capture() -> str:
-    words = _lit_list(sorted({w.lower() for w in K.DEFAULT_WORDS}))
-    langs = ", ".join(f"'{x}'" for x in K.DEFAULT_LANGS)
+def _capture(langs: list[str], words: list[str]) -> str:
+    runs = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{M}\\p{N}_]+'), lambda w: w <> '')"
     return _with(POSTS) + f"""
 SELECT id, lang, created_at FROM posts
-WHERE lang IN ({langs})
-  AND list_has_any(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda w: w <> ''), {words})
-ORDER BY strptime(created_at, '%a %b %d %H:%M:%S %z %Y') NULLS LAST, id
-LIMIT {K.DEFAULT_COUNT}"""
+WHERE list_contains({_lit_list(langs)}, lang) AND list_has_any({runs}, {_lit_list(words)})"""
 
 
 def oracle_sql() -> dict[str, str]:
-    top = G.TOP_K
+    top = 5
     hashtag_counts = _hashtag_counts()
     url_counts = _url_counts()
     infl_tags = _influence(TAGS, "tag_list")
@@ -201,7 +211,17 @@ FROM scored WHERE {TAGS} <> ''"""
 SELECT id, followers, {JITTERED} AS sentiment, {MINUTE} AS minute FROM scored"""
     lang_timeline = _with(POSTS) + f"""
 SELECT id, lang, followers, {MINUTE} AS minute FROM posts WHERE lang <> ''"""
-    capture = _capture()
+    capture = _capture(CAPTURE_LANGS, CAPTURE_WORDS)
+    predictions = _with(POSTS, NB) + f"""
+SELECT id, polarity, {LABEL} AS sentiment FROM scored"""
+    share = f"""
+SELECT sentiment, n, round(n * 100.0 / sum(n) OVER (), 2) AS share,
+       sentiment || '(' || substring(CAST(n * 100.0 / sum(n) OVER () AS VARCHAR), 1, 4) || '%)' AS label
+FROM ({jittered_counts})"""
+    lang_counts = _with(POSTS) + f"""
+SELECT lower(lang) AS lang, count(*) AS n FROM posts
+WHERE lang <> '' AND regexp_matches(lang, '{GATE}') GROUP BY 1"""
+    used = tokens_sql("text", "[]::VARCHAR[]")
     return {
         "hashtag_counts": hashtag_counts,
         "hashtag_counts_top5": f"""
@@ -212,21 +232,32 @@ FROM (SELECT unnest(hashtags) AS t FROM posts) WHERE t <> '' AND regexp_matches(
 GROUP BY 1""",
         "url_counts": url_counts,
         "url_counts_top5": f"""
-SELECT url, n, substring(url, 1, {G.LABEL_WIDTH}) AS label
+SELECT url, n, substring(url, 1, 30) AS label
 FROM ({url_counts}) ORDER BY n DESC, url ASC LIMIT {top}""",
         "influential_hashtags": infl_tags,
         "influential_hashtags_top5": f"""
-SELECT id, tag_list, followers, substring(tag_list, 1, {G.LABEL_WIDTH}) AS label
+SELECT id, tag_list, followers, substring(tag_list, 1, 30) AS label
 FROM ({infl_tags}) ORDER BY followers DESC NULLS LAST, id ASC LIMIT {top}""",
         "influential_urls": infl_urls,
         "influential_urls_top5": f"""
-SELECT id, urls, followers, substring(urls, 1, {G.LONG_LABEL_WIDTH}) AS label
+SELECT id, urls, followers, substring(urls, 1, 50) AS label
 FROM ({infl_urls}) ORDER BY followers DESC NULLS LAST, id ASC LIMIT {top}""",
         "text_tokens": _with(POSTS) + f"""
 SELECT id, CAST(len(tk) AS BIGINT) AS n_tokens, array_to_string(tk, ' ') AS tokens
 FROM (SELECT id, {tokens_sql('text')} AS tk FROM posts)""",
-        "nb_predictions": _with(POSTS, NB) + f"""
-SELECT id, polarity, {LABEL} AS sentiment FROM scored""",
+        "nb_predictions": predictions,
+        "saved_model_predictions": predictions,
+        "text_tokens_custom_stopwords": _with(POSTS) + f"""
+SELECT id, CAST(len(tk) AS BIGINT) AS n_tokens, array_to_string(tk, ' ') AS tokens
+FROM (SELECT id, list_filter(coalesce({used}, []::VARCHAR[]), lambda w: NOT list_contains(stop, w)) AS tk
+      FROM posts, (SELECT list(DISTINCT w) AS stop FROM (SELECT unnest({used}) AS w FROM benchmark)))""",
+        "training_csv_roundtrip": """
+SELECT CAST(l.quality * 4 AS INTEGER) AS polarity, count(*) AS n, CAST(sum(length(d.text)) AS BIGINT) AS n_chars
+FROM labels l JOIN documents d ON d.doc_id = l.doc_id GROUP BY 1""",
+        "validation_rows": _with(POSTS, NB) + """
+SELECT CAST(CAST(l.quality * 4 AS DOUBLE) AS VARCHAR) AS Actual, CAST(CAST(pr.polarity AS DOUBLE) AS VARCHAR) AS Predicted,
+       count(*) AS n
+FROM labels l JOIN documents d ON d.doc_id = l.doc_id JOIN pred pr ON pr.id = l.doc_id GROUP BY 1, 2""",
         "nb_accuracy": _with(POSTS, NB) + """
 SELECT count(*) AS n_total,
        CAST(sum(CASE WHEN CAST(l.quality AS INTEGER) * 4 = pr.polarity THEN 1 ELSE 0 END) AS BIGINT) AS n_correct,
@@ -236,21 +267,17 @@ FROM labels l JOIN documents d ON d.doc_id = l.doc_id JOIN pred pr ON pr.id = l.
         "sentiment_counts": _with(POSTS, NB) + f"""
 SELECT {LABEL} AS sentiment, count(*) AS n FROM scored GROUP BY 1""",
         "sentiment_counts_jittered": jittered_counts,
-        "sentiment_share": f"""
-SELECT sentiment, n, round(n * 100.0 / sum(n) OVER (), 2) AS share,
-       sentiment || '(' || substring(CAST(n * 100.0 / sum(n) OVER () AS VARCHAR), 1, {G.SHARE_TEXT_WIDTH}) || '%)'
-         AS label
-FROM ({jittered_counts})""",
+        "sentiment_share": share,
+        "dispatch_sentiment_share": share,
         "sentiment_bubble": bubble,
         "sentiment_bubble_points": f"""
 SELECT id,
        CASE WHEN sentiment < 0 THEN 'Negative' WHEN sentiment > 0 THEN 'Positive' ELSE 'Neutral' END
          AS series,
-       TRY_CAST(minute AS INTEGER) * {G.BUBBLE_X_SCALE} AS x, statuses AS y, followers // 2 AS size
+       TRY_CAST(minute AS INTEGER) * 100000 AS x, statuses AS y, followers // 2 AS size
 FROM ({bubble})""",
-        "language_counts": _with(POSTS) + f"""
-SELECT lower(lang) AS lang, count(*) AS n FROM posts
-WHERE lang <> '' AND regexp_matches(lang, '{GATE}') GROUP BY 1""",
+        "language_counts": lang_counts,
+        "result_reread": f"SELECT lang, CAST(n AS VARCHAR) AS n FROM ({lang_counts})",
         "language_followers": _with(POSTS) + """
 SELECT lang, CAST(sum(followers) AS BIGINT) AS followers FROM posts WHERE lang <> '' GROUP BY 1""",
         "languages_distinct": _with(POSTS) + """
@@ -263,6 +290,10 @@ SELECT sentiment, minute, max(followers) AS max_followers FROM ({timeline}) GROU
 SELECT lang, minute, max(followers) AS max_followers FROM ({lang_timeline}) GROUP BY 1, 2""",
         "capture_filter": capture,
         "capture_stream": capture,
+        "capture_filter_unicode": _capture(UNICODE_LANGS, UNICODE_WORDS),
+        "capture_first_n": f"""
+SELECT * FROM ({capture})
+ORDER BY strptime(created_at, '%a %b %d %H:%M:%S %z %Y') NULLS LAST, id LIMIT 100""",
         "json_roundtrip": _with(POSTS) + f"""
 SELECT id, lang, followers, statuses, {TAGS} AS tag_list, {LINKS} AS urls, {MINUTE} AS minute
 FROM posts""",

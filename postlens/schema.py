@@ -51,11 +51,3 @@ TRAINING = T.StructType(
         T.StructField("status", T.StringType()),
     ]
 )
-
-PREDICTION = T.StructType(
-    [
-        T.StructField("Actual", T.DoubleType()),
-        T.StructField("Predicted", T.DoubleType()),
-        T.StructField("Text", T.StringType()),
-    ]
-)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,27 +30,37 @@ def get_session(master: str | None = None, app: str = "postlens", conf: dict | N
     return builder.getOrCreate()
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+def scratch_root(spark: SparkSession, folder: str | None = None) -> str:
+    """The shared folder for intermediate tables: ``folder`` if given, else the
+    one the cluster names in ``spark.checkpoint.dir`` (or as the context's
+    checkpoint folder).
 
-    Only where it is unset (local tests) a private temporary folder is
-    created and registered as the checkpoint directory."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    Without either, a local master gets a folder of this application under the
+    temporary folder; on a cluster that is an error, because each executor
+    would write to a disk of its own."""
+    root = folder or spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root
     try:
         sc = spark.sparkContext
     except Exception:  # e.g. a Spark Connect session: no driver-side context
         sc = None
-    if not root and sc is not None:
-        root = sc.getCheckpointDir()
+    root = sc.getCheckpointDir() if sc is not None else None
     if not root:
-        root = tempfile.mkdtemp(prefix="postlens-")
-        if sc is not None:
-            sc.setCheckpointDir(root)
+        if sc is None or not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        root = os.path.join(tempfile.gettempdir(), f"postlens-{sc.applicationId}")
     return root
 
 
-def scratch_path(spark: SparkSession, *parts: str) -> str:
+def scratch_path(spark: SparkSession, *parts: str, folder: str | None = None) -> str:
     """A fresh, unique path below the scratch root."""
-    base = scratch_root(spark)
+    base = scratch_root(spark, folder)
     sep = "/" if "://" in base else os.sep
     return sep.join([base.rstrip("/"), "postlens", uuid.uuid4().hex, *parts])
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate data on whatever file system it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)

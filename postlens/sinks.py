@@ -8,6 +8,7 @@ file with ``single_file=True``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "csv", single_file: bool = False, mode: str = "overwrite") -> None:
@@ -31,6 +32,17 @@ def write_accuracy(preds: DataFrame, path: str) -> None:
     )
 
 
+def write_training_csv(corpus: DataFrame, path: str) -> None:
+    """``(id, polarity, status)`` as the header-less six-column corpus; the
+    three columns that training ignores are empty. Quotes are doubled and line
+    breaks written as spaces, so that each row is one line."""
+    status = F.regexp_replace("status", r"[\r\n]", " ")
+    unused = [F.lit("").alias(c) for c in ("date", "query", "user")]
+    corpus.select("polarity", "id", *unused, status.alias("status")).write.mode("overwrite").options(
+        escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
+
+
 def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Posts as JSON lines (the capture and input format)."""
     df.write.mode(mode).json(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # --- fixed values: the stop-word list, in its original order (153 words) ---
@@ -21,19 +21,12 @@ doesn hadn hasn haven isn ma mightn mustn needn shan shouldn wasn weren won woul
 STOP_WORDS: tuple[str, ...] = tuple(STOP_WORDS_TEXT.split())
 
 
-def load_stop_words(spark: SparkSession, path: str, max_words: int = 100_000) -> tuple[str, ...]:
-    """A user-supplied stop-word file (one word per line) for ``tokens``.
-
-    The list becomes an ``isin`` literal shipped with each task, so its size
-    is checked: more than ``max_words`` distinct words is refused."""
-    words = (
+def read_stop_words(spark: SparkSession, path: str) -> DataFrame:
+    """``(word)``: a user's stop-word file, one word per line, in lower case.
+    It stays a table, of any length; ``classifier.featurize`` takes it so."""
+    return (
         spark.read.text(path)
-        .select(F.lower(F.trim(F.col("value"))).alias("w"))
-        .filter(F.col("w") != "")
+        .select(F.lower(F.trim(F.col("value"))).alias("word"))
+        .filter(F.col("word") != "")
         .distinct()
-        .limit(max_words + 1)
-        .collect()
     )
-    if len(words) > max_words:
-        raise ValueError(f"stop-word list {path!r} has more than {max_words} words")
-    return tuple(sorted(r.w for r in words))

@@ -6,50 +6,41 @@ author from the event with the same id, the author's status count from all of
 their events, one page URL as the link. Tags are empty for ids ending in 0 and
 fail the alphanumeric gate for ids ending in 1.
 
-Plan notes for large inputs: the per-author status counts are pre-aggregated
-before they are joined, and the events of hot authors (more than 1/1000 of
-all events each) are salted over 32 join keys, so an author holding a third
-of all events is spread over 32 join tasks instead of one; counts and page URLs are attached to the (narrow) events
-before the documents are joined, so the text is exchanged once, on doc_id;
-documents ⋈ events is an equi-join on unique ids (sort-merge, or broadcast when
-AQE sees a small side at run time); the page key is reduced modulo the page
-count before squaring, so it cannot overflow.
+Plan notes for large inputs: what needs the text (tokens, scores, hashed
+counts) is computed where documents are scanned, and only its narrow result
+meets the other tables. The per-author status counts are pre-aggregated before
+they are joined, and the events of hot authors (more than 1/1000 of all events
+each) are salted over 32 join keys, so an author holding a third of all events
+is spread over 32 join tasks instead of one; salting never changes a result.
+Documents ⋈ events is an equi-join on unique ids (sort-merge, or broadcast when
+the planner knows a small side); the page key is reduced modulo the page count
+before squaring, so it cannot overflow.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postlens.operators import classifier
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
 
 
-_tables: dict[tuple, DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A supplied table. The DataFrame (a plan, not data) is kept per
-    application and folder, so the file listing and footer read are done
-    once rather than in every query built on it."""
-    key = (spark.conf.get("spark.app.id", None), id(spark), os.path.abspath(sf_dir), name)
-    df = _tables.get(key)
-    if df is None:
-        df = _tables[key] = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return df
+    """A supplied table, as its files are now."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
-    """Documents hash-partitioned on ``doc_id``, the key every join of the
-    binding uses. A sort-merge join on ``doc_id`` reuses this partitioning
-    (no second exchange); when the other side is broadcast instead, it still
-    spreads the text work (tokenising, scoring) over all cores even if the
-    file is a single row group."""
-    return table(spark, sf_dir, "documents").select("doc_id", *cols).repartition("doc_id")
+def documents(spark: SparkSession, sf_dir: str, *cols: str, spread: bool = False) -> DataFrame:
+    """Documents as they are scanned. ``spread`` deals them out by ``doc_id``
+    first: only of use where a file is a single row group, so that one task
+    would do all the text work; it moves every text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", *cols)
+    return docs.repartition("doc_id") if spread else docs
 
 
 # --- fixed values: English day and month abbreviations of the post time ------
@@ -85,7 +76,6 @@ EMPTY = "cast(array() AS array<string>)"
 # to the JVM instead of one per expression node).
 POST_COLUMNS = [
     "doc_id AS id",
-    "text",
     "lang",
     f"{post_time_sql('ts')} AS created_at",
     "cast(NULL AS bigint) AS favorite_count",
@@ -143,13 +133,9 @@ def salted(events: DataFrame, counts: AuthorCounts) -> DataFrame:
     return flagged.withColumn("salt", salt.cast("int")).drop("hot")
 
 
-def posts_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts in the nested ``POST`` shape, derived from the test tables.
-
-    Everything that does not need the text is attached to the events first
-    (author status counts, page URL), so the documents, which carry the
-    text, are exchanged exactly once: on ``doc_id`` for the final join."""
-    docs = documents(spark, sf_dir, "text", "lang", "source", "n_chars")
+def post_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(event_id, ts, event_type, statuses, url)``: what a post has besides
+    its document, the narrow side of every join with documents."""
     events = table(spark, sf_dir, "events").filter(F.col("user_id").isNotNull())
     counts = author_counts(events)
     pages = table(spark, sf_dir, "pages")
@@ -161,7 +147,7 @@ def posts_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     # event_id = doc_id on joined rows; no pages → NULL key, no link
     e_mod = F.try_mod(F.col("event_id"), n_pages)
-    enriched = (
+    return (
         salted(events.select("event_id", "ts", "user_id", "event_type"), counts)
         # Every author with a non-NULL id has a count row, so this left join
         # equals the inner join; keyed by an aggregate, it is dropped from
@@ -172,16 +158,51 @@ def posts_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("event_id", "ts", "event_type", "statuses", "url")
     )
 
-    return docs.join(enriched, docs.doc_id == enriched.event_id).selectExpr(*POST_COLUMNS)
+
+def as_posts(docs: DataFrame, events: DataFrame, *extra: str) -> DataFrame:
+    """Posts in the nested ``POST`` shape from documents and ``post_events``,
+    with the columns ``extra`` of the documents beside them."""
+    return docs.join(events, docs.doc_id == events.event_id).selectExpr(*POST_COLUMNS, *extra)
+
+
+def posts_from_testdata(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """Posts in the nested ``POST`` shape, derived from the test tables."""
+    docs = documents(spark, sf_dir, "text", "lang", "source", "n_chars", spread=spread)
+    return as_posts(docs, post_events(spark, sf_dir), "text")
+
+
+def scored_posts_from_testdata(spark: SparkSession, sf_dir: str, model, spread: bool = False) -> DataFrame:
+    """The posts with text, scored: ``polarity`` instead of ``text``. Documents
+    are scored where they are scanned, so no text meets the join."""
+    docs = documents(spark, sf_dir, "text", "lang", "source", "n_chars", spread=spread)
+    scored = classifier.score(docs.filter(F.col("text") != ""), model, keep_text=False)
+    return as_posts(scored, post_events(spark, sf_dir), "polarity")
+
+
+def labelled_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, polarity)`` of the documents with a quality label: quality 0
+    is polarity 0 (negative), quality 1 is polarity 4 (positive)."""
+    labels = table(spark, sf_dir, "labels")
+    return labels.select("doc_id", (F.col("quality") * 4).cast("int").alias("polarity"))
 
 
 def training_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled corpus ``(polarity, status)``: documents with a quality label,
-    quality 0 → polarity 0 (negative), quality 1 → polarity 4 (positive)."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    """Labelled corpus ``(id, polarity, status)`` with the texts."""
+    labels = labelled_from_testdata(spark, sf_dir)
     docs = documents(spark, sf_dir, "text")
-    return labels.join(docs, "doc_id").select(
-        F.col("doc_id").alias("id"),
-        (F.col("quality") * 4).cast("int").alias("polarity"),
-        F.col("text").alias("status"),
-    )
+    return labels.join(docs, "doc_id").select(F.col("doc_id").alias("id"), "polarity", F.col("text").alias("status"))
+
+
+def training_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(label, features)`` of the labelled documents. Texts become hashed
+    counts where they are scanned; only those meet the labels."""
+    docs = classifier.featurize(documents(spark, sf_dir, "text"), "text", "features").drop("text")
+    labels = labelled_from_testdata(spark, sf_dir).select("doc_id", classifier.polarity_to_class("polarity").alias("label"))
+    return labels.filter(F.col("label").isNotNull()).join(docs, "doc_id").select("label", "features")
+
+
+def validation_from_testdata(spark: SparkSession, sf_dir: str, model) -> DataFrame:
+    """``(Actual, Predicted)`` of the labelled documents, scored at the scan."""
+    docs = classifier.score(documents(spark, sf_dir, "text"), model, keep_text=False)
+    labels = labelled_from_testdata(spark, sf_dir).withColumnRenamed("polarity", "actual")
+    return labels.join(docs, "doc_id").select(F.col("actual").cast("double").alias("Actual"), F.col("polarity").cast("double").alias("Predicted"))

@@ -14,6 +14,7 @@ def read_training_csv(spark: SparkSession, path: str) -> DataFrame:
         spark.read.schema(TRAINING)
         .option("header", "false")
         .option("mode", "PERMISSIVE")
+        .option("escape", '"')
         .csv(path)
         .select("polarity", "status")
     )

@@ -6,15 +6,18 @@ import glob
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from postlens.operators import analyses as A
-from postlens.plans import dispatch
+from postlens.plans import catalog, dispatch
 from postlens.sinks import write_accuracy, write_json_lines, write_result
 from postlens.sources.posts import read_posts
 from postlens.sources.testdata import posts_from_testdata
 from postlens.streaming import capture as K
 from tests.conftest import SF_SMOKE, post
 
+QUERIES = catalog.queries()
+
 
 def test_parse_arguments():
     assert K.parse_list_arg(" [en, fr ,es] ") == ["en", "fr", "es"]
@@ -64,17 +67,20 @@ def test_streaming_capture_resumes_without_duplicates(spark, tmp_dir):
 
 
 def test_streaming_matches_batch_on_testdata(spark):
-    import __spark_entry__ as E
-
-    a = {tuple(r) for r in E.queries()["capture_stream"](spark, SF_SMOKE).collect()}
-    b = {tuple(r) for r in E.queries()["capture_filter"](spark, SF_SMOKE).collect()}
+    a = {tuple(r) for r in QUERIES["capture_stream"](spark, SF_SMOKE).collect()}
+    b = {tuple(r) for r in QUERIES["capture_filter"](spark, SF_SMOKE).collect()}
     assert a == b and len(a) > 0
 
 
 def test_dispatch_by_name(spark, edge_posts, toy_model):
     a = dispatch.run("  top 5 word count HASHTAGS ", edge_posts).collect()
     assert a == A.hashtag_counts(edge_posts).collect()
-    assert dispatch.run("Sentiments Piechart(English Only)", edge_posts, model=toy_model).count() >= 1
+    share = dispatch.run("Sentiments Piechart(English Only)", edge_posts, model=toy_model, draw=F.lit(9))
+    assert [tuple(r) for r in share.collect()] == [("Neutral", edge_posts.filter("text <> ''").count())]
+    plain = dispatch.run("sentiment_counts", edge_posts, model=toy_model, jitter=False).collect()
+    assert {r.sentiment for r in plain} <= {"Negative", "Positive"}
+    one = dispatch.run("sentiment_counts", edge_posts, model=toy_model, langs=["zh-cn"]).collect()
+    assert sum(r.n for r in one) == edge_posts.filter("text <> '' AND lang = 'zh-cn'").count()
     with pytest.raises(ValueError):
         dispatch.run("Both", edge_posts)
     with pytest.raises(ValueError):
@@ -149,17 +155,26 @@ def test_jobs_end_to_end(spark, edge_lines, tmp_dir):
 
 def test_stop_word_file_and_result_reader(spark, tmp_dir):
     from postlens.functions import text as X
-    from postlens.sources import load_stop_words, parse_posts, read_result
+    from postlens.operators import classifier as C
+    from postlens.sources import parse_posts, read_result, read_stop_words
 
     path = os.path.join(tmp_dir, "stop.txt")
     with open(path, "w") as f:
         f.write("Foo\n bar \n\nfoo\n")
-    words = load_stop_words(spark, path)
-    assert words == ("bar", "foo")
-    with pytest.raises(ValueError):
-        load_stop_words(spark, path, max_words=1)
-    df = spark.createDataFrame([("foo bar baz",)], "text string")
-    assert df.select(X.tokens("text", words).alias("t")).collect()[0].t == ["baz"]
+    words = read_stop_words(spark, path)
+    assert sorted(r.word for r in words.collect()) == ["bar", "foo"]
+    texts = [(1, "foo bar baz"), (2, "qux foo baz qux"), (3, "bar"), (4, ""), (5, None)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    assert df.select(X.tokens("text", ["foo", "bar"]).alias("t")).first().t == ["baz"]
+    tokens = df.select("id", "text", X.tokens("text", ()).alias("t"))
+    kept = {r.id: (r.text, r.t) for r in X.without_words(tokens, "t", words).collect()}
+    assert kept == {1: (texts[0][1], ["baz"]), 2: (texts[1][1], ["qux", "baz", "qux"]), 3: ("bar", []), 4: ("", []), 5: (None, [])}
+    # a list as words and as a table give the same features, model and scores
+    corpus = spark.createDataFrame([(0, "foo bad bad"), (4, "bar good"), (4, "foo nice")], "polarity int, status string")
+    models = [C.train(corpus, stop_words=w) for w in (("foo", "bar"), words)]
+    assert (models[0].theta.toArray() == models[1].theta.toArray()).all()
+    scores = [sorted(map(tuple, C.score(df, m, stop_words=w).collect())) for m, w in zip(models, (("foo", "bar"), words))]
+    assert scores[0] == scores[1] and len(scores[0]) == 5
 
     out = os.path.join(tmp_dir, "res")
     write_result(spark.createDataFrame([("en", 3)], "lang string, n bigint"), out)
@@ -210,20 +225,85 @@ def test_capture_job(spark, tmp_dir):
                            post(3, text="other", lang="en")]))
     assert jobs.main(["capture", "--landing", landing, "--sink", sink, "--checkpoint", ck,
                       "--langs", "[en, fr]", "--words", "[BRAND]"]) == 0
-    assert [r.id for r in K.read_captured(spark, sink, None).collect()] == [1]
+    assert [r.id for r in K.read_captured(spark, sink).collect()] == [1]
+    first = os.path.join(tmp_dir, "first")
+    again = ["capture", "--landing", landing, "--sink", sink + "2", "--checkpoint", ck + "2", "--langs", "[en,de]",
+             "--words", "[brand,other]"]
+    assert jobs.main([*again, "--count", " 2 ", "--out", first]) == 0
+    assert K.read_captured(spark, sink + "2").count() == 3
+    assert sorted(r.id for r in read_posts(spark, first).collect()) == [1, 2]
+    with pytest.raises(SystemExit):
+        jobs.main([*again, "--count", "2"])
+
+
+def test_capture_takes_words_in_any_script(spark):
+    posts = spark.createDataFrame(
+        [(1, "un bel été ici"), (2, "día"), (3, "a día"), (4, "się dzieje"), (5, "sie"), (6, "ÉTÉ!"), (7, "été2")],
+        "id long, text string").selectExpr("*", "'x' AS lang", "'' AS created_at")
+    ids = lambda words: sorted(r.id for r in K.capture_filter(posts, ["x"], words).collect())
+    assert ids(["été"]) == [1, 6] and ids(["été", "ici"]) == [1, 6]
+    assert ids(["a"]) == [3] and ids(["día"]) == [2, 3] and ids(["się"]) == [4]
+    for word in ("not-a-word", "", "two words"):
+        with pytest.raises(ValueError):
+            K.matches(["x"], ["fine", word])
+
+
+def test_tables_are_read_as_they_are_now(spark, tmp_dir):
+    import shutil
+
+    folder = os.path.join(tmp_dir, "sf")
+    shutil.copytree(SF_SMOKE, folder)
+    docs = os.path.join(folder, "documents.parquet")
+    shutil.move(docs, os.path.join(tmp_dir, "one.parquet"))
+    os.makedirs(docs)
+    shutil.copy(os.path.join(tmp_dir, "one.parquet"), os.path.join(docs, "a.parquet"))
+    queries = catalog.queries()
+    before = sum(r.n for r in queries["language_counts"](spark, folder).collect())
+    shutil.copy(os.path.join(tmp_dir, "one.parquet"), os.path.join(docs, "b.parquet"))
+    assert sum(r.n for r in queries["language_counts"](spark, folder).collect()) == 2 * before
+
+
+def test_scratch_folder(spark, tmp_dir):
+    from types import SimpleNamespace
+
+    from postlens.session import remove_path, scratch_path, scratch_root
+
+    assert scratch_path(spark, "x", folder=tmp_dir).startswith(tmp_dir)
+    context = lambda master: SimpleNamespace(master=master, applicationId="app", getCheckpointDir=lambda: None)
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context(master))
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]", "k8s://x"):
+        with pytest.raises(ValueError):
+            scratch_root(session(master))
+    assert scratch_root(session("local[4]")) and scratch_root(session("local"))
+    path = os.path.join(tmp_dir, "table")
+    spark.range(3).write.parquet(path)
+    remove_path(spark, path)
+    assert not os.path.exists(path)
+
+
+def test_jobs_leave_no_scratch(spark, edge_lines, tmp_dir, toy_model):
+    from postlens import jobs
+    from postlens.operators import classifier as C
+
+    model, posts, scratch = (os.path.join(tmp_dir, x) for x in ("m", "posts", "scratch"))
+    C.save(toy_model, model)
+    os.makedirs(posts)
+    with open(os.path.join(posts, "p.json"), "w") as f:
+        f.write("\n".join(edge_lines))
+    assert jobs.main(["--scratch", scratch, "analyze", "--posts", posts, "--model", model, "--out", os.path.join(tmp_dir, "o"),
+                      "--analysis", "sentiment_counts", "--analysis", "sentiment_timeline", "--no-jitter", "--langs", "[en]"]) == 0
+    assert not glob.glob(os.path.join(scratch, "postlens", "*", "scored"))
 
 
 @pytest.mark.parametrize("name", ["nb_predictions", "sentiment_timeline_max", "language_timeline_max"])
 def test_checked_queries_do_not_depend_on_shuffle_partitions(spark, name):
-    import __spark_entry__ as E
-
     key = "spark.sql.shuffle.partitions"
     old = spark.conf.get(key)
     results = []
     try:
         for parts in ("1", "16"):
             spark.conf.set(key, parts)
-            results.append(sorted(map(tuple, E.queries()[name](spark, SF_SMOKE).collect())))
+            results.append(sorted(map(tuple, QUERIES[name](spark, SF_SMOKE).collect())))
     finally:
         spark.conf.set(key, old)
     assert results[0] == results[1] and results[0]

@@ -6,14 +6,19 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
+from postlens.plans import catalog
 from tests.conftest import SF_CHECK
 
-NAMES = sorted(set(E.queries()) - {"capture_stream", "json_roundtrip"})  # these two execute eagerly
+QUERIES = catalog.queries()
+# these write when they are described
+EAGER = {"capture_stream", "json_roundtrip", "training_csv_roundtrip", "validation_rows", "saved_model_predictions", "result_reread"}
+NAMES = sorted(set(QUERIES) - EAGER)
+SENTIMENT = ["nb_predictions", "sentiment_counts", "sentiment_counts_jittered", "sentiment_share", "sentiment_bubble",
+             "sentiment_bubble_points", "sentiment_timeline", "sentiment_timeline_max"]
 
 
 def plan(spark, name: str) -> str:
-    df = E.queries()[name](spark, SF_CHECK)
+    df = QUERIES[name](spark, SF_CHECK)
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
 
@@ -73,11 +78,23 @@ def test_unused_lookups_are_eliminated_at_scale(large_input_plans, name):
     assert "pages.parquet" not in p
 
 
+@pytest.mark.parametrize("name", [*SENTIMENT, "nb_accuracy"])
+def test_no_text_is_exchanged_for_a_score(large_input_plans, name):
+    p = large_input_plans[name]
+    exchanges = re.findall(r"^\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", p, re.M)
+    assert exchanges and not any(re.search(r"\b(text|status|_pl_tokens)#", e) for e in exchanges), exchanges
+
+
 def test_documents_are_exchanged_once_at_scale(large_input_plans):
     p = large_input_plans["sentiment_bubble"]
-    tree = p.split("\n\n")[0]
-    # the documents scan is (1); its only exchange is the doc_id partitioning
-    exchanges = re.findall(r"^\((\d+)\) Exchange\n.*\nArguments: (.*)$", p, re.M)
-    doc_exchanges = [a for _, a in exchanges if a.startswith("hashpartitioning(doc_id")]
-    assert len(doc_exchanges) == 1, exchanges
-    assert "SortMergeJoin" in tree
+    exchanges = re.findall(r"^\(\d+\) Exchange\nInput.*\nArguments: (.*)$", p, re.M)
+    assert len([a for a in exchanges if a.startswith("hashpartitioning(doc_id")]) == 1, exchanges
+
+
+def test_training_exchanges_no_text(spark):
+    from postlens.sources.testdata import training_features
+
+    df = training_features(spark, SF_CHECK)
+    p = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    exchanges = re.findall(r"^\(\d+\) (?:Broadcast)?Exchange\nInput \[\d+\]: \[(.*)\]", p, re.M)
+    assert exchanges and not any("text#" in e for e in exchanges)

@@ -57,6 +57,20 @@ def test_neutral_class_is_trained_when_present(spark):
     assert C.score(posts, model).collect()[0].polarity == 2
 
 
+def test_two_level_fit_equals_the_direct_fit(spark, monkeypatch):
+    from pyspark.ml.classification import NaiveBayes
+
+    from postlens.sources.testdata import training_features
+    from tests.conftest import SF_SMOKE
+
+    monkeypatch.setattr(C, "NUM_FEATURES", 1 << 12)
+    feats = training_features(spark, SF_SMOKE).repartition(40)
+    direct = NaiveBayes(smoothing=1.0, modelType="multinomial").fit(feats)
+    model = C.train_features(feats)
+    assert abs(direct.pi.toArray() - model.pi.toArray()).max() < 1e-9
+    assert abs(direct.theta.toArray() - model.theta.toArray()).max() < 1e-9
+
+
 def test_accuracy_and_validation_rows(spark, toy_model):
     rows = [(0, "bad\nawful"), (4, "good great"), (0, "good love")]
     corpus = spark.createDataFrame(rows, "polarity int, status string")

@@ -10,11 +10,12 @@ import tempfile
 import duckdb
 import pytest
 
-import __spark_entry__ as E
+from postlens.plans import catalog, oracle
 from postlens.sources.testdata import TABLES
 from tests.compare import compare, duck
 from tests.conftest import SF_SMOKE
 
+QUERIES, SQL = catalog.queries(), oracle.oracle_sql()
 SKEW_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -61,7 +62,7 @@ def skew_session(spark):
 @pytest.mark.parametrize("name", ["sentiment_bubble", "json_roundtrip", "language_followers",
                                   "language_counts", "hashtag_counts", "sentiment_timeline_max"])
 def test_skewed_inputs_match_oracle(skew_session, skewed_dir, name):
-    ok, n, _, detail = compare(skew_session, skewed_dir, name, E.queries()[name], E.oracle_sql()[name],
+    ok, n, _, detail = compare(skew_session, skewed_dir, name, QUERIES[name], SQL[name],
                                duck(skewed_dir))
     assert ok, detail
     assert n > 0

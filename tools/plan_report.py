@@ -46,11 +46,11 @@ def main(argv: list[str]) -> None:
         builder = builder.config("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    import __spark_entry__ as E
+    from postlens.plans import catalog
 
     mode = "broadcast disabled (large-input join strategy)" if no_bc else "default thresholds"
     print(f"# Physical plans ({os.path.basename(sf_dir)}, {mode})\n")
-    for name, q in E.queries().items():
+    for name, q in catalog.queries().items():
         df = q(spark, sf_dir)
         plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
         print(summarize(name, plan))
