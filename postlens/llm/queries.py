@@ -68,5 +68,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_line_frequency": sql.QUALITY,
         "op3_exact_dedup": sql.EXACT_DEDUP,
         "op4_temperature_mixing": sql.MIXING,
+        "op5_minhash": sql.NEAR_DEDUP,
         "op6_content_archive": sql.ARCHIVE,
+        "op7_fm_index": sql.SUBSTRINGS,
     }

@@ -96,3 +96,45 @@ SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id <> first_id THEN first_id END AS refers_to
 FROM q
 """
+
+NEAR_DEDUP = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, list_filter(string_split_regex(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+               lambda w: w <> '') AS words
+    FROM documents),
+s AS (
+    SELECT DISTINCT doc_id, list_slice(words, i, i + 2) AS shingle
+    FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 2))) AS i FROM d WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (
+    SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared
+    FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+    SELECT u, v FROM pairs JOIN n nu ON nu.doc_id = u JOIN n nv ON nv.doc_id = v
+    WHERE 100 * shared >= 85 * (nu.n + nv.n - shared)),
+reach AS (
+    SELECT doc_id, doc_id AS other FROM d
+    UNION
+    SELECT reach.doc_id, links.v FROM reach JOIN links ON links.u = reach.other),
+c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+SUBSTRINGS = r"""
+WITH d AS (
+    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+    FROM documents),
+w AS (
+    SELECT doc_id, i, list_slice(words, i, i + 34) AS w
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY w) AS n FROM w) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM again, range(35) AS r(k)),
+each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d),
+kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n
+    FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, len(words) AS n_words, len(words) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
