@@ -8,18 +8,19 @@ under 1e-7. Candidates are first verified by their signatures (a pair at the
 threshold fails that test with a chance under 1e-7), then exactly, on the full
 sets. Components come from alternating large-star and small-star.
 
-Buckets may hold thousands of versions of one text, so pairs within a bucket
-are compared in three waves, each only between nodes that are not yet in one
-component:
+Buckets may hold thousands of versions of one text, so the nodes of a bucket
+are not compared all with all:
 
-1. every node with one pivot of its bucket, for the first four bands;
-2. the same for all bands; pivots are chosen by hash, so they differ;
-3. the rest, exactly: in buckets that still hold several components, the nodes
+1. Every node is compared with one pivot of each of its buckets. The pivot is
+   the least by one order of all nodes, so the buckets of a group of versions
+   mostly share it, and a node has few pivots.
+2. The rest, exactly: in buckets that still hold several components, the nodes
    outside the largest one meet all others, in units of two blocks of at most
-   about 256 nodes. A unit compares signatures in arrays; only pairs that pass
-   leave it, and only in the first bucket that they share.
+   about 256 nodes, to which the units' sets are sent once. A unit compares
+   signatures in arrays, and then full sets, the likeliest pairs first and
+   only of components that it has not joined yet.
 
-No link between different sets is lost, and no bucket is joined with itself.
+No link between components is lost, and no bucket is joined with itself.
 """
 
 from __future__ import annotations
@@ -40,7 +41,6 @@ from postlens.llm.components import connected_components
 
 HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
-FIRST_BANDS = 4
 #: By how much the share of equal minima may fall short of the similarity.
 SLACK = 0.17
 BLOCK = 256
@@ -134,10 +134,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int
     return written(made.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "shingle_sets")
 
 
-def _buckets(nodes: DataFrame, bands: int) -> DataFrame:
-    """(bucket, band, node, ...): a row for each band."""
-    keys = [F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), F.substring("signature", 4 * ROWS * b + 1, 4 * ROWS)).alias("bucket")) for b in range(bands)]
-    return nodes.select(F.explode(F.array(*keys)).alias("k"), *[c for c in nodes.columns if c != "signature"]).select("k.*", *[c for c in nodes.columns if c != "signature"])
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """(band, bucket, node): a row for each band."""
+    keys = [F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), F.substring("signature", 4 * ROWS * b + 1, 4 * ROWS)).alias("bucket")) for b in range(BANDS)]
+    return nodes.select("node", F.explode(F.array(*keys)).alias("k")).select("k.band", "k.bucket", "node")
 
 
 def _promising(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
@@ -154,97 +154,93 @@ def _promising(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame
     return pairs.join(one, "u").join(two, "v").select("u", "v", "s", "t").mapInArrow(agree, "u binary, v binary")
 
 
-class _Search:
-    """What the waves share."""
-
-    def __init__(self, docs: DataFrame, doc_id: str, text: str, width: int, similarity: int, nodes: DataFrame):
-        self.docs, self.columns, self.width, self.similarity, self.nodes = docs, (doc_id, text), width, similarity, nodes
-
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose full sets are similar enough."""
-        pairs = written(_promising(pairs, self.nodes, self.similarity), "promising_pairs")
-        ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-        sets = _sets(self.docs, self.nodes.join(ends, "node", "left_semi").select("doc_id", "node"), *self.columns, self.width)
-        one = sets.select(F.col("node").alias("u"), F.col("hashes").alias("a"))
-        two = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
-        joined = pairs.join(one, "u").join(two, "v").withColumn("both", F.size(F.array_intersect("a", "b")).cast("long"))
-        union = F.size("a") + F.size("b") - F.col("both")
-        return written(joined.where(100 * F.col("both") >= self.similarity * union).select("u", "v"), "links")
-
-    def pivots(self, bands: int) -> DataFrame:
-        """(bucket, pivot, n) for the buckets of several nodes."""
-        order = F.struct(F.xxhash64("bucket", "node").alias("h"), "node")
-        found = _buckets(self.nodes.select("node", "signature"), bands).groupBy("bucket").agg(F.min(order).alias("p"), F.count(F.lit(1)).alias("n"))
-        return written(found.where("n > 1").select("bucket", F.col("p.node").alias("pivot"), "n"), "pivots")
-
-    def with_pivots(self, pivots: DataFrame, bands: int) -> DataFrame:
-        return _buckets(self.nodes.select("node", "signature"), bands).join(pivots, "bucket")
-
-    def rest(self, members: DataFrame) -> DataFrame:
-        """Pairs of one bucket and different components, found in units of two blocks."""
-        counted = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
-        largest = counted.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("m"), F.sum("k").alias("n"), F.count(F.lit(1)).alias("parts"))
-        largest = written(
-            largest.where("parts > 1 and n > 2").select("bucket", F.col("m.component").alias("main"), "n", (F.col("n") - F.col("m.k")).alias("n_minor")),
-            "mixed_buckets",
-        )
-        blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-        place = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
-        upto = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-        own = written(
-            members.join(largest, "bucket").join(self.nodes.select("node", "signature"), "node")
-            .withColumn("minor", F.col("component") != F.col("main")),
-            "mixed_members",
-        )
-        what = ["bucket", "band", "node", "component", "minor", "signature"]
-        left = own.where("minor").select(*what, place("n_minor").alias("i"), upto("n").alias("j"), F.lit(True).alias("left"))
-        right = own.select(*what, place("n").alias("j"), upto("n_minor").alias("i"), F.lit(False).alias("left"))
-        both = left.unionByName(right)
-        rows = own.agg(F.sum(blocks("n") + blocks("n_minor"))).first()[0] or 0
-        least = (self.similarity / 100 - SLACK) * HASHES
-
-        def compare(units: pd.DataFrame) -> pd.DataFrame:
-            found = []
-            for (_, _, _), unit in units.groupby(["bucket", "i", "j"], sort=False):
-                side = unit.left.to_numpy()
-                one, two = unit[side], unit[~side]
-                if not len(one) or not len(two):
-                    continue
-                s, t = (np.frombuffer(b"".join(x.signature), "<u4").reshape(-1, HASHES) for x in (one, two))
-                differ = one.component.to_numpy()[:, None] != two.component.to_numpy()[None]
-                same = np.zeros(differ.shape, np.int32)
-                for k in range(HASHES):
-                    same += s[:, k, None] == t[None, :, k]
-                for x, y in zip(*np.nonzero(differ & (same >= least))):
-                    shared = (s[x] == t[y]).reshape(BANDS, ROWS).all(axis=1)
-                    u, v = one.node.iat[x], two.node.iat[y]
-                    if int(np.argmax(shared)) == one.band.iat[x] and not (two.minor.iat[y] and u > v):
-                        found.append((u, v))
-            return pd.DataFrame(found, columns=["u", "v"])
-
-        bins = max(1, -(-rows // UNIT_ROWS))
-        return both.groupBy(F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(bins))).applyInPandas(compare, "u binary, v binary")
-
-    def labelled(self, members: DataFrame, links: DataFrame) -> DataFrame:
-        found = written(connected_components(links), "components_so_far")
-        return members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """The pairs (u, v) whose full sets are similar enough."""
+    one = sets.select(F.col("node").alias("u"), F.col("hashes").alias("a"))
+    two = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
+    joined = pairs.join(one, "u").join(two, "v").withColumn("both", F.size(F.array_intersect("a", "b")).cast("long"))
+    return joined.where(100 * F.col("both") >= similarity * (F.size("a") + F.size("b") - F.col("both"))).select("u", "v")
+
+
+def _unit_links(one: pd.DataFrame, two: pd.DataFrame, similarity: int) -> list[tuple[bytes, bytes]]:
+    """Links that join the components of two blocks' nodes."""
+    s, t = (np.frombuffer(b"".join(x.signature), "<u4").reshape(-1, HASHES) for x in (one, two))
+    c, d = one.component.to_numpy(), two.component.to_numpy()
+    same = np.zeros((len(one), len(two)), np.int32)
+    for k in range(HASHES):
+        same += s[:, k, None] == t[None, :, k]
+    x, y = np.nonzero((c[:, None] != d[None]) & (same >= (similarity / 100 - SLACK) * HASHES))
+    parent: dict[bytes, bytes] = {}
+
+    def top(n: bytes) -> bytes:
+        while (up := parent.get(n, n)) != n:
+            parent[n] = n = parent.get(up, up)
+        return n
+
+    links = []
+    a, b = one.hashes.to_numpy(), two.hashes.to_numpy()
+    for i in np.argsort(-same[x, y], kind="stable"):
+        u, v = top(c[x[i]]), top(d[y[i]])
+        if u != v:
+            both = np.intersect1d(a[x[i]], b[y[i]], assume_unique=True).size
+            if 100 * both >= similarity * (a[x[i]].size + b[y[i]].size - both):
+                parent[u] = v
+                links.append((one.node.iat[x[i]], two.node.iat[y[i]]))
+    return links
+
+
+def _rest(labelled: DataFrame, sets_of, nodes: DataFrame, similarity: int) -> DataFrame:
+    """Links between the components that share a bucket, but for those known.
+    ``labelled``: bucket, node, component; ``sets_of`` gives nodes' sets."""
+    counted = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
+    mixed = counted.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("m"), F.sum("k").alias("n"), F.count(F.lit(1)).alias("parts"))
+    # in a bucket of two nodes one is the pivot
+    mixed = mixed.where("parts > 1 and n > 2").select("bucket", F.col("m.component").alias("main"), "n", (F.col("n") - F.col("m.k")).alias("n_minor"))
+    members = written(labelled.join(written(mixed, "mixed_buckets"), "bucket").withColumn("minor", F.col("component") != F.col("main")), "mixed_members")
+    own = members.select("node").distinct().join(nodes.select("node", "doc_id", "signature"), "node")
+    own = written(own, "mixed_nodes")
+    full = written(own.select("node", "signature").join(sets_of(own), "node"), "mixed_sets")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    left = members.where("minor").select("bucket", "node", "component", place("n_minor").alias("i"), upto("n").alias("j"), F.lit(True).alias("left"))
+    right = members.select("bucket", "node", "component", place("n").alias("j"), upto("n_minor").alias("i"), F.lit(False).alias("left"))
+    both = left.unionByName(right)
+    bins = max(1, -(-both.count() // UNIT_ROWS))
+
+    def compare(units: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, unit in units.groupby(["bucket", "i", "j"], sort=False):
+            side = unit.left.to_numpy()
+            if side.any() and not side.all():
+                found += _unit_links(unit[side], unit[~side], similarity)
+        return pd.DataFrame(found, columns=["u", "v"])
+
+    dealt = both.join(full, "node").groupBy(F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(bins)))
+    return dealt.applyInPandas(compare, "u binary, v binary")
 
 
 def near_duplicate_components(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, width: int, similarity: int) -> DataFrame:
     """(node, component) for the nodes (doc_id, node, signature) that are linked."""
-    search = _Search(docs, doc_id, text, width, similarity, nodes)
-    pairs = search.with_pivots(search.pivots(FIRST_BANDS), FIRST_BANDS).where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
-    links = search.confirmed(pairs.distinct())
-
-    members = written(search.with_pivots(search.pivots(BANDS), BANDS), "bucket_members")
-    known = written(connected_components(links), "first_components")
-    of = lambda name: known.select(F.col("node").alias(name), F.col("component").alias(f"{name}_component"))
-    pairs = members.where("node <> pivot").select("node", "pivot").distinct().join(of("node"), "node", "left").join(of("pivot"), "pivot", "left")
-    apart = F.coalesce("node_component", "node") != F.coalesce("pivot_component", "pivot")
-    links = links.union(search.confirmed(pairs.where(apart).select(F.col("node").alias("u"), F.col("pivot").alias("v"))))
-
-    mixed = written(search.labelled(members.select("bucket", "band", "node"), links), "labelled_members")
-    return connected_components(links.union(search.confirmed(search.rest(mixed))))
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        return _sets(docs, some.select("doc_id", "node"), doc_id, text, width)
+
+    buckets = _buckets(nodes)
+    order = F.struct(F.xxhash64("node").alias("h"), "node")
+    pivots = buckets.groupBy("bucket").agg(F.min(order).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = written(buckets.join(written(pivots.select("bucket", F.col("p.node").alias("pivot")), "pivots"), "bucket"), "bucket_members")
+
+    pairs = members.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
+    pairs = written(_promising(pairs, nodes, similarity), "promising_pairs")
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    links = written(_confirmed(pairs, sets_of(nodes.join(ends, "node", "left_semi")), similarity), "links")
+    known = written(connected_components(links), "components_so_far")
+    labelled = members.select("bucket", "node").join(known, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    more = _rest(written(labelled, "labelled_members"), sets_of, nodes, similarity)
+    # the stars so far stand for the links so far
+    stars = known.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return connected_components(stars.union(more))
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: int = 80) -> DataFrame:
