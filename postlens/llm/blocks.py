@@ -2,12 +2,14 @@
 
 Operators that read the corpus several times turn it into blocks once: some
 million words of whole documents, with the block's distinct words and a number
-for each word. Blocks are written to the shared folder, compressed, and later
-steps find a block by its number.
+for each word. Blocks are written to the shared folder, compressed, as a table
+bucketed by their number: what later steps join to a block comes to it, and
+blocks themselves are not shuffled.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.common import text_of, written
+from postlens.llm.common import text_of
+from postlens.session import scratch_path
 
 #: Words in a block, about; a longer document is a block of its own.
 BLOCK_WORDS = 1 << 20
@@ -91,7 +94,13 @@ def word_blocks(docs: DataFrame, doc_id: str, text: str, lower: bool = False, bl
             yield made(block, ids, sizes, words)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    return written(rows.mapInArrow(cut, SCHEMA), "word_blocks")
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    # a word takes some six bytes; about a bucket for each block
+    buckets = max(1, -(-size // (6 * block_words)))
+    spark, name = docs.sparkSession, f"postlens_blocks_{uuid.uuid4().hex}"
+    made_rows = rows.mapInArrow(cut, SCHEMA).write.bucketBy(buckets, "block")
+    made_rows.option("path", scratch_path(spark, "word_blocks")).saveAsTable(name)
+    return spark.table(name)
 
 
 class Block:

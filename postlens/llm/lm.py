@@ -42,7 +42,7 @@ from postlens.llm.blocks import Block, joined, parted, squeeze, unsqueeze, word_
 from postlens.llm.common import text_of, written
 
 #: The prior of each order from 2.
-PRIORS = (1000.0, 20.0)
+PRIORS = (1000.0,)
 #: Texts whose crc32 of the id has this remainder are held out.
 FOLDS, HELD_OUT = 10, 0
 #: N-grams and words that a shard gets, about, and words in a block.
@@ -52,32 +52,31 @@ END = 0
 
 
 class Bits:
-    """A bit vector with a directory for selection."""
+    """A bit vector with a directory for selection: the ones before each word."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
-        self.ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words.reshape(-1, 8)).sum(axis=1, dtype=np.int64))])
+        self.ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)]).astype(np.int32)
+        self.zeros = np.arange(len(self.ones), dtype=np.int32) * 64 - self.ones
 
     @staticmethod
     def packed(places: np.ndarray, size: int) -> np.ndarray:
-        bits = np.zeros(-(-max(size, 1) // 512) * 512, bool)
+        bits = np.zeros(-(-max(size, 1) // 64) * 64, bool)
         bits[places] = True
         return np.packbits(bits, bitorder="little").view(np.uint64)
 
     def select(self, k: np.ndarray, one: bool) -> np.ndarray:
         """The place of the k-th one or zero, from 0."""
-        before = self.ones if one else np.arange(len(self.ones)) * 512 - self.ones
-        block = np.searchsorted(before, k, "right") - 1
-        rest, word = k - before[block], block * 8
-        for _ in range(7):  # the word within its block
-            n = np.bitwise_count(self.words[word] if one else ~self.words[word])
-            on = (n <= rest) & (word < block * 8 + 7)
-            rest, word = rest - np.where(on, n, 0), word + on
-        bits, place = (self.words[word] if one else ~self.words[word]), np.zeros(len(k), np.int64)
-        for width in (32, 16, 8, 4, 2, 1):  # the bit within its word
-            low = np.bitwise_count((bits >> place.astype(np.uint64)) & np.uint64((1 << width) - 1))
+        before = self.ones if one else self.zeros
+        word = np.searchsorted(before, k.astype(np.int32), "right") - 1
+        rest = (k - before[word]).astype(np.uint8)
+        bits, place = (self.words[word] if one else ~self.words[word]), np.zeros(len(k), np.uint8)
+        for width in (32, 16, 8, 4, 2, 1):  # the bit within its word, by halves
+            low = np.bitwise_count(bits & np.uint64((1 << width) - 1))
             on = low <= rest
-            rest, place = rest - np.where(on, low, 0), place + on * width
+            rest -= low * on
+            place += on * np.uint8(width)
+            bits >>= on * np.uint64(width)
         return word * 64 + place
 
 
@@ -161,24 +160,34 @@ class Trie:
 
     def find(self, columns: list[np.ndarray]) -> np.ndarray:
         """Each n-gram's place among the codes, or -1."""
+        if len(self.words) > 1:  # contexts repeat: their first word is looked up once
+            first, of = np.unique(columns[0], return_inverse=True)
+            at = self._level(0, first, np.zeros(len(first), np.int64), np.full(len(first), self.words[0].n, np.int64))
+            at = at[of]
+            alive = np.flatnonzero(at >= 0)
+            return self._below(columns, alive, at[alive])
         n = len(columns[0])
-        place, alive = np.full(n, -1, np.int64), np.arange(n)
-        low, high = np.zeros(n, np.int64), np.full(n, self.words[0].n, np.int64)
-        for k, words in enumerate(self.words):
-            if not len(alive):
-                return place
-            base = np.where(low > 0, words[np.maximum(low - 1, 0)], 0)
-            value = columns[k][alive] + base
-            inside = value <= words[high - 1]
-            alive, low, high, value = alive[inside], low[inside], high[inside], value[inside]
-            at = words.successor(low, high, value)
-            exact = words[np.minimum(at, words.n - 1)] == value
-            alive, at = alive[exact], at[exact]
-            if k + 1 < len(self.words):
-                low, high = self.pointers[k][at], self.pointers[k][at + 1]
+        return self._level(0, columns[0], np.zeros(n, np.int64), np.full(n, self.words[0].n, np.int64))
+
+    def _below(self, columns: list[np.ndarray], alive: np.ndarray, at: np.ndarray) -> np.ndarray:
+        place = np.full(len(columns[0]), -1, np.int64)
+        for k in range(1, len(self.words)):
+            at = self._level(k, columns[k][alive], self.pointers[k - 1][at], self.pointers[k - 1][at + 1])
+            alive, at = alive[at >= 0], at[at >= 0]
         place[alive] = at
         return place
 
+    def _level(self, k: int, numbers: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Where each number stands between low and high, or -1."""
+        words = self.words[k]
+        base = np.where(low > 0, words[np.maximum(low - 1, 0)], 0) if k else 0
+        value = numbers + base
+        inside = value <= words[high - 1]
+        value = np.where(inside, value, base)
+        at = words.successor(low, high, value)
+        found = inside & (words[np.minimum(at, words.n - 1)] == value)
+        return np.where(found, at, -1)
+
 
 class TrieFile:
     """A trie's parts in a file without a name, mapped into memory."""
@@ -241,9 +250,10 @@ class _Known:
         # round 1: each word's count and number
         self.numbers, count = np.zeros(len(block.words) + 1, np.int64), np.zeros(len(block.words) + 1, np.int64)
         count[END] = texts
+        word_shards = _shards_of(block.words, row["word_shards"])
         for shard, reply in self._replies(row, 1):
             counts, numbers = map(unsqueeze, parted(reply))
-            mine = np.flatnonzero(_shards_of(block.words, row["word_shards"]) == shard) + 1
+            mine = np.flatnonzero(word_shards == shard) + 1
             count[mine], self.numbers[mine] = counts, numbers
         self.base = np.log10((count + 0.1) / (n + 0.1 * (distinct + 1)))
         self.count, self.grams, self.logs, self.codes = count, [_Grams(self.tokens, 1, None)], [self.base], [None]

@@ -257,20 +257,20 @@ def test_scores_sample(sample, priors):
 
 
 def test_scores_edges(edge_docs, edge_pairs, no_docs):
-    check_scores(lm.lm_scores(edge_docs).collect(), edge_pairs, lm.PRIORS)
+    check_scores(lm.lm_scores(edge_docs, priors=(1000.0, 20.0)).collect(), edge_pairs, (1000.0, 20.0))
     assert lm.lm_scores(no_docs).collect() == []
 
 
 def test_scores_without_training(spark):
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
     rows = [(i, "only held out words") for i in held]
-    check_scores(lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows, lm.PRIORS)
+    check_scores(lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), priors=(1000.0, 20.0)).collect(), rows, (1000.0, 20.0))
 
 
 def test_model_is_written(spark, sample):
     docs, _ = sample
     path = scratch_path(spark, "model")
-    lm.lm_scores(docs, model_path=path).collect()
+    lm.lm_scores(docs, priors=(1000.0, 20.0), model_path=path).collect()
     tries = spark.read.parquet(path).collect()
     assert {t.order for t in tries} == {2, 3}
     for t in tries:
