@@ -46,7 +46,7 @@ PRIORS = (1000.0,)
 #: Texts whose crc32 of the id has this remainder are held out.
 FOLDS, HELD_OUT = 10, 0
 #: N-grams and words that a shard gets, about, and words in a block.
-SHARD_NGRAMS, SHARD_WORDS, BLOCK_WORDS = 1 << 20, 1 << 20, 1 << 21
+SHARD_NGRAMS, SHARD_WORDS, BLOCK_WORDS = 1 << 20, 1 << 20, 3 << 19
 CODES = 255
 END = 0
 

@@ -16,9 +16,10 @@ are not compared all with all:
    mostly share it, and a node has few pivots.
 2. The rest, exactly: in buckets that still hold several components, the nodes
    outside the largest one meet all others, in units of two blocks of at most
-   about 256 nodes, to which the units' sets are sent once. A unit compares
-   signatures in arrays, and then full sets, the likeliest pairs first and
-   only of components that it has not joined yet.
+   about 2048 nodes. A unit first compares signatures in arrays, each pair in
+   the first bucket that it shares. The nodes of the pairs that pass, and only
+   these, come to their unit again with their full sets; there the likeliest
+   pairs are compared first, and only components that are not joined yet.
 
 No link between components is lost, and no bucket is joined with itself.
 """
@@ -43,7 +44,7 @@ HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
 #: By how much the share of equal minima may fall short of the similarity.
 SLACK = 0.17
-BLOCK = 256
+BLOCK = 2048
 UNIT_ROWS = 20_000
 
 
@@ -162,14 +163,27 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return joined.where(100 * F.col("both") >= similarity * (F.size("a") + F.size("b") - F.col("both"))).select("u", "v")
 
 
-def _unit_links(one: pd.DataFrame, two: pd.DataFrame, similarity: int) -> list[tuple[bytes, bytes]]:
-    """Links that join the components of two blocks' nodes."""
+def _unit_pairs(one: pd.DataFrame, two: pd.DataFrame, similarity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of two blocks' nodes that may link their components: the
+    signatures agree well enough, and in no band before this bucket's. The
+    best agreement comes first."""
     s, t = (np.frombuffer(b"".join(x.signature), "<u4").reshape(-1, HASHES) for x in (one, two))
-    c, d = one.component.to_numpy(), two.component.to_numpy()
-    same = np.zeros((len(one), len(two)), np.int32)
+    same = np.zeros((len(one), len(two)), np.int16)
     for k in range(HASHES):
         same += s[:, k, None] == t[None, :, k]
-    x, y = np.nonzero((c[:, None] != d[None]) & (same >= (similarity / 100 - SLACK) * HASHES))
+    apart = one.component.to_numpy()[:, None] != two.component.to_numpy()[None]
+    x, y = np.nonzero(apart & (same >= (similarity / 100 - SLACK) * HASHES))
+    first = np.concatenate([np.zeros(0, np.int64)] + [
+        (s[x[i : i + 10_000]] == t[y[i : i + 10_000]]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) for i in range(0, len(x), 10_000)
+    ])
+    own = first == one.band.iat[0]
+    x, y = x[own], y[own]
+    order = np.argsort(-same[x, y], kind="stable")
+    return x[order], y[order]
+
+
+def _unit_links(one: pd.DataFrame, two: pd.DataFrame, similarity: int) -> list[tuple[bytes, bytes]]:
+    """Links that join the components of two blocks' nodes."""
     parent: dict[bytes, bytes] = {}
 
     def top(n: bytes) -> bytes:
@@ -178,46 +192,64 @@ def _unit_links(one: pd.DataFrame, two: pd.DataFrame, similarity: int) -> list[t
         return n
 
     links = []
+    c, d = one.component.to_numpy(), two.component.to_numpy()
     a, b = one.hashes.to_numpy(), two.hashes.to_numpy()
-    for i in np.argsort(-same[x, y], kind="stable"):
-        u, v = top(c[x[i]]), top(d[y[i]])
+    for x, y in zip(*(i.tolist() for i in _unit_pairs(one, two, similarity))):
+        u, v = top(c[x]), top(d[y])
         if u != v:
-            both = np.intersect1d(a[x[i]], b[y[i]], assume_unique=True).size
-            if 100 * both >= similarity * (a[x[i]].size + b[y[i]].size - both):
+            both = np.intersect1d(a[x], b[y], assume_unique=True).size
+            if 100 * both >= similarity * (a[x].size + b[y].size - both):
                 parent[u] = v
-                links.append((one.node.iat[x[i]], two.node.iat[y[i]]))
+                links.append((one.node.iat[x], two.node.iat[y]))
     return links
 
 
+UNIT = ["band", "bucket", "i", "j"]
+
+
+def _by_unit(units: DataFrame, bins: int, what, schema: str) -> DataFrame:
+    """``what(left rows, right rows)`` for each unit, many units in a group."""
+
+    def each(group: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, unit in group.groupby(UNIT, sort=False):
+            side = unit.left.to_numpy()
+            if side.any() and not side.all():
+                found += what(unit[side], unit[~side])
+        return pd.DataFrame(found, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return units.groupBy(F.pmod(F.xxhash64(*UNIT), F.lit(bins))).applyInPandas(each, schema)
+
+
 def _rest(labelled: DataFrame, sets_of, nodes: DataFrame, similarity: int) -> DataFrame:
     """Links between the components that share a bucket, but for those known.
-    ``labelled``: bucket, node, component; ``sets_of`` gives nodes' sets."""
+    ``labelled``: band, bucket, node, component; ``sets_of`` gives nodes' sets."""
     counted = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
     mixed = counted.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("m"), F.sum("k").alias("n"), F.count(F.lit(1)).alias("parts"))
     # in a bucket of two nodes one is the pivot
     mixed = mixed.where("parts > 1 and n > 2").select("bucket", F.col("m.component").alias("main"), "n", (F.col("n") - F.col("m.k")).alias("n_minor"))
     members = written(labelled.join(written(mixed, "mixed_buckets"), "bucket").withColumn("minor", F.col("component") != F.col("main")), "mixed_members")
-    own = members.select("node").distinct().join(nodes.select("node", "doc_id", "signature"), "node")
-    own = written(own, "mixed_nodes")
-    full = written(own.select("node", "signature").join(sets_of(own), "node"), "mixed_sets")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     place = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    left = members.where("minor").select("bucket", "node", "component", place("n_minor").alias("i"), upto("n").alias("j"), F.lit(True).alias("left"))
-    right = members.select("bucket", "node", "component", place("n").alias("j"), upto("n_minor").alias("i"), F.lit(False).alias("left"))
-    both = left.unionByName(right)
-    bins = max(1, -(-both.count() // UNIT_ROWS))
-
-    def compare(units: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for _, unit in units.groupby(["bucket", "i", "j"], sort=False):
-            side = unit.left.to_numpy()
-            if side.any() and not side.all():
-                found += _unit_links(unit[side], unit[~side], similarity)
-        return pd.DataFrame(found, columns=["u", "v"])
-
-    dealt = both.join(full, "node").groupBy(F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(bins)))
-    return dealt.applyInPandas(compare, "u binary, v binary")
+    what = ["band", "bucket", "node", "component"]
+    left = members.where("minor").select(*what, place("n_minor").alias("i"), upto("n").alias("j"), F.lit(True).alias("left"))
+    right = members.select(*what, place("n").alias("j"), upto("n_minor").alias("i"), F.lit(False).alias("left"))
+    units = left.unionByName(right)
+    bins = max(1, -(-units.count() // UNIT_ROWS))
+    columns = "band int, bucket long, i int, j int, left boolean, node binary, component binary"
+
+    def promising(one: pd.DataFrame, two: pd.DataFrame) -> list[tuple]:
+        x, y = _unit_pairs(one, two, similarity)
+        key = tuple(one[UNIT].iloc[0])
+        return [(*key, left, n, c) for side, at, left in ((one, x, True), (two, y, False)) for n, c in side[["node", "component"]].iloc[np.unique(at)].itertuples(index=False)]
+
+    signed = units.join(nodes.select("node", "signature"), "node")
+    close = written(_by_unit(signed, bins, promising, columns), "close_nodes")
+    own = written(nodes.join(close.select("node").distinct(), "node", "left_semi").select("doc_id", "node", "signature"), "close_sets")
+    full = own.select("node", "signature").join(sets_of(own), "node")
+    bins = max(1, -(-close.count() * 4 // UNIT_ROWS))
+    return _by_unit(close.join(full, "node"), bins, lambda one, two: _unit_links(one, two, similarity), "u binary, v binary")
 
 
 def near_duplicate_components(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, width: int, similarity: int) -> DataFrame:
@@ -236,7 +268,7 @@ def near_duplicate_components(docs: DataFrame, nodes: DataFrame, doc_id: str, te
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     links = written(_confirmed(pairs, sets_of(nodes.join(ends, "node", "left_semi")), similarity), "links")
     known = written(connected_components(links), "components_so_far")
-    labelled = members.select("bucket", "node").join(known, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    labelled = members.select("band", "bucket", "node").join(known, "node", "left").select("band", "bucket", "node", F.coalesce("component", "node").alias("component"))
     more = _rest(written(labelled, "labelled_members"), sets_of, nodes, similarity)
     # the stars so far stand for the links so far
     stars = known.select(F.col("node").alias("u"), F.col("component").alias("v"))
