@@ -108,7 +108,7 @@ class Model:
         return len(w), sum(self.counts[1][(x,)] > 0 for x in w), base, full
 
 
-def levenshtein(a: str, b: str) -> int:
+def levenshtein(a, b) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i

@@ -150,6 +150,12 @@ def simhash(line: str, hashes: dict) -> int:
     return sum(1 << b for b in range(60) if 2 * sum(hashes[x] >> b & 1 for x in w) > len(w))
 
 
+def edits(a: str, b: str) -> float:
+    a, b = a.split(" "), b.split(" ")
+    longer = max(len(a), len(b))
+    return (longer - plain.levenshtein(a, b)) / longer
+
+
 def fuzzy(spark, pairs, similarity: float) -> dict:
     """(doc_id, pos) -> kept, by comparing all lines with all."""
     lines = {}
@@ -167,7 +173,7 @@ def fuzzy(spark, pairs, similarity: float) -> dict:
         (a, b)
         for a in distinct
         for b in distinct
-        if a < b and bin(sims[a] ^ sims[b]).count("1") <= 3 and max(len(a), len(b)) - plain.levenshtein(a, b) >= similarity * max(len(a), len(b))
+        if a < b and bin(sims[a] ^ sims[b]).count("1") <= 3 and edits(a, b) >= similarity
     ]
     found = plain.groups(distinct, links)
     first = {}
