@@ -138,7 +138,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int
 def _buckets(nodes: DataFrame) -> DataFrame:
     """(band, bucket, node): a row for each band."""
     keys = [F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), F.substring("signature", 4 * ROWS * b + 1, 4 * ROWS)).alias("bucket")) for b in range(BANDS)]
-    return nodes.select("node", F.explode(F.array(*keys)).alias("k")).select("k.band", "k.bucket", "node")
+    return nodes.select("node", "n_shingles", F.explode(F.array(*keys)).alias("k")).select("k.band", "k.bucket", "node", "n_shingles")
 
 
 def _promising(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
@@ -253,17 +253,19 @@ def _rest(labelled: DataFrame, sets_of, nodes: DataFrame, similarity: int) -> Da
 
 
 def near_duplicate_components(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, width: int, similarity: int) -> DataFrame:
-    """(node, component) for the nodes (doc_id, node, signature) that are linked."""
+    """(node, component) for the nodes (doc_id, node, n_shingles, signature) that are linked."""
 
     def sets_of(some: DataFrame) -> DataFrame:
         return _sets(docs, some.select("doc_id", "node"), doc_id, text, width)
 
     buckets = _buckets(nodes)
-    order = F.struct(F.xxhash64("node").alias("h"), "node")
+    order = F.struct(F.xxhash64("node").alias("h"), "node", "n_shingles")
     pivots = buckets.groupBy("bucket").agg(F.min(order).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(buckets.join(written(pivots.select("bucket", F.col("p.node").alias("pivot")), "pivots"), "bucket"), "bucket_members")
+    members = written(buckets.join(written(pivots.select("bucket", F.col("p.node").alias("pivot"), F.col("p.n_shingles").alias("pivot_size")), "pivots"), "bucket"), "bucket_members")
 
-    pairs = members.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
+    # sets whose sizes differ too much cannot be similar enough
+    smaller, larger = F.least("n_shingles", "pivot_size"), F.greatest("n_shingles", "pivot_size")
+    pairs = members.where((F.col("node") != F.col("pivot")) & (100 * smaller >= similarity * larger)).select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
     pairs = written(_promising(pairs, nodes, similarity), "promising_pairs")
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     links = written(_confirmed(pairs, sets_of(nodes.join(ends, "node", "left_semi")), similarity), "links")
@@ -290,7 +292,7 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     if not 80 <= similarity <= 100:
         raise ValueError("the bands are made for similarities of 80 to 100")
     rows = written(sketches(docs, doc_id, text, width), "sketches")
-    grouped = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.count(F.lit(1)).alias("n"))
+    grouped = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.count(F.lit(1)).alias("n"))
     nodes = written(grouped, "nodes")
     components = written(near_duplicate_components(docs, nodes.drop("n"), doc_id, text, width, similarity), "components")
     own = nodes.drop("signature").join(components, "node", "left").select("node", "doc_id", "n", F.coalesce("component", "node").alias("component"), F.col("component").isNotNull().alias("linked"))
