@@ -52,7 +52,7 @@ def op9_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy_lines.fuzzy_line_report(table(spark, sf_dir, "documents"))
+    return fuzzy_lines.fuzzy_line_report(table(spark, sf_dir, "documents"), max_bits=None)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import collections
 import math
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from postlens.llm import exact_dedup, fuzzy_lines, mixing, quality
+from postlens.llm import exact_dedup, fuzzy_lines, mixing, quality, queries
 from tests.llm import plain
 
 
@@ -209,6 +210,46 @@ def test_fuzzy_lines(spark):
     assert got == expected
 
 
+def test_all_similar_lines(spark):
+    """Against all pairs, without the SimHash; lines of 1 to 60 words with up to a quarter of the words edited."""
+    draw = random.Random(4)
+    word = lambda: f"w{draw.randrange(60)}"
+    lines = []
+    for n in [*range(1, 31), 40, 60]:
+        base = [word() for _ in range(n)]
+        for edits in (0, 1, n // 5, n // 5, n // 4):
+            w = list(base)
+            for _ in range(edits):
+                k = draw.randrange(len(w) + 1)
+                w[k : k + draw.randrange(2)] = [word()] * draw.randrange(2)
+            lines.append(" ".join(w) or "none")
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(5)
+    distinct = sorted(set(lines))
+    links = [(a, b) for a in distinct for b in distinct if a < b and edits_at_least(a, b, 0.8)]
+    found = plain.groups(distinct, links)
+    first = {}
+    for i, line in enumerate(lines):
+        first.setdefault(found[line], i)
+    got = {r.doc_id: r.kept for r in fuzzy_lines.fuzzy_lines(docs, max_bits=None).collect()}
+    assert len(links) > 60
+    assert got == {i: first[found[line]] == i for i, line in enumerate(lines)}
+    lost = {r.doc_id: r.kept for r in fuzzy_lines.fuzzy_lines(docs).collect()}
+    assert sum(got.values()) < sum(lost.values())
+
+
+def edits_at_least(a: str, b: str, similarity: float) -> bool:
+    n, m = a.count(" ") + 1, b.count(" ") + 1
+    return min(n, m) >= similarity * max(n, m) and edits(a, b) >= similarity
+
+
+def test_query_links_a_changed_word(spark, tmp_path):
+    base = " ".join(f"word{k}" for k in range(10))
+    rows = [(1, base), (2, base.replace("word4", "other")), (3, "nothing like the others")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_dropped for r in queries.op10_fuzzy_lines(spark, str(tmp_path)).collect()}
+    assert got == {1: 0, 2: 1, 3: 0}
+
+
 def test_fuzzy_lines_edges(spark, edge_docs, edge_rows, no_docs):
     pairs = [(r[0], r[1]) for r in edge_rows if r[0] not in (18, None)]
     docs = spark.createDataFrame(pairs, "doc_id long, text string")
