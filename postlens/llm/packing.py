@@ -1,15 +1,23 @@
 """Packing documents into sequences by lexical retrieval.
 
-Rows are tokenised where they are read, and dealt out evenly to shards of about
-``SHARD_BYTES`` of text. A document's whole windows are sequences of their own;
-what is left of it waits in its shard. A shard holds a BM25 inverted index over
-its documents, the terms being token ids. The next unused document is the seed
-of a window, and its best unused neighbours fill the window greedily; the
-neighbour that reaches the window's end is cut there, and its rest is the next
-seed. So only a shard's last sequence can have room left.
-
-A row's shard depends on its task and its place in it, not on a key, so no key
-or source, however frequent, makes a shard large.
+Rows are tokenised where they are read, and written. Documents are dealt by
+content to shards of about ``SHARD_BYTES`` of text, so that related ones meet
+wherever they stand in the corpus: a document's key is its nearest of a few
+centroids (projected term weights, learnt from a sample) and, within that, its
+heaviest term, weighted by the corpus's document frequencies. Keys lie in a row
+by the tokens they hold, and the row is cut into shards. A key that fits into a
+shard stays together; in a larger one's stretch, a document's place is drawn
+from its row's number, so a key, however frequent, is spread over the shards it
+fills. A neighbour of another key is found only if its key falls into the same
+shard: the search is approximate.
+
+A document's whole windows are sequences of their own; what is left of it waits
+in its shard. A shard holds a BM25 inverted index over the whole texts of its
+documents, the terms being token ids, with the corpus's idf and mean length.
+The next unused document is the seed of a window, and its best unused
+neighbours in the shard fill the window greedily; the neighbour that reaches
+the window's end is cut there, and its rest is the next seed. So only a shard's
+last sequence can have room left.
 """
 
 from __future__ import annotations
@@ -29,7 +37,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import CharDelimiterSplit
 
-from postlens.llm.common import text_of, worker_cache
+from postlens.llm.common import text_of, worker_cache, written
 
 WINDOW = 4096
 END = 2
@@ -37,6 +45,8 @@ SHARD_BYTES = 2 << 20
 K1, B = 1.2, 0.75
 #: Words that a worker remembers before it starts over.
 MOST_WORDS = 1_000_000
+#: Centroids, dimensions of the projection, and documents that centroids are learnt from.
+CENTROIDS, DIMENSIONS, SAMPLE = 16, 64, 4000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -134,10 +144,51 @@ def _gathered(values: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[
     return values[gather], starts
 
 
+class Corpus:
+    """What is known of the whole corpus: each term's document frequency and
+    idf, the mean length, and the centroids."""
+
+    def __init__(self, df: np.ndarray, n: int, tokens: int):
+        self.df, self.n, self.mean = df, n, tokens / max(n, 1)
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        self.centroids = np.zeros((1, DIMENSIONS), np.float32)
+
+    def weights(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The document's terms, and their weights."""
+        terms, counts = np.unique(ids, return_counts=True)
+        return terms, counts * (K1 + 1) / (counts + K1) * self.idf[terms]
+
+    def vector(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The weights projected on few dimensions, of length 1."""
+        size = len(self.df)
+        plane = worker_cache(f"projection {size}", lambda: np.random.default_rng(7).standard_normal((size, DIMENSIONS), np.float32))
+        v = weights.astype(np.float32) @ plane[terms]
+        return v / max(np.linalg.norm(v), 1e-9)
+
+    def learn(self, vectors: np.ndarray) -> None:
+        """Spherical k-means."""
+        vectors = vectors[np.lexsort(vectors.T)]
+        centroids = vectors[:: max(1, len(vectors) // CENTROIDS)][:CENTROIDS].copy()
+        for _ in range(8):
+            nearest = np.argmax(vectors @ centroids.T, 1)
+            for k in np.unique(nearest):
+                v = vectors[nearest == k].sum(0)
+                centroids[k] = v / max(np.linalg.norm(v), 1e-9)
+        self.centroids = centroids
+
+    def key(self, ids: np.ndarray) -> int:
+        """The nearest centroid and the heaviest term. A term that no other
+        document has brings no neighbour, so it counts nothing."""
+        terms, weights = self.weights(ids)
+        shared = np.where(self.df[terms] > 1, weights, 0.0)
+        return int(np.argmax(self.centroids @ self.vector(terms, weights))) * len(self.df) + int(terms[np.argmax(shared)])
+
+
 class Bm25:
-    """An inverted index over documents given as arrays of terms."""
+    """An inverted index over documents given as arrays of terms. The idf of
+    each term and the mean length are those of ``corpus``, or of the documents."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
         lengths = np.array([len(d) for d in docs], np.float64)
         sets = [np.unique(d, return_counts=True) for d in docs]
         self.terms = [t for t, _ in sets]
@@ -146,8 +197,8 @@ class Bm25:
         owners = np.repeat(np.arange(len(docs)), [len(t) for t, _ in sets])
         order = np.argsort(terms, kind="stable")
         vocabulary, first, df = np.unique(terms[order], return_index=True, return_counts=True)
-        norm = K1 * (1 - B + B * lengths / lengths.mean())
-        idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * lengths / (corpus.mean if corpus else lengths.mean()))
+        idf = corpus.idf[vocabulary] if corpus else np.log1p((len(docs) - df + 0.5) / (df + 0.5))
         weight = counts * (K1 + 1) / (counts + norm[owners])
         self.vocabulary, self.first, self.df = vocabulary, first, df
         self.owners = owners[order]
@@ -163,10 +214,11 @@ class Bm25:
         return np.bincount(self.owners[postings], self.weights[postings], self.n)
 
 
-def fill(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+def fill(docs: list[np.ndarray], window: int = WINDOW, whole: list[np.ndarray] | None = None, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start in it, length, sequence, offset there) of
-    documents shorter than a window, each id in exactly one piece."""
-    index, pieces = Bm25(docs), []
+    documents shorter than a window, each id in exactly one piece. Neighbours
+    are those of the texts ``whole``, of which ``docs`` may be the ends."""
+    index, pieces = Bm25(whole or docs, corpus), []
     unused = np.ones(len(docs), bool)
     sequence, room, waiting, rest = 0, window, [], None
     next_seed = 0
@@ -195,6 +247,70 @@ def fill(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, i
             sequence, room, waiting = sequence + 1, window, []
 
 
+class Stretches:
+    """Each key's place in a row of all keys, as long as the tokens it holds."""
+
+    def __init__(self, keys: np.ndarray, tokens: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.tokens = keys[order], tokens[order]
+        self.first, self.total = np.cumsum(self.tokens) - self.tokens, int(tokens.sum())
+
+    def shard(self, key: int, task: int, row: int, shards: int) -> int:
+        k = int(np.searchsorted(self.keys, key))
+        tokens = int(self.tokens[k])
+        # what fits into one shard stays together, what does not is drawn over its stretch
+        within = zlib.crc32(b"%d %d" % (task, row)) / 2**32 if tokens * shards > self.total else 0.5
+        return min(shards - 1, int((int(self.first[k]) + within * tokens) * shards / self.total))
+
+
+def _corpus(tokenised: DataFrame) -> Corpus:
+    """Only a number per term and the sample's vectors come to the driver."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, tokens = np.zeros(1, np.int64), 0, 0
+        for batch in batches:
+            for ids in batch.column(0).to_pylist():
+                ids = np.frombuffer(ids, "<u4")
+                terms = np.unique(ids)
+                if terms[-1] >= len(df):
+                    df = np.append(df, np.zeros(int(terms[-1]) + 1 - len(df), np.int64))
+                df[terms] += 1
+                n, tokens = n + 1, tokens + len(ids)
+        terms = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *terms.tolist()], pa.int64()), pa.array([tokens, n, *df[terms].tolist()], pa.int64())], ["term", "n"])
+
+    rows = tokenised.select("ids").mapInArrow(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
+    n, tokens = found.pop(-1, 0), found.pop(-2, 0)
+    df = np.zeros(max(found, default=0) + 1, np.int64)
+    df[list(found)] = list(found.values())
+    corpus = Corpus(df, n, tokens)
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [corpus.vector(*corpus.weights(np.frombuffer(ids, "<u4"))).astype("<f4").tobytes() for ids in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["vector"])
+
+    share = 1 << 20 if n <= SAMPLE else max(1, (SAMPLE << 20) // n)
+    sample = tokenised.where(F.pmod(F.xxhash64("task", "row"), F.lit(1 << 20)) < share).select("ids")
+    found = [np.frombuffer(r, "<f4") for r in sample.mapInArrow(vectors, "vector binary").toArrow().column(0).to_pylist()]
+    if found:
+        corpus.learn(np.array(found))
+    return corpus
+
+
+def _stretches(tokenised: DataFrame, corpus: Corpus) -> Stretches:
+    """At most a key per centroid and term comes to the driver."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [np.frombuffer(ids, "<u4") for ids in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([corpus.key(t) for t in texts], pa.int64()), pa.array([len(t) for t in texts], pa.int64())], ["key", "n"])
+
+    rows = tokenised.select("ids").mapInArrow(keyed, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    return Stretches(rows.column(0).to_numpy(), rows.column(1).to_numpy())
+
+
 def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END, shard_bytes: int = SHARD_BYTES, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id and offset; ``with_ids`` adds the piece's ids (binary, unsigned
@@ -220,22 +336,38 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
             while first < batch.num_rows:
                 last = max(first + 1, first + int(np.searchsorted(np.cumsum(sizes[first:]), shard_bytes)))
                 ids, at = encoder.encode(batch.column(1).slice(first, last - first), end)
-                found = []
-                for k, doc in enumerate(batch.column(0).slice(first, last - first).to_pylist()):
-                    own = ids[at[k] : at[k + 1]]
-                    whole = len(own) // window * window
-                    shard = (task * 7919 + seen) % shards
-                    for start in range(0, len(own), window):
-                        part = own[start : start + window].astype("<u4")
-                        found.append((shard, task, seen, doc, start, len(own), zlib.crc32(part.tobytes()) if start < whole else None, part.tobytes() if start >= whole or with_ids else None))
-                    seen += 1
-                columns = list(zip(*found))
-                kinds = [pa.int64()] * 7 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+                found = [ids[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:])]
+                n = last - first
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([task] * n, pa.int64()), pa.array(range(seen, seen + n), pa.int64()), batch.column(0).slice(first, n), pa.array(found, pa.binary())],
+                    ["task", "row", "doc_id", "ids"],
+                )
+                seen += n
                 first = last
 
-    names = ["shard", "task", "row", "doc_id", "start", "doc_tokens", "crc", "ids"]
-    tokenised = rows.mapInArrow(tokenise, "shard long, task long, row long, doc_id long, start long, doc_tokens long, crc long, ids binary")
+    tokenised = written(rows.mapInArrow(tokenise, "task long, row long, doc_id long, ids binary"), "tokenised")
+    corpus = _corpus(tokenised)
+    stretches = _stretches(tokenised, corpus)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for task, row, doc, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                own = np.frombuffer(ids, "<u4")
+                full = len(own) // window * window
+                shard = stretches.shard(corpus.key(own), task, row, shards)
+                for start in range(0, len(own), window):
+                    part = own[start : start + window].tobytes()
+                    crc = zlib.crc32(part) if start < full else None
+                    terms = counts = None
+                    if crc is None and full:
+                        terms, counts = (x.astype("<u4").tobytes() for x in np.unique(own, return_counts=True))
+                    found.append((shard, task, row, doc, start, len(own), crc, part if crc is None or with_ids else None, terms, counts))
+            kinds = [pa.int64()] * 7 + [pa.binary()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*found)) or [[]] * 10, kinds)], names)
+
+    names = ["shard", "task", "row", "doc_id", "start", "doc_tokens", "crc", "ids", "terms", "counts"]
+    dealt = tokenised.mapInArrow(deal, ", ".join(f"{x} long" for x in names[:7]) + ", ids binary, terms binary, counts binary")
     schema = PIECES + ", ids binary" * with_ids
 
     def packed(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -247,11 +379,14 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         if len(rest):
             ids = [np.frombuffer(x, "<u4") for x in rest.ids]
             doc_ids, starts, lengths = rest.doc_id.tolist(), rest.start.tolist(), rest.doc_tokens.tolist()
-            for doc, start, length, sequence, offset in fill(ids, window):
+            texts = [
+                own if t is None else np.repeat(np.frombuffer(t, "<u4"), np.frombuffer(c, "<u4")) for own, t, c in zip(ids, rest.terms, rest.counts)
+            ]
+            for doc, start, length, sequence, offset in fill(ids, window, texts, corpus):
                 part = ids[doc][start : start + length].tobytes()
                 out.append((doc_ids[doc], starts[doc] + start, length, zlib.crc32(part), lengths[doc], base + len(full) + sequence, offset, part))
         frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
         frame["doc_id"] = pd.array([None if x is None or x != x else int(x) for x in frame.doc_id], "Int64")
         return frame if with_ids else frame.drop(columns="ids")
 
-    return tokenised.groupBy("shard").applyInPandas(packed, schema)
+    return dealt.groupBy("shard").applyInPandas(packed, schema)

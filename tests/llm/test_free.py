@@ -139,6 +139,40 @@ def test_pack_ids(sample):
         assert len(p.ids) == 4 * p.length and zlib.crc32(p.ids) == p.ids_crc32
 
 
+def test_pack_finds_neighbours_across_the_corpus(spark):
+    """Pairs of documents of one topic, far apart in the table, over about 20 shards."""
+    draw = random.Random(8)
+    names = (
+        "river stone cloud metal paper garden window bridge engine winter market doctor music soldier island castle "
+        "forest mountain desert ocean harbor village kitchen library school church hospital station airport museum "
+        "theater prison factory palace temple tower valley canyon glacier volcano planet rocket satellite telescope "
+        "microscope computer keyboard monitor printer camera guitar violin piano trumpet drum horse tiger eagle dolphin whale"
+    ).split()
+    topics = [" ".join(f"{name} {draw.choice(names)}" for _ in range(40)) for name in names]
+    rows = [(i, topics[i % 60]) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    size = sum(len(t) for _, t in rows)
+    pieces = packing.pack(docs, WORDS, window=512, shard_bytes=-(-size // 20)).collect()
+    sequences = check_packed(pieces, rows, 512)
+    assert 20 <= len(sequences)
+    shards = collections.defaultdict(set)
+    for p in pieces:
+        shards[p.doc_id].add(p.sequence_id >> 32)
+    together = sum(bool(shards[i] & shards[i + 60]) for i in range(60))
+    assert together >= 40  # by chance 3
+
+
+def test_fill_ranks_by_whole_texts():
+    draw = np.random.default_rng(3)
+    start = draw.integers(0, 100, 60).astype(np.uint32)
+    ends = [np.arange(500, 540, dtype=np.uint32), np.arange(700, 740, dtype=np.uint32), start[:40]]
+    whole = [np.concatenate([start, ends[0]]), ends[1], ends[2]]
+    together = collections.defaultdict(list)
+    for doc, _, _, sequence, _ in packing.fill(ends, 80, whole):
+        together[sequence].append(doc)
+    assert sorted(map(sorted, together.values())) == [[0, 2], [1]]
+
+
 # archive
 
 
