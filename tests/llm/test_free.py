@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from postlens.llm import archive, lm, packing, substrings, token_counts
+from postlens.llm import archive, lm, packing, queries, substrings, token_counts
 from postlens.session import scratch_path
 from tests.llm import plain
 
@@ -310,3 +310,11 @@ def test_model_is_written(spark, sample):
     for t in tries:
         parts = [np.frombuffer(p, np.uint64) for p in lm.parted(bytes(t.trie))]
         assert lm.Trie(parts, t.order).words[0].n > 0
+
+
+def test_the_query_uses_trigrams(spark, sample, monkeypatch):
+    _, rows = sample
+    got = queries.op1_elias_fano_lm(spark, "/root/testdata/sf0.001").collect()
+    check_scores(got, rows, (1000.0, 20.0))
+    bigrams = plain.Model(rows, (1000.0,))
+    assert any(abs(r.score - bigrams.score(t)[3]) > 0.04 * r.n_tokens for r in got for i, t in rows if i == r.doc_id)
