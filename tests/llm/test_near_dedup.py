@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -59,3 +60,10 @@ def test_edges(edge_docs, edge_pairs, no_docs):
     assert near_dedup.near_dedup(no_docs).collect() == []
     with pytest.raises(ValueError):
         near_dedup.near_dedup(no_docs, similarity=50)
+
+
+@pytest.mark.parametrize("similarity", [80, 85])
+def test_signatures_keep_pairs_at_the_threshold(similarity):
+    n, p = near_dedup.HASHES, similarity / 100
+    least = math.ceil((p - near_dedup.SLACK) * n)
+    assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(least)) < 1e-8
