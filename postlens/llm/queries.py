@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import archive, exact_dedup, fuzzy_lines, lm, mixing, near_dedup, packing, quality, sql, substrings, token_counts
+from postlens.llm import archive, ball_codes, exact_dedup, filter_audit, fuzzy_lines, lm, mixing, near_dedup, packing, quality, sql, sql_more, substrings, token_counts, url_blocks
 from postlens.llm.common import table
 
 
@@ -55,10 +55,22 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines.fuzzy_line_report(table(spark, sf_dir, "documents"), max_bits=None)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_codes.ball_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_redirect_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_blocks.url_verdicts(table(spark, sf_dir, "pages"), url_blocks.rule_table(spark))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_elias_fano_lm, op2_line_frequency, op3_exact_dedup, op4_temperature_mixing, op5_minhash, op6_content_archive,
-        op7_fm_index, op8_token_counts, op9_lexical_packing, op10_fuzzy_lines,
+        op7_fm_index, op8_token_counts, op9_lexical_packing, op10_fuzzy_lines, op11_filter_audit, op12_ball_codes, op13_redirect_blocks,
     ]
     return {f.__name__: f for f in found}
 
@@ -71,4 +83,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_minhash": sql.NEAR_DEDUP,
         "op6_content_archive": sql.ARCHIVE,
         "op7_fm_index": sql.SUBSTRINGS,
+        "op11_filter_audit": sql_more.FILTER_AUDIT,
+        "op12_ball_codes": sql_more.BALL_CODES,
+        "op13_redirect_blocks": sql_more.URL_BLOCKS,
     }
