@@ -43,7 +43,7 @@ def main() -> None:
 
     from postlens.operators import classifier
     from postlens.plans import catalog
-    from postlens.sources.testdata import training_features
+    from postlens.sources.testdata import training_words
 
     def measure(run) -> tuple[float, float]:
         """(first run, median of the next ``runs`` runs)."""
@@ -56,7 +56,7 @@ def main() -> None:
 
     cold, timings = {}, {}
     cold["nb_train"], timings["nb_train"] = measure(
-        lambda: classifier.train_features(training_features(spark, sf_dir))
+        lambda: classifier.train_words(training_words(spark, sf_dir))
     )
     queries = catalog.queries()  # these share one trained model
 

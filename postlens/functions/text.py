@@ -47,6 +47,11 @@ MINUTE_POS, MINUTE_LEN = 15, 2
 CREATED_AT_FORMAT = "MMM dd HH:mm:ss Z yyyy"  # applied after the weekday
 # ---------------------------------------------------------------------------
 
+# A word list of up to so many words becomes a constant of the plan.
+FEW_WORDS = 10_000
+# A token of a longer list is joined under so many keys.
+LIST_SALTS = 16
+
 
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -128,22 +133,40 @@ def tokens(text: str | Column, stop_words: Iterable[str] = STOP_WORDS) -> Column
     return F.filter(alpha, lambda w: ~w.isin(list(stop))) if stop else alpha
 
 
-def without_words(df: DataFrame, tokens_col: str, words: DataFrame) -> DataFrame:
+def listed_tokens(pairs: DataFrame, words: DataFrame, token: str = "token", salt_by: str = "key") -> DataFrame:
+    """The rows of ``pairs`` whose ``token`` is in the first column of ``words``.
+
+    A token may be in a third of all rows, so it is joined under ``LIST_SALTS``
+    keys, by a hash of ``salt_by``; the list, each word once, is repeated for them."""
+    salt = "_pl_salt"
+    listed = words.select(F.col(words.columns[0]).alias(token)).where(F.col(token).isNotNull()).distinct()
+    listed = listed.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(LIST_SALTS - 1))))
+    salted = pairs.withColumn(salt, F.pmod(F.xxhash64(salt_by), F.lit(LIST_SALTS)).cast("int"))
+    return salted.join(listed, [token, salt]).drop(salt)
+
+
+def without_words(df: DataFrame, tokens_col: str, words: DataFrame, few: int = FEW_WORDS) -> DataFrame:
     """``df`` with the tokens that ``words`` (its first column) holds taken out
-    of the array ``tokens_col``; order and repeats of the others stay. For
-    lists of any size: the tokens meet the list in an anti join."""
-    row, at, token = "_pl_row", "_pl_at", "_pl_token"
-    rows = df.withColumn(row, F.monotonically_increasing_id())
-    # the other columns travel with a row's first token only
-    own = F.when(F.coalesce(F.col(at), F.lit(0)) == 0, F.struct(*df.columns)).alias("_pl_df")
-    listed = words.select(F.col(words.columns[0]).alias(token)).distinct()
-    each = rows.select("*", F.posexplode_outer(tokens_col).alias(at, token)).select(own, row, at, token)
-    # an anti join by a left join, so that rows that lose every token stay
-    marked = each.join(listed.withColumn("_pl_hit", F.lit(True)), token, "left")
-    kept = F.collect_list(F.when(F.col("_pl_hit").isNull() & F.col(token).isNotNull(), F.struct(at, token)))
-    grouped = marked.groupBy(row).agg(F.first("_pl_df", ignorenulls=True).alias("_pl_df"), F.array_sort(kept).alias("_pl_kept"))
-    cleaned = F.col("_pl_kept").getField(token)
-    return grouped.select(*[cleaned.alias(c) if c == tokens_col else F.col(f"_pl_df.`{c}`").alias(c) for c in df.columns])
+    of the array ``tokens_col``; order and repeats of the others stay. A null
+    array becomes an empty one.
+
+    A list of up to ``few`` words becomes a constant of the plan, and nothing is
+    shuffled. A longer one stays a table: the distinct tokens of each row meet
+    it, only hits come back, and what is taken out is looked up by a digest of
+    the row's tokens. The digest is a stable key: it does not depend on the order
+    of rows, needs no unique id, and rows with equal tokens have equal hits."""
+    own = words.select(F.col(words.columns[0]).alias("word")).where("word is not null").distinct()
+    found = [r.word for r in own.limit(few + 1).collect()]
+    tokens = F.coalesce(tokens_col, F.array().cast("array<string>"))
+    if len(found) <= few:
+        return df.withColumn(tokens_col, F.filter(tokens, lambda w: ~w.isin(found)) if found else tokens)
+    digest, hits = "_pl_digest", "_pl_hits"
+    keyed = df.withColumn(digest, F.md5(F.array_join(tokens, " ")))
+    pairs = keyed.select(F.col(digest).alias("key"), F.explode(F.array_distinct(tokens)).alias("token"))
+    # distinct tokens of one row: bounded by the row
+    taken = listed_tokens(pairs, own).groupBy(F.col("key").alias(digest)).agg(F.collect_set("token").alias(hits))
+    left = F.when(F.col(hits).isNull(), tokens).otherwise(F.filter(tokens, lambda w: ~F.array_contains(hits, w)))
+    return keyed.join(taken, digest, "left").withColumn(tokens_col, left).select(*df.columns)
 
 
 def whole_word_pattern(words: Iterable[str]) -> str:

@@ -3,9 +3,9 @@
     train     --corpus CSV --model DIR [--holdout N]
     validate  --corpus CSV --model DIR [--out DIR]
     analyze   --posts PATH --analysis NAME [--analysis NAME ...] --out DIR [--model DIR] [--chart]
-              [--no-jitter] [--seed N] [--langs [..]]
-    capture   --landing DIR --sink DIR --checkpoint DIR [--langs [..]] [--words [..]] [--continuous]
-              [--count N --out DIR]
+              [--no-jitter] [--seed N] [--langs [..]] [--publish]
+    capture   --landing DIR --sink DIR --checkpoint DIR [--langs [..]] [--words [..] | --words-file FILE]
+              [--continuous] [--count N --out DIR] [--batches [--stop-at N]]
 
 train, validate and analyze take --stop-words FILE. Intermediate tables go to
 --scratch, or the folder named in spark.checkpoint.dir, and are removed.
@@ -25,10 +25,11 @@ from pyspark import StorageLevel
 from postlens.operators import classifier as C
 from postlens.plans import dispatch
 from postlens.session import get_session, remove_path, scratch_path
-from postlens.sinks import write_accuracy, write_result
+from postlens.sinks import publish, write_accuracy, write_result
 from postlens.sources.posts import posts_to_json, read_posts
 from postlens.sources.stopwords import STOP_WORDS, read_stop_words
 from postlens.sources.training import read_training_csv
+from postlens.streaming import batches as B
 from postlens.streaming import capture as K
 
 
@@ -59,6 +60,8 @@ def _parser() -> argparse.ArgumentParser:
     a.add_argument("--chart", action="store_true", help="write the chart data instead of the rows")
     a.add_argument("--format", default="csv")
     a.add_argument("--no-jitter", action="store_true", help="plain labels in the sentiment pie and timeline")
+    a.add_argument("--publish", action="store_true",
+                   help="put the result in force by one atomic switch; readers use sinks.read_published")
     a.add_argument("--seed", type=int, default=0, help="seed of the label draw")
     a.add_argument("--langs", default=None, help="only these languages in the sentiment pie and timeline")
 
@@ -71,6 +74,10 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("--continuous", action="store_true", help="keep running instead of availableNow")
     c.add_argument("--count", default=None, help="write the first N captured posts, by time and id, to --out")
     c.add_argument("--out", default=None)
+    c.add_argument("--batches", action="store_true",
+                   help="write batches by language and day, with a ledger, control records and broken lines")
+    c.add_argument("--stop-at", default=None, help="end the capture once N posts are captured (with --batches)")
+    c.add_argument("--words-file", default=None, help="a file of tracked words, one per line, of any length (with --batches)")
     for parser in (t, v, a):
         parser.add_argument("--stop-words", default=None, help="a file of stop words, one per line, instead of the fixed list")
     return p
@@ -80,6 +87,10 @@ def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     if args.cmd == "capture" and args.count is not None and (args.continuous or not args.out):
         raise SystemExit("--count needs --out, and an end: not --continuous")
+    if args.cmd == "capture" and not args.batches and (args.stop_at is not None or args.words_file):
+        raise SystemExit("--stop-at and --words-file need --batches")
+    if args.cmd == "capture" and args.batches and args.count is not None:
+        raise SystemExit("--batches stops with --stop-at, not with --count")
     spark = get_session(master=args.master, app=f"postlens-{args.cmd}")
     stop_words = read_stop_words(spark, args.stop_words) if getattr(args, "stop_words", None) else STOP_WORDS
 
@@ -115,10 +126,21 @@ def main(argv: list[str] | None = None) -> int:
                 result = dispatch.chart(key, result)
             bounded = args.chart and key in dispatch.BOUNDED_CHARTS
             out = args.out if len(results) == 1 else f"{args.out.rstrip('/')}/{key}"
-            write_result(result, out, fmt=args.format, single_file=bounded)
+            if args.publish:
+                publish(result.coalesce(1) if bounded else result, out, args.format, **({"header": True} if args.format == "csv" else {}))
+            else:
+                write_result(result, out, fmt=args.format, single_file=bounded)
         remove_path(spark, scored_path)
     elif args.cmd == "capture":
         langs, words = K.parse_list_arg(args.langs), K.parse_list_arg(args.words)
+        if args.batches:
+            tracked = read_stop_words(spark, args.words_file) if args.words_file else words
+            n = None if args.stop_at is None else K.parse_count_arg(args.stop_at)
+            if n is None or B.captured_so_far(spark, args.sink) < n:
+                B.start_batches(
+                    spark, args.landing, args.sink, args.checkpoint, langs, tracked, n, available_now=not args.continuous
+                ).awaitTermination()
+            return 0
         q = K.start_capture(
             spark, args.landing, args.sink, args.checkpoint, langs, words,
             available_now=not args.continuous,

@@ -7,7 +7,7 @@ series. Nothing is collected to the driver here.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.functions import sentiment as S
@@ -51,15 +51,35 @@ def sentiment_share(counts: DataFrame) -> DataFrame:
         "sentiment",
         "n",
         F.round(share, 2).alias("share"),
-        F.concat(
-            F.col("sentiment"),
-            F.lit("("),
-            F.substring(share.cast("string"), 1, SHARE_TEXT_WIDTH),
-            F.lit("%)"),
-        ).alias("label"),
+        _share_label("sentiment", share).alias("label"),
     )
 
 
+def sentiment_summary(timeline: DataFrame) -> DataFrame:
+    """``(chart, sentiment, minute, n, share, label, max_followers)``: the class
+    shares (chart ``share``, no minute) and the highest follower count by class
+    and minute (chart ``timeline``) of ``sentiment_timeline`` rows, in one pass.
+
+    The two groupings are one aggregation over grouping sets: posts are read and
+    scored once, and a task sends at most one row for each class and each class
+    and minute. The window for the shares sees these grouped rows only."""
+    sets = [["sentiment"], ["sentiment", "minute"]]
+    grouped = timeline.groupingSets([[F.col(c) for c in s] for s in sets], "sentiment", "minute").agg(
+        F.grouping("minute").alias("all_minutes"), F.count(F.lit(1)).alias("n"), F.max("followers").alias("max_followers")
+    )
+    is_share = F.col("all_minutes") == 1
+    total = F.sum("n").over(Window.partitionBy("all_minutes"))
+    share = F.when(is_share, F.col("n") * F.lit(100.0) / total)
+    return grouped.select(
+        F.when(is_share, "share").otherwise("timeline").alias("chart"), "sentiment", "minute", "n",
+        F.round(share, 2).alias("share"), _share_label("sentiment", share).alias("label"), "max_followers",
+    )
+
+
+def _share_label(label: str, share: Column) -> Column:
+    return F.concat(F.col(label), F.lit("("), F.substring(share.cast("string"), 1, SHARE_TEXT_WIDTH), F.lit("%)"))
+
+
 def bubble_points(bubble: DataFrame) -> DataFrame:
     """``(id, series, x, y, size)``: x = minute × 100000, y = status count,
     size = followers integer-divided by 2; series from the sentiment sign.

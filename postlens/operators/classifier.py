@@ -7,7 +7,7 @@ term counts, duplicates counted) and classified with
 
 Scale: scoring is a narrow map (no shuffle); the model is a fixed
 2 × 2^20-double matrix regardless of data size and ships with the task
-binary. Training sums up in two levels, see ``train_features``.
+binary. Training sums sparse counts, see ``feature_sums``.
 
 Polarity (0 negative, 2 neutral, 4 positive) is mapped to class indices
 0, 2, 1 before training and back after prediction, so that a corpus holding
@@ -18,12 +18,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark import StorageLevel
+import numpy as np
 from pyspark.ml.classification import NaiveBayes, NaiveBayesModel
 from pyspark.ml.feature import HashingTF
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from postlens.functions import text as X
 from postlens.sources.stopwords import STOP_WORDS
@@ -33,9 +34,6 @@ NUM_FEATURES = 1 << 20
 SMOOTHING = 1.0
 # ---------------------------------------------------------------------------
 
-# So many neighbouring input partitions share a group of the fit's first level.
-FAN_IN = 16
-
 _TOKENS, _FEATURES, _CLASS = "_pl_tokens", "_pl_features", "_pl_class"
 
 
@@ -78,36 +76,57 @@ def train(
 ) -> NaiveBayesModel:
     """Fits the classifier on ``(polarity, text)`` rows. Rows whose polarity
     is not 0, 2 or 4 are ignored."""
-    labelled = corpus.select(polarity_to_class(polarity_col).alias("label"), F.col(text_col).alias("_text"))
-    feats = featurize(labelled.filter(F.col("label").isNotNull()), "_text", "features", stop_words)
-    return train_features(feats, smoothing)
-
-
-def train_features(feats: DataFrame, smoothing: float = SMOOTHING) -> NaiveBayesModel:
-    """Fits the classifier on ``(label, features)`` rows, label a class index.
-
-    Two levels, because a sum is a dense vector of 2^20 numbers: neighbouring
-    input partitions sum up first, into one mean and one count for each class
-    and group of ``FAN_IN`` partitions (so their number grows with the corpus,
-    and a task holds a vector per class). The fit then reads those few rows,
-    weighted by their counts, which gives the same class counts and term sums
-    as the documents do."""
-    part = F.floor(F.spark_partition_id() / FAN_IN).alias("part")
-    parts = feats.select("label", "features", part).groupBy("label", "part").agg(
-        Summarizer.mean(F.col("features")).alias("features"), F.count(F.lit(1)).cast("double").alias("weight")
-    )
-    parts.persist(StorageLevel.MEMORY_AND_DISK)  # the fit reads them twice
-    try:
-        nb = NaiveBayes(
-            smoothing=smoothing,
-            modelType="multinomial",
-            featuresCol="features",
-            labelCol="label",
-            weightCol="weight",
-        )
-        return nb.fit(parts)
-    finally:
-        parts.unpersist(blocking=True)
+    as_table = isinstance(stop_words, DataFrame)
+    words = X.tokens(text_col, () if as_table else stop_words)
+    labelled = corpus.select(polarity_to_class(polarity_col).alias("label"), words.alias("words"))
+    return train_words(labelled, smoothing, stop_words if as_table else None)
+
+
+def feature_sums(labelled: DataFrame, stop_words: DataFrame | None = None) -> DataFrame:
+    """``(label, feature, total)`` from ``(label, words)`` rows: how often the
+    documents of a class have words of a hashed feature, and, with a null
+    feature, how many documents the class has. One pass over the documents.
+
+    Only (class, word) counts are shuffled, summed up in the task first, and
+    each distinct word is hashed once per class instead of once per occurrence.
+    Words of ``stop_words`` (its first column) are left out by an anti join of
+    these counts, not of the occurrences."""
+    # a null word stands for the document itself
+    each = F.concat(F.array(F.lit(None).cast("string")), F.coalesce("words", F.array().cast("array<string>")))
+    rows = labelled.where(F.col("label").isNotNull()).select("label", F.explode(each).alias("word"))
+    counts = rows.groupBy("label", "word").agg(F.count(F.lit(1)).alias("n"))
+    if stop_words is not None:
+        listed = stop_words.select(F.col(stop_words.columns[0]).alias("word")).distinct()
+        counts = counts.join(listed, "word", "left_anti")
+    alone = F.when(F.col("word").isNotNull(), F.array("word")).otherwise(F.array().cast("array<string>"))
+    hashed = HashingTF(inputCol=_TOKENS, outputCol=_FEATURES, numFeatures=NUM_FEATURES).transform(counts.withColumn(_TOKENS, alone))
+    # the one index of a vector of one word, read from the vector's fields
+    fields = F.from_json(F.to_json(F.struct(F.col(_FEATURES).alias("v"))), "v struct<indices: array<int>>")
+    return hashed.groupBy("label", F.get(fields["v"]["indices"], F.lit(0)).alias("feature")).agg(F.sum("n").alias("total"))
+
+
+def train_words(labelled: DataFrame, smoothing: float = SMOOTHING, stop_words: DataFrame | None = None) -> NaiveBayesModel:
+    """Fits the classifier on ``(label, words)`` rows, label a class index.
+
+    The corpus is reduced to sums by class and feature (``feature_sums``), of
+    which there are at most 2^20 and one per class, the size of the model. They
+    become one sparse mean vector for each class, weighted by its documents,
+    which is what the fit reads: the class counts and term sums are those of
+    the documents, and the first dense vector is the model's own."""
+    found = feature_sums(labelled, stop_words).toArrow()  # bounded by the model's size
+    label, total = found["label"].to_numpy(), found["total"].to_numpy().astype(float)
+    feature = found["feature"].fill_null(-1).to_numpy()
+    rows = []
+    for c in sorted(set(label)):
+        weight = total[(label == c) & (feature < 0)][0]
+        own = np.flatnonzero((label == c) & (feature >= 0))
+        own = own[np.argsort(feature[own])]
+        rows.append((float(c), float(weight), SparseVector(NUM_FEATURES, feature[own], total[own] / weight)))
+    means = labelled.sparkSession.createDataFrame(rows, StructType([
+        StructField("label", DoubleType()), StructField("weight", DoubleType()), StructField("features", VectorUDT())
+    ]))
+    nb = NaiveBayes(smoothing=smoothing, modelType="multinomial", featuresCol="features", labelCol="label", weightCol="weight")
+    return nb.fit(means.coalesce(1))
 
 
 def score(

@@ -10,9 +10,12 @@ are described.
 
 from __future__ import annotations
 
+import contextlib
+import io
 import threading
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.ml.classification import NaiveBayesModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,17 +27,31 @@ from postlens.operators import charts as G
 from postlens.operators import classifier as C
 from postlens.session import scratch_path
 from postlens.plans import dispatch
-from postlens.sinks import write_accuracy, write_result, write_training_csv
+from postlens.schema import POST
+from postlens.sinks import (
+    arrive_in_order,
+    chart_and_clear,
+    owned_files,
+    publish,
+    read_published,
+    stage,
+    switch,
+    write_accuracy,
+    write_result,
+    write_training_csv,
+)
 from postlens.sources.posts import posts_to_json, read_posts, read_result
 from postlens.sources.testdata import (
     posts_from_testdata,
     scored_posts_from_testdata,
     table,
-    training_features,
+    tokens_from_testdata,
     training_from_testdata,
+    training_words,
     validation_from_testdata,
 )
 from postlens.sources.training import read_training_csv
+from postlens.streaming import batches as B
 from postlens.streaming import capture as K
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +59,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: What the checked captures look for: letters outside ASCII, and a bound that bites.
 UNICODE_LANGS, UNICODE_WORDS = ("fr", "es"), ("é", "ó", "ñ", "où", "él")
 FIRST_N = 100
+#: Tracked words of the word table have so many characters at least.
+LONG_WORD = 9
+
 
 class Models:
     """Classifiers trained on the labelled documents of folders. Whoever makes
@@ -56,7 +76,7 @@ class Models:
         key = (spark.sparkContext.applicationId, sf_dir)
         with self._lock:
             if key not in self._found:
-                self._found[key] = C.train_features(training_features(spark, sf_dir))
+                self._found[key] = C.train_words(training_words(spark, sf_dir))
             return self._found[key]
 
 
@@ -70,13 +90,13 @@ def _posts(fn: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: fn(posts_from_testdata(spark, sf_dir))
 
 
-def text_tokens(posts: DataFrame) -> DataFrame:
-    toks = X.tokens("text")
-    return posts.select(
-        "id",
-        F.size(toks).cast("bigint").alias("n_tokens"),
-        F.array_join(toks, " ").alias("tokens"),
-    )
+def token_rows(tokens: DataFrame) -> DataFrame:
+    return tokens.select("id", F.size("tokens").cast("bigint").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+
+
+def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every post, made where documents are scanned."""
+    return token_rows(tokens_from_testdata(spark, sf_dir, X.tokens("text")))
 
 
 def nb_predictions(scored: DataFrame) -> DataFrame:
@@ -86,9 +106,8 @@ def nb_predictions(scored: DataFrame) -> DataFrame:
 def text_tokens_custom_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens without the words of a table: those of the benchmark's texts."""
     words = table(spark, sf_dir, "benchmark").select(F.explode(X.tokens("text", ())).alias("word"))
-    posts = posts_from_testdata(spark, sf_dir).select("id", F.coalesce(X.tokens("text", ()), F.array().cast("array<string>")).alias("tokens"))
-    kept = X.without_words(posts, "tokens", words)
-    return kept.select("id", F.size("tokens").cast("bigint").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+    tokens = tokens_from_testdata(spark, sf_dir, F.coalesce(X.tokens("text", ()), F.array().cast("array<string>")))
+    return token_rows(X.without_words(tokens, "tokens", words))
 
 
 def capture_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +121,128 @@ def capture_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captured.select("id", "lang", "created_at")
 
 
+def landed(spark: SparkSession, sf_dir: str, files: int = 12, posts_a_file: int = 100_000) -> str:
+    """A landing folder with the posts as JSON lines, in files that follow each
+    other in time, by the time of their posts and by that of their arrival."""
+    path = scratch_path(spark, "landing")
+    posts = posts_from_testdata(spark, sf_dir)
+    lines = posts.select(F.to_json(F.struct(*POST.names)).alias("value"), X.created_ts().alias("at"), "id")
+    number = max(files, table(spark, sf_dir, "documents").count() // posts_a_file)
+    lines.repartitionByRange(number, "at", "id").sortWithinPartitions("at", "id").select("value").write.text(path)
+    arrive_in_order(spark, path)
+    return path
+
+
+def _batch_run(spark: SparkSession) -> tuple[str, str]:
+    return scratch_path(spark, "batches"), scratch_path(spark, "checkpoint")
+
+
+def capture_stop_at_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A capture that ends itself at N posts with files left over, started
+    again with the same checkpoint, which adds nothing."""
+    landing, (sink, checkpoint) = landed(spark, sf_dir), _batch_run(spark)
+    for _ in range(2):
+        captured = B.capture_batches(spark, landing, sink, checkpoint, n=FIRST_N, max_files_per_trigger=2)
+    return captured.select("id", "lang", "created_at")
+
+
+class _Broken(RuntimeError):
+    pass
+
+
+def capture_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A capture that breaks in its second batch, after the batch's lines are
+    written, and is started again."""
+    landing, (sink, checkpoint) = landed(spark, sf_dir), _batch_run(spark)
+
+    def fail(batch: int) -> None:
+        if batch == 1:
+            raise _Broken("the run was broken on purpose")
+
+    try:
+        B.capture_batches(spark, landing, sink, checkpoint, max_files_per_trigger=4, on_written=fail)
+    except StreamingQueryException as e:
+        if "broken on purpose" not in str(e):
+            raise
+    return B.capture_batches(spark, landing, sink, checkpoint, max_files_per_trigger=4).select("id", "lang", "created_at")
+
+
+def capture_by_language_and_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts captured in two languages by day, read from their folders alone."""
+    sink, checkpoint = _batch_run(spark)
+    B.capture_batches(spark, landed(spark, sf_dir), sink, checkpoint)
+    lines = B.read_lines(spark, sink, where=F.col("lang").isin("en", "fr"))
+    return lines.groupBy("lang", "day").agg(F.count(F.lit(1)).alias("n"))
+
+
+def capture_line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured posts, other posts, control records and broken lines, as counted
+    while they were written, and as read back from the sink. One page gives one
+    control record, one German post a line that breaks off."""
+    landing, (sink, checkpoint) = scratch_path(spark, "landing"), _batch_run(spark)
+    posts = posts_from_testdata(spark, sf_dir)
+    whole = posts_to_json(posts)
+    broken = posts_to_json(posts.where("lang = 'de'")).selectExpr("substring(value, 1, length(value) div 2) AS value")
+    control = table(spark, sf_dir, "pages").select(F.to_json(F.struct(F.struct(F.col("page_id").alias("track")).alias("limit"))).alias("value"))
+    whole.unionByName(broken).unionByName(control).write.text(landing)
+    B.capture_batches(spark, landing, sink, checkpoint)
+    ledger = B.read_ledger(spark, sink).agg(*[F.sum(k).alias(k) for k in B.KINDS])
+    counted = ledger.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n_counted")) for k in B.KINDS])).alias("k")).select("k.*")
+    kept = spark.read.schema(B.LINES).text(sink).groupBy("kind").agg(F.count(F.lit(1)).alias("n_kept"))
+    return counted.join(kept, "kind", "left").select("kind", "n_counted", F.coalesce("n_kept", F.lit(0).cast("long")).alias("n_kept"))
+
+
+def capture_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts that mention a word of a table: the long words of the conversations."""
+    words = table(spark, sf_dir, "conversations").select(F.explode(X.word_tokens("text")).alias("word")).where(F.length("word") >= LONG_WORD)
+    return K.capture_filter(posts_from_testdata(spark, sf_dir), words=words).select("id", "lang", "created_at")
+
+
+def published_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader gets while a second version of a result is written, and
+    after the switch: languages of all posts, then of the captured ones."""
+    path, posts = scratch_path(spark, "published"), posts_from_testdata(spark, sf_dir)
+    publish(A.language_counts(posts, order_output=False), path)
+    staged = stage(A.language_counts(K.capture_filter(posts), order_output=False), path)
+    during = read_published(spark, path).select(F.lit("during the write").alias("seen"), "lang", "n")
+    switch(spark, path, staged)
+    return during.unionByName(read_published(spark, path).select(F.lit("after the switch").alias("seen"), "lang", "n"))
+
+
+def chart_then_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top tag lists of a written result, whose files are removed after."""
+    result = scratch_path(spark, "result")
+    write_result(A.hashtag_counts(posts_from_testdata(spark, sf_dir), order_output=False), result)
+    read = lambda spark, path: read_result(spark, path).withColumn("n", F.col("n").cast("long"))
+    chart = chart_and_clear(spark, result, read, lambda df: G.top_counts(df, "tag_list"), scratch_path(spark, "chart"))
+    return chart.withColumn("files_left", F.lit(len(owned_files(spark, result))))
+
+
+def _job(*argv: str) -> None:
+    from postlens import jobs
+
+    with contextlib.redirect_stdout(io.StringIO()):  # jobs print their figures
+        jobs.main(list(argv))
+
+
+def job_train_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training and validation jobs over the labelled corpus as CSV."""
+    corpus, model, out = (scratch_path(spark, x) for x in ("corpus", "model", "accuracy"))
+    write_training_csv(training_from_testdata(spark, sf_dir), corpus)
+    _job("train", "--corpus", corpus, "--model", model)
+    _job("validate", "--corpus", corpus, "--model", model, "--out", out)
+    rows = spark.read.option("header", True).option("sep", "\t").csv(out)
+    return rows.groupBy("Actual", "Predicted").agg(F.count(F.lit(1)).alias("n"))
+
+
+def job_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The capture job, with white space in its list arguments."""
+    landing, (sink, checkpoint) = landed(spark, sf_dir), _batch_run(spark)
+    langs, words = (" [ " + " , ".join(x) + " ] " for x in (UNICODE_LANGS, UNICODE_WORDS))
+    _job("capture", "--landing", landing, "--sink", sink, "--checkpoint", checkpoint, "--langs", langs, "--words", words)
+    return K.read_captured(spark, sink).select("id", "lang", "created_at")
+
+
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts written as JSON lines and read back under the explicit schema."""
     path = scratch_path(spark, "posts-json")
@@ -191,7 +332,7 @@ def queries(models: Models | None = None) -> dict[str, Query]:
             )
         ),
         # M1-M5
-        "text_tokens": _posts(text_tokens),
+        "text_tokens": text_tokens,
         "nb_predictions": _scored(nb_predictions),
         "text_tokens_custom_stopwords": text_tokens_custom_stopwords,
         "nb_accuracy": nb_accuracy,
@@ -223,6 +364,10 @@ def queries(models: Models | None = None) -> dict[str, Query]:
         "sentiment_timeline_max": _scored(
             lambda s: G.series_max(A.sentiment_timeline(s, jitter=True, draw=draw()), "sentiment")
         ),
+        # Q5, Q9, G5, G9 in one pass
+        "sentiment_summary": _scored(
+            lambda s: G.sentiment_summary(A.sentiment_timeline(s, jitter=True, draw=draw()))
+        ),
         # Q10, G10
         "language_timeline": _posts(A.language_timeline),
         "language_timeline_max": _posts(lambda p: G.series_max(A.language_timeline(p), "lang")),
@@ -237,6 +382,15 @@ def queries(models: Models | None = None) -> dict[str, Query]:
             lambda p: K.capture_filter(p, n=FIRST_N).select("id", "lang", "created_at")
         ),
         "capture_stream": capture_stream,
+        "capture_stop_at_n": capture_stop_at_n,
+        "capture_resumed": capture_resumed,
+        "capture_by_language_and_day": capture_by_language_and_day,
+        "capture_line_kinds": capture_line_kinds,
+        "capture_word_table": capture_word_table,
+        "published_result": published_result,
+        "chart_then_clear": chart_then_clear,
+        "job_train_validate": job_train_validate,
+        "job_capture": job_capture,
         "result_reread": result_reread,
         "json_roundtrip": json_roundtrip,
     }

@@ -222,10 +222,44 @@ FROM ({jittered_counts})"""
 SELECT lower(lang) AS lang, count(*) AS n FROM posts
 WHERE lang <> '' AND regexp_matches(lang, '{GATE}') GROUP BY 1"""
     used = tokens_sql("text", "[]::VARCHAR[]")
+    first_n = f"""
+SELECT * FROM ({capture})
+ORDER BY strptime(created_at, '%a %b %d %H:%M:%S %z %Y') NULLS LAST, id LIMIT 100"""
+    runs = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{M}\\p{N}_]+'), lambda w: w <> '')"
+    validation = _with(POSTS, NB) + """
+SELECT CAST(CAST(l.quality * 4 AS DOUBLE) AS VARCHAR) AS Actual, CAST(CAST(pr.polarity AS DOUBLE) AS VARCHAR) AS Predicted,
+       count(*) AS n
+FROM labels l JOIN documents d ON d.doc_id = l.doc_id JOIN pred pr ON pr.id = l.doc_id GROUP BY 1, 2"""
+    top_tags = f"""
+SELECT * FROM ({hashtag_counts}) ORDER BY n DESC, tag_list ASC LIMIT {top}"""
     return {
         "hashtag_counts": hashtag_counts,
-        "hashtag_counts_top5": f"""
-SELECT * FROM ({hashtag_counts}) ORDER BY n DESC, tag_list ASC LIMIT {top}""",
+        "capture_stop_at_n": first_n,
+        "capture_resumed": capture,
+        "capture_by_language_and_day": f"""
+SELECT lang, strftime(strptime(replace(created_at, ' +0000', ''), '%a %b %d %H:%M:%S %Y'), '%Y-%m-%d') AS day, count(*) AS n
+FROM ({capture}) WHERE lang IN ('en', 'fr') GROUP BY 1, 2""",
+        "capture_line_kinds": f"""
+SELECT 'captured' AS kind, count(*) AS n_counted, count(*) AS n_kept FROM ({capture})
+UNION ALL SELECT 'other', (SELECT count(*) FROM ({_with(POSTS)} SELECT id FROM posts)) - count(*), 0 FROM ({capture})
+UNION ALL SELECT 'control', count(*), count(*) FROM pages
+UNION ALL SELECT 'broken', count(*), count(*) FROM ({_with(POSTS)} SELECT id FROM posts WHERE lang = 'de')""",
+        "capture_word_table": _with(POSTS) + f"""
+SELECT id, lang, created_at
+FROM posts, (SELECT list(DISTINCT w) AS tracked FROM (SELECT unnest({runs}) AS w FROM conversations) WHERE length(w) >= 9)
+WHERE list_contains({_lit_list(CAPTURE_LANGS)}, lang) AND list_has_any({runs}, tracked)""",
+        "published_result": f"""
+SELECT 'during the write' AS seen, lang, n FROM ({lang_counts})
+UNION ALL SELECT 'after the switch', lower(lang), count(*) FROM ({capture}) WHERE lang <> '' AND regexp_matches(lang, '{GATE}') GROUP BY 2""",
+        "chart_then_clear": f"SELECT *, 0 AS files_left FROM ({top_tags})",
+        "job_train_validate": validation,
+        "job_capture": _capture(UNICODE_LANGS, UNICODE_WORDS),
+        "sentiment_summary": f"""
+SELECT 'share' AS chart, s.sentiment, NULL AS minute, s.n, s.share, s.label, m.max_followers
+FROM ({share}) s JOIN (SELECT sentiment, max(followers) AS max_followers FROM ({timeline}) GROUP BY 1) m ON m.sentiment = s.sentiment
+UNION ALL
+SELECT 'timeline', sentiment, minute, count(*), NULL, NULL, max(followers) FROM ({timeline}) GROUP BY sentiment, minute""",
+        "hashtag_counts_top5": top_tags,
         "hashtag_counts_per_tag": _with(POSTS) + f"""
 SELECT lower(t) AS tag_list, count(*) AS n
 FROM (SELECT unnest(hashtags) AS t FROM posts) WHERE t <> '' AND regexp_matches(t, '{GATE}')
@@ -254,10 +288,7 @@ FROM (SELECT id, list_filter(coalesce({used}, []::VARCHAR[]), lambda w: NOT list
         "training_csv_roundtrip": """
 SELECT CAST(l.quality * 4 AS INTEGER) AS polarity, count(*) AS n, CAST(sum(length(d.text)) AS BIGINT) AS n_chars
 FROM labels l JOIN documents d ON d.doc_id = l.doc_id GROUP BY 1""",
-        "validation_rows": _with(POSTS, NB) + """
-SELECT CAST(CAST(l.quality * 4 AS DOUBLE) AS VARCHAR) AS Actual, CAST(CAST(pr.polarity AS DOUBLE) AS VARCHAR) AS Predicted,
-       count(*) AS n
-FROM labels l JOIN documents d ON d.doc_id = l.doc_id JOIN pred pr ON pr.id = l.doc_id GROUP BY 1, 2""",
+        "validation_rows": validation,
         "nb_accuracy": _with(POSTS, NB) + """
 SELECT count(*) AS n_total,
        CAST(sum(CASE WHEN CAST(l.quality AS INTEGER) * 4 = pr.polarity THEN 1 ELSE 0 END) AS BIGINT) AS n_correct,
@@ -291,9 +322,7 @@ SELECT lang, minute, max(followers) AS max_followers FROM ({lang_timeline}) GROU
         "capture_filter": capture,
         "capture_stream": capture,
         "capture_filter_unicode": _capture(UNICODE_LANGS, UNICODE_WORDS),
-        "capture_first_n": f"""
-SELECT * FROM ({capture})
-ORDER BY strptime(created_at, '%a %b %d %H:%M:%S %z %Y') NULLS LAST, id LIMIT 100""",
+        "capture_first_n": first_n,
         "json_roundtrip": _with(POSTS) + f"""
 SELECT id, lang, followers, statuses, {TAGS} AS tag_list, {LINKS} AS urls, {MINUTE} AS minute
 FROM posts""",

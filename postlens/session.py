@@ -60,7 +60,19 @@ def scratch_path(spark: SparkSession, *parts: str, folder: str | None = None) ->
     return sep.join([base.rstrip("/"), "postlens", uuid.uuid4().hex, *parts])
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of ``path``, and the path as it takes it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), target
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, on whatever file system."""
+    fs, target = file_system(spark, path)
+    return fs.exists(target)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Deletes a folder of intermediate data on whatever file system it is."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+    fs, target = file_system(spark, path)
+    fs.delete(target, True)

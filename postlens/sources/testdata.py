@@ -19,9 +19,12 @@ before squaring, so it cannot overflow.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postlens.functions import text as X
 from postlens.operators import classifier
 
 TABLES = (
@@ -30,9 +33,22 @@ TABLES = (
 ).split()
 
 
+# What the queries read, so that no job is run to infer it.
+SCHEMAS = {
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "pages": "page_id long, url string, html string",
+    "labels": "doc_id long, quality int, toxic int",
+    "benchmark": "item_id long, text string",
+}
+# So many labelled ids (8 bytes and a class each) may be broadcast.
+FEW_LABELS = 1_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A supplied table, as its files are now."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str, *cols: str, spread: bool = False) -> DataFrame:
@@ -171,6 +187,13 @@ def posts_from_testdata(spark: SparkSession, sf_dir: str, spread: bool = False)
     return as_posts(docs, post_events(spark, sf_dir), "text")
 
 
+def tokens_from_testdata(spark: SparkSession, sf_dir: str, tokens: Column) -> DataFrame:
+    """``(id, tokens)`` of the posts: ``tokens`` of a document's text, made where
+    documents are scanned, so no text meets the join."""
+    docs = documents(spark, sf_dir, "text", "lang", "source", "n_chars").withColumn("tokens", tokens).drop("text")
+    return as_posts(docs, post_events(spark, sf_dir), "tokens").select("id", "tokens")
+
+
 def scored_posts_from_testdata(spark: SparkSession, sf_dir: str, model, spread: bool = False) -> DataFrame:
     """The posts with text, scored: ``polarity`` instead of ``text``. Documents
     are scored where they are scanned, so no text meets the join."""
@@ -193,16 +216,29 @@ def training_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.join(docs, "doc_id").select(F.col("doc_id").alias("id"), "polarity", F.col("text").alias("status"))
 
 
-def training_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(label, features)`` of the labelled documents. Texts become hashed
-    counts where they are scanned; only those meet the labels."""
-    docs = classifier.featurize(documents(spark, sf_dir, "text"), "text", "features").drop("text")
+def labelled_at_scan(spark: SparkSession, sf_dir: str, labels: DataFrame, narrow: Callable[[DataFrame], DataFrame], few: int = FEW_LABELS) -> DataFrame:
+    """``labels`` (keyed by doc_id) joined with ``narrow`` of the documents,
+    which reads the text and drops it.
+
+    Up to ``few`` labels are broadcast, so that only labelled documents are
+    worked on, where they are scanned. More are not: then the narrow result of
+    all documents meets them in a shuffled join. No text is shuffled either way."""
+    docs = documents(spark, sf_dir, "text")
+    if labels.limit(few + 1).count() <= few:
+        docs = docs.join(F.broadcast(labels.select("doc_id").distinct()), "doc_id", "left_semi")
+        return narrow(docs).join(F.broadcast(labels), "doc_id")
+    return narrow(docs).join(labels, "doc_id")
+
+
+def training_words(spark: SparkSession, sf_dir: str, few: int = FEW_LABELS) -> DataFrame:
+    """``(label, words)`` of the labelled documents."""
     labels = labelled_from_testdata(spark, sf_dir).select("doc_id", classifier.polarity_to_class("polarity").alias("label"))
-    return labels.filter(F.col("label").isNotNull()).join(docs, "doc_id").select("label", "features")
+    words = lambda docs: docs.select("doc_id", X.tokens("text").alias("words"))
+    return labelled_at_scan(spark, sf_dir, labels.filter(F.col("label").isNotNull()), words, few).select("label", "words")
 
 
-def validation_from_testdata(spark: SparkSession, sf_dir: str, model) -> DataFrame:
+def validation_from_testdata(spark: SparkSession, sf_dir: str, model, few: int = FEW_LABELS) -> DataFrame:
     """``(Actual, Predicted)`` of the labelled documents, scored at the scan."""
-    docs = classifier.score(documents(spark, sf_dir, "text"), model, keep_text=False)
     labels = labelled_from_testdata(spark, sf_dir).withColumnRenamed("polarity", "actual")
-    return labels.join(docs, "doc_id").select(F.col("actual").cast("double").alias("Actual"), F.col("polarity").cast("double").alias("Predicted"))
+    rows = labelled_at_scan(spark, sf_dir, labels, lambda docs: classifier.score(docs, model, keep_text=False), few)
+    return rows.select(F.col("actual").cast("double").alias("Actual"), F.col("polarity").cast("double").alias("Predicted"))

@@ -53,6 +53,25 @@ def matches(langs: Sequence[str], words: Sequence[str]) -> Column:
     return F.col("lang").isin(list(langs)) & X.mentions_any("text", words)
 
 
+def listed_matches(posts: DataFrame, langs: Sequence[str], words: DataFrame, out: str) -> DataFrame:
+    """``posts`` plus ``out``: whether ``matches`` holds, with the tracked words
+    in the first column of ``words``, a table of any length (case does not
+    matter; nulls and words that no text can hold find nothing).
+
+    The distinct words of a text meet the list in a join, so the driver holds no
+    pattern. The outcome depends on the text alone, so its digest is the key
+    that hits come back by."""
+    key, hit = "_pl_text", "_pl_hit"
+    keyed = posts.withColumn(key, F.md5(F.lower("text")))
+    tracked = words.select(F.lower(F.col(words.columns[0])).alias("word"))
+    asked = keyed.where(F.col("lang").isin(list(langs)))
+    pairs = asked.select(F.col(key).alias("key"), F.explode(F.array_distinct(X.word_tokens("text"))).alias("token"))
+    hits = X.listed_tokens(pairs, tracked).select(F.col("key").alias(key)).distinct().withColumn(hit, F.lit(True))
+    found = keyed.join(hits, key, "left")
+    in_langs = F.coalesce(F.col("lang").isin(list(langs)), F.lit(False))
+    return found.select(*posts.columns, (F.coalesce(hit, F.lit(False)) & in_langs).alias(out))
+
+
 def bounded(posts: DataFrame, n: int | None) -> DataFrame:
     """The first ``n`` posts by (post time, id); all posts when ``n`` is None.
 
@@ -66,10 +85,13 @@ def bounded(posts: DataFrame, n: int | None) -> DataFrame:
 def capture_filter(
     posts: DataFrame,
     langs: Sequence[str] = DEFAULT_LANGS,
-    words: Sequence[str] = DEFAULT_WORDS,
+    words: Sequence[str] | DataFrame = DEFAULT_WORDS,
     n: int | None = None,
 ) -> DataFrame:
-    """Batch capture over posts already at rest; all of them unless ``n`` is given."""
+    """Batch capture over posts already at rest; all of them unless ``n`` is
+    given. ``words`` may be a DataFrame whose first column holds them."""
+    if isinstance(words, DataFrame):
+        return bounded(listed_matches(posts, langs, words, "_pl_match").filter("_pl_match").drop("_pl_match"), n)
     return bounded(posts.filter(matches(langs, words)), n)
 
 

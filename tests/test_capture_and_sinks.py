@@ -167,8 +167,9 @@ def test_stop_word_file_and_result_reader(spark, tmp_dir):
     df = spark.createDataFrame(texts, "id long, text string")
     assert df.select(X.tokens("text", ["foo", "bar"]).alias("t")).first().t == ["baz"]
     tokens = df.select("id", "text", X.tokens("text", ()).alias("t"))
-    kept = {r.id: (r.text, r.t) for r in X.without_words(tokens, "t", words).collect()}
-    assert kept == {1: (texts[0][1], ["baz"]), 2: (texts[1][1], ["qux", "baz", "qux"]), 3: ("bar", []), 4: ("", []), 5: (None, [])}
+    for few in (10_000, 0):  # the list as a constant, and as a table in a join
+        kept = {r.id: (r.text, r.t) for r in X.without_words(tokens, "t", words, few).collect()}
+        assert kept == {1: (texts[0][1], ["baz"]), 2: (texts[1][1], ["qux", "baz", "qux"]), 3: ("bar", []), 4: ("", []), 5: (None, [])}
     # a list as words and as a table give the same features, model and scores
     corpus = spark.createDataFrame([(0, "foo bad bad"), (4, "bar good"), (4, "foo nice")], "polarity int, status string")
     models = [C.train(corpus, stop_words=w) for w in (("foo", "bar"), words)]
@@ -252,14 +253,12 @@ def test_tables_are_read_as_they_are_now(spark, tmp_dir):
     import shutil
 
     folder = os.path.join(tmp_dir, "sf")
-    shutil.copytree(SF_SMOKE, folder)
-    docs = os.path.join(folder, "documents.parquet")
-    shutil.move(docs, os.path.join(tmp_dir, "one.parquet"))
-    os.makedirs(docs)
-    shutil.copy(os.path.join(tmp_dir, "one.parquet"), os.path.join(docs, "a.parquet"))
+    os.makedirs(docs := os.path.join(folder, "documents.parquet"))
+    for name in os.listdir(SF_SMOKE):  # contents only: the supplied files are read-only
+        shutil.copyfile(os.path.join(SF_SMOKE, name), os.path.join(docs, "a.parquet") if name == "documents.parquet" else os.path.join(folder, name))
     queries = catalog.queries()
     before = sum(r.n for r in queries["language_counts"](spark, folder).collect())
-    shutil.copy(os.path.join(tmp_dir, "one.parquet"), os.path.join(docs, "b.parquet"))
+    shutil.copyfile(os.path.join(docs, "a.parquet"), os.path.join(docs, "b.parquet"))
     assert sum(r.n for r in queries["language_counts"](spark, folder).collect()) == 2 * before
 
 

@@ -91,10 +91,21 @@ def test_documents_are_exchanged_once_at_scale(large_input_plans):
     assert len([a for a in exchanges if a.startswith("hashpartitioning(doc_id")]) == 1, exchanges
 
 
-def test_training_exchanges_no_text(spark):
-    from postlens.sources.testdata import training_features
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_training_exchanges_no_text(spark, few):
+    from postlens.sources.testdata import training_words
 
-    df = training_features(spark, SF_CHECK)
+    df = training_words(spark, SF_CHECK, few)
     p = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     exchanges = re.findall(r"^\(\d+\) (?:Broadcast)?Exchange\nInput \[\d+\]: \[(.*)\]", p, re.M)
     assert exchanges and not any("text#" in e for e in exchanges)
+    if few:  # labelled ids go to the scan; no other document is tokenised
+        assert p.index("LeftSemi") < p.index("regexp_extract_all")
+
+
+@pytest.mark.parametrize("name", ["sentiment_summary", "text_tokens", "text_tokens_custom_stopwords"])
+def test_one_scan_of_documents_and_no_text_in_exchanges(large_input_plans, name):
+    p = large_input_plans[name]
+    assert len(re.findall(r"Location: .*documents\.parquet", p)) == 1
+    exchanges = re.findall(r"^\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", p, re.M)
+    assert exchanges and not any(re.search(r"\btext#", e) for e in exchanges), exchanges

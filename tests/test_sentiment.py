@@ -57,20 +57,62 @@ def test_neutral_class_is_trained_when_present(spark):
     assert C.score(posts, model).collect()[0].polarity == 2
 
 
-def test_two_level_fit_equals_the_direct_fit(spark, monkeypatch):
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_sparse_fit_equals_the_direct_fit(spark, monkeypatch, few):
     from pyspark.ml.classification import NaiveBayes
+    from pyspark.ml.feature import HashingTF
 
-    from postlens.sources.testdata import training_features
+    from postlens.sources.testdata import training_words
     from tests.conftest import SF_SMOKE
 
     monkeypatch.setattr(C, "NUM_FEATURES", 1 << 12)
-    feats = training_features(spark, SF_SMOKE).repartition(40)
+    words = training_words(spark, SF_SMOKE, few).repartition(40)
+    feats = HashingTF(inputCol="words", outputCol="features", numFeatures=1 << 12).transform(words.where("words IS NOT NULL"))
     direct = NaiveBayes(smoothing=1.0, modelType="multinomial").fit(feats)
-    model = C.train_features(feats)
+    model = C.train_words(words)
     assert abs(direct.pi.toArray() - model.pi.toArray()).max() < 1e-9
     assert abs(direct.theta.toArray() - model.theta.toArray()).max() < 1e-9
 
 
+def test_sums_are_sparse_and_one_pass(spark):
+    rows = [(0.0, ["a", "b", "a"]), (1.0, ["b"]), (1.0, None), (1.0, []), (None, ["c"]), (2.0, [])]
+    words = spark.createDataFrame(rows, "label double, words array<string>")
+    sums = C.feature_sums(words)
+    a, b = (C.HashingTF(numFeatures=C.NUM_FEATURES).indexOf(w) for w in "ab")
+    assert {(r.label, r.feature): r.total for r in sums.collect()} == {
+        (0.0, None): 1, (0.0, a): 2, (0.0, b): 1, (1.0, None): 3, (1.0, b): 1, (2.0, None): 1}
+    stop = spark.createDataFrame([("a",), (None,)], "w string")
+    assert {(r.label, r.feature): r.total for r in C.feature_sums(words, stop).collect()} == {
+        (0.0, None): 1, (0.0, b): 1, (1.0, None): 3, (1.0, b): 1, (2.0, None): 1}
+    plan = sums._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1  # documents and words are counted together
+    model = C.train_words(words)
+    assert model.numClasses == 3 and model.numFeatures == C.NUM_FEATURES
+
+
+def test_few_and_many_labels_give_the_same_rows(spark, toy_model):
+    from postlens.sources.testdata import validation_from_testdata
+    from tests.conftest import SF_SMOKE
+
+    a, b = (sorted(map(tuple, validation_from_testdata(spark, SF_SMOKE, toy_model, few).collect())) for few in (1_000_000, 0))
+    assert a == b and len(a) > 0
+
+
+def test_share_and_timeline_in_one_pass(spark):
+    from postlens.operators import charts as G
+
+    rows = [(1, 5, "Positive", "01"), (2, 9, "Positive", "01"), (3, None, "Negative", "01"), (4, 2, "Negative", None)]
+    df = spark.createDataFrame(rows, "id long, followers long, sentiment string, minute string")
+    both = G.sentiment_summary(df)
+    got = {(r.chart, r.sentiment, r.minute): (r.n, r.share, r.label, r.max_followers) for r in both.collect()}
+    assert got == {
+        ("share", "Positive", None): (2, 50.0, "Positive(50.0%)", 9), ("share", "Negative", None): (2, 50.0, "Negative(50.0%)", 2),
+        ("timeline", "Positive", "01"): (2, None, None, 9), ("timeline", "Negative", "01"): (1, None, None, None),
+        ("timeline", "Negative", None): (1, None, None, 2)}
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    assert G.sentiment_summary(df.where("false")).collect() == []
+
+
 def test_accuracy_and_validation_rows(spark, toy_model):
     rows = [(0, "bad\nawful"), (4, "good great"), (0, "good love")]
     corpus = spark.createDataFrame(rows, "polarity int, status string")
