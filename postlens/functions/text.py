@@ -7,6 +7,7 @@ around it.
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
 from collections.abc import Iterable
 
@@ -92,31 +93,36 @@ def created_ts(created_at: str | Column = "created_at") -> Column:
     return F.try_to_timestamp(F.substring(_col(created_at), 5, 64), F.lit(CREATED_AT_FORMAT))
 
 
-def _anchor(pattern: str) -> str | None:
-    """A character every match of ``pattern`` must contain, if it has one.
-
-    Deleting characters never creates a new ``@``, ``#`` or ``/``, so when
-    the raw text lacks a pattern's anchor no step of the chain can match and
-    the step is skipped. The guard reads the raw column, so each step's input
-    is still computed once per row."""
-    return next((ch for ch in "@#/" if ch in pattern), None)
+# The chain of CLEAN_PATTERNS in fewer passes, with the character that a text must
+# hold for the step to do anything. What a step deletes ends before a character
+# that is no word character, so deleting mentions and tags together deletes what
+# deleting them one after the other does; "htt", "http" and "https" are written
+# as one prefix. Equality with the chain is tested on generated texts.
+CLEAN_STEPS = (
+    (r"rt\s+", None),
+    (r"\s*@\w+", "@"),
+    (r"\s*#\w+", "#"),
+    (r"htt(?:ps?)?://[\w/%.-]+", "/"),
+    (r"htt(?:ps?)?://[\w/%.-]+\s+", "/"),
+    (r"htt(?:ps?)?//[\w/%.-]+\s+", "/"),
+    (r"htt(?:ps?)?//[\w/%.-]+", "/"),
+)
 
 
 def clean_text(text: str | Column) -> Column:
-    """Lower-case, then delete mentions, tags, retweet markers and links,
-    pattern by pattern in the fixed order."""
+    """Lower-case, then delete line breaks, retweet markers, mentions, tags and
+    links in the fixed order.
+
+    Deleting characters never creates a new ``@``, ``#`` or ``/``, so when the
+    raw text lacks a step's character the step is skipped. The guard reads the
+    raw column, so each step's input is still computed once per row."""
     raw = _col(text)
-    c = F.lower(raw)
-    i = 0
-    while i < len(CLEAN_PATTERNS):
-        anchor = _anchor(CLEAN_PATTERNS[i])
-        j = i
+    c = F.replace(F.lower(raw), F.lit("\n"), F.lit(""))
+    for anchor, steps in itertools.groupby(CLEAN_STEPS, lambda s: s[1]):
         step = c
-        while j < len(CLEAN_PATTERNS) and _anchor(CLEAN_PATTERNS[j]) == anchor:
-            step = F.regexp_replace(step, CLEAN_PATTERNS[j], "")
-            j += 1
+        for pattern, _ in steps:
+            step = F.regexp_replace(step, pattern, "")
         c = step if anchor is None else F.when(F.instr(raw, anchor) > 0, step).otherwise(c)
-        i = j
     return c
 
 

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from postlens.functions import text as X
 from postlens.operators import classifier
+from postlens.session import file_system
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -41,6 +42,8 @@ SCHEMAS = {
     "labels": "doc_id long, quality int, toxic int",
     "benchmark": "item_id long, text string",
 }
+# Up to so many bytes of documents are dealt out (what a scan task reads by default).
+SPREAD_BYTES = 128 << 20
 # So many labelled ids (8 bytes and a class each) may be broadcast.
 FEW_LABELS = 1_000_000
 
@@ -51,14 +54,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str, *cols: str, spread: bool = False) -> DataFrame:
-    """Documents as they are scanned. ``spread`` deals them out by ``doc_id``
-    first: only of use where a file is a single row group, so that one task
-    would do all the text work; it moves every text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", *cols)
+def dealt_out(docs: DataFrame, sf_dir: str, spread: bool | None = None) -> DataFrame:
+    """Documents dealt out by ``doc_id`` if their table is at most
+    ``SPREAD_BYTES``: Spark reads so little in one task, which would do all the
+    text work alone. Nothing larger is moved. ``spread`` decides instead of the size."""
+    if spread is None:
+        fs, path = file_system(docs.sparkSession, f"{sf_dir.rstrip('/')}/documents.parquet")
+        spread = fs.getContentSummary(path).getLength() <= SPREAD_BYTES
     return docs.repartition("doc_id") if spread else docs
 
 
+def documents(spark: SparkSession, sf_dir: str, *cols: str, spread: bool | None = None) -> DataFrame:
+    """Documents as they are scanned; small tables are ``dealt_out`` for text work."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", *cols)
+    return dealt_out(docs, sf_dir, spread) if "text" in cols else docs
+
+
 # --- fixed values: English day and month abbreviations of the post time ------
 DAYS = "Sun Mon Tue Wed Thu Fri Sat".split()
 MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
@@ -181,7 +192,7 @@ def as_posts(docs: DataFrame, events: DataFrame, *extra: str) -> DataFrame:
     return docs.join(events, docs.doc_id == events.event_id).selectExpr(*POST_COLUMNS, *extra)
 
 
-def posts_from_testdata(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+def posts_from_testdata(spark: SparkSession, sf_dir: str, spread: bool | None = None) -> DataFrame:
     """Posts in the nested ``POST`` shape, derived from the test tables."""
     docs = documents(spark, sf_dir, "text", "lang", "source", "n_chars", spread=spread)
     return as_posts(docs, post_events(spark, sf_dir), "text")
@@ -194,7 +205,7 @@ def tokens_from_testdata(spark: SparkSession, sf_dir: str, tokens: Column) -> Da
     return as_posts(docs, post_events(spark, sf_dir), "tokens").select("id", "tokens")
 
 
-def scored_posts_from_testdata(spark: SparkSession, sf_dir: str, model, spread: bool = False) -> DataFrame:
+def scored_posts_from_testdata(spark: SparkSession, sf_dir: str, model, spread: bool | None = None) -> DataFrame:
     """The posts with text, scored: ``polarity`` instead of ``text``. Documents
     are scored where they are scanned, so no text meets the join."""
     docs = documents(spark, sf_dir, "text", "lang", "source", "n_chars", spread=spread)
@@ -223,11 +234,11 @@ def labelled_at_scan(spark: SparkSession, sf_dir: str, labels: DataFrame, narrow
     Up to ``few`` labels are broadcast, so that only labelled documents are
     worked on, where they are scanned. More are not: then the narrow result of
     all documents meets them in a shuffled join. No text is shuffled either way."""
-    docs = documents(spark, sf_dir, "text")
+    docs = documents(spark, sf_dir, "text", spread=False)
     if labels.limit(few + 1).count() <= few:
         docs = docs.join(F.broadcast(labels.select("doc_id").distinct()), "doc_id", "left_semi")
-        return narrow(docs).join(F.broadcast(labels), "doc_id")
-    return narrow(docs).join(labels, "doc_id")
+        return narrow(dealt_out(docs, sf_dir)).join(F.broadcast(labels), "doc_id")
+    return narrow(dealt_out(docs, sf_dir)).join(labels, "doc_id")
 
 
 def training_words(spark: SparkSession, sf_dir: str, few: int = FEW_LABELS) -> DataFrame:

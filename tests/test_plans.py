@@ -7,11 +7,16 @@ import re
 import pytest
 
 from postlens.plans import catalog
+from postlens.sources import testdata
 from tests.conftest import SF_CHECK
 
 QUERIES = catalog.queries()
 # these write when they are described
-EAGER = {"capture_stream", "json_roundtrip", "training_csv_roundtrip", "validation_rows", "saved_model_predictions", "result_reread"}
+EAGER = {
+    "capture_stream", "json_roundtrip", "training_csv_roundtrip", "validation_rows", "saved_model_predictions", "result_reread",
+    "capture_stop_at_n", "capture_resumed", "capture_by_language_and_day", "capture_line_kinds", "published_result",
+    "chart_then_clear", "job_train_validate", "job_capture",
+}
 NAMES = sorted(set(QUERIES) - EAGER)
 SENTIMENT = ["nb_predictions", "sentiment_counts", "sentiment_counts_jittered", "sentiment_share", "sentiment_bubble",
              "sentiment_bubble_points", "sentiment_timeline", "sentiment_timeline_max"]
@@ -29,14 +34,16 @@ def plans(spark):
 
 @pytest.fixture(scope="module")
 def large_input_plans(spark):
-    """Plans as on inputs too large to broadcast."""
+    """Plans as on inputs too large to broadcast or to deal out."""
     key = "spark.sql.autoBroadcastJoinThreshold"
     old = spark.conf.get(key)
     spark.conf.set(key, "-1")
+    small, testdata.SPREAD_BYTES = testdata.SPREAD_BYTES, 0
     try:
         return {name: plan(spark, name) for name in NAMES}
     finally:
         spark.conf.set(key, old)
+        testdata.SPREAD_BYTES = small
 
 
 def test_no_python_evaluation_and_no_pairwise_joins(plans):
@@ -92,9 +99,10 @@ def test_documents_are_exchanged_once_at_scale(large_input_plans):
 
 
 @pytest.mark.parametrize("few", [1_000_000, 0])
-def test_training_exchanges_no_text(spark, few):
+def test_training_exchanges_no_text(spark, few, monkeypatch):
     from postlens.sources.testdata import training_words
 
+    monkeypatch.setattr(testdata, "SPREAD_BYTES", 0)
     df = training_words(spark, SF_CHECK, few)
     p = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     exchanges = re.findall(r"^\(\d+\) (?:Broadcast)?Exchange\nInput \[\d+\]: \[(.*)\]", p, re.M)
@@ -109,3 +117,12 @@ def test_one_scan_of_documents_and_no_text_in_exchanges(large_input_plans, name)
     assert len(re.findall(r"Location: .*documents\.parquet", p)) == 1
     exchanges = re.findall(r"^\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", p, re.M)
     assert exchanges and not any(re.search(r"\btext#", e) for e in exchanges), exchanges
+
+
+def test_only_small_tables_are_dealt_out(spark, monkeypatch):
+    from postlens.sources.testdata import documents
+
+    dealt = lambda: "RepartitionByExpression" in documents(spark, SF_CHECK, "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert dealt()
+    monkeypatch.setattr(testdata, "SPREAD_BYTES", 1000)
+    assert not dealt()

@@ -25,6 +25,21 @@ def test_tokens_equal_split_form(spark, batch):
     assert not bad, bad[:3]
 
 
+PIECES = ["htt", "p", "s", ":", "/", "//", "://", "http", "https", " ", "  ", "\n", "\t", "@", "#", "a", "b_1", "rt", "-", "%", ".", "é", "\u00a0"]
+glued = st.lists(st.lists(st.sampled_from(PIECES), max_size=14).map("".join), min_size=1, max_size=400)
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(glued)
+def test_clean_text_equals_the_chain(spark, batch):
+    df = spark.createDataFrame([(t,) for t in batch], "text string")
+    chain = F.lower("text")
+    for pattern in X.CLEAN_PATTERNS:
+        chain = F.regexp_replace(chain, pattern, "")
+    bad = df.select("text", X.clean_text("text").alias("a"), chain.alias("b")).filter("NOT (a <=> b)").collect()
+    assert not bad, bad[:3]
+
+
 @settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(texts, words)
 def test_mentions_any_equals_token_overlap(spark, batch, tracked):
