@@ -42,6 +42,7 @@ def _header(record_type: Column) -> Column:
     return F.concat(
         F.lit("WARC/1.1" + CRLF),
         line("WARC-Type", record_type),
+        line("WARC-Date", F.col("date")),
         line("WARC-Record-ID", urn(F.coalesce(F.col("page_id").cast("string"), F.lit("null")))),
         # a URI has no line breaks; they would end the header line
         some(line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "%0A"))),
@@ -53,16 +54,24 @@ def _header(record_type: Column) -> Column:
     )
 
 
-def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
+def _date(captured: Column) -> Column:
+    """A time as WARC has it: in UTC, to the second."""
+    return F.date_format(F.to_utc_timestamp(captured, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", captured: str | None = None) -> None:
     """Writes the tables ``payloads`` and ``records`` under ``path``.
 
-    Null html is the empty payload; a null url has no target line. Pages with
+    ``captured`` names the column with the time of capture; without one, and
+    where it is null, a record's date is the time of this call. Null html is the empty payload; a null url has no target line. Pages with
     equal ids are records of their own; a null page_id is a page that no
     revisit refers to while another page has the payload. Further columns are
     not archived. An empty table makes an empty archive.
     """
     body = F.encode(text_of(html), "UTF-8")
+    now = F.current_timestamp()
     rows = pages.select(
+        _date(now if captured is None else F.coalesce(F.col(captured).cast("timestamp"), now)).alias("date"),
         F.col(page_id).cast("long").alias("page_id"),
         F.col(url).cast("string").alias("url"),
         F.sha1(body).alias("digest"),
@@ -92,31 +101,42 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
 
 def read_archive(spark, path: str) -> DataFrame:
     """One row per record: page_id, record (the bytes of the WARC record as
-    written), payload (its page's bytes, also for revisits), payload_bytes,
-    payload_digest (recomputed), record_type and refers_to (parsed from the
-    header block), and intact (the digest and length agree with the header)."""
+    written), payload (its page's bytes: cut out of the record, or for a revisit,
+    which has none, the store's), payload_bytes, payload_digest (recomputed),
+    record_type and refers_to (parsed from the header block), and intact (length,
+    digest and end of the record agree with its header)."""
     store = spark.read.parquet(f"{path}/payloads")
     copies = store.select("digest", "check", "payload_bytes", "payload", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     joined = spark.read.parquet(f"{path}/records").join(copies, ["digest", "check", "payload_bytes", "copy"])
     field = lambda name: F.regexp_extract("header", rf"(?:^|\r\n){name}: ([^\r\n]*)\r\n", 1)
     page = lambda name: F.regexp_extract(field(name), r"^<urn:page:(-?\d+)>$", 1)
     is_revisit = field("WARC-Type") == "revisit"
-    empty = F.encode(F.lit(""), "UTF-8")
-    parsed = joined.select(
+    empty, end, both = (F.encode(F.lit(x), "UTF-8") for x in ("", CRLF, CRLF * 2))
+    header = F.encode("header", "UTF-8")
+    built = joined.select(
         F.when(page("WARC-Record-ID") != "", page("WARC-Record-ID").cast("long")).alias("page_id"),
-        F.concat(F.encode("header", "UTF-8"), F.encode(F.lit(CRLF), "UTF-8"), F.when(is_revisit, empty).otherwise(F.col("payload")), F.encode(F.lit(CRLF * 2), "UTF-8")).alias("record"),
-        "payload",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha1("payload").alias("payload_digest"),
+        F.concat(header, end, F.when(is_revisit, empty).otherwise(F.col("payload")), both).alias("record"),
+        F.col("payload").alias("of_store"),
+        (F.octet_length(header) + len(CRLF)).alias("block_at"),
+        field("Content-Length").cast("int").alias("block_bytes"),
         field("WARC-Type").alias("record_type"),
         F.when(is_revisit, page("WARC-Refers-To").cast("long")).alias("refers_to"),
         field("WARC-Payload-Digest").alias("stated"),
-        field("Content-Length").alias("content_length"),
     )
-    whole = (F.col("stated") == F.concat(F.lit("sha1:"), F.col("payload_digest"))) & (
-        F.col("content_length") == F.when(F.col("record_type") == "revisit", F.lit("0")).otherwise(F.col("payload_bytes").cast("string"))
+    block = F.expr("substring(record, block_at + 1, block_bytes)")
+    cut = built.withColumn("payload", F.when(F.col("record_type") == "revisit", F.col("of_store")).otherwise(block))
+    parsed = cut.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
+    ends = (F.octet_length("record") == F.col("block_at") + F.col("block_bytes") + len(CRLF * 2)) & (F.expr("substring(record, block_at + block_bytes + 1)") == both)
+    whole = (F.col("stated") == F.concat(F.lit("sha1:"), F.col("payload_digest"))) & ends & ((F.col("record_type") != "revisit") | (F.col("block_bytes") == 0))
+    return parsed.select(
+        "page_id", "record", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to", F.coalesce(whole, F.lit(False)).alias("intact")
     )
-    return parsed.withColumn("intact", whole).drop("stated", "content_length")
+
+
+def sound(records: DataFrame) -> DataFrame:
+    """The rows of ``read_archive``; a record that is not intact fails the job."""
+    broken = F.raise_error(F.concat(F.lit("the record of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(" is not intact")))
+    return records.withColumn("payload_digest", F.when(F.col("intact"), F.col("payload_digest")).otherwise(broken.cast("string")))
 
 
 def archived(pages: DataFrame, **columns) -> DataFrame:

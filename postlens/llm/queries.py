@@ -34,8 +34,8 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = archive.archived(table(spark, sf_dir, "pages"))
-    return rows.where("intact").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    rows = archive.sound(archive.archived(table(spark, sf_dir, "pages")))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:

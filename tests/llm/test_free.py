@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -204,6 +205,29 @@ def test_archive_empty(spark):
     assert archive.archived(pages).collect() == []
 
 
+def test_archive_records_are_read_and_dated(spark):
+    """Payloads are cut out of the records; a damaged one fails the job."""
+    path = scratch_path(spark, "archive")
+    pages = spark.createDataFrame([(1, "http://a/", "é" * 600, "2020-01-02 03:04:05"), (2, "http://b/", "é" * 600, None), (3, None, None, "2020-01-02 03:04:05")],
+                                  "page_id long, url string, html string, at string")
+    archive.write_archive(pages, path, captured="at")
+    rows = archive.read_archive(spark, path)
+    got = {r.page_id: r for r in rows.collect()}
+    assert all(r.intact for r in got.values()) and b"WARC-Date: 2020-01-02T03:04:05Z\r\n" in bytes(got[1].record)
+    assert re.search(rb"WARC-Date: \d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ\r\n", bytes(got[2].record))
+    assert bytes(got[2].record).endswith(b"Content-Length: 1200\r\n\r\n" + "é".encode() * 600 + b"\r\n\r\n")
+    assert got[1].record_type == "revisit" and got[1].payload == got[2].payload and got[1].payload_bytes == 1200
+    plan = archive.sound(rows).select("payload_digest")._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring(record" in plan or "substring(concat" in plan  # the digest is that of the record's bytes
+    header = spark.read.parquet(f"{path}/records").withColumn("header", F.regexp_replace("header", "Content-Length: 1200", "Content-Length: 1199"))
+    header.write.parquet(f"{path}/other")
+    spark.read.parquet(f"{path}/other").write.mode("overwrite").parquet(f"{path}/records")
+    damaged = archive.read_archive(spark, path)
+    assert {r.page_id: r.intact for r in damaged.collect()}[2] is False
+    with pytest.raises(Exception, match="the record of page 2 is not intact"):
+        archive.sound(damaged).select("payload_digest").collect()
+
+
 def test_archive_deals_a_common_payload(spark, monkeypatch):
     monkeypatch.setattr(archive, "PER_COPY", 10)
     pages = spark.createDataFrame([(i, f"u{i}", "" if i % 3 else f"page {i}") for i in range(300)], "page_id long, url string, html string")
