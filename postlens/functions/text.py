@@ -165,7 +165,10 @@ def without_words(df: DataFrame, tokens_col: str, words: DataFrame, few: int = F
     found = [r.word for r in own.limit(few + 1).collect()]
     tokens = F.coalesce(tokens_col, F.array().cast("array<string>"))
     if len(found) <= few:
-        return df.withColumn(tokens_col, F.filter(tokens, lambda w: ~w.isin(found)) if found else tokens)
+        # one expression in SQL: a call to the JVM instead of one for each word
+        listed = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in found)
+        each = F.expr(f"filter(`{tokens_col}`, w -> w NOT IN ({listed}))") if found else F.col(tokens_col)
+        return df.withColumn(tokens_col, F.coalesce(each, F.array().cast("array<string>")))
     digest, hits = "_pl_digest", "_pl_hits"
     keyed = df.withColumn(digest, F.md5(F.array_join(tokens, " ")))
     pairs = keyed.select(F.col(digest).alias("key"), F.explode(F.array_distinct(tokens)).alias("token"))

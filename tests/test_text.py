@@ -110,3 +110,12 @@ def test_mentions_any_equals_token_overlap(spark):
     assert both.filter("NOT (a <=> b)").count() == 0
     hits = extra.filter(X.mentions_any("text", ["café", "él"])).collect()
     assert [r.text for r in hits] == ["café", "él"]
+
+
+def test_listed_words_may_hold_quotes(spark):
+    odd = ["it's", "back\\slash", '"x"', "é", "\\'", "%"]
+    df = spark.createDataFrame([(1, [*odd, "left", "left"]), (2, None), (3, [])], "id long, t array<string>")
+    words = spark.createDataFrame([(w,) for w in [*odd, odd[0]]], "w string")
+    for few in (10_000, 0):
+        got = {r.id: r.t for r in X.without_words(df, "t", words, few).collect()}
+        assert got == {1: ["left", "left"], 2: [], 3: []}
