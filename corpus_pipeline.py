@@ -3,6 +3,13 @@
 ``run`` applies the stages to ``documents``; between two stages the documents
 are written as Parquet under the cluster's shared folder and read again, which
 cuts the lineage.
+
+Nulls, empty and very long texts, ties and empty tables have the results that
+the operators state; rejected documents and copies go, whatever columns are null.
+Verdicts go by doc_id: rows that share a doc_id (null included) stay together if
+one of them is kept, so a row repeated with its id stays as often as it came.
+Columns beside those of ``documents`` pass through every stage but the last,
+whatever they are called.
 """
 
 from __future__ import annotations
@@ -17,20 +24,24 @@ from postlens.llm.common import table, written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others lose their host's boilerplate lines."""
-    rows = quality.quality(docs, keep_columns=docs.columns).where("kept")
-    changed = F.col("n_removed") > 0
+    whole = docs.select("text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = quality.quality(whole, keep_columns=["row"]).where("kept")
+    changed, of = F.col("n_removed") > 0, lambda c: F.col(f"row.`{c}`")
     fresh = {
-        "text": F.when(changed, F.col("clean_text")).otherwise(F.col("text")),
-        "n_chars": F.when(changed, F.length("clean_text")).otherwise(F.col("n_chars")).cast("long"),
+        "text": F.when(changed, F.col("clean_text")).otherwise(of("text")),
+        "n_chars": F.when(changed, F.length("clean_text")).otherwise(of("n_chars")).cast("long"),
     }
-    return rows.select(*[fresh.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return rows.select(*[fresh.get(c, of(c)).alias(c) for c in docs.columns])
 
 
 def _without(docs: DataFrame, verdicts: DataFrame, name: str) -> DataFrame:
     """``docs`` without the documents of which no row is kept. Only their ids
     meet the texts: usually few enough for a broadcast, else a sort-merge join."""
-    gone = verdicts.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"))
-    return docs.join(written(gone, name), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    key = "gone_id"
+    while key in docs.columns:
+        key += "_"
+    gone = verdicts.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select(F.col("doc_id").alias(key))
+    return docs.join(written(gone, name), F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
