@@ -69,3 +69,29 @@ def test_stages_accept_an_empty_table(spark):
     docs = spark.read.parquet(f"{SMOKE}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SMOKE).count() == 0
+
+
+def test_stages_on_edges(spark, edge_docs):
+    """Nulls in any column, empty and long texts, ties, repeated rows and clashing names."""
+    docs = edge_docs.repartition(3)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality rules"](spark, docs, SMOKE)
+    assert kept.columns == docs.columns and {None, 6, 7, 8, 9, 14} & {r.doc_id for r in kept.collect()} == set()
+
+    single = stages["exact dedup"](spark, docs, SMOKE)
+    verdicts = collections.defaultdict(bool)
+    for x in plain.exact(rows):
+        verdicts[x[0]] |= x[3]
+    assert single.columns == docs.columns and collections.Counter(r.doc_id for r in single.collect()) == collections.Counter(i for i, _ in rows if verdicts[i])
+
+    apart = stages["near dedup"](spark, docs, SMOKE)
+    left = {r.doc_id for r in apart.collect()}
+    assert apart.columns == docs.columns and {1, 18} <= left and not {2, 4, 5} & left
+
+    mixed = stages["mixing sources"](spark, docs, SMOKE)
+    assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} == {i for i, _ in rows}
+    # equal ids cannot be told apart by doc_id, so packing is checked on rows of their own
+    own = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    check_packed(stages["packing"](spark, own, SMOKE).collect(), [(k, t) for k, (_, t) in enumerate(rows)], 4096)
+    assert stages["packing"](spark, docs, SMOKE).count() >= len(rows)
