@@ -202,6 +202,36 @@ class TrieFile:
         self.trie = Trie([whole[a:b] for a, b in zip(bounds[:-1], bounds[1:])], order)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct key, the keys rising; each key's number among them."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    each = np.empty(len(keys), np.int64)
+    each[order] = np.cumsum(new) - 1
+    return order[new], each
+
+
+class _ByShard:
+    """What goes to each shard, from one sort, however many shards there are."""
+
+    def __init__(self, which: np.ndarray, shards: int):
+        which = which.astype(np.min_scalar_type(max(shards - 1, 0)))
+        self.order = np.argsort(which, kind="stable")
+        self.shards, self.starts = np.unique(which[self.order], return_index=True)
+        self.ends = np.append(self.starts[1:], len(which))
+
+    def __iter__(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each shard that gets something, and the places that go to it."""
+        for shard, a, b in zip(self.shards.tolist(), self.starts.tolist(), self.ends.tolist()):
+            yield shard, self.order[a:b]
+
+    def __getitem__(self, shard: int) -> np.ndarray:
+        at = int(np.searchsorted(self.shards, shard))
+        return self.order[self.starts[at] : self.ends[at]]
+
+
 def _held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD_OUT
 
@@ -234,7 +264,7 @@ class _Grams:
             return
         at = np.flatnonzero(tokens.place >= order - 1)
         keys = before.of[at - 1] * (int(tokens.tokens.max(initial=0)) + 1) + tokens.tokens[at]
-        _, first, each = np.unique(keys, return_index=True, return_inverse=True)
+        first, each = _distinct(keys)
         self.of = np.full(n, -1, np.int64)
         self.of[at] = each
         self.rows = at[first]
@@ -250,10 +280,10 @@ class _Known:
         # round 1: each word's count and number
         self.numbers, count = np.zeros(len(block.words) + 1, np.int64), np.zeros(len(block.words) + 1, np.int64)
         count[END] = texts
-        word_shards = _shards_of(block.words, row["word_shards"])
+        by_shard = _ByShard(_shards_of(block.words, row["word_shards"]), row["word_shards"])
         for shard, reply in self._replies(row, 1):
             counts, numbers = map(unsqueeze, parted(reply))
-            mine = np.flatnonzero(word_shards == shard) + 1
+            mine = by_shard[shard] + 1
             count[mine], self.numbers[mine] = counts, numbers
         self.base = np.log10((count + 0.1) / (n + 0.1 * (distinct + 1)))
         self.count, self.grams, self.logs, self.codes = count, [_Grams(self.tokens, 1, None)], [self.base], [None]
@@ -262,9 +292,9 @@ class _Known:
         for k in range(2, order + 1):
             grams, contexts, lower = self.order_of(k, counts)
             counts, codes = np.zeros(len(grams.rows), np.int64), np.zeros(len(grams.rows), np.int64)
-            shards = self.shards_of(grams, k, row["gram_shards"])
+            by_shard = _ByShard(self.shards_of(grams, k, row["gram_shards"]), row["gram_shards"])
             for shard, reply in self._replies(row, k):
-                mine = np.flatnonzero(shards == shard)
+                mine = by_shard[shard]
                 found = parted(reply)
                 codes[mine] = unsqueeze(found[0])
                 counts[mine] = unsqueeze(found[1])
@@ -296,16 +326,12 @@ class _Known:
     def ask(self, k: int, shards: int) -> Iterator[tuple[int, bytes]]:
         """(shard, what it is asked) for the n-grams of order k."""
         grams, contexts, lower = self.order_of(k, self.counts if k > 2 else self.count)
-        which = self.shards_of(grams, k, shards)
+        by_shard = _ByShard(self.shards_of(grams, k, shards), shards)
         columns = self.columns(grams, k)
         # the lower order's probability in the codes' steps, sixteen to a step
         fine = np.minimum(np.round(-lower / self.step * 16), CODES * 16).astype(np.int64)
-        by = np.argsort(which, kind="stable")
-        bounds = np.searchsorted(which[by], np.arange(shards + 1))
-        for shard in range(shards):
-            mine = by[bounds[shard] : bounds[shard + 1]]
-            if len(mine):
-                yield shard, joined([squeeze(x[mine]) for x in (*columns, grams.counts, contexts, fine)])
+        for shard, mine in by_shard:
+            yield shard, joined([squeeze(x[mine]) for x in (*columns, grams.counts, contexts, fine)])
 
     def scores(self) -> list[np.ndarray]:
         """doc_id's rows: held_out, n_tokens, n_known, base_score, score."""
@@ -327,11 +353,9 @@ def _shards_of(words: list[str], shards: int) -> np.ndarray:
 def _ask_words(block: Block, shards: int) -> Iterator[tuple[int, bytes]]:
     tokens = _Tokens(block)
     counts = np.bincount(tokens.tokens, tokens.training, len(block.words) + 1).astype(np.int64)[1:]
-    which, words = _shards_of(block.words, shards), np.array(block.words, object)
-    for shard in range(shards):
-        mine = np.flatnonzero(which == shard)
-        if len(mine):
-            yield shard, joined([zstandard.ZstdCompressor(level=3).compress(" ".join(words[mine].tolist()).encode()), squeeze(counts[mine])])
+    words = np.array(block.words, object)
+    for shard, mine in _ByShard(_shards_of(block.words, shards), shards):
+        yield shard, joined([zstandard.ZstdCompressor(level=3).compress(" ".join(words[mine].tolist()).encode()), squeeze(counts[mine])])
 
 
 def _answer_words(shard: int, shards: int, asked: list[bytes]) -> tuple[list[bytes], int, int]:
@@ -359,19 +383,15 @@ def _answer_grams(asked: list[bytes], order: int, prior: float, step: float, wit
     sizes = [len(p[0]) for p in opened]
     columns = [np.concatenate([p[i] for p in opened]) for i in range(order + 3)]
     words, (counts, contexts, fine) = columns[:order], columns[order:]
-    by = np.lexsort(words[::-1])
-    new = np.zeros(len(by), bool)
-    new[0] = True
-    for w in words:
-        ordered = w[by]
-        new[1:] |= ordered[1:] != ordered[:-1]
-    first = np.flatnonzero(new)
-    total = np.add.reduceat(counts[by], first)
-    distinct = by[first]
+    # the n-grams in lexicographic order, word by word
+    distinct, of = _distinct(words[0])
+    for w in words[1:]:
+        distinct, of = _distinct(of * (int(w.max()) + 1) + w)
+    total = np.bincount(of, counts, len(distinct)).astype(np.int64)
     p = (total + prior * 10.0 ** (-fine[distinct] * step / 16)) / (contexts[distinct] + prior)
     codes = 1 + np.clip(np.round(-np.log10(p) / step), 0, CODES - 1).astype(np.int64)
     seen = total > 0
-    found = np.zeros(len(first), np.int64)
+    found = np.zeros(len(distinct), np.int64)
     parts: list[np.ndarray] = []
     if seen.any():
         parts = Trie.build([w[distinct[seen]] for w in words], codes[seen])
@@ -379,8 +399,6 @@ def _answer_grams(asked: list[bytes], order: int, prior: float, step: float, wit
         place = trie.find([w[distinct] for w in words])
         hit = place >= 0
         found[hit] = trie.codes[place[hit]]
-    of = np.empty(len(by), np.int64)
-    of[by] = np.cumsum(new) - 1
     replies, at = [], 0
     for n in sizes:
         own = of[at : at + n]
