@@ -20,23 +20,30 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.common import text_of
+from postlens.llm.common import text_of, tidy
 from postlens.session import scratch_path
 
 #: Words in a block, about; a longer document is a block of its own.
 BLOCK_WORDS = 1 << 20
+#: Buckets at most (Spark takes 100,000); beyond, a bucket holds several blocks.
+MOST_BUCKETS = 50_000
 SCHEMA = "block long, doc_ids array<long>, sizes binary, words string, numbers binary"
 
 
 def squeeze(values: np.ndarray) -> bytes:
-    """Integers from 0, compressed: their bytes by place, the lowest first."""
-    planes = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8).T
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
+    """Integers from 0, compressed: how many bytes the largest takes, then the
+    bytes by place, the lowest first."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def unsqueeze(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<i8").reshape(-1)
+    width = data[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(width, -1)
+    values = np.zeros((planes.shape[1], 8), np.uint8)
+    values[:, :width] = planes.T
+    return values.view("<i8").reshape(-1)
 
 
 def joined(parts: list[bytes]) -> bytes:
@@ -52,6 +59,11 @@ def parted(data: bytes) -> list[bytes]:
     return parts
 
 
+def bucket_count(size: int, block_words: int) -> int:
+    """About a bucket for each block of a text of ``size`` bytes: a word takes some six."""
+    return min(MOST_BUCKETS, max(1, -(-size // (6 * block_words))))
+
+
 def word_blocks(docs: DataFrame, doc_id: str, text: str, lower: bool = False, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The blocks of ``docs``, written: doc_ids, sizes (words of each document),
     words (joined by spaces, the frequent first) and numbers (of each word)."""
@@ -95,11 +107,11 @@ def word_blocks(docs: DataFrame, doc_id: str, text: str, lower: bool = False, bl
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    # a word takes some six bytes; about a bucket for each block
-    buckets = max(1, -(-size // (6 * block_words)))
+    buckets = bucket_count(size, block_words)
     spark, name = docs.sparkSession, f"postlens_blocks_{uuid.uuid4().hex}"
     made_rows = rows.mapInArrow(cut, SCHEMA).write.bucketBy(buckets, "block")
-    made_rows.option("path", scratch_path(spark, "word_blocks")).saveAsTable(name)
+    with tidy(spark):
+        made_rows.option("path", scratch_path(spark, "word_blocks")).saveAsTable(name)
     return spark.table(name)
 
 

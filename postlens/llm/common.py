@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import types
 from collections.abc import Callable
@@ -13,6 +14,8 @@ from postlens.session import scratch_path
 
 #: White space between words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
+#: Spark's setting to remove a query's shuffle files when it has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +28,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     size is known and whose skewed partitions adaptive execution can split."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """What is written here leaves no shuffle files: Spark removes them as soon
+    as the write has ended, not when the driver happens to collect the plan.
+    Later steps read the table, so nothing asks for them again."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def text_of(col: str | Column = "text") -> Column:
     """A text with null as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
@@ -59,3 +76,10 @@ def worker_cache(name: str, make: Callable):
     if name not in kept:
         kept[name] = make()
     return kept[name]
+
+
+def worker_forget(name: str) -> None:
+    """Drops what an earlier stage kept under ``name`` in this worker."""
+    kept = sys.modules.get("_postlens_worker")
+    if kept is not None:
+        kept.__dict__.pop(name, None)

@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from postlens.llm import archive, lm, packing, queries, substrings, token_counts
+from postlens.llm import archive, blocks, common, lm, packing, queries, substrings, token_counts
 from postlens.session import scratch_path
 from tests.llm import plain
 
@@ -343,3 +343,51 @@ def test_the_query_uses_trigrams(spark, sample, monkeypatch):
     check_scores(got, rows, (1000.0, 20.0))
     bigrams = plain.Model(rows, (1000.0,))
     assert any(abs(r.score - bigrams.score(t)[3]) > 0.04 * r.n_tokens for r in got for i, t in rows if i == r.doc_id)
+
+
+def test_shards_from_one_sort():
+    """A block's work goes by what it sends, not by how many shards there are."""
+    which = np.random.default_rng(3).integers(0, 50, 2000) * 1_000_003
+    for shards in (50 * 1_000_003, 10**12):
+        found = lm._ByShard(which, shards)
+        sent = dict(found)
+        assert sorted(sent) == np.unique(which).tolist()
+        for shard, places in sent.items():
+            assert places.tolist() == np.flatnonzero(which == shard).tolist() == found[shard].tolist()
+
+
+def test_distinct_keys_in_order():
+    keys = np.random.default_rng(4).integers(0, 300, 1000)
+    first, each = lm._distinct(keys)
+    assert keys[first].tolist() == np.unique(keys).tolist()
+    assert (keys[first][each] == keys).all()
+
+
+def test_more_blocks_than_buckets(spark, sample, monkeypatch):
+    """The number of buckets is bounded, the number of blocks is not."""
+    docs, _ = sample
+    assert blocks.bucket_count(10**15, 1 << 20) == blocks.MOST_BUCKETS < 100_000
+    whole = {r.doc_id: r for r in lm.lm_scores(docs).collect()}
+    monkeypatch.setattr(blocks, "MOST_BUCKETS", 2)
+    for r in lm.lm_scores(docs, block_words=2000).collect():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (whole[r.doc_id].n_tokens, whole[r.doc_id].n_known, whole[r.doc_id].train_tokens)
+        assert abs(r.score - whole[r.doc_id].score) < 0.02 * r.n_tokens
+    found = sorted(substrings.remove_repeats(docs, block_words=2000).collect())
+    monkeypatch.undo()
+    assert found == sorted(substrings.remove_repeats(docs).collect())
+
+
+def test_squeeze():
+    for values in ([], [0, 0], [255], [256, 1], [2**40, 0, 7], [2**62]):
+        assert blocks.unsqueeze(blocks.squeeze(np.array(values, np.int64))).tolist() == values
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    """The setting holds for the write alone, also if it fails."""
+    before = spark.conf.get(common.SHUFFLE_CLEANUP, None)
+    with common.tidy(spark):
+        assert spark.conf.get(common.SHUFFLE_CLEANUP) == "true"
+    with pytest.raises(KeyError), common.tidy(spark):
+        raise KeyError
+    assert spark.conf.get(common.SHUFFLE_CLEANUP, None) == before
+    assert common.written(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "t").count() == 7
