@@ -37,14 +37,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import CharDelimiterSplit
 
-from postlens.llm.common import text_of, worker_cache, written
+from postlens.llm.common import text_of, worker_cache, worker_forget, written
 
 WINDOW = 4096
 END = 2
 SHARD_BYTES = 2 << 20
 K1, B = 1.2, 0.75
 #: Words that a worker remembers before it starts over.
-MOST_WORDS = 1_000_000
+MOST_WORDS = 600_000
 #: Centroids, dimensions of the projection, and documents that centroids are learnt from.
 CENTROIDS, DIMENSIONS, SAMPLE = 16, 64, 4000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -267,6 +267,7 @@ def _corpus(tokenised: DataFrame) -> Corpus:
     """Only a number per term and the sample's vectors come to the driver."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_forget("word encoder")
         df, n, tokens = np.zeros(1, np.int64), 0, 0
         for batch in batches:
             for ids in batch.column(0).to_pylist():
@@ -303,6 +304,7 @@ def _stretches(tokenised: DataFrame, corpus: Corpus) -> Stretches:
     """At most a key per centroid and term comes to the driver."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_forget("word encoder")
         for batch in batches:
             texts = [np.frombuffer(ids, "<u4") for ids in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([corpus.key(t) for t in texts], pa.int64()), pa.array([len(t) for t in texts], pa.int64())], ["key", "n"])
@@ -328,7 +330,10 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     shards = max(1, -(-size // shard_bytes))
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_cache(f"word encoder {hash(spec)}", lambda: WordEncoder(spec))
+        encoder = worker_cache("word encoder", dict)
+        if encoder.get("spec") != spec:
+            encoder |= {"spec": spec, "made": WordEncoder(spec)}
+        encoder = encoder["made"]
         task, seen = TaskContext.get().partitionId(), 0
         for batch in batches:
             sizes = pc.binary_length(batch.column(1)).to_numpy()
@@ -350,6 +355,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     stretches = _stretches(tokenised, corpus)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_forget("word encoder")
         for batch in batches:
             found = []
             for task, row, doc, ids in zip(*(c.to_pylist() for c in batch.columns)):
@@ -371,6 +377,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     schema = PIECES + ", ids binary" * with_ids
 
     def packed(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        worker_forget("word encoder")
         group = group.sort_values(["task", "row", "start"], kind="stable").reset_index(drop=True)
         full = group[group.crc.notna()]
         rest = group[group.crc.isna()]
