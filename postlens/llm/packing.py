@@ -30,7 +30,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,25 +42,27 @@ WINDOW = 4096
 END = 2
 SHARD_BYTES = 2 << 20
 K1, B = 1.2, 0.75
-#: Words that a worker remembers before it starts over.
-MOST_WORDS = 600_000
+#: Pieces of words that a worker remembers before it starts over.
+MOST_PIECES = 600_000
 #: Centroids, dimensions of the projection, and documents that centroids are learnt from.
 CENTROIDS, DIMENSIONS, SAMPLE = 16, 64, 4000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordEncoder:
-    """Token ids of whole texts by way of their distinct words.
+    """Token ids of whole texts by way of their distinct pieces.
 
     For tokenizers that drop white space and never merge across it, a text's
     ids are those of its words in a row. A plain word (letters up to U+017F,
-    digits, punctuation) is put in lower case and split here and goes to the
-    library's model; any other word, or one that may hold a special token's
-    string, goes through the library whole.
+    digits, punctuation) is put in lower case and cut into pieces here, a
+    batch's distinct words at a time, and new pieces go to the library's model;
+    any other word, or one that may hold a special token's string, is one piece
+    and goes through the library whole. A piece of a plain word is plain and
+    holds no "<|", so it is never the string of a whole word.
     """
 
-    plain = regex.compile(r"[\x21-\x7E¡-įı-ſ]+")
-    parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    plain = r"^[\x21-\x7E\x{A1}-\x{12F}\x{131}-\x{17F}]+$"
+    parts = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+"
 
     def __init__(self, tokenizer_json: str):
         self.library = Tokenizer.from_str(tokenizer_json)
@@ -74,72 +75,66 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        # word i has the pieces word_pieces[word_ends[i] : word_ends[i + 1]], piece k the ids piece_ids[piece_ends[k] : piece_ends[k + 1]]
-        self.words, self.pieces = {}, {}
-        self.word_pieces, self.word_ends = array("I"), array("q", [0])
-        self.piece_ids, self.piece_ends = array("I"), array("q", [0])
-
-    def learn(self, words: list[str]) -> None:
-        """Numbers new words and their pieces, and encodes the new pieces in one call."""
-        numbers, fresh, whole = self.pieces, [], {}
-        for word in words:
-            if ((word.isascii() and word.isprintable()) or self.plain.fullmatch(word)) and "<|" not in word:
-                low = word.lower()
-                parts = (low,) if low.isalpha() else self.parts.findall(low)
-            elif word:
-                parts = (("whole", word),)
-                whole[parts[0]] = self.library.encode(word, add_special_tokens=False).ids
-            else:
-                parts = ()
-            for p in parts:
-                number = numbers.get(p)
-                if number is None:
-                    number = numbers[p] = len(numbers)
-                    fresh.append(p)
-                self.word_pieces.append(number)
-            self.word_ends.append(len(self.word_pieces))
-            self.words[word] = len(self.words)
-        plain = [p if p.isascii() else p.encode().decode("latin-1").translate(self.bytes_to_chars) for p in fresh if p not in whole]
-        found = self.model.encode(" ".join(plain), add_special_tokens=False)
-        sizes = iter(np.bincount(np.array(found.word_ids, np.int64), minlength=len(plain)).tolist())
-        ids, at = found.ids, 0
-        for p in fresh:
-            if p in whole:
-                self.piece_ids.extend(whole[p])
-            else:
-                n = next(sizes)
-                self.piece_ids.extend(ids[at : at + n])
-                at += n
+        # piece k has the ids piece_ids[piece_ends[k] : piece_ends[k + 1]]; the empty piece has none
+        self.pieces = {"": 0}
+        self.piece_ids, self.piece_ends = array("I"), array("q", [0, 0])
+
+    def learn(self, fresh: list[str], whole: list[str]) -> None:
+        """Numbers new pieces; those of plain words are encoded in one call."""
+        if fresh:
+            plain = [p if p.isascii() else p.encode().decode("latin-1").translate(self.bytes_to_chars) for p in fresh]
+            found = self.model.encode(" ".join(plain), add_special_tokens=False)
+            sizes = np.bincount(np.array(found.word_ids, np.int64), minlength=len(plain))
+            self.piece_ends.frombytes((np.cumsum(sizes) + len(self.piece_ids)).astype(np.int64).tobytes())
+            self.piece_ids.extend(found.ids)
+            self.pieces.update(zip(fresh, range(len(self.pieces), len(self.pieces) + len(fresh))))
+        for word in whole:
+            self.piece_ids.extend(self.library.encode(word, add_special_tokens=False).ids)
             self.piece_ends.append(len(self.piece_ids))
+            self.pieces[word] = len(self.pieces)
+
+    def numbers(self, values: pa.Array, plain: bool) -> np.ndarray:
+        """The numbers of pieces of plain words, or of whole words."""
+        coded = values.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        known = self.pieces
+        if fresh := [p for p in distinct if p not in known]:
+            self.learn(fresh if plain else [], [] if plain else fresh)
+        return np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text's closed by ``end``; where each text starts, and the end."""
-        if len(self.words) > MOST_WORDS:
+        if len(self.pieces) > MOST_PIECES:
             self.forget()
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        known = self.words
-        if new := [w for w in distinct if w not in known]:
-            self.learn(new)
-        numbers = np.fromiter((known[w] for w in distinct), np.int64, len(distinct))
+        words = coded.dictionary
+        plain = pc.and_(pc.match_substring_regex(words, self.plain), pc.invert(pc.match_substring(words, "<|")))
+        spaced = pc.replace_substring_regex(pc.utf8_lower(words.filter(plain)), self.parts, r"\0 ")
+        cut = pc.split_pattern(pc.ascii_rtrim(spaced, characters=" "), " ")
+        ends = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        pieces = [self.numbers(cut.flatten(), True), self.numbers(words.filter(pc.invert(plain)), False)]
         # one word and one piece more: the end of a text
-        pieces = np.append(np.array(self.word_pieces, np.int64), len(self.pieces))
-        word_ends = np.append(np.array(self.word_ends), len(pieces))
+        pieces = np.concatenate([*pieces, [len(self.pieces)]])
+        first, sizes = np.empty(len(words) + 1, np.int64), np.ones(len(words) + 1, np.int64)
+        first[:-1][is_plain], sizes[:-1][is_plain] = ends[:-1], np.diff(ends)
+        first[:-1][~is_plain] = ends[-1] + np.arange((~is_plain).sum())
+        first[-1] = len(pieces) - 1
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        codes = np.insert(coded.indices.to_numpy(), bounds[1:], len(words))
+        pieces, at = _gathered(pieces, first, sizes, codes)
         ids = np.append(np.array(self.piece_ids, np.uint32), np.uint32(end))
         piece_ends = np.append(np.array(self.piece_ends), len(ids))
-        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
-        codes = np.insert(numbers[coded.indices.to_numpy()], bounds[1:], len(word_ends) - 2)
-        pieces, at = _gathered(pieces, word_ends, codes)
-        found, starts = _gathered(ids, piece_ends, pieces)
+        found, starts = _gathered(ids, piece_ends[:-1], np.diff(piece_ends), pieces)
         return found, starts[at[bounds + np.arange(len(bounds))]]
 
 
-def _gathered(values: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """values[ends[i] : ends[i + 1]] for each i of ``which`` in a row, and where each starts, and the end."""
-    first = ends[which]
-    starts = np.concatenate([[0], np.cumsum(ends[which + 1] - first)])
-    gather = np.repeat(first - starts[:-1], np.diff(starts))
+def _gathered(values: np.ndarray, first: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values[first[i] : first[i] + sizes[i]] for each i of ``which`` in a row, and where each starts, and the end."""
+    n = sizes[which]
+    starts = np.concatenate([[0], np.cumsum(n)])
+    gather = np.repeat(first[which] - starts[:-1], n)
     gather += np.arange(starts[-1])
     return values[gather], starts
 
