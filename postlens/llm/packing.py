@@ -41,9 +41,11 @@ from postlens.llm.common import text_of, worker_cache, worker_forget, written
 WINDOW = 4096
 END = 2
 SHARD_BYTES = 2 << 20
+#: Bytes of text that are encoded at a time.
+ENCODE_BYTES = 2 << 20
 K1, B = 1.2, 0.75
 #: Pieces of words that a worker remembers before it starts over.
-MOST_PIECES = 600_000
+MOST_PIECES = 1_000_000
 #: Centroids, dimensions of the projection, and documents that centroids are learnt from.
 CENTROIDS, DIMENSIONS, SAMPLE = 16, 64, 4000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -66,7 +68,7 @@ class WordEncoder:
 
     def __init__(self, tokenizer_json: str):
         self.library = Tokenizer.from_str(tokenizer_json)
-        # the same model without normaliser and splitting: it gets pieces between plain spaces
+        # the same model without normaliser and splitting: it gets a list of pieces
         self.model = Tokenizer(self.library.model)
         self.model.pre_tokenizer = CharDelimiterSplit(" ")
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -83,7 +85,7 @@ class WordEncoder:
         """Numbers new pieces; those of plain words are encoded in one call."""
         if fresh:
             plain = [p if p.isascii() else p.encode().decode("latin-1").translate(self.bytes_to_chars) for p in fresh]
-            found = self.model.encode(" ".join(plain), add_special_tokens=False)
+            found = self.model.encode(plain, is_pretokenized=True, add_special_tokens=False)
             sizes = np.bincount(np.array(found.word_ids, np.int64), minlength=len(plain))
             self.piece_ends.frombytes((np.cumsum(sizes) + len(self.piece_ids)).astype(np.int64).tobytes())
             self.piece_ids.extend(found.ids)
@@ -97,10 +99,12 @@ class WordEncoder:
         """The numbers of pieces of plain words, or of whole words."""
         coded = values.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        known = self.pieces
-        if fresh := [p for p in distinct if p not in known]:
+        found = np.fromiter((self.pieces.get(p, -1) for p in distinct), np.int64, len(distinct))
+        if len(fresh := np.flatnonzero(found < 0)):
+            found[fresh] = np.arange(len(self.pieces), len(self.pieces) + len(fresh))
+            fresh = [distinct[i] for i in fresh.tolist()]
             self.learn(fresh if plain else [], [] if plain else fresh)
-        return np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        return found[coded.indices.to_numpy()]
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text's closed by ``end``; where each text starts, and the end."""
@@ -139,6 +143,27 @@ def _gathered(values: np.ndarray, first: np.ndarray, sizes: np.ndarray, which: n
     return values[gather], starts
 
 
+def _term_counts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' distinct terms in a row, each text's rising, their counts there, and where each text starts, and the end."""
+    owners = np.repeat(np.arange(len(texts), dtype=np.int64) << 32, [len(t) for t in texts])
+    owners |= np.concatenate(texts).astype(np.int64)
+    owners.sort()
+    first = np.flatnonzero(np.diff(owners, prepend=-1))
+    counts = np.diff(first, append=len(owners))
+    owners = owners[first]
+    return owners & 0xFFFFFFFF, counts, np.searchsorted(owners >> 32, np.arange(len(texts) + 1))
+
+
+def _portions(texts: list[np.ndarray], most: int = 1 << 20) -> Iterator[list[np.ndarray]]:
+    """The texts in a row, in portions of about ``most`` ids."""
+    ends = np.cumsum([len(t) for t in texts])
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most)))
+        yield texts[first:last]
+        first = last
+
+
 class Corpus:
     """What is known of the whole corpus: each term's document frequency and
     idf, the mean length, and the centroids."""
@@ -148,10 +173,12 @@ class Corpus:
         self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
         self.centroids = np.zeros((1, DIMENSIONS), np.float32)
 
-    def weights(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The document's terms, and their weights."""
-        terms, counts = np.unique(ids, return_counts=True)
-        return terms, counts * (K1 + 1) / (counts + K1) * self.idf[terms]
+    def weighted(self, texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each text's terms, and their weights."""
+        for some in _portions(texts):
+            terms, counts, at = _term_counts(some)
+            weights = counts * (K1 + 1) / (counts + K1) * self.idf[terms]
+            yield from ((terms[a:b], weights[a:b]) for a, b in zip(at[:-1], at[1:]))
 
     def vector(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """The weights projected on few dimensions, of length 1."""
@@ -171,12 +198,14 @@ class Corpus:
                 centroids[k] = v / max(np.linalg.norm(v), 1e-9)
         self.centroids = centroids
 
-    def key(self, ids: np.ndarray) -> int:
-        """The nearest centroid and the heaviest term. A term that no other
+    def keys(self, texts: list[np.ndarray]) -> list[int]:
+        """Each text's nearest centroid and heaviest term. A term that no other
         document has brings no neighbour, so it counts nothing."""
-        terms, weights = self.weights(ids)
-        shared = np.where(self.df[terms] > 1, weights, 0.0)
-        return int(np.argmax(self.centroids @ self.vector(terms, weights))) * len(self.df) + int(terms[np.argmax(shared)])
+        found = []
+        for terms, weights in self.weighted(texts):
+            shared = np.where(self.df[terms] > 1, weights, 0.0)
+            found.append(int(np.argmax(self.centroids @ self.vector(terms, weights))) * len(self.df) + int(terms[np.argmax(shared)]))
+        return found
 
 
 class Bm25:
@@ -185,11 +214,9 @@ class Bm25:
 
     def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
         lengths = np.array([len(d) for d in docs], np.float64)
-        sets = [np.unique(d, return_counts=True) for d in docs]
-        self.terms = [t for t, _ in sets]
-        terms = np.concatenate([t for t, _ in sets])
-        counts = np.concatenate([c for _, c in sets]).astype(np.float64)
-        owners = np.repeat(np.arange(len(docs)), [len(t) for t, _ in sets])
+        terms, counts, at = _term_counts(docs)
+        self.terms = np.split(terms, at[1:-1])
+        owners = np.repeat(np.arange(len(docs)), np.diff(at))
         order = np.argsort(terms, kind="stable")
         vocabulary, first, df = np.unique(terms[order], return_index=True, return_counts=True)
         norm = K1 * (1 - B + B * lengths / (corpus.mean if corpus else lengths.mean()))
@@ -265,13 +292,11 @@ def _corpus(tokenised: DataFrame) -> Corpus:
         worker_forget("word encoder")
         df, n, tokens = np.zeros(1, np.int64), 0, 0
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                ids = np.frombuffer(ids, "<u4")
-                terms = np.unique(ids)
-                if terms[-1] >= len(df):
-                    df = np.append(df, np.zeros(int(terms[-1]) + 1 - len(df), np.int64))
-                df[terms] += 1
-                n, tokens = n + 1, tokens + len(ids)
+            for texts in _portions([np.frombuffer(ids, "<u4") for ids in batch.column(0).to_pylist()]):
+                terms, counts, _ = _term_counts(texts)
+                more = np.bincount(terms, minlength=len(df))
+                more[: len(df)] += df
+                df, n, tokens = more, n + len(texts), tokens + int(counts.sum())
         terms = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *terms.tolist()], pa.int64()), pa.array([tokens, n, *df[terms].tolist()], pa.int64())], ["term", "n"])
 
@@ -284,7 +309,8 @@ def _corpus(tokenised: DataFrame) -> Corpus:
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [corpus.vector(*corpus.weights(np.frombuffer(ids, "<u4"))).astype("<f4").tobytes() for ids in batch.column(0).to_pylist()]
+            texts = [np.frombuffer(ids, "<u4") for ids in batch.column(0).to_pylist()]
+            found = [corpus.vector(*w).astype("<f4").tobytes() for w in corpus.weighted(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["vector"])
 
     share = 1 << 20 if n <= SAMPLE else max(1, (SAMPLE << 20) // n)
@@ -302,7 +328,7 @@ def _stretches(tokenised: DataFrame, corpus: Corpus) -> Stretches:
         worker_forget("word encoder")
         for batch in batches:
             texts = [np.frombuffer(ids, "<u4") for ids in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([corpus.key(t) for t in texts], pa.int64()), pa.array([len(t) for t in texts], pa.int64())], ["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(corpus.keys(texts), pa.int64()), pa.array([len(t) for t in texts], pa.int64())], ["key", "n"])
 
     rows = tokenised.select("ids").mapInArrow(keyed, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     return Stretches(rows.column(0).to_numpy(), rows.column(1).to_numpy())
@@ -334,7 +360,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
             sizes = pc.binary_length(batch.column(1)).to_numpy()
             first = 0
             while first < batch.num_rows:
-                last = max(first + 1, first + int(np.searchsorted(np.cumsum(sizes[first:]), shard_bytes)))
+                last = max(first + 1, first + int(np.searchsorted(np.cumsum(sizes[first:]), ENCODE_BYTES)))
                 ids, at = encoder.encode(batch.column(1).slice(first, last - first), end)
                 found = [ids[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:])]
                 n = last - first
@@ -353,10 +379,11 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         worker_forget("word encoder")
         for batch in batches:
             found = []
-            for task, row, doc, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                own = np.frombuffer(ids, "<u4")
+            tasks, places, doc_ids, texts = (c.to_pylist() for c in batch.columns)
+            texts = [np.frombuffer(ids, "<u4") for ids in texts]
+            for task, row, doc, own, key in zip(tasks, places, doc_ids, texts, corpus.keys(texts)):
                 full = len(own) // window * window
-                shard = stretches.shard(corpus.key(own), task, row, shards)
+                shard = stretches.shard(key, task, row, shards)
                 for start in range(0, len(own), window):
                     part = own[start : start + window].tobytes()
                     crc = zlib.crc32(part) if start < full else None
