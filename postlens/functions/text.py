@@ -50,6 +50,8 @@ CREATED_AT_FORMAT = "MMM dd HH:mm:ss Z yyyy"  # applied after the weekday
 
 # A word list of up to so many words becomes a constant of the plan.
 FEW_WORDS = 10_000
+# A list of up to so many words may be broadcast (some 100 MB at most).
+MANY_WORDS = 500_000
 # A token of a longer list is joined under so many keys.
 LIST_SALTS = 16
 
@@ -139,13 +141,21 @@ def tokens(text: str | Column, stop_words: Iterable[str] = STOP_WORDS) -> Column
     return F.filter(alpha, lambda w: ~w.isin(list(stop))) if stop else alpha
 
 
-def listed_tokens(pairs: DataFrame, words: DataFrame, token: str = "token", salt_by: str = "key") -> DataFrame:
+def listed_tokens(pairs: DataFrame, words: DataFrame, token: str = "token", salt_by: str = "key", many: int | None = None) -> DataFrame:
     """The rows of ``pairs`` whose ``token`` is in the first column of ``words``.
 
-    A token may be in a third of all rows, so it is joined under ``LIST_SALTS``
-    keys, by a hash of ``salt_by``; the list, each word once, is repeated for them."""
-    salt = "_pl_salt"
+    Tokens shorter or longer than all listed words go first. A list of up to
+    ``many`` words (``MANY_WORDS``) is broadcast, so ``pairs`` is not shuffled. Of
+    a longer one, a token may be in a third of all rows, so it is joined under
+    ``LIST_SALTS`` keys, by a hash of ``salt_by``; the list, each word once, is
+    repeated for them."""
+    salt, many = "_pl_salt", MANY_WORDS if many is None else many
     listed = words.select(F.col(words.columns[0]).alias(token)).where(F.col(token).isNotNull()).distinct()
+    length = F.length(token)
+    found = listed.agg(F.count(F.lit(1)).alias("n"), F.min(length).alias("least"), F.max(length).alias("most")).first()  # one row
+    pairs = pairs.where(length.between(found.least, found.most)) if found.n else pairs
+    if found.n <= many:
+        return pairs.join(F.broadcast(listed), token)
     listed = listed.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(LIST_SALTS - 1))))
     salted = pairs.withColumn(salt, F.pmod(F.xxhash64(salt_by), F.lit(LIST_SALTS)).cast("int"))
     return salted.join(listed, [token, salt]).drop(salt)

@@ -42,6 +42,7 @@ from postlens.sinks import (
 )
 from postlens.sources.posts import posts_to_json, read_posts, read_result
 from postlens.sources.testdata import (
+    narrow_posts_from_testdata,
     posts_from_testdata,
     scored_posts_from_testdata,
     table,
@@ -195,7 +196,8 @@ def capture_line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def capture_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts that mention a word of a table: the long words of the conversations."""
     words = table(spark, sf_dir, "conversations").select(F.explode(X.word_tokens("text")).alias("word")).where(F.length("word") >= LONG_WORD)
-    return K.capture_filter(posts_from_testdata(spark, sf_dir), words=words).select("id", "lang", "created_at")
+    captured = narrow_posts_from_testdata(spark, sf_dir, lambda docs: K.capture_filter(docs, words=words))
+    return captured.select("id", "lang", "created_at")
 
 
 def published_result(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,6 +205,13 @@ def tokens_from_testdata(spark: SparkSession, sf_dir: str, tokens: Column) -> Da
     return as_posts(docs, post_events(spark, sf_dir), "tokens").select("id", "tokens")
 
 
+def narrow_posts_from_testdata(spark: SparkSession, sf_dir: str, choose: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The posts, without their texts, whose documents ``choose`` keeps by text
+    and language. It sees documents as they are scanned, so no text meets the join."""
+    docs = documents(spark, sf_dir, "text", "lang", "source", "n_chars")
+    return as_posts(choose(docs).drop("text"), post_events(spark, sf_dir))
+
+
 def scored_posts_from_testdata(spark: SparkSession, sf_dir: str, model, spread: bool | None = None) -> DataFrame:
     """The posts with text, scored: ``polarity`` instead of ``text``. Documents
     are scored where they are scanned, so no text meets the join."""

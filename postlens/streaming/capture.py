@@ -60,9 +60,10 @@ def listed_matches(posts: DataFrame, langs: Sequence[str], words: DataFrame, out
 
     The distinct words of a text meet the list in a join, so the driver holds no
     pattern. The outcome depends on the text alone, so its digest is the key
-    that hits come back by."""
+    that hits come back by: no text is shuffled for it, and where the list can
+    be broadcast, no word either."""
     key, hit = "_pl_text", "_pl_hit"
-    keyed = posts.withColumn(key, F.md5(F.lower("text")))
+    keyed = posts.withColumn(key, F.unhex(F.md5(F.lower("text"))))
     tracked = words.select(F.lower(F.col(words.columns[0])).alias("word"))
     asked = keyed.where(F.col("lang").isin(list(langs)))
     pairs = asked.select(F.col(key).alias("key"), F.explode(F.array_distinct(X.word_tokens("text"))).alias("token"))

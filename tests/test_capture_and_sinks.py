@@ -306,3 +306,17 @@ def test_checked_queries_do_not_depend_on_shuffle_partitions(spark, name):
     finally:
         spark.conf.set(key, old)
     assert results[0] == results[1] and results[0]
+
+
+@pytest.mark.parametrize("many", [500_000, 0])
+def test_word_table_of_any_length(spark, many, monkeypatch):
+    from postlens.functions import text as X
+
+    monkeypatch.setattr(X, "MANY_WORDS", many)  # the list broadcast, and shuffled
+    texts = ["An ÉTÉ here", "no", "", None, "été", "a_b c", "été"]
+    rows = [(i, t, "x", "") for i, t in enumerate(texts)] + [(7, "été", "y", ""), (8, "été", None, ""), (None, "c", "x", ""), (2, "no C", "x", "")]
+    posts = spark.createDataFrame(rows, "id long, text string, lang string, created_at string")
+    words = lambda *w: spark.createDataFrame([(x,) for x in w], "word string")
+    ids = lambda w: sorted((-1 if r.id is None else r.id) for r in K.capture_filter(posts, ["x"], w).collect())
+    assert ids(words("Été", "c", "c", None, "two words", "")) == [-1, 0, 2, 4, 5, 6]
+    assert ids(words("a_b")) == [5] and ids(words("missing", None)) == [] and ids(words(None)) == [] and ids(words()) == []

@@ -126,3 +126,10 @@ def test_only_small_tables_are_dealt_out(spark, monkeypatch):
     assert dealt()
     monkeypatch.setattr(testdata, "SPREAD_BYTES", 1000)
     assert not dealt()
+
+
+def test_no_text_is_exchanged_for_a_word_table(large_input_plans):
+    p = large_input_plans["capture_word_table"]
+    exchanges = re.findall(r"^\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", p, re.M)
+    # neither texts nor the words of texts; only the listed words are made distinct
+    assert exchanges and not any(re.search(r"\b(text|token|_pl_salt)#\d+.*,|\btext#", e) for e in exchanges), exchanges
