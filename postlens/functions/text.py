@@ -117,14 +117,15 @@ def clean_text(text: str | Column) -> Column:
 
     Deleting characters never creates a new ``@``, ``#`` or ``/``, so when the
     raw text lacks a step's character the step is skipped. The guard reads the
-    raw column, so each step's input is still computed once per row."""
+    raw column, so each step's input is still computed once per row; it compares
+    bytes (``instr`` would count characters as it goes)."""
     raw = _col(text)
     c = F.replace(F.lower(raw), F.lit("\n"), F.lit(""))
     for anchor, steps in itertools.groupby(CLEAN_STEPS, lambda s: s[1]):
         step = c
         for pattern, _ in steps:
             step = F.regexp_replace(step, pattern, "")
-        c = step if anchor is None else F.when(F.instr(raw, anchor) > 0, step).otherwise(c)
+        c = step if anchor is None else F.when(F.contains(raw, F.lit(anchor)), step).otherwise(c)
     return c
 
 

@@ -119,3 +119,11 @@ def test_listed_words_may_hold_quotes(spark):
     for few in (10_000, 0):
         got = {r.id: r.t for r in X.without_words(df, "t", words, few).collect()}
         assert got == {1: ["left", "left"], 2: [], 3: []}
+
+
+def test_clean_up_looks_for_its_characters_by_bytes(spark):
+    rows = [("é@x y",), ("日本 #tag ż/",), ("a http://b.c/d e",), ("",), (None,), ("no mark é",)]
+    df = spark.createDataFrame(rows, "text string").select(X.clean_text("text").alias("c"))
+    assert [r.c for r in df.collect()] == ["é y", "日本 ż/", "a  e", "", None, "no mark é"]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(text" in plan and "instr(text" not in plan
