@@ -22,8 +22,9 @@ last sequence can have room left.
 
 from __future__ import annotations
 
+import contextlib
+import os
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import CharDelimiterSplit
@@ -42,10 +43,14 @@ WINDOW = 4096
 END = 2
 SHARD_BYTES = 2 << 20
 #: Bytes of text that are encoded at a time.
-ENCODE_BYTES = 2 << 20
+ENCODE_BYTES = 8 << 20
 K1, B = 1.2, 0.75
 #: Pieces of words that a worker remembers before it starts over.
 MOST_PIECES = 1_000_000
+#: Rows that come to the tokeniser at a time, and bytes of ids that go back.
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
+#: Pieces that go to the model at a time.
+MOST_AT_ONCE = 1 << 14
 #: Centroids, dimensions of the projection, and documents that centroids are learnt from.
 CENTROIDS, DIMENSIONS, SAMPLE = 16, 64, 4000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -67,48 +72,72 @@ class WordEncoder:
     parts = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+"
 
     def __init__(self, tokenizer_json: str):
+        # one text at a time: the library's threads would only take memory
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_str(tokenizer_json)
-        # the same model without normaliser and splitting: it gets a list of pieces
+        # the same model without normaliser and splitting: it gets pieces with a space between
         self.model = Tokenizer(self.library.model)
         self.model.pre_tokenizer = CharDelimiterSplit(" ")
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        other = [b for b in range(256) if b not in printable]
-        self.bytes_to_chars = {b: 256 + i for i, b in enumerate(other)}
+        # a byte's character there; between pieces a space
+        printable = [*range(32, 127), *range(161, 173), *range(174, 256)]
+        self.chars = np.arange(256, dtype="<u2")
+        other = [b for b in range(256) if b not in printable or b == 32]
+        self.chars[other] = 256 + np.arange(len(other))
+        self.chars[32] = 32
+        # which ids end a word, if every byte has one that does; plain pieces never hold the suffix itself
+        suffix, vocabulary = getattr(self.model.model, "end_of_word_suffix", None), self.model.get_vocab()
+        self.closing = None
+        if suffix == "</w>" and all(chr(c) + suffix in vocabulary for c in self.chars.tolist() if c != 32):
+            self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.closing[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.forget()
 
     def forget(self) -> None:
         # piece k has the ids piece_ids[piece_ends[k] : piece_ends[k + 1]]; the empty piece has none
-        self.pieces = {"": 0}
-        self.piece_ids, self.piece_ends = array("I"), array("q", [0, 0])
+        # whole words, and pieces of plain words, each with their numbers
+        self.known = [(pa.array([], pa.string()), np.zeros(0, np.int32)), (pa.array([""]), np.zeros(1, np.int32))]
+        self.piece_ids, self.piece_ends = np.zeros(0, np.uint32), np.zeros(2, np.int32)
 
-    def learn(self, fresh: list[str], whole: list[str]) -> None:
+    def learn(self, fresh: pa.Array, plain: bool) -> None:
         """Numbers new pieces; those of plain words are encoded in one call."""
-        if fresh:
-            plain = [p if p.isascii() else p.encode().decode("latin-1").translate(self.bytes_to_chars) for p in fresh]
-            found = self.model.encode(plain, is_pretokenized=True, add_special_tokens=False)
-            sizes = np.bincount(np.array(found.word_ids, np.int64), minlength=len(plain))
-            self.piece_ends.frombytes((np.cumsum(sizes) + len(self.piece_ids)).astype(np.int64).tobytes())
-            self.piece_ids.extend(found.ids)
-            self.pieces.update(zip(fresh, range(len(self.pieces), len(self.pieces) + len(fresh))))
-        for word in whole:
-            self.piece_ids.extend(self.library.encode(word, add_special_tokens=False).ids)
-            self.piece_ends.append(len(self.piece_ids))
-            self.pieces[word] = len(self.pieces)
+        texts, found, sizes = fresh.to_pylist(), [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for first in range(0, len(texts), MOST_AT_ONCE if plain else 1):
+            some = texts[first : first + MOST_AT_ONCE if plain else first + 1]
+            if not plain:
+                found.append(np.array(self.library.encode(some[0], add_special_tokens=False).ids, np.uint32))
+                sizes.append(np.array([len(found[-1])]))
+                continue
+            row = " ".join(some)
+            if not row.isascii():
+                row = self.chars[np.frombuffer(row.encode(), np.uint8)].tobytes().decode("utf-16-le")
+            if self.closing is not None:
+                found.append(np.array(self.model.encode_batch_fast([row], add_special_tokens=False)[0].ids, np.uint32))
+                sizes.append(np.diff(np.flatnonzero(self.closing[found[-1]]), prepend=-1))
+            else:
+                coded = self.model.encode(row.split(" "), is_pretokenized=True, add_special_tokens=False)
+                found.append(np.array(coded.ids, np.uint32))
+                sizes.append(np.bincount(np.array(coded.word_ids, np.int64), minlength=len(some)))
+        ids, sizes = np.concatenate(found), np.concatenate(sizes)
+        self.piece_ends = np.concatenate([self.piece_ends, self.piece_ends[-1] + np.cumsum(sizes, dtype=np.int32)])
+        self.piece_ids = np.concatenate([self.piece_ids, ids])
+        known, places = self.known[plain]
+        new = np.arange(len(self.piece_ends) - 1 - len(texts), len(self.piece_ends) - 1, dtype=np.int32)
+        self.known[plain] = pa.concat_arrays([known, fresh]), np.concatenate([places, new])
 
     def numbers(self, values: pa.Array, plain: bool) -> np.ndarray:
         """The numbers of pieces of plain words, or of whole words."""
         coded = values.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        found = np.fromiter((self.pieces.get(p, -1) for p in distinct), np.int64, len(distinct))
-        if len(fresh := np.flatnonzero(found < 0)):
-            found[fresh] = np.arange(len(self.pieces), len(self.pieces) + len(fresh))
-            fresh = [distinct[i] for i in fresh.tolist()]
-            self.learn(fresh if plain else [], [] if plain else fresh)
-        return found[coded.indices.to_numpy()]
+        found = pc.index_in(coded.dictionary, self.known[plain][0])
+        if found.null_count:
+            fresh = coded.dictionary.filter(found.is_null())
+            found = found.fill_null(-1).to_numpy().copy()
+            found[found < 0] = np.arange(len(self.known[plain][0]), len(self.known[plain][0]) + len(fresh))
+            self.learn(fresh, plain)
+        return self.known[plain][1][np.asarray(found)][coded.indices.to_numpy()]
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text's closed by ``end``; where each text starts, and the end."""
-        if len(self.pieces) > MOST_PIECES:
+        if len(self.piece_ends) > MOST_PIECES:
             self.forget()
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
@@ -120,16 +149,16 @@ class WordEncoder:
         is_plain = plain.to_numpy(zero_copy_only=False)
         pieces = [self.numbers(cut.flatten(), True), self.numbers(words.filter(pc.invert(plain)), False)]
         # one word and one piece more: the end of a text
-        pieces = np.concatenate([*pieces, [len(self.pieces)]])
-        first, sizes = np.empty(len(words) + 1, np.int64), np.ones(len(words) + 1, np.int64)
+        pieces = np.concatenate([*pieces, np.array([len(self.piece_ends) - 1], np.int32)])
+        first, sizes = np.empty(len(words) + 1, np.int32), np.ones(len(words) + 1, np.int32)
         first[:-1][is_plain], sizes[:-1][is_plain] = ends[:-1], np.diff(ends)
         first[:-1][~is_plain] = ends[-1] + np.arange((~is_plain).sum())
         first[-1] = len(pieces) - 1
         bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
         codes = np.insert(coded.indices.to_numpy(), bounds[1:], len(words))
         pieces, at = _gathered(pieces, first, sizes, codes)
-        ids = np.append(np.array(self.piece_ids, np.uint32), np.uint32(end))
-        piece_ends = np.append(np.array(self.piece_ends), len(ids))
+        ids = np.append(self.piece_ids, np.uint32(end))
+        piece_ends = np.append(self.piece_ends, len(ids))
         found, starts = _gathered(ids, piece_ends[:-1], np.diff(piece_ends), pieces)
         return found, starts[at[bounds + np.arange(len(bounds))]]
 
@@ -137,21 +166,28 @@ class WordEncoder:
 def _gathered(values: np.ndarray, first: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """values[first[i] : first[i] + sizes[i]] for each i of ``which`` in a row, and where each starts, and the end."""
     n = sizes[which]
-    starts = np.concatenate([[0], np.cumsum(n)])
+    starts = np.zeros(len(n) + 1, np.int32)
+    np.cumsum(n, out=starts[1:])
     gather = np.repeat(first[which] - starts[:-1], n)
-    gather += np.arange(starts[-1])
+    gather += np.arange(starts[-1], dtype=np.int32)
     return values[gather], starts
 
 
 def _term_counts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All texts' distinct terms in a row, each text's rising, their counts there, and where each text starts, and the end."""
-    owners = np.repeat(np.arange(len(texts), dtype=np.int64) << 32, [len(t) for t in texts])
-    owners |= np.concatenate(texts).astype(np.int64)
+    flat = np.concatenate(texts)
+    # a text's number and a term make one number, of 32 bits if that does
+    whole, bits = (np.uint32, 16) if flat.dtype.itemsize == 2 and len(texts) < 1 << 16 else (np.int64, 32)
+    owners = np.repeat(np.arange(len(texts), dtype=whole) << whole(bits), [len(t) for t in texts])
+    owners |= flat.astype(whole)
     owners.sort()
-    first = np.flatnonzero(np.diff(owners, prepend=-1))
+    new = np.ones(len(owners), bool)
+    np.not_equal(owners[1:], owners[:-1], out=new[1:])
+    first = np.flatnonzero(new)
     counts = np.diff(first, append=len(owners))
     owners = owners[first]
-    return owners & 0xFFFFFFFF, counts, np.searchsorted(owners >> 32, np.arange(len(texts) + 1))
+    terms = (owners & whole((1 << bits) - 1)).astype(np.int64)
+    return terms, counts, np.searchsorted(owners >> whole(bits), np.arange(len(texts) + 1, dtype=whole))
 
 
 def _portions(texts: list[np.ndarray], most: int = 1 << 20) -> Iterator[list[np.ndarray]]:
@@ -166,25 +202,30 @@ def _portions(texts: list[np.ndarray], most: int = 1 << 20) -> Iterator[list[np.
 
 class Corpus:
     """What is known of the whole corpus: each term's document frequency and
-    idf, the mean length, and the centroids."""
+    idf, the mean length, the texts' bytes, and the centroids."""
 
-    def __init__(self, df: np.ndarray, n: int, tokens: int):
-        self.df, self.n, self.mean = df, n, tokens / max(n, 1)
+    def __init__(self, df: np.ndarray, n: int, tokens: int, size: int):
+        self.df, self.n, self.mean, self.size = df, n, tokens / max(n, 1), size
         self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
         self.centroids = np.zeros((1, DIMENSIONS), np.float32)
 
+    def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return counts * (K1 + 1) / (counts + K1) * self.idf[terms]
+
+    def plane(self) -> np.ndarray:
+        size = len(self.df)
+        return worker_cache(f"projection {size}", lambda: np.random.default_rng(7).standard_normal((size, DIMENSIONS), np.float32))
+
     def weighted(self, texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Each text's terms, and their weights."""
         for some in _portions(texts):
             terms, counts, at = _term_counts(some)
-            weights = counts * (K1 + 1) / (counts + K1) * self.idf[terms]
+            weights = self.weights(terms, counts)
             yield from ((terms[a:b], weights[a:b]) for a, b in zip(at[:-1], at[1:]))
 
     def vector(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """The weights projected on few dimensions, of length 1."""
-        size = len(self.df)
-        plane = worker_cache(f"projection {size}", lambda: np.random.default_rng(7).standard_normal((size, DIMENSIONS), np.float32))
-        v = weights.astype(np.float32) @ plane[terms]
+        v = weights.astype(np.float32) @ self.plane()[terms]
         return v / max(np.linalg.norm(v), 1e-9)
 
     def learn(self, vectors: np.ndarray) -> None:
@@ -201,10 +242,17 @@ class Corpus:
     def keys(self, texts: list[np.ndarray]) -> list[int]:
         """Each text's nearest centroid and heaviest term. A term that no other
         document has brings no neighbour, so it counts nothing."""
-        found = []
-        for terms, weights in self.weighted(texts):
+        found, plane = [], self.plane()
+        for some in _portions(texts):
+            terms, counts, at = _term_counts(some)
+            weights = self.weights(terms, counts)
             shared = np.where(self.df[terms] > 1, weights, 0.0)
-            found.append(int(np.argmax(self.centroids @ self.vector(terms, weights))) * len(self.df) + int(terms[np.argmax(shared)]))
+            light, bounds = weights.astype(np.float32), at.tolist()
+            vectors = np.array([light[a:b] @ plane[terms[a:b]] for a, b in zip(bounds[:-1], bounds[1:])])
+            vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+            nearest = np.argmax(vectors @ self.centroids.T, 1)
+            heaviest = terms[[a + int(shared[a:b].argmax()) for a, b in zip(bounds[:-1], bounds[1:])]]
+            found.extend((nearest * len(self.df) + heaviest).tolist())
         return found
 
 
@@ -285,55 +333,96 @@ class Stretches:
         return min(shards - 1, int((int(self.first[k]) + within * tokens) * shards / self.total))
 
 
-def _corpus(tokenised: DataFrame) -> Corpus:
-    """Only a number per term and the sample's vectors come to the driver."""
+def _added(counts: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """The sum of two counts, of which either may be longer."""
+    longer, shorter = (counts, more) if len(counts) > len(more) else (more, counts)
+    longer = longer.copy()
+    longer[: len(shorter)] += shorter
+    return longer
+
+
+def _corpus(tokenised: DataFrame, kind: str) -> Corpus:
+    """Each task's counts are a row of its own, whose number is below 0: ids,
+    documents and bytes, then each term's documents. Only a number per term and the sample's vectors come to the driver."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_forget("word encoder")
-        df, n, tokens = np.zeros(1, np.int64), 0, 0
+        df = np.zeros(0, np.int64)
         for batch in batches:
-            for texts in _portions([np.frombuffer(ids, "<u4") for ids in batch.column(0).to_pylist()]):
-                terms, counts, _ = _term_counts(texts)
-                more = np.bincount(terms, minlength=len(df))
-                more[: len(df)] += df
-                df, n, tokens = more, n + len(texts), tokens + int(counts.sum())
-        terms = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *terms.tolist()], pa.int64()), pa.array([tokens, n, *df[terms].tolist()], pa.int64())], ["term", "n"])
-
-    rows = tokenised.select("ids").mapInArrow(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+            for own in batch.column(0).to_pylist():
+                df = _added(df, np.frombuffer(own, "<i8"))
+        places = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(places - 3, pa.int64()), pa.array(df[places], pa.int64())], ["term", "n"])
+
+    rows = tokenised.where("row < 0").select("ids").mapInArrow(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     found = dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
-    n, tokens = found.pop(-1, 0), found.pop(-2, 0)
+    n, tokens, size = found.pop(-2, 0), found.pop(-3, 0), found.pop(-1, 0)
     df = np.zeros(max(found, default=0) + 1, np.int64)
     df[list(found)] = list(found.values())
-    corpus = Corpus(df, n, tokens)
+    corpus = Corpus(df, n, tokens, size)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [np.frombuffer(ids, "<u4") for ids in batch.column(0).to_pylist()]
+            texts = [np.frombuffer(ids, kind) for ids in batch.column(0).to_pylist()]
             found = [corpus.vector(*w).astype("<f4").tobytes() for w in corpus.weighted(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["vector"])
 
     share = 1 << 20 if n <= SAMPLE else max(1, (SAMPLE << 20) // n)
-    sample = tokenised.where(F.pmod(F.xxhash64("task", "row"), F.lit(1 << 20)) < share).select("ids")
+    sample = tokenised.where("row >= 0").where(F.pmod(F.xxhash64("task", "row"), F.lit(1 << 20)) < share).select("ids")
     found = [np.frombuffer(r, "<f4") for r in sample.mapInArrow(vectors, "vector binary").toArrow().column(0).to_pylist()]
     if found:
         corpus.learn(np.array(found))
     return corpus
 
 
-def _stretches(tokenised: DataFrame, corpus: Corpus) -> Stretches:
+def _stretches(tokenised: DataFrame, kind: str, corpus: Corpus) -> Stretches:
     """At most a key per centroid and term comes to the driver."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_forget("word encoder")
         for batch in batches:
-            texts = [np.frombuffer(ids, "<u4") for ids in batch.column(0).to_pylist()]
+            texts = [np.frombuffer(ids, kind) for ids in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(corpus.keys(texts), pa.int64()), pa.array([len(t) for t in texts], pa.int64())], ["key", "n"])
 
-    rows = tokenised.select("ids").mapInArrow(keyed, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    rows = tokenised.where("row >= 0").select("ids").mapInArrow(keyed, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     return Stretches(rows.column(0).to_numpy(), rows.column(1).to_numpy())
 
 
+@contextlib.contextmanager
+def _batches_of(spark: SparkSession, rows: int):
+    """Steps that run here get at most so many rows at a time: whole texts are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """doc_ids and texts, about ``ENCODE_BYTES`` at a time."""
+    waiting, size = [], 0
+
+    def joined() -> tuple[pa.Array, pa.Array]:
+        return tuple(pa.concat_arrays([b.column(i) for b in waiting]) for i in (0, 1))
+
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy())
+        first = 0
+        while first < batch.num_rows:
+            before = int(ends[first - 1]) if first else 0
+            last = max(first + (not waiting), int(np.searchsorted(ends, before + ENCODE_BYTES - size, "right")))
+            if last > first:
+                waiting.append(batch.slice(first, last - first))
+                size += int(ends[last - 1]) - before
+            if last < batch.num_rows:
+                yield joined()
+                waiting, size = [], 0
+            first = last
+    if waiting:
+        yield joined()
+
+
 def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END, shard_bytes: int = SHARD_BYTES, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id and offset; ``with_ids`` adds the piece's ids (binary, unsigned
@@ -347,72 +436,81 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     with open(tokenizer, encoding="utf-8") as f:
         spec = f.read()
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
+    # between steps an id takes two bytes if it can
+    kind = "<u2" if max(end, *Tokenizer.from_str(spec).get_vocab().values()) < 1 << 16 else "<u4"
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_cache("word encoder", dict)
         if encoder.get("spec") != spec:
             encoder |= {"spec": spec, "made": WordEncoder(spec)}
         encoder = encoder["made"]
-        task, seen = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            sizes = pc.binary_length(batch.column(1)).to_numpy()
+        task, seen, df = TaskContext.get().partitionId(), 0, np.zeros(3, np.int64)
+        for doc_ids, texts in _chunks(batches):
+            ids, at = encoder.encode(texts, end)
+            ids = ids.astype(kind)
+            df[2] += pc.sum(pc.binary_length(texts)).as_py()
             first = 0
-            while first < batch.num_rows:
-                last = max(first + 1, first + int(np.searchsorted(np.cumsum(sizes[first:]), ENCODE_BYTES)))
-                ids, at = encoder.encode(batch.column(1).slice(first, last - first), end)
-                found = [ids[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:])]
+            while first < len(texts):  # in portions, counted and sent back
+                last = max(first + 1, int(np.searchsorted(at, at[first] + BATCH_BYTES // ids.itemsize, "right")) - 1)
+                own = [ids[a:b] for a, b in zip(at[first:last], at[first + 1 : last + 1])]
+                terms, counts, _ = _term_counts(own)
+                df = _added(df, np.bincount(terms + 3))
+                df[:2] += counts.sum(), last - first
                 n = last - first
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([task] * n, pa.int64()), pa.array(range(seen, seen + n), pa.int64()), batch.column(0).slice(first, n), pa.array(found, pa.binary())],
+                    [pa.array([task] * n, pa.int64()), pa.array(range(seen, seen + n), pa.int64()), doc_ids.slice(first, n), pa.array([x.tobytes() for x in own], pa.binary())],
                     ["task", "row", "doc_id", "ids"],
                 )
-                seen += n
-                first = last
+                seen, first = seen + n, last
+        yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([-1], pa.int64()), pa.array([None], pa.int64()), pa.array([df.tobytes()], pa.binary())], ["task", "row", "doc_id", "ids"])
 
-    tokenised = written(rows.mapInArrow(tokenise, "task long, row long, doc_id long, ids binary"), "tokenised")
-    corpus = _corpus(tokenised)
-    stretches = _stretches(tokenised, corpus)
+    with _batches_of(docs.sparkSession, BATCH_ROWS):
+        tokenised = written(rows.mapInArrow(tokenise, "task long, row long, doc_id long, ids binary"), "tokenised")
+    corpus = _corpus(tokenised, kind)
+    shards = max(1, -(-corpus.size // shard_bytes))
+    stretches = _stretches(tokenised, kind, corpus)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_forget("word encoder")
         for batch in batches:
             found = []
             tasks, places, doc_ids, texts = (c.to_pylist() for c in batch.columns)
-            texts = [np.frombuffer(ids, "<u4") for ids in texts]
+            texts = [np.frombuffer(ids, kind) for ids in texts]
             for task, row, doc, own, key in zip(tasks, places, doc_ids, texts, corpus.keys(texts)):
                 full = len(own) // window * window
                 shard = stretches.shard(key, task, row, shards)
                 for start in range(0, len(own), window):
-                    part = own[start : start + window].tobytes()
-                    crc = zlib.crc32(part) if start < full else None
+                    part = own[start : start + window]
+                    crc = zlib.crc32(part.astype("<u4").tobytes()) if start < full else None
                     terms = counts = None
                     if crc is None and full:
                         terms, counts = (x.astype("<u4").tobytes() for x in np.unique(own, return_counts=True))
-                    found.append((shard, task, row, doc, start, len(own), crc, part if crc is None or with_ids else None, terms, counts))
+                    found.append((shard, task, row, doc, start, len(own), crc, part.tobytes() if crc is None or with_ids else None, terms, counts))
             kinds = [pa.int64()] * 7 + [pa.binary()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*found)) or [[]] * 10, kinds)], names)
 
     names = ["shard", "task", "row", "doc_id", "start", "doc_tokens", "crc", "ids", "terms", "counts"]
-    dealt = tokenised.mapInArrow(deal, ", ".join(f"{x} long" for x in names[:7]) + ", ids binary, terms binary, counts binary")
+    dealt = tokenised.where("row >= 0").mapInArrow(deal, ", ".join(f"{x} long" for x in names[:7]) + ", ids binary, terms binary, counts binary")
     schema = PIECES + ", ids binary" * with_ids
 
+    def wide(ids: bytes | None) -> bytes | None:
+        return ids and np.frombuffer(ids, kind).astype("<u4").tobytes()
+
     def packed(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         worker_forget("word encoder")
         group = group.sort_values(["task", "row", "start"], kind="stable").reset_index(drop=True)
         full = group[group.crc.notna()]
         rest = group[group.crc.isna()]
         base = int(key[0]) << 32
-        out = [(r.doc_id, r.start, window, int(r.crc), r.doc_tokens, base + i, 0, r.ids) for i, r in enumerate(full.itertuples())]
+        out = [(r.doc_id, r.start, window, int(r.crc), r.doc_tokens, base + i, 0, wide(r.ids)) for i, r in enumerate(full.itertuples())]
         if len(rest):
-            ids = [np.frombuffer(x, "<u4") for x in rest.ids]
+            ids = [np.frombuffer(x, kind) for x in rest.ids]
             doc_ids, starts, lengths = rest.doc_id.tolist(), rest.start.tolist(), rest.doc_tokens.tolist()
             texts = [
                 own if t is None else np.repeat(np.frombuffer(t, "<u4"), np.frombuffer(c, "<u4")) for own, t, c in zip(ids, rest.terms, rest.counts)
             ]
             for doc, start, length, sequence, offset in fill(ids, window, texts, corpus):
-                part = ids[doc][start : start + length].tobytes()
+                part = ids[doc][start : start + length].astype("<u4").tobytes()
                 out.append((doc_ids[doc], starts[doc] + start, length, zlib.crc32(part), lengths[doc], base + len(full) + sequence, offset, part))
         frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
         frame["doc_id"] = pd.array([None if x is None or x != x else int(x) for x in frame.doc_id], "Int64")

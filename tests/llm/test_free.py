@@ -85,6 +85,38 @@ def test_words_as_the_library(texts):
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [e.ids + [2] for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("fast", [True, False])
+def test_new_pieces_go_to_the_model_in_portions(monkeypatch, fast):
+    monkeypatch.setattr(packing, "MOST_AT_ONCE", 3)
+    with open(WORDS, encoding="utf-8") as f:
+        encoder = packing.WordEncoder(f.read())
+    if not fast:
+        encoder.closing = None
+    texts = ["One two three, four five's 678 élan", "", "<|endoftext|> nine ten 漢字 elan", "two ten </w> more words than before"]
+    library = Tokenizer.from_file(WORDS)
+    for _ in range(2):
+        ids, at = encoder.encode(pa.array(texts), 2)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [e.ids + [2] for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_texts_come_to_the_tokeniser_in_bounded_chunks(monkeypatch):
+    monkeypatch.setattr(packing, "ENCODE_BYTES", 10)
+    texts = ["ab", "", "x" * 9, "c" * 30, "d", "e" * 10, "", "f"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, b), pa.int64()), pa.array(texts[a:b], pa.string())], ["doc_id", "text"]) for a, b in ((0, 3), (3, 3), (3, 8))]
+    chunks = [(i.to_pylist(), t.to_pylist()) for i, t in packing._chunks(iter(batches))]
+    assert [k for ids, _ in chunks for k in ids] == list(range(8)) and [t for _, own in chunks for t in own] == texts
+    assert all(sum(map(len, own)) <= 10 or len(own) == 1 for _, own in chunks)
+
+
+def test_ids_between_steps_take_two_bytes(spark, sample, monkeypatch):
+    tables = {}
+    monkeypatch.setattr(packing, "written", lambda df, name: tables.setdefault(name, common.written(df, name)))
+    docs, rows = sample
+    pieces = packing.pack(docs, WORDS).collect()
+    ids = tables["tokenised"].where("row >= 0").agg(F.sum(F.octet_length("ids"))).first()[0]
+    assert ids == 2 * sum(p.length for p in pieces)
+
+
 def test_fill_takes_the_best_neighbour():
     draw = np.random.default_rng(2)
     topics = [draw.integers(k * 100, k * 100 + 100, 40).astype(np.uint32) for k in (0, 1, 2, 0, 1, 2)]
