@@ -46,6 +46,8 @@ BANDS = HASHES // ROWS
 SLACK = 0.22
 BLOCK = 2048
 UNIT_ROWS = 20_000
+#: Ids that are sent to all executors, instead of all texts to the ids.
+MOST_IDS = 1_000_000
 
 
 def shingle_hashes(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -119,7 +121,9 @@ def sketches(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(node, hashes) for the nodes of ``wanted`` (doc_id, node)."""
+    """(node, hashes) for the nodes of ``wanted`` (doc_id, node). Up to
+    ``MOST_IDS`` ids go where the texts are; more meet the texts in a shuffle."""
+    wanted = written(wanted.select("doc_id", "node"), "wanted_sets")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,6 +133,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["node", "hashes"])
 
     ids = wanted.select(F.col("doc_id").alias("wanted_id")).distinct()
+    ids = F.broadcast(ids) if wanted.count() <= MOST_IDS else ids
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     rows = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
     made = rows.mapInArrow(sets, "node binary, hashes array<long>")

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from postlens.llm import near_dedup
+from postlens.llm import common, near_dedup
 from postlens.llm.components import connected_components
 from tests.llm import plain
 
@@ -67,3 +67,29 @@ def test_signatures_keep_pairs_at_the_threshold(similarity):
     n, p = near_dedup.HASHES, similarity / 100
     least = math.ceil((p - near_dedup.SLACK) * n)
     assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(least)) < 1e-8
+
+
+def test_few_ids_go_to_the_texts(spark, monkeypatch):
+    """Texts are shuffled only if the ids of those whose sets are compared are too many to be broadcast."""
+    words = [f"w{k}" for k in range(60)]
+    rows = [(None, " ".join(words)), (2, " ".join(words[1:])), (3, " ".join(words[:1] + words)), (4, "alone in the table"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = []
+        for most in (near_dedup.MOST_IDS, 0):
+            plans = {}
+
+            def kept(df, name):
+                plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+                return common.written(df, name)
+
+            monkeypatch.setattr(near_dedup, "written", kept)
+            monkeypatch.setattr(near_dedup, "MOST_IDS", most)
+            found.append(sorted(near_dedup.near_dedup(docs, width=3).collect(), key=str))
+            assert ("BroadcastHashJoin" in plans["shingle_sets"]) == (most > 0)
+        assert found[0] == found[1]
+        assert sorted(r.component_id for r in found[0] if r.component_id is not None) == [2, 2, 2, 4, 5]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
