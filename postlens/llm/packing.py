@@ -43,10 +43,10 @@ WINDOW = 4096
 END = 2
 SHARD_BYTES = 2 << 20
 #: Bytes of text that are encoded at a time.
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 4 << 20
 K1, B = 1.2, 0.75
-#: Pieces of words that a worker remembers before it starts over.
-MOST_PIECES = 1_000_000
+#: Pieces of words that a worker remembers, and their bytes, before it drops those that came once.
+MOST_PIECES, MOST_BYTES = 1 << 19, 8 << 20
 #: Rows that come to the tokeniser at a time, and bytes of ids that go back.
 BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 #: Pieces that go to the model at a time.
@@ -69,6 +69,7 @@ class WordEncoder:
     """
 
     plain = r"^[\x21-\x7E\x{A1}-\x{12F}\x{131}-\x{17F}]+$"
+    letters = r"^\p{L}+$"
     parts = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+"
 
     def __init__(self, tokenizer_json: str):
@@ -97,12 +98,26 @@ class WordEncoder:
         # whole words, and pieces of plain words, each with their numbers
         self.known = [(pa.array([], pa.string()), np.zeros(0, np.int32)), (pa.array([""]), np.zeros(1, np.int32))]
         self.piece_ids, self.piece_ends = np.zeros(0, np.uint32), np.zeros(2, np.int32)
+        # in how many batches each piece came
+        self.uses = np.zeros(1, np.int32)
+
+    def drop_rare(self) -> None:
+        """Keeps only what came in several batches; nothing, if that is still much."""
+        stays = self.uses > 1
+        stays[0] = True
+        places = np.cumsum(stays, dtype=np.int32) - 1
+        known = [(texts.filter(pa.array(stays[numbers])), places[numbers[stays[numbers]]]) for texts, numbers in self.known]
+        if 2 * stays.sum() > MOST_PIECES or 2 * sum(texts.nbytes for texts, _ in known) > MOST_BYTES:
+            return self.forget()
+        self.known = known
+        ids, ends = _gathered(self.piece_ids, self.piece_ends[:-1], np.diff(self.piece_ends), np.flatnonzero(stays))
+        self.piece_ids, self.piece_ends, self.uses = ids, ends, np.zeros(len(ends) - 1, np.int32)
 
     def learn(self, fresh: pa.Array, plain: bool) -> None:
-        """Numbers new pieces; those of plain words are encoded in one call."""
-        texts, found, sizes = fresh.to_pylist(), [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for first in range(0, len(texts), MOST_AT_ONCE if plain else 1):
-            some = texts[first : first + MOST_AT_ONCE if plain else first + 1]
+        """Numbers new pieces; those of plain words are encoded many at a time."""
+        found, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for first in range(0, len(fresh), MOST_AT_ONCE if plain else 1):
+            some = fresh.slice(first, MOST_AT_ONCE if plain else 1).to_pylist()
             if not plain:
                 found.append(np.array(self.library.encode(some[0], add_special_tokens=False).ids, np.uint32))
                 sizes.append(np.array([len(found[-1])]))
@@ -121,46 +136,56 @@ class WordEncoder:
         self.piece_ends = np.concatenate([self.piece_ends, self.piece_ends[-1] + np.cumsum(sizes, dtype=np.int32)])
         self.piece_ids = np.concatenate([self.piece_ids, ids])
         known, places = self.known[plain]
-        new = np.arange(len(self.piece_ends) - 1 - len(texts), len(self.piece_ends) - 1, dtype=np.int32)
+        new = np.arange(len(self.uses), len(self.uses) + len(fresh), dtype=np.int32)
         self.known[plain] = pa.concat_arrays([known, fresh]), np.concatenate([places, new])
+        self.uses = np.append(self.uses, np.zeros(len(fresh), np.int32))
 
     def numbers(self, values: pa.Array, plain: bool) -> np.ndarray:
         """The numbers of pieces of plain words, or of whole words."""
         coded = values.dictionary_encode()
-        found = pc.index_in(coded.dictionary, self.known[plain][0])
-        if found.null_count:
-            fresh = coded.dictionary.filter(found.is_null())
-            found = found.fill_null(-1).to_numpy().copy()
-            found[found < 0] = np.arange(len(self.known[plain][0]), len(self.known[plain][0]) + len(fresh))
-            self.learn(fresh, plain)
-        return self.known[plain][1][np.asarray(found)][coded.indices.to_numpy()]
+        known, places = self.known[plain]
+        # the batch's pieces are fewer than the known ones, so these are looked up among them
+        at = pc.index_in(known, coded.dictionary)
+        found = np.full(len(coded.dictionary), -1, np.int32)
+        met = at.is_valid().to_numpy(zero_copy_only=False)
+        found[at.fill_null(0).to_numpy()[met]] = places[met]
+        fresh = found < 0
+        if fresh.any():
+            found[fresh] = np.arange(len(self.uses), len(self.uses) + int(fresh.sum()))
+            self.learn(coded.dictionary.filter(pa.array(fresh)), plain)
+        self.uses[found] += 1
+        return found[coded.indices.to_numpy()]
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text's closed by ``end``; where each text starts, and the end."""
-        if len(self.piece_ends) > MOST_PIECES:
-            self.forget()
+        if len(self.uses) > MOST_PIECES or sum(texts.nbytes for texts, _ in self.known) > MOST_BYTES:
+            self.drop_rare()
         split = pc.ascii_split_whitespace(texts)
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
+        del split
         words = coded.dictionary
         plain = pc.and_(pc.match_substring_regex(words, self.plain), pc.invert(pc.match_substring(words, "<|")))
-        spaced = pc.replace_substring_regex(pc.utf8_lower(words.filter(plain)), self.parts, r"\0 ")
-        cut = pc.split_pattern(pc.ascii_rtrim(spaced, characters=" "), " ")
+        lower = pc.utf8_lower(words.filter(plain))
+        # a word of letters only is one piece
+        mixed = pc.invert(pc.match_substring_regex(lower, self.letters))
+        spaced = pc.replace_substring_regex(lower.filter(mixed), self.parts, r"\0 ")
+        cut = pc.split_pattern(pc.replace_with_mask(lower, mixed, pc.ascii_rtrim(spaced, characters=" ")), " ")
         ends = cut.offsets.to_numpy() - cut.offsets[0].as_py()
         is_plain = plain.to_numpy(zero_copy_only=False)
-        pieces = [self.numbers(cut.flatten(), True), self.numbers(words.filter(pc.invert(plain)), False)]
-        # one word and one piece more: the end of a text
-        pieces = np.concatenate([*pieces, np.array([len(self.piece_ends) - 1], np.int32)])
-        first, sizes = np.empty(len(words) + 1, np.int32), np.ones(len(words) + 1, np.int32)
-        first[:-1][is_plain], sizes[:-1][is_plain] = ends[:-1], np.diff(ends)
+        pieces = np.concatenate([self.numbers(cut.flatten(), True), self.numbers(words.filter(pc.invert(plain)), False)])
+        del lower, spaced, cut
+        first, last = np.empty(len(words) + 1, np.int32), np.empty(len(words) + 1, np.int32)
+        first[:-1][is_plain], last[:-1][is_plain] = ends[:-1], ends[1:]
         first[:-1][~is_plain] = ends[-1] + np.arange((~is_plain).sum())
-        first[-1] = len(pieces) - 1
-        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        last[:-1][~is_plain] = first[:-1][~is_plain] + 1
+        # the ids of the distinct words, and one word more: the end of a text
+        ids, starts = _gathered(self.piece_ids, self.piece_ends[:-1], np.diff(self.piece_ends), pieces)
+        first[:-1], last[:-1] = starts[first[:-1]], starts[last[:-1]]
+        first[-1], last[-1] = len(ids), len(ids) + 1
         codes = np.insert(coded.indices.to_numpy(), bounds[1:], len(words))
-        pieces, at = _gathered(pieces, first, sizes, codes)
-        ids = np.append(self.piece_ids, np.uint32(end))
-        piece_ends = np.append(self.piece_ends, len(ids))
-        found, starts = _gathered(ids, piece_ends[:-1], np.diff(piece_ends), pieces)
-        return found, starts[at[bounds + np.arange(len(bounds))]]
+        found, at = _gathered(np.append(ids, np.uint32(end)), first, last - first, codes)
+        return found, at[bounds + np.arange(len(bounds))]
 
 
 def _gathered(values: np.ndarray, first: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,15 +267,14 @@ class Corpus:
     def keys(self, texts: list[np.ndarray]) -> list[int]:
         """Each text's nearest centroid and heaviest term. A term that no other
         document has brings no neighbour, so it counts nothing."""
-        found, plane = [], self.plane()
+        found, plane = [], self.plane() @ self.centroids.T
         for some in _portions(texts):
             terms, counts, at = _term_counts(some)
             weights = self.weights(terms, counts)
             shared = np.where(self.df[terms] > 1, weights, 0.0)
             light, bounds = weights.astype(np.float32), at.tolist()
-            vectors = np.array([light[a:b] @ plane[terms[a:b]] for a, b in zip(bounds[:-1], bounds[1:])])
-            vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-            nearest = np.argmax(vectors @ self.centroids.T, 1)
+            # a vector's length does not tell which centroid is nearest
+            nearest = np.array([light[a:b] @ plane[terms[a:b]] for a, b in zip(bounds[:-1], bounds[1:])]).argmax(1)
             heaviest = terms[[a + int(shared[a:b].argmax()) for a, b in zip(bounds[:-1], bounds[1:])]]
             found.extend((nearest * len(self.df) + heaviest).tolist())
         return found
@@ -444,6 +468,8 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         if encoder.get("spec") != spec:
             encoder |= {"spec": spec, "made": WordEncoder(spec)}
         encoder = encoder["made"]
+        # what earlier stages left in this worker
+        pa.default_memory_pool().release_unused()
         task, seen, df = TaskContext.get().partitionId(), 0, np.zeros(3, np.int64)
         for doc_ids, texts in _chunks(batches):
             ids, at = encoder.encode(texts, end)

@@ -99,6 +99,30 @@ def test_new_pieces_go_to_the_model_in_portions(monkeypatch, fast):
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [e.ids + [2] for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_a_worker_remembers_what_comes_again(monkeypatch):
+    monkeypatch.setattr(packing, "MOST_PIECES", 30)
+    with open(WORDS, encoding="utf-8") as f:
+        encoder = packing.WordEncoder(f.read())
+    learnt, learn = collections.Counter(), encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda fresh, plain: (learnt.update(fresh.to_pylist()), learn(fresh, plain)))
+    library = Tokenizer.from_file(WORDS)
+    for k in range(12):
+        texts = ["common words, 漢字 come again " + " ".join("new" + "xyz"[k % 3] * (k + 1) + c for c in "abcdefghij"), ""]
+        ids, at = encoder.encode(pa.array(texts), 2)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [e.ids + [2] for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert len(encoder.piece_ends) - 1 <= 30 + 20
+    assert all(learnt[x] == 1 for x in ("common", "words", "漢字", "again")) and len(learnt) > 100
+
+
+def test_a_worker_remembers_few_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "MOST_BYTES", 2000)
+    with open(WORDS, encoding="utf-8") as f:
+        encoder = packing.WordEncoder(f.read())
+    for k in range(9):
+        encoder.encode(pa.array(["漢" * (300 + k), "漢" * 300]), 2)
+        assert sum(x.nbytes for x, _ in encoder.known) <= 2000 + 2000
+
+
 def test_texts_come_to_the_tokeniser_in_bounded_chunks(monkeypatch):
     monkeypatch.setattr(packing, "ENCODE_BYTES", 10)
     texts = ["ab", "", "x" * 9, "c" * 30, "d", "e" * 10, "", "f"]
