@@ -47,6 +47,8 @@ PRIORS = (1000.0, 20.0)
 FOLDS, HELD_OUT = 10, 0
 #: N-grams and words that a shard gets, about, and words in a block.
 SHARD_NGRAMS, SHARD_WORDS, BLOCK_WORDS = 1 << 20, 1 << 20, 3 << 19
+#: N-grams that a trie is searched for at a time.
+FIND = 1 << 16
 CODES = 255
 END = 0
 
@@ -91,8 +93,10 @@ class EliasFano:
     def build(values: np.ndarray) -> list[np.ndarray]:
         n, top = len(values), int(values[-1]) if len(values) else 0
         width = max(0, (max(top, 1) // max(n, 1)).bit_length() - 1)
-        low = (values[:, None] >> np.arange(width)) & 1
-        packed = np.packbits(low.astype(np.uint8).reshape(-1), bitorder="little")
+        # a byte for each low bit, never a number
+        low = np.unpackbits(values.astype("<i8").view(np.uint8).reshape(n, 8), axis=1, count=width, bitorder="little") if width else np.zeros(0, np.uint8)
+        packed = np.packbits(low.reshape(-1), bitorder="little")
+        del low
         words = np.zeros(len(packed) // 8 + 2, np.uint64)
         words.view(np.uint8)[: len(packed)] = packed
         return [np.array([n, width], np.int64).view(np.uint64), words, Bits.packed((values >> width) + np.arange(n), n + (top >> width) + 2)]
@@ -379,10 +383,14 @@ def _answer_words(shard: int, shards: int, asked: list[bytes]) -> tuple[list[byt
 
 def _answer_grams(asked: list[bytes], order: int, prior: float, step: float, with_counts: bool) -> tuple[list[bytes], bytes]:
     """For each block its n-grams' codes and counts; the shard's trie."""
-    opened = [[unsqueeze(p) for p in parted(x)] for x in asked]
-    sizes = [len(p[0]) for p in opened]
-    columns = [np.concatenate([p[i] for p in opened]) for i in range(order + 3)]
+    opened = [parted(x) for x in asked]
+    # one column of all blocks is opened after the other
+    first = [unsqueeze(p[0]) for p in opened]
+    sizes = [len(x) for x in first]
+    columns = [np.concatenate(first), *(np.concatenate([unsqueeze(p[i]) for p in opened]) for i in range(1, order + 3))]
+    del opened, first
     words, (counts, contexts, fine) = columns[:order], columns[order:]
+    del columns
     # the n-grams in lexicographic order, word by word
     distinct, of = _distinct(words[0])
     for w in words[1:]:
@@ -390,15 +398,17 @@ def _answer_grams(asked: list[bytes], order: int, prior: float, step: float, wit
     total = np.bincount(of, counts, len(distinct)).astype(np.int64)
     p = (total + prior * 10.0 ** (-fine[distinct] * step / 16)) / (contexts[distinct] + prior)
     codes = 1 + np.clip(np.round(-np.log10(p) / step), 0, CODES - 1).astype(np.int64)
+    del counts, contexts, fine, p
     seen = total > 0
     found = np.zeros(len(distinct), np.int64)
     parts: list[np.ndarray] = []
     if seen.any():
         parts = Trie.build([w[distinct[seen]] for w in words], codes[seen])
         trie = TrieFile(parts, order).trie
-        place = trie.find([w[distinct] for w in words])
-        hit = place >= 0
-        found[hit] = trie.codes[place[hit]]
+        for at in range(0, len(distinct), FIND):
+            some = distinct[at : at + FIND]
+            place = trie.find([w[some] for w in words])
+            found[at : at + FIND] = np.where(place >= 0, trie.codes[np.maximum(place, 0)], 0)
     replies, at = [], 0
     for n in sizes:
         own = of[at : at + n]

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -99,6 +100,19 @@ def test_new_pieces_go_to_the_model_in_portions(monkeypatch, fast):
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [e.ids + [2] for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_a_sequence_is_built_in_little_memory():
+    values = np.cumsum(np.random.default_rng(3).integers(0, 1 << 17, 100_000))
+    tracemalloc.start()
+    try:
+        parts = lm.EliasFano.build(values)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # 16 low bits of a value, in bytes, and some arrays of values
+    assert peak < 60 * len(values)
+    assert (lm.EliasFano(parts)[np.arange(len(values))] == values).all()
+
+
 def test_a_worker_remembers_what_comes_again(monkeypatch):
     monkeypatch.setattr(packing, "MOST_PIECES", 30)
     with open(WORDS, encoding="utf-8") as f:
