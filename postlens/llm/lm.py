@@ -33,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -88,6 +89,7 @@ class EliasFano:
     def __init__(self, parts: list[np.ndarray]):
         (self.n, self.width), self.low, high = parts[0].view(np.int64).tolist(), parts[1], parts[2]
         self.high = Bits(high)
+        self.last = int(self[np.array([self.n - 1])][0]) if self.n else -1
 
     @staticmethod
     def build(values: np.ndarray) -> list[np.ndarray]:
@@ -114,18 +116,18 @@ class EliasFano:
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
         return ((self.high.select(at, True) - at) << self.width) | self.lows(at)
 
-    def successor(self, low: np.ndarray, high: np.ndarray, value: np.ndarray) -> np.ndarray:
+    def successor(self, low: np.ndarray, high: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first place from low whose number is ``value`` or more, high if
-        there is none; ``value`` is at most the last number."""
+        there is none, and whether it is ``value``, which is at most the last number."""
         bucket = value >> self.width
         first = np.where(bucket > 0, self.high.select(np.maximum(bucket - 1, 0), False) - bucket + 1, 0)
         last = self.high.select(bucket, False) - bucket
-        a, b = np.clip(first, low, high), np.clip(last, low, high)
-        want = value & ((1 << self.width) - 1)
+        a, end = np.clip(first, low, high), np.clip(last, low, high)
+        b, want = end.copy(), value & ((1 << self.width) - 1)
         while True:  # by halves among the numbers of one bucket
             open_ = np.flatnonzero(a < b)
             if not len(open_):
-                return a
+                return a, (a < end) & (self.lows(np.minimum(a, self.n - 1)) == want)
             middle = (a[open_] + b[open_]) >> 1
             less = self.lows(middle) < want[open_]
             a[open_[less]], b[open_[~less]] = middle[less] + 1, middle[~less]
@@ -163,35 +165,31 @@ class Trie:
         return [*words, *pointers, padded.view(np.uint64)]
 
     def find(self, columns: list[np.ndarray]) -> np.ndarray:
-        """Each n-gram's place among the codes, or -1."""
-        if len(self.words) > 1:  # contexts repeat: their first word is looked up once
-            first, of = np.unique(columns[0], return_inverse=True)
-            at = self._level(0, first, np.zeros(len(first), np.int64), np.full(len(first), self.words[0].n, np.int64))
-            at = at[of]
-            alive = np.flatnonzero(at >= 0)
-            return self._below(columns, alive, at[alive])
+        """Each n-gram's place among the codes, or -1. N-grams of one context
+        that follow each other look it up once."""
         n = len(columns[0])
-        return self._level(0, columns[0], np.zeros(n, np.int64), np.full(n, self.words[0].n, np.int64))
-
-    def _below(self, columns: list[np.ndarray], alive: np.ndarray, at: np.ndarray) -> np.ndarray:
-        place = np.full(len(columns[0]), -1, np.int64)
-        for k in range(1, len(self.words)):
-            at = self._level(k, columns[k][alive], self.pointers[k - 1][at], self.pointers[k - 1][at + 1])
-            alive, at = alive[at >= 0], at[at >= 0]
+        place, alive, at = np.full(n, -1, np.int64), np.arange(n), np.zeros(n, np.int64)
+        for k, words in enumerate(self.words):
+            numbers = columns[k][alive]
+            # one search for neighbours that are alike so far
+            run = np.ones(len(at), bool)
+            run[1:] = at[1:] != at[:-1]
+            context = at[run]
+            low, high, base = np.zeros(len(context), np.int64), np.full(len(context), words.n, np.int64), np.zeros(len(context), np.int64)
+            if k:
+                low, high = self.pointers[k - 1][context], self.pointers[k - 1][context + 1]
+                base = np.where(low > 0, words[np.maximum(low - 1, 0)], 0)
+            of = np.cumsum(run) - 1
+            run[1:] |= numbers[1:] != numbers[:-1]
+            of_run = of[run]
+            value = numbers[run] + base[of_run]
+            inside = value <= words.last
+            reached, found = words.successor(low[of_run], high[of_run], np.where(inside, value, 0))
+            reached = np.where(found & inside, reached, -1)[np.cumsum(run) - 1]
+            alive, at = alive[reached >= 0], reached[reached >= 0]
         place[alive] = at
         return place
 
-    def _level(self, k: int, numbers: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Where each number stands between low and high, or -1."""
-        words = self.words[k]
-        base = np.where(low > 0, words[np.maximum(low - 1, 0)], 0) if k else 0
-        value = numbers + base
-        inside = value <= words[high - 1]
-        value = np.where(inside, value, base)
-        at = words.successor(low, high, value)
-        found = inside & (words[np.minimum(at, words.n - 1)] == value)
-        return np.where(found, at, -1)
-
 
 class TrieFile:
     """A trie's parts in a file without a name, mapped into memory."""
@@ -208,15 +206,38 @@ class TrieFile:
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One place of each distinct key, the keys rising; each key's number among them."""
-    order = np.argsort(keys)
-    ordered = keys[order]
+    bits = len(keys).bit_length()
+    if int(keys.max(initial=0)).bit_length() + bits <= 63:
+        # the place in the key's lower bits: numbers are sorted faster than places by them
+        ordered = keys << bits
+        ordered |= np.arange(len(keys))
+        ordered.sort()
+        order = ordered & ((1 << bits) - 1)
+        ordered >>= bits
+    else:
+        order = np.argsort(keys)
+        ordered = keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = ordered[1:] != ordered[:-1]
+    del ordered
     each = np.empty(len(keys), np.int64)
     each[order] = np.cumsum(new) - 1
     return order[new], each
 
 
+def _distinct_rows(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_distinct``, of the columns' rows in lexicographic order. As many columns as a number holds are sorted at once."""
+    keys, place = columns[0], len(columns[0]).bit_length()
+    width = int(keys.max(initial=0)).bit_length()
+    for column in columns[1:]:
+        own = int(column.max(initial=0)).bit_length()
+        if width + own + place > 63:
+            keys, width = _distinct(keys)[1], place
+        keys = keys << own | column
+        width += own
+    return _distinct(keys)
+
+
 class _ByShard:
     """What goes to each shard, from one sort, however many shards there are."""
 
@@ -296,7 +317,7 @@ class _Known:
         for k in range(2, order + 1):
             grams, contexts, lower = self.order_of(k, counts)
             counts, codes = np.zeros(len(grams.rows), np.int64), np.zeros(len(grams.rows), np.int64)
-            by_shard = _ByShard(self.shards_of(grams, k, row["gram_shards"]), row["gram_shards"])
+            by_shard = _ByShard(self.shards_of(self.columns(grams, k), row["gram_shards"]), row["gram_shards"])
             for shard, reply in self._replies(row, k):
                 mine = by_shard[shard]
                 found = parted(reply)
@@ -320,9 +341,10 @@ class _Known:
     def columns(self, grams: _Grams, k: int) -> list[np.ndarray]:
         return [self.numbers[self.tokens.tokens[grams.rows - j]] for j in range(k - 1, -1, -1)]
 
-    def shards_of(self, grams: _Grams, k: int, shards: int) -> np.ndarray:
-        h = np.full(len(grams.rows), k, np.uint64)
-        for column in self.columns(grams, k):
+    @staticmethod
+    def shards_of(columns: list[np.ndarray], shards: int) -> np.ndarray:
+        h = np.full(len(columns[0]), len(columns), np.uint64)
+        for column in columns:
             h = (h ^ column.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
             h ^= h >> np.uint64(32)
         return (h % np.uint64(shards)).astype(np.int64)
@@ -330,8 +352,8 @@ class _Known:
     def ask(self, k: int, shards: int) -> Iterator[tuple[int, bytes]]:
         """(shard, what it is asked) for the n-grams of order k."""
         grams, contexts, lower = self.order_of(k, self.counts if k > 2 else self.count)
-        by_shard = _ByShard(self.shards_of(grams, k, shards), shards)
         columns = self.columns(grams, k)
+        by_shard = _ByShard(self.shards_of(columns, shards), shards)
         # the lower order's probability in the codes' steps, sixteen to a step
         fine = np.minimum(np.round(-lower / self.step * 16), CODES * 16).astype(np.int64)
         for shard, mine in by_shard:
@@ -351,7 +373,7 @@ class _Known:
 
 
 def _shards_of(words: list[str], shards: int) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) % shards for w in words), np.int64, len(words))
+    return (np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(shards)).astype(np.int64)
 
 
 def _ask_words(block: Block, shards: int) -> Iterator[tuple[int, bytes]]:
@@ -365,13 +387,14 @@ def _ask_words(block: Block, shards: int) -> Iterator[tuple[int, bytes]]:
 def _answer_words(shard: int, shards: int, asked: list[bytes]) -> tuple[list[bytes], int, int]:
     """For each block its words' counts and numbers; the count of all, and how many words have any."""
     opened = [parted(x) for x in asked]
-    words = [pa.array(zstandard.ZstdDecompressor().decompress(p[0]).decode().split(" ")) for p in opened]
+    words = [pc.split_pattern(pa.array([zstandard.ZstdDecompressor().decompress(p[0])], pa.binary()).cast(pa.string()), " ").flatten() for p in opened]
     coded = pa.chunked_array(words).combine_chunks().dictionary_encode()
     codes = coded.indices.to_numpy()
     counts = np.bincount(codes, np.concatenate([unsqueeze(p[1]) for p in opened]), len(coded.dictionary)).astype(np.int64)
     numbers = np.empty(len(counts), np.int64)
     # frequent words get small numbers; words of equal counts, by their text, so that a repeated task answers alike
-    order = np.lexsort((np.argsort(np.argsort(np.array(coded.dictionary.to_pylist(), object))), -counts))
+    by_text = pc.sort_indices(coded.dictionary).to_numpy()
+    order = by_text[np.argsort(-counts[by_text], kind="stable")]
     numbers[order] = 1 + shard + shards * np.arange(len(counts))
     replies, at = [], 0
     for w in words:
@@ -391,10 +414,7 @@ def _answer_grams(asked: list[bytes], order: int, prior: float, step: float, wit
     del opened, first
     words, (counts, contexts, fine) = columns[:order], columns[order:]
     del columns
-    # the n-grams in lexicographic order, word by word
-    distinct, of = _distinct(words[0])
-    for w in words[1:]:
-        distinct, of = _distinct(of * (int(w.max()) + 1) + w)
+    distinct, of = _distinct_rows(words)
     total = np.bincount(of, counts, len(distinct)).astype(np.int64)
     p = (total + prior * 10.0 ** (-fine[distinct] * step / 16)) / (contexts[distinct] + prior)
     codes = 1 + np.clip(np.round(-np.log10(p) / step), 0, CODES - 1).astype(np.int64)

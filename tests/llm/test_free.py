@@ -433,6 +433,32 @@ def test_distinct_keys_in_order():
     assert (keys[first][each] == keys).all()
 
 
+def test_rows_in_lexicographic_order():
+    draw = np.random.default_rng(5)
+    for tops in ([300], [5, 7, 3], [2**20, 2**20, 3], [2**40, 4, 2**45], [2**62, 2**30]):
+        columns = [draw.integers(0, top, 1000) // (top // 3 + 1) * (top // 3) for top in tops]
+        rows = list(zip(*(c.tolist() for c in columns)))
+        first, each = lm._distinct_rows(columns)
+        assert [rows[i] for i in first] == sorted(set(rows))
+        assert [rows[first[e]] for e in each] == rows
+
+
+def test_a_context_is_looked_up_once(monkeypatch):
+    """N-grams come in order: neighbours of one context share its search."""
+    grams = np.stack([np.repeat(np.arange(3), 4000), np.repeat(np.arange(3), 4000) + 7, np.tile(np.arange(4000) * 3, 3)], axis=1)
+    columns = [grams[:, k].copy() for k in range(3)]
+    trie = lm.TrieFile(lm.Trie.build(columns, np.ones(len(grams), np.int64)), 3).trie
+    looked, get = [0], lm.EliasFano.__getitem__
+
+    def counted(self, at):
+        looked[0] += len(at)
+        return get(self, at)
+
+    monkeypatch.setattr(lm.EliasFano, "__getitem__", counted)
+    assert trie.find(columns).tolist() == list(range(len(grams)))
+    assert looked[0] < 100
+
+
 def test_more_blocks_than_buckets(spark, sample, monkeypatch):
     """The number of buckets is bounded, the number of blocks is not."""
     docs, _ = sample
