@@ -237,6 +237,38 @@ def test_all_similar_lines(spark):
     assert sum(got.values()) < sum(lost.values())
 
 
+def test_runs_of_words_without_waste(spark):
+    """A line's windows end where no segment of a similar line can start; every similar line finds one near its place."""
+    draw = random.Random(6)
+    rows = []
+    for n in [*range(4, 26), 58, 120]:
+        base = [f"w{k}" for k in range(n)]
+        for _ in range(12):
+            w = list(base)
+            for e in range(n // 5):
+                k = draw.randrange(len(w))
+                w[k : k + 1] = [[], [f"x{e}"], [f"x{e}"]][draw.randrange(3)]
+            rows.append((n, len(w), base, w))
+    df = spark.createDataFrame(rows, "n int, m int, base array<string>, w array<string>")
+    s = fuzzy_lines._segments(F.col("base"), F.col("n"), 0.8)
+    found = df.select("n", "m", s.alias("s"), fuzzy_lines._windows(F.col("w"), F.col("m"), 0.8).alias("t")).collect()
+    for r in found:
+        d = r.n // 5
+        starts = collections.defaultdict(list)
+        for t in r.t:
+            starts[t.bucket].append(t.at)
+        near = lambda i, x: any(abs(x.at - at) <= i and abs(x.at - at - r.n + r.m) <= d - i for at in starts[x.bucket])
+        assert d == 0 or any(near(i, x) for i, x in enumerate(r.s))
+        assert d == 0 or len(r.s) == d + 1
+        assert max((t.at for t in r.t), default=0) <= 0.8 * r.m + 1e-6
+
+
+def test_a_line_is_normalised_once(spark):
+    docs = spark.createDataFrame([(1, "One Line\nTwo")], "doc_id long, text string")
+    plan = fuzzy_lines._lines(docs, "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^\\p{L}\\p{M}\\p{N}]+") == 1
+
+
 def edits_at_least(a: str, b: str, similarity: float) -> bool:
     n, m = a.count(" ") + 1, b.count(" ") + 1
     return min(n, m) >= similarity * max(n, m) and edits(a, b) >= similarity
