@@ -263,6 +263,64 @@ def test_runs_of_words_without_waste(spark):
         assert max((t.at for t in r.t), default=0) <= 0.8 * r.m + 1e-6
 
 
+def test_least_pairs_of_words_meet(spark):
+    """Of two similar lines' least pairs of words some are the same and near."""
+    draw = random.Random(7)
+    rows = []
+    for k, n in enumerate([*range(4, 26), 58, 120]):
+        base = [f"w{draw.randrange(2 * n)}" for _ in range(n)]
+        for v in range(8):
+            w = list(base)
+            for e in range(int(n * 0.2)):
+                at = draw.randrange(len(w))
+                w[at : at + 1] = [[], [f"x{e}"], [w[at], f"y{e}"]][draw.randrange(3)]
+            if edits_at_least(" ".join(base), " ".join(w), 0.8):
+                rows += [(k * 1000 + v * 2, " ".join(base)), (k * 1000 + v * 2 + 1, " ".join(w))]
+    lines = spark.createDataFrame(rows, "id long, line string")
+    found = fuzzy_lines._word_pairs(lines)
+    found = found.withColumn("last", F.coalesce(fuzzy_lines._last(F.col("buckets"), F.col("n"), 0.8), F.lit(0).cast("long")))
+    least = fuzzy_lines._least_pairs(found).withColumn("id", F.shiftright("row", fuzzy_lines.PLACE_BITS))
+    two = least.select("bucket", F.col("row").alias("row2"), F.col("id").alias("id2"))
+    near = least.join(two, "bucket").where("id2 = id + 1 AND id % 2 = 0").where(fuzzy_lines._near_rows(F.col("row"), F.col("row2"), 0.8))
+    met = {r.id for r in near.select("id").distinct().collect()}
+    changed = {a[0] for a, b in zip(rows[::2], rows[1::2]) if a[1] != b[1]}
+    assert len(changed) > 100 and changed <= met
+
+
+def test_hot_pairs_of_words_and_repeated_runs(spark, monkeypatch):
+    """Pairs of words at many places are put last; lines that have no others meet on segments. A repeated run is one row."""
+    monkeypatch.setattr(fuzzy_lines, "MOST", 3)
+    draw = random.Random(8)
+    passage = " ".join(f"quoted{k}" for k in range(9))
+    lines = []
+    for k in range(6):
+        base = [f"b{k}w{i}" for i in range(12)] + passage.split()
+        for _ in range(3):
+            w = list(base)
+            w[draw.randrange(len(w))] = f"z{draw.randrange(99)}"
+            lines.append(" ".join(w))
+    lines += [" ".join(["ble"] * n) for n in (40, 41, 47, 55, 80)] + [passage] * 2 + [passage + " end"]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    distinct = sorted(set(lines))
+    found = plain.groups(distinct, [(a, b) for a in distinct for b in distinct if a < b and edits_at_least(a, b, 0.8)])
+    first = {}
+    for i, line in enumerate(lines):
+        first.setdefault(found[line], i)
+    made = {}
+    keep = fuzzy_lines.written
+
+    def written(df, name, **options):
+        made[name] = keep(df, name, **options)
+        return made[name]
+
+    monkeypatch.setattr(fuzzy_lines, "written", written)
+    got = {r.doc_id: r.kept for r in fuzzy_lines.fuzzy_lines(docs, max_bits=None).collect()}
+    assert got == {i: first[found[line]] == i for i, line in enumerate(lines)}
+    assert not any(line.startswith("b0") for line in (r.line for r in made["common_texts"].collect()))
+    windows = made["shared_windows"]
+    assert windows.groupBy("bucket", "id2").count().where("count > 1").isEmpty()
+
+
 def test_a_line_is_normalised_once(spark):
     docs = spark.createDataFrame([(1, "One Line\nTwo")], "doc_id long, text string")
     plan = fuzzy_lines._lines(docs, "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
